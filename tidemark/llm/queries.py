@@ -31,6 +31,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .units import repeated_units
+
+    kept = repeated_units(read_table(spark, sf_dir, "documents"))
+    removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")
+    chars = F.length("text") - F.length("kept")
+    return kept.select("doc_id", "n_units", removed.alias("n_removed"), chars.cast("long").alias("removed_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_report
 
@@ -46,7 +55,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(turns.unionByName(extra))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op4_line_dedup, op6_mixing, op7_chat_format)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    kept = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""
@@ -64,6 +80,23 @@ with lines as (
 select doc_id, count(*) as n_lines, sum(case when gone then 1 else 0 end)::bigint as n_dropped,
   sha256(coalesce(string_agg(case when gone then null else line end, chr(10) order by i), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op5_unit_dedup": r"""
+with units as (
+  select doc_id, coalesce(text, '') as text, unnest(string_split_regex(coalesce(text, ''), '[\n.!?]')) as u,
+    generate_subscripts(string_split_regex(coalesce(text, ''), '[\n.!?]'), 1) as i from documents
+), placed as (
+  select *, coalesce(sum(length(u) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+    translate(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from units
+), counted as (
+  select *, (case when k = '' then 0 else length(k) - length(replace(k, ' ', '')) + 1 end) >= 5 as long_enough from placed
+), ranked as (
+  select *, case when long_enough then row_number() over (partition by k order by doc_id, start) else 1 end as r from counted
+)
+select doc_id, sum(case when long_enough then 1 else 0 end)::bigint as n_units, sum(case when r > 1 then 1 else 0 end)::bigint as n_removed,
+  sum(case when r > 1 then length(substr(text, start + 1, length(u) + 1)) else 0 end)::bigint as removed_chars,
+  sha256(coalesce(string_agg(case when r > 1 then '' else substr(text, start + 1, length(u) + 1) end, '' order by i), '')) as kept_sha256
+from ranked group by doc_id
 """,
     "op6_mixing": r"""
 with sized as (
