@@ -24,6 +24,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .curves import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import duplicate_lines
 
@@ -62,7 +68,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op3_hilbert_neighbours, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""
