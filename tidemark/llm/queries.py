@@ -61,6 +61,18 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(turns.unionByName(extra))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .leaks import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import quality_report
+
+    return quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import remove_repeats
 
@@ -68,7 +80,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op3_hilbert_neighbours, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op3_hilbert_neighbours, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op8_decontamination, op9_quality, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""
