@@ -50,15 +50,15 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, fp long`` of every row; null texts count as empty, null doc_ids stay null."""
+    """``doc_id, fp long`` (and the ``extra`` long columns) of every row of ``docs(doc_id, text)`` as ``texts`` gives it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in byte_slices(batch, "text", 1 << 22):
                 found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column("text").slice(lo, hi - lo)], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", *extra)), pa.array(found.view(np.int64))], ["doc_id", *extra, "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *extra, "fp")))
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
@@ -201,18 +201,36 @@ def trie_links(distinct: DataFrame, work: Workspace, budget: int = 2, node_cap:
     return links[0] if len(links) == 1 else links[0].unionByName(links[1])
 
 
+def fingerprint_classes(fps: DataFrame, work: Workspace, budget: int, node_cap: int) -> DataFrame:
+    """``fp, component``: every distinct fingerprint with the smallest one it reaches (as signed integers)."""
+    distinct = work.table(fps.groupBy("fp").agg(F.count("*").alias("rows")), "distinct")
+    component = connected_components(trie_links(distinct, work, budget, node_cap), work)
+    return distinct.join(component.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, node_cap: int = 100_000) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs(doc_id, text)``.
 
     component_id is the smallest doc_id whose fingerprint can be reached over links of at most ``budget`` differing bits. Null texts
     are empty (fingerprint 0, linked like any other); null doc_ids keep their row and never name a component unless all of it is
-    null. Repeated rows keep a row each. Other columns are ignored.
+    null. Repeated rows keep a row each; an empty table gives no rows. Other columns are ignored.
     """
     work = Workspace(docs.sparkSession, "simhash")
-    fps = work.table(fingerprints(docs, shingle), "fingerprints")
-    reps = work.table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    component = connected_components(trie_links(reps, work, budget, node_cap), work)
-    named = reps.join(component.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    table = work.table(named.join(least, "component").select("fp", "component_id"), "classes")
+    fps = work.table(fingerprints(texts(docs), shingle), "fingerprints")
+    classes = work.table(fingerprint_classes(fps, work, budget, node_cap), "fingerprint-classes")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(classes, "fp").groupBy("component").agg(F.min("rep").alias("component_id"))
+    table = work.table(classes.join(least, "component").select("fp", "component_id"), "classes")
     return fps.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, node_cap: int = 100_000) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays for each near-duplicate group: the one of smallest doc_id (nulls last), then text hash."""
+    work = Workspace(docs.sparkSession, "simhash")
+    fps = work.table(fingerprints(texts(docs).withColumn("th", F.xxhash64("text")), shingle, ("th",)), "fingerprints")
+    classes = fingerprint_classes(fps, work, budget, node_cap)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(classes, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    stay = work.table(first.select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th")), "stay")
+    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay_id")) & (th == F.col("stay_th"))).dropDuplicates(["stay_id", "stay_th"])
+    return kept.select(*[docs[c] for c in docs.columns])
