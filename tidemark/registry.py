@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import market_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+CATALOGUES = (market_queries.catalogue,)
+QUERIES = {k: f for c in CATALOGUES for k, f in c.queries.items()}
+ORACLE_SQL = {k: s for c in CATALOGUES for k, s in c.sql.items()}
+FLAGSHIP = QUERIES["bollinger_zscore"]
