@@ -171,3 +171,25 @@ def trix(df: DataFrame, n: int = 15, keys: list[str] = K) -> DataFrame:
     df = ewm(df, keys, "ts", [Ewm("_t3", "_t2", span(n), n)])
     w = Window.partitionBy(*keys).orderBy("ts")
     return df.withColumn(f"trix_{n}", F.col("_t3") - F.lag("_t3").over(w)).drop("_t1", "_t2", "_t3")
+
+
+def smoothed(df: DataFrame, keys: list[str] = K) -> DataFrame:
+    """MACD, slopes and distances, RSI, ATR, ADX and TRIX of bars with ``base`` columns, in three passes: all first-order means in one, the
+    means of their results in a second, the third mean of TRIX in a last. Each pass reads its input twice, so passes are what to save."""
+    w = Window.partitionBy(*keys).orderBy("ts")
+    d, up, dn = F.col("close") - F.lag("close").over(w), F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
+    df = df.withColumns({
+        "_g": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "_l": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))),
+        "_pdm": F.when((up > dn) & (up > 0), up).otherwise(0.0), "_mdm": F.when((dn > up) & (dn > 0), dn).otherwise(0.0),
+    })
+    first = [Ewm("_e12", "logc", span(12), 12), Ewm("_e26", "logc", span(26), 26), Ewm("_t1", "logc", span(15), 15), Ewm("_tr", "true_range", wilder(14), 14), *(Ewm(o, s, wilder(14), 14) for o, s in (("_ag", "_g"), ("_al", "_l"), ("_p", "_pdm"), ("_m", "_mdm")))]
+    df = ewm(df, keys, "ts", first)
+    plus, minus = 100 * sdiv("_p", "_tr"), 100 * sdiv("_m", "_tr")
+    df = df.withColumns({"macd": F.col("_e12") - F.col("_e26"), "rsi_14": 100 * sdiv("_ag", F.col("_ag") + F.col("_al")), "atr_pct_14": sdiv("_tr", "close"), "plus_di": plus, "minus_di": minus, "_dx": 100 * sdiv(F.abs(plus - minus), plus + minus)})
+    df = ewm(df, keys, "ts", [Ewm("macd_signal", "macd", span(9), 9), Ewm("adx_14", "_dx", wilder(14), 14), Ewm("_t2", "_t1", span(15), 15)])
+    df = ewm(df, keys, "ts", [Ewm("_t3", "_t2", span(15), 15)])
+    df = df.withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"), "trix_15": F.col("_t3") - F.lag("_t3").over(w)})
+    for n in (12, 26):
+        df = df.withColumns({f"ema_slope_{n}": F.col(f"_e{n}") - F.lag(f"_e{n}", 5).over(w), "_d": F.col("logc") - F.col(f"_e{n}")})
+        df = df.withColumn(f"ema_dist_z_{n}", sdiv("_d", rstd("_d", rows(keys, "ts", n), n)))
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
