@@ -230,11 +230,12 @@ class Judge:
     def keep(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs``, all columns, that are not rejected."""
         if not self.whole:
-            numbered = self.work.table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-all")
+            numbered = self.work.table(docs.withColumn("_judged_row", F.monotonically_increasing_id()), "numbered-all")
             limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in self.thresholds.items() for x in kv]), F.coalesce("lang", F.lit(""))) if self.thresholds else F.lit(None).cast("double")
-            found = sharded_scores(numbered.select("row", *[c for c in _needed(numbered).columns]).withColumn("text", F.coalesce("text", F.lit(""))), self.table, self.work)
-            bad = numbered.select("row", "lang").join(found, "row").where(F.col("bits") > limit).select("row")
-            return numbered.join(bad, "row", "left_anti").drop("row")
+            needed = _needed(numbered).columns
+            rows = numbered.select(F.col("_judged_row").alias("row"), *needed).withColumn("text", F.coalesce("text", F.lit("")))
+            bad = rows.select("row", "lang").join(sharded_scores(rows, self.table, self.work), "row").where(F.col("bits") > limit).select(F.col("row").alias("_judged_row"))
+            return numbered.join(bad, "_judged_row", "left_anti").drop("_judged_row")
         model, thresholds = self.model, self.thresholds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
