@@ -46,6 +46,8 @@ def continuous(bars: DataFrame, rolls_: DataFrame, adjustment: str = "ratio") ->
     """
     if adjustment not in ("ratio", "panama"):
         raise ValueError(adjustment)
+    if rolls_.isEmpty():
+        return bars.withColumns({"raw_close": F.col("close"), "adj_factor": F.lit(1.0 if adjustment == "ratio" else 0.0)})
     s = seams(bars, rolls_)
     step = sdiv("new_close", "old_close") if adjustment == "ratio" else F.col("new_close") - F.col("old_close")
     s = s.withColumn("step", step)
