@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_slices, mix64, utf8_parts
+from .common import Workspace, byte_slices, mix64, partitions, utf8_parts
 
 ORDER = 5
 MAX_BROADCAST_ROWS = 4_000_000
@@ -110,23 +110,33 @@ def train(trusted: DataFrame, work: Workspace) -> DataFrame:
     return work.table(model, "model")
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (m, n, part, key) as one row of packed arrays a run."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = np.asarray(batch.column("m").dictionary_encode().indices)
+        n, part, key, value = (np.asarray(batch.column(c)) for c in ("n", "part", "key", "value"))
+        cut = np.flatnonzero(np.append(True, (np.diff(m) != 0) | (np.diff(n) != 0) | (np.diff(part) != 0)))
+        to = np.append(cut[1:], len(m))
+        at = pa.array(cut)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("m").take(at), batch.column("n").take(at), batch.column("part").take(at), batch.column("key").take(at), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, to, strict=True)], pa.binary()) for x in (key, value))],
+            ["m", "n", "part", "first", "keys", "values"],
+        )
+
+
 class Model:
-    """The tables of all models as sorted arrays."""
+    """The tables of all models as sorted arrays, from the packed runs of ``_pack``."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, blobs: list):
+        parts: dict[tuple[str, int, int], list] = {}
+        for r in blobs:
+            parts.setdefault((r["m"], r["n"], r["part"]), []).append((r["first"], r["keys"], r["values"]))
         self.tables: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]] = {}
-        names = rows.column("m").combine_chunks().dictionary_encode() if rows.num_rows else None
-        if names is None:
-            return
-        if isinstance(names, pa.ChunkedArray):
-            names = names.combine_chunks()
-        m, n, part = np.asarray(names.indices), rows.column("n").to_numpy(), rows.column("part").to_numpy()
-        key, value = rows.column("key").to_numpy(), rows.column("value").to_numpy()
-        order = np.lexsort((key, part, n, m))
-        m, n, part, key, value = (x[order] for x in (m, n, part, key, value))
-        cut = np.flatnonzero(np.append(True, (np.diff(m) != 0) | (np.diff(n) != 0) | (np.diff(part) != 0)))
-        for a, b in zip(cut, np.append(cut[1:], len(m)), strict=True):
-            self.tables[names.dictionary[int(m[a])].as_py(), int(n[a]), int(part[a])] = key[a:b].astype(np.uint64), value[a:b]
+        for k, chunks in parts.items():
+            chunks.sort(key=lambda c: c[0])
+            self.tables[k] = np.frombuffer(b"".join(c[1] for c in chunks), np.uint64), np.frombuffer(b"".join(c[2] for c in chunks), np.float64)
 
     def _look(self, m: str, n: int, part: int, keys: np.ndarray, missing: float) -> np.ndarray:
         table, value = self.tables[m, n, part]
@@ -166,7 +176,7 @@ def sharded_scores(docs: DataFrame, model: DataFrame, work: Workspace) -> DataFr
         for batch in batches:
             models = model_of(batch.column("doc_id"), batch.column("lang"), own=False)
             ids = np.asarray(batch.column("row"))
-            for lo, hi in byte_slices(batch, "text", 1 << 20):
+            for lo, hi in byte_slices(batch, "text", 1 << 22):
                 key, row = ngram_keys(batch.column("text").slice(lo, hi - lo))
                 pair, count = np.unique((key << np.uint64(24)) | row.astype(np.uint64), return_counts=True)
                 doc = lo + (pair & np.uint64((1 << 24) - 1)).astype(np.int64)
@@ -193,7 +203,7 @@ class Judge:
         trusted = trusted_documents(_needed(docs), labels)
         self.table = train(trusted, self.work)
         self.whole = self.table.count() <= broadcast_rows
-        self.model = self.spark.sparkContext.broadcast(Model(self.table.toArrow())) if self.whole else None
+        self.model = self.spark.sparkContext.broadcast(Model(self._packed().collect())) if self.whole else None
         scores = self.work.table(self._scores(trusted), "trusted-scores")
         cells = scores.where("bits is not null").groupBy("lang", F.floor(F.col("bits") * GRAIN).alias("cell")).count()
         by_lang = Window.partitionBy("lang")
@@ -201,6 +211,12 @@ class Judge:
         limits = cells.where((F.col("upto") >= F.col("all") * quantile) & (F.col("all") >= min_trusted)).groupBy("lang").agg(F.min("cell").alias("cell"))
         self.thresholds = {r["lang"] or "": (r["cell"] + 1) / GRAIN for r in limits.collect()}  # a row a language
 
+    def _packed(self) -> DataFrame:
+        """The model's tables in a few packed rows, sorted and packed by the executors: the driver only joins bytes."""
+        order = ["m", "n", "part", "key"]
+        dealt = self.table.repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order).select(*order, "value")
+        return dealt.mapInArrow(_pack, "m string, n int, part int, first long, keys binary, values binary")
+
     def _scores(self, docs: DataFrame) -> DataFrame:
         """``doc_id, lang, n_bytes, bits`` of ``docs(doc_id, lang, text)``."""
         if not self.whole:
