@@ -25,6 +25,7 @@ from .common import Workspace, byte_slices, mix64, partitions, utf8_parts
 ORDER = 5
 MAX_BROADCAST_ROWS = 4_000_000
 MAX_BROADCAST_IDS = 2_000_000
+MAX_BROADCAST_MODELS = 10_000
 GRAIN = 1000
 
 
@@ -90,6 +91,7 @@ def train(trusted: DataFrame, work: Workspace) -> DataFrame:
     """``m, n, part, key, value``: for each order n, the discounted share of every n-gram (part 0) and the weight left to lower orders of
     every context (part 1)."""
     grams = work.table(_needed(trusted).mapInArrow(_count, "m string, g long, c long").groupBy("m", "g").agg(F.sum("c").alias("c")), f"counts-{ORDER}")
+    models = grams.select("m").distinct().count()
     tables = []
     for n in range(ORDER, 0, -1):
         of = [F.sum(F.when(F.col("c") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
@@ -97,6 +99,8 @@ def train(trusted: DataFrame, work: Workspace) -> DataFrame:
         formula = [1 - 2 * y * F.expr("n2 / n1"), 2 - 3 * y * F.expr("n3 / n2"), 3 - 4 * y * F.expr("n4 / n3")]
         full = F.expr("n1 > 0 and n2 > 0 and n3 > 0")
         discounts = grams.groupBy("m").agg(*of).select("m", *[F.when(full, F.greatest(F.lit(0.1), F.least(F.lit(float(i)), f))).otherwise(F.lit(i / 2)).alias(f"d{i}") for i, f in enumerate(formula, 1)])
+        if models <= MAX_BROADCAST_MODELS:  # a row a model: without it one model's n-grams would meet in one task
+            discounts = F.broadcast(discounts)
         own = grams.join(discounts, "m").select("m", "g", "c", F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end").alias("d"), F.shiftrightunsigned("g", 8).alias("h"))
         contexts = own.groupBy("m", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
         shares = own.join(contexts, ["m", "h"]).select("m", F.lit(n).alias("n"), F.lit(0).alias("part"), F.col("g").alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("value"))
