@@ -27,6 +27,7 @@ MAX_BROADCAST_ROWS = 4_000_000
 MAX_BROADCAST_IDS = 2_000_000
 MAX_BROADCAST_MODELS = 10_000
 GRAIN = 1000
+SLICE = 1 << 20  # bytes of text worked on at once: about 90 bytes of arrays each
 
 
 def ngram_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         models = model_of(batch.column("doc_id"), batch.column("lang"), own=True)
-        for lo, hi in byte_slices(batch, "text", 1 << 22):
+        for lo, hi in byte_slices(batch, "text", SLICE):
             key, row = ngram_keys(batch.column("text").slice(lo, hi - lo))
             names, which = np.unique(models[lo:hi], return_inverse=True)
             for i, m in enumerate(names.tolist()):
@@ -180,7 +181,7 @@ def sharded_scores(docs: DataFrame, model: DataFrame, work: Workspace) -> DataFr
         for batch in batches:
             models = model_of(batch.column("doc_id"), batch.column("lang"), own=False)
             ids = np.asarray(batch.column("row"))
-            for lo, hi in byte_slices(batch, "text", 1 << 22):
+            for lo, hi in byte_slices(batch, "text", SLICE):
                 key, row = ngram_keys(batch.column("text").slice(lo, hi - lo))
                 pair, count = np.unique((key << np.uint64(24)) | row.astype(np.uint64), return_counts=True)
                 doc = lo + (pair & np.uint64((1 << 24) - 1)).astype(np.int64)
@@ -231,7 +232,7 @@ class Judge:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo, hi in byte_slices(batch, "text", 1 << 22):
+                for lo, hi in byte_slices(batch, "text", SLICE):
                     part = batch.slice(lo, hi - lo)
                     bits = model.value.mean_bits(part.column("text"), model_of(part.column("doc_id"), part.column("lang"), own=False))
                     size = np.diff(utf8_parts(part.column("text"))[1])
@@ -263,7 +264,7 @@ class Judge:
                 text = batch.column("text").cast(pa.string()).fill_null("")
                 ids, langs = batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string())
                 named = pa.RecordBatch.from_arrays([text], ["text"])
-                for lo, hi in byte_slices(named, "text", 1 << 22):
+                for lo, hi in byte_slices(named, "text", SLICE):
                     lang = langs.slice(lo, hi - lo)
                     bits = model.value.mean_bits(text.slice(lo, hi - lo), model_of(ids.slice(lo, hi - lo), lang, own=False))
                     limit = np.array([thresholds.get(x or "", np.inf) for x in lang.to_pylist()])
