@@ -201,6 +201,57 @@ def test_trie_join_finds_all_links(spark, cap):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+def shingle_set(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_near_dedup_stage_keeps_one_of_each_similar_group(spark, docs, data):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(11)
+    rows = [(d, t) for d, t, *_ in data]
+    for g in range(25):  # copies with a few words changed, around the similarity of 0.8
+        words = rng.choice(["v%d" % i for i in range(3000)], int(rng.integers(40, 300))).tolist()
+        for c in range(6):
+            copy = list(words)
+            for i in rng.integers(0, len(words), int(rng.integers(0, 1 + len(words) // 30))):
+                copy[i] = f"edit{g}x{c}x{i}"
+            rows.append((10_000 + 10 * g + c, " ".join(copy)))
+    more = docs.select(*docs.columns).unionByName(spark.createDataFrame([(d, t, "en", "s", None, 1, "f", "s", 2, "t", 3) for d, t in rows[len(data) :]], SCHEMA))
+    sets = sorted({shingle_set(t) for _, t in rows}, key=len)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            shared = len(a & b)
+            if 5 * shared >= 4 * (len(a) + len(b) - shared):
+                root[find(i)] = find(j)
+    of = {s: find(i) for i, s in enumerate(sets)}
+    least = {}
+    for d, t in rows:
+        k = of[shingle_set(t)]
+        at = (d is None, d or 0)
+        least[k] = min(at, least.get(k, at))
+    kept = corpus_pipeline.near_dedup(spark, more, "")
+    assert kept.columns == docs.columns
+    expect([((r["doc_id"] is None, r["doc_id"] or 0),) for r in kept.collect()], [(x,) for x in least.values()])
+
+
+def test_similar_links_finds_chains():
+    from tidemark.llm.similar import similar_links
+
+    chain = [np.arange(i * 5, i * 5 + 100, dtype=np.uint64) for i in range(12)]  # neighbours share 95 of 105
+    other = [np.arange(10_000 + i * 5, 10_100 + i * 5, dtype=np.uint64) for i in range(4)]
+    group = similar_links([chain[i] for i in (0, 11, 5, 3, 8, 1, 10, 2, 9, 4, 7, 6)] + other)
+    assert len(set(group[:12])) == 1 and len(set(group[12:])) == 1 and group[0] != group[12]
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
