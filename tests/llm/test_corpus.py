@@ -558,6 +558,18 @@ def test_perplexity(spark, docs, data):
     assert quality_report(small.limit(0), labels).collect() == []
 
 
+def test_length_bands_judge_long_documents_by_long_ones(spark):
+    path = "/root/testdata/sf0.1"
+    from tidemark.llm.perplexity import quality_report
+
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    kind = F.expr("case when quality = 0 then 'junk' when toxic = 1 then 'toxic' else 'clean' end")
+    r = quality_report(docs, labels).join(labels, "doc_id").groupBy(kind.alias("kind")).agg(F.avg((~F.col("keep")).cast("int")).alias("gone"))
+    gone = {x["kind"]: x["gone"] for x in r.collect()}
+    assert gone["junk"] >= 0.92 and gone["toxic"] >= 0.2 and gone["clean"] <= 0.015
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.01"
     from tidemark.llm.perplexity import quality_report

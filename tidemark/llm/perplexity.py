@@ -5,7 +5,8 @@
   thresholds fit unseen text.
 * Counts of the highest order are sums; a lower order counts the distinct n-grams that continue to the left. Discounts come from counts
   of counts of each order and model. Counts meet the totals of their contexts in joins sharded by (model, context).
-* A document's perplexity is that of its bytes. Those above the language's quantile of trusted documents are rejected.
+* A document's perplexity is that of its bytes. Those above the quantile of trusted documents of their language and length band (powers of
+  two of bytes) are rejected. A group of few trusted documents is filled up by those of the band in all languages, and these by all.
 
 Tables of at most ``MAX_BROADCAST_ROWS`` rows go to the workers whole; larger ones meet the documents' n-grams in joins sharded by
 (model, n-gram), with the same scores.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, byte_slices, mix64, partitions, utf8_parts
@@ -27,6 +28,7 @@ MAX_BROADCAST_ROWS = 4_000_000
 MAX_BROADCAST_IDS = 2_000_000
 MAX_BROADCAST_MODELS = 10_000
 GRAIN = 1000
+LENGTH_BANDS = 32
 SLICE = 1 << 20  # bytes of text worked on at once: about 90 bytes of arrays each
 
 
@@ -53,6 +55,26 @@ def model_of(ids: pa.Array, langs: pa.Array, own: bool) -> np.ndarray:
     return np.char.add(np.char.add(fold.astype(str), "|"), np.array([x or "" for x in langs.to_pylist()], dtype=str)) if len(fold) else np.zeros(0, str)
 
 
+def settled(models: np.ndarray, known: frozenset[str]) -> np.ndarray:
+    """The models that score: 'fold', the model of all languages, where 'fold|language' was not trained."""
+    return np.array([m if m in known else m.split("|", 1)[0] for m in models.tolist()], dtype=str)
+
+
+def length_bands(n_bytes: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(n_bytes.astype(np.float64))[1], LENGTH_BANDS - 1)
+
+
+def length_band(n_bytes: str) -> Column:
+    """``length_bands`` of a positive long column: the length of its binary digits."""
+    return F.least(F.length(F.bin(n_bytes)), F.lit(LENGTH_BANDS - 1))
+
+
+def filled(own: np.ndarray, parent: np.ndarray, least: float) -> np.ndarray:
+    """Histogram ``own``, brought up to ``least`` documents by shares of ``parent``."""
+    lack = least - own.sum()
+    return own if lack <= 0 or not parent.any() else own + parent * (lack / parent.sum())
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -88,11 +110,12 @@ def _needed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def train(trusted: DataFrame, work: Workspace) -> DataFrame:
+def train(trusted: DataFrame, docs: DataFrame, work: Workspace) -> tuple[DataFrame, frozenset[str]]:
     """``m, n, part, key, value``: for each order n, the discounted share of every n-gram (part 0) and the weight left to lower orders of
-    every context (part 1)."""
+    every context (part 1); and the names of the models. The models of all languages are trained only where one of ``docs`` needs them."""
     grams = work.table(_needed(trusted).mapInArrow(_count, "m string, g long, c long").groupBy("m", "g").agg(F.sum("c").alias("c")), f"counts-{ORDER}")
-    models = grams.select("m").distinct().count()
+    known = {r["m"] for r in grams.select("m").distinct().collect()}  # two rows a language
+    models = len(known)
     tables = []
     for n in range(ORDER, 0, -1):
         of = [F.sum(F.when(F.col("c") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
@@ -112,7 +135,7 @@ def train(trusted: DataFrame, work: Workspace) -> DataFrame:
     model = tables[0]
     for t in tables[1:]:
         model = model.unionByName(t)
-    return work.table(model, "model")
+    return work.table(model, "model"), frozenset(known)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +180,14 @@ class Model:
         return -np.log2(p)
 
     def mean_bits(self, column: pa.Array, models: np.ndarray) -> np.ndarray:
-        """Bits a byte of each text; NaN for empty texts and for languages without a model."""
+        """Bits a byte of each text; NaN for empty texts and without any model."""
         key, row = ngram_keys(column)
         total, size = np.full(len(column), np.nan), np.bincount(row, minlength=len(column))
         names, which = np.unique(models, return_inverse=True)
         for i, m in enumerate(names.tolist()):
+            mine = which[row] == i
             if (m, ORDER, 0) not in self.tables:
                 continue
-            mine = which[row] == i
             both = np.sort((key[mine] << np.uint64(24)) | row[mine].astype(np.uint64))
             k, doc = both >> np.uint64(24), (both & np.uint64((1 << 24) - 1)).astype(np.int64)
             new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
@@ -174,12 +197,12 @@ class Model:
         return np.where(size > 0, total / np.maximum(size, 1), np.nan)
 
 
-def sharded_scores(docs: DataFrame, model: DataFrame, work: Workspace) -> DataFrame:
+def sharded_scores(docs: DataFrame, model: DataFrame, known: frozenset[str], work: Workspace) -> DataFrame:
     """``row long, bits``: bits a byte of ``docs(row, doc_id, lang, text)`` by joins sharded by (model, n-gram), for tables too large to broadcast."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            models = model_of(batch.column("doc_id"), batch.column("lang"), own=False)
+            models = settled(model_of(batch.column("doc_id"), batch.column("lang"), own=False), known)
             ids = np.asarray(batch.column("row"))
             for lo, hi in byte_slices(batch, "text", SLICE):
                 key, row = ngram_keys(batch.column("text").slice(lo, hi - lo))
@@ -206,15 +229,47 @@ class Judge:
         self.spark = docs.sparkSession
         self.work = Workspace(self.spark, "perplexity")
         trusted = trusted_documents(_needed(docs), labels)
-        self.table = train(trusted, self.work)
+        self.table, self.known = train(trusted, _needed(docs), self.work)
         self.whole = self.table.count() <= broadcast_rows
         self.model = self.spark.sparkContext.broadcast(Model(self._packed().collect())) if self.whole else None
         scores = self.work.table(self._scores(trusted), "trusted-scores")
-        cells = scores.where("bits is not null").groupBy("lang", F.floor(F.col("bits") * GRAIN).alias("cell")).count()
-        by_lang = Window.partitionBy("lang")
-        cells = cells.withColumn("upto", F.sum("count").over(by_lang.orderBy("cell"))).withColumn("all", F.sum("count").over(by_lang))
-        limits = cells.where((F.col("upto") >= F.col("all") * quantile) & (F.col("all") >= min_trusted)).groupBy("lang").agg(F.min("cell").alias("cell"))
-        self.thresholds = {r["lang"] or "": (r["cell"] + 1) / GRAIN for r in limits.collect()}  # a row a language
+        self._fit(scores, quantile, max(min_trusted, 1 / (1 - quantile) if quantile < 1 else 0))
+
+    def _fit(self, scores: DataFrame, quantile: float, least: float) -> None:
+        """``limits``: bits by language and length band, and ``limit``: by length band for other languages. None without scores."""
+        group = Window.partitionBy("lang", "band")
+        cells = scores.where("bits is not null").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), length_band("n_bytes").alias("band"), F.floor(F.col("bits") * GRAIN).alias("cell")).count()
+        cells = self.work.table(cells, "trusted-cells")
+        ranked = cells.withColumn("upto", F.sum("count").over(group.orderBy("cell"))).withColumn("all", F.sum("count").over(group))
+        enough = ranked.where((F.col("upto") >= F.col("all") * quantile) & (F.col("all") >= least)).groupBy("lang", "band").agg(F.min("cell").alias("cell")).collect()  # a row a group
+        few = ranked.where(F.col("all") < least).select("lang", "band", "cell", "count").collect()  # fewer than ``least`` rows a group
+        pooled = cells.groupBy("band", "cell").agg(F.sum("count").alias("count")).collect()  # bounded by bands and cells
+        self.limits: dict[str, list[float]] = {}
+        self.limit: list[float] | None = None
+        if not pooled:
+            return
+        size = max(r["cell"] for r in pooled) + 1
+        by_band = np.zeros((LENGTH_BANDS, size))
+        for r in pooled:
+            by_band[r["band"], r["cell"]] += r["count"]
+        everything = by_band.sum(axis=0)
+        parents = [filled(h, everything, least) for h in by_band]
+        at = lambda h: (int(np.searchsorted(np.cumsum(h), h.sum() * quantile - 1e-9)) + 1) / GRAIN
+        self.limit = [at(h) for h in parents]
+        own: dict[tuple[str, int], np.ndarray] = {}
+        for r in few:
+            own.setdefault((r["lang"], r["band"]), np.zeros(size))[r["cell"]] += r["count"]
+        for (lang, band), h in own.items():
+            self.limits.setdefault(lang, list(self.limit))[band] = at(filled(h, parents[band], least))
+        for r in enough:
+            self.limits.setdefault(r["lang"], list(self.limit))[r["band"]] = (r["cell"] + 1) / GRAIN
+
+    def _limit(self) -> Column:
+        """The limit of a row with ``lang`` and ``n_bytes``."""
+        if self.limit is None:
+            return F.lit(None).cast("double")
+        by_lang = F.create_map(*[x for lang, v in self.limits.items() for x in (F.lit(lang), F.lit(v))])
+        return F.element_at(F.coalesce(F.try_element_at(by_lang, F.coalesce("lang", F.lit(""))), F.lit(self.limit)), length_band("n_bytes") + 1)
 
     def _packed(self) -> DataFrame:
         """The model's tables in a few packed rows, sorted and packed by the executors: the driver only joins bytes."""
@@ -226,7 +281,7 @@ class Judge:
         """``doc_id, lang, n_bytes, bits`` of ``docs(doc_id, lang, text)``."""
         if not self.whole:
             numbered = self.work.table(docs.withColumn("row", F.monotonically_increasing_id()), f"numbered-{id(docs)}")
-            found = sharded_scores(numbered, self.table, self.work)
+            found = sharded_scores(numbered, self.table, self.known, self.work)
             return numbered.join(found, "row", "left").select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), "bits")
         model = self.model
 
@@ -242,9 +297,7 @@ class Judge:
 
     def report(self, docs: DataFrame) -> DataFrame:
         """``doc_id, lang, n_bytes, perplexity, threshold, keep``: a row for each row of ``docs``."""
-        limit = F.lit(None).cast("double")
-        if self.thresholds:
-            limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in self.thresholds.items() for x in kv]), F.coalesce("lang", F.lit("")))
+        limit = self._limit()
         keep = F.coalesce(F.col("bits") <= limit, F.lit(True))
         return self._scores(_needed(docs)).select("doc_id", "lang", "n_bytes", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), keep.alias("keep"))
 
@@ -252,12 +305,12 @@ class Judge:
         """The rows of ``docs``, all columns, that are not rejected."""
         if not self.whole:
             numbered = self.work.table(docs.withColumn("_judged_row", F.monotonically_increasing_id()), "numbered-all")
-            limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in self.thresholds.items() for x in kv]), F.coalesce("lang", F.lit(""))) if self.thresholds else F.lit(None).cast("double")
             needed = _needed(numbered).columns
             rows = numbered.select(F.col("_judged_row").alias("row"), *needed).withColumn("text", F.coalesce("text", F.lit("")))
-            bad = rows.select("row", "lang").join(sharded_scores(rows, self.table, self.work), "row").where(F.col("bits") > limit).select(F.col("row").alias("_judged_row"))
+            sized = rows.select("row", "lang", F.octet_length("text").cast("long").alias("n_bytes"))
+            bad = sized.join(sharded_scores(rows, self.table, self.known, self.work), "row").where(F.col("bits") > self._limit()).select(F.col("row").alias("_judged_row"))
             return numbered.join(bad, "_judged_row", "left_anti").drop("_judged_row")
-        model, thresholds = self.model, self.thresholds
+        model, limits, other = self.model, self.limits, self.limit or [np.inf] * LENGTH_BANDS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -267,7 +320,8 @@ class Judge:
                 for lo, hi in byte_slices(named, "text", SLICE):
                     lang = langs.slice(lo, hi - lo)
                     bits = model.value.mean_bits(text.slice(lo, hi - lo), model_of(ids.slice(lo, hi - lo), lang, own=False))
-                    limit = np.array([thresholds.get(x or "", np.inf) for x in lang.to_pylist()])
+                    bands = length_bands(np.diff(utf8_parts(text.slice(lo, hi - lo))[1]))
+                    limit = np.array([limits.get(x or "", other)[b] for x, b in zip(lang.to_pylist(), bands.tolist(), strict=True)])
                     yield batch.slice(lo, hi - lo).filter(pa.array(~(bits > limit)))
 
         return docs.mapInArrow(run, docs.schema)
@@ -276,7 +330,8 @@ class Judge:
 def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, min_trusted: int = 20, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``doc_id, lang, n_bytes, perplexity, threshold, keep`` for every row of ``docs(doc_id, lang, text)``.
 
-    Null texts are empty; empty texts, and languages with fewer than ``min_trusted`` trusted documents, have no perplexity or threshold and
-    are kept. A null language counts as the language ''. Repeated rows get equal scores. Other columns are ignored.
+    Null texts are empty; empty texts have no perplexity and are kept. Every other row is judged, unless the trusted documents are all in one
+    fold, so that none has a held-out score. Fewer than ``min_trusted`` trusted documents of a language and length (or than the quantile
+    needs) are filled up by those of other languages. A null language counts as the language ''. Repeated rows get equal scores. Other columns are ignored.
     """
     return Judge(docs, labels, quantile, min_trusted, broadcast_rows).report(docs)
