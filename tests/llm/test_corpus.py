@@ -570,6 +570,26 @@ def test_length_bands_judge_long_documents_by_long_ones(spark):
     assert gone["junk"] >= 0.92 and gone["toxic"] >= 0.2 and gone["clean"] <= 0.015
 
 
+@pytest.mark.parametrize("broadcast_rows", [4_000_000, 0])
+def test_rare_languages_are_judged(spark, broadcast_rows):
+    from tidemark.llm.perplexity import Judge
+
+    rng = np.random.default_rng(4)
+    vocab = ["".join(rng.choice(list("aeinrst"), 5)) for _ in range(60)]
+    prose = lambda: " ".join(rng.choice(vocab, 60))
+    noise = lambda: "".join(chr(c) for c in rng.integers(33, 126, 360))
+    rows = [(i, prose(), "en") for i in range(200)] + [(300 + i, prose(), "de") for i in range(5)]
+    rows += [(400 + i, noise(), lang) for i, lang in enumerate(["de", "xx", None] * 4)] + [(500, prose(), "xx"), (501, prose(), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i < 304], "doc_id long, quality int, toxic int")
+    j = Judge(docs, labels, broadcast_rows=broadcast_rows)
+    kept = {r["doc_id"] for r in j.keep(docs).collect()}
+    report = j.report(docs).collect()
+    assert kept == {r["doc_id"] for r in report if r["keep"]}
+    assert all(r["threshold"] is not None and r["perplexity"] is not None for r in report)
+    assert not kept & set(range(400, 412)) and {500, 501} <= kept
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.01"
     from tidemark.llm.perplexity import quality_report

@@ -5,6 +5,7 @@
   thresholds fit unseen text.
 * Counts of the highest order are sums; a lower order counts the distinct n-grams that continue to the left. Discounts come from counts
   of counts of each order and model. Counts meet the totals of their contexts in joins sharded by (model, context).
+* A document of a language without a model in the other fold is scored by that fold's model of all languages.
 * A document's perplexity is that of its bytes. Those above the quantile of trusted documents of their language and length band (powers of
   two of bytes) are rejected. A group of few trusted documents is filled up by those of the band in all languages, and these by all.
 
@@ -115,6 +116,11 @@ def train(trusted: DataFrame, docs: DataFrame, work: Workspace) -> tuple[DataFra
     every context (part 1); and the names of the models. The models of all languages are trained only where one of ``docs`` needs them."""
     grams = work.table(_needed(trusted).mapInArrow(_count, "m string, g long, c long").groupBy("m", "g").agg(F.sum("c").alias("c")), f"counts-{ORDER}")
     known = {r["m"] for r in grams.select("m").distinct().collect()}  # two rows a language
+    langs = {r["lang"] or "" for r in docs.select("lang").distinct().collect()}
+    if any(f"{fold}|{lang}" not in known for fold in (0, 1) for lang in langs):
+        pooled = grams.groupBy(F.substring_index("m", "|", 1).alias("m"), "g").agg(F.sum("c").alias("c"))
+        known |= {m.split("|", 1)[0] for m in known}
+        grams = work.table(grams.unionByName(pooled), f"counts-{ORDER}-pooled")
     models = len(known)
     tables = []
     for n in range(ORDER, 0, -1):
@@ -186,6 +192,8 @@ class Model:
         names, which = np.unique(models, return_inverse=True)
         for i, m in enumerate(names.tolist()):
             mine = which[row] == i
+            if (m, ORDER, 0) not in self.tables:
+                m = m.split("|", 1)[0]
             if (m, ORDER, 0) not in self.tables:
                 continue
             both = np.sort((key[mine] << np.uint64(24)) | row[mine].astype(np.uint64))
