@@ -224,3 +224,19 @@ def test_feature_config():
     assert feature_names(c)[:2] == ["ret_1", "ret_2"] and len(set(feature_names(c))) == len(feature_names(c))
     with pytest.raises(ValueError):
         FeatureConfig.load({"typo": 1})
+
+
+def test_whole_queries_leave_no_row_out(spark):
+    from tidemark import registry
+
+    path = "/root/testdata/sf0.001"
+    rows = {t: spark.read.parquet(f"{path}/{t}.parquet").count() for t in ("events", "orders", "lineitem")}
+    wanted = dict.fromkeys(("half_open_news", "gkg_tone", "event_timing", "event_change", "coerce_schema"), rows["events"]) | {"json_zip": rows["lineitem"], "market_state": 3 * rows["orders"]}
+    for name, n in wanted.items():
+        assert registry.QUERIES[f"{name}_whole"](spark, path).count() == n, name
+    assert registry.QUERIES["news_coverage_whole"](spark, path).first()["rows"] == rows["events"]
+    assert registry.QUERIES["labels_with_features_whole"](spark, path).count() == registry.QUERIES["triple_barrier"](spark, path).count() > 0
+    news = {r["doc_id"]: r["doc_id"] * 7 % 20000 for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id").collect()}
+    at = [r["m"] for r in spark.read.parquet(f"{path}/events.parquet").selectExpr("unix_micros(cast(ts as timestamp)) / 6e7 - unix_micros(timestamp '2024-01-01') / 6e7 as m").collect()]
+    used = {d for d, m in news.items() if any(0 <= x - m < 15 for x in at)}
+    assert {r["doc_id"] for r in registry.QUERIES["news_events_used_whole"](spark, path).collect()} == used

@@ -46,11 +46,16 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.lower("source"), "doc_id", F.lit(""), "text", "lang").alias("content_hash"))
 
 
+def _some(df: DataFrame, subset: str, whole: bool) -> DataFrame:
+    """The rows that a registered SQL covers, or all of them (``whole_queries``)."""
+    return df if whole else df.where(subset)
+
+
 TARGETS_SQL = "tg as (select event_id as id, ts from events where event_id % 5 = 0)"
 
 
-def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+def _targets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _some(table(spark, sf_dir, "events"), "event_id % 5 = 0", whole).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def _window_sql(m: int, lag: int = 0) -> str:
@@ -62,24 +67,24 @@ def _window_sql(m: int, lag: int = 0) -> str:
 
 @add(f"""with {NEWS_SQL}, {TARGETS_SQL}, {_window_sql(60)}, {_window_sql(1440)} select tg.id, w60.n::bigint as n_60, (w60.n > 0)::int as any_60, round(w60.mean, 6) as mean_60, round(w60.mx, 6) as max_abs_60, round((epoch_us(tg.ts) - w60.latest) / 60000000.0, 6) as age_60, w60.nd::bigint as n_degraded_60,
   w1440.n::bigint as n_1440, round(w1440.total, 6) as sum_1440, round(w1440.pos, 6) as pos_1440 from tg join w60 on tg.id = w60.id join w1440 on tg.id = w1440.id""")
-def half_open_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir), [60, 1440])
+def half_open_news(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    f = N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir, whole), [60, 1440])
     return f.select("id", "n_60", "any_60", "mean_60", "max_abs_60", "age_60", "n_degraded_60", "n_1440", "sum_1440", "pos_1440")
 
 
 @add(f"with {NEWS_SQL}, {TARGETS_SQL}, {_window_sql(1440, 15)} select tg.id, w1440.n::bigint as n_1440, round(w1440.mean, 6) as mean_1440, round(w1440.sd, 6) as std_1440 from tg join w1440 on tg.id = w1440.id")
-def gkg_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir), [1440], lag_minutes=15).select("id", "n_1440", "mean_1440", "std_1440")
+def gkg_tone(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir, whole), [1440], lag_minutes=15).select("id", "n_1440", "mean_1440", "std_1440")
 
 
 @add(f"with {NEWS_SQL}, {TARGETS_SQL}, {_window_sql(60)}, {_window_sql(240)} select (select count(*) from tg)::bigint as rows, (select sum((n > 0)::int) from w60)::bigint as any_60, (select sum((n > 0)::int) from w240)::bigint as any_240")
-def news_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.coverage(N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir), [60, 240]), [60, 240])
+def news_coverage(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return N.coverage(N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir, whole), [60, 240]), [60, 240])
 
 
 @add(f"with {NEWS_SQL}, {TARGETS_SQL} select doc_id from news where exists (select 1 from tg where observed_at <= tg.ts and observed_at > tg.ts - interval 15 minute)")
-def news_events_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.events_used(news(spark, sf_dir), _targets(spark, sf_dir), 15 * 60_000_000, "observed_at", "ts").select("doc_id")
+def news_events_used(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return N.events_used(news(spark, sf_dir), _targets(spark, sf_dir, whole), 15 * 60_000_000, "observed_at", "ts").select("doc_id")
 
 
 @add(f"with {NEWS_SQL} select doc_id from news where observed_at <= timestamp '2024-01-08' and not degraded")
@@ -118,8 +123,8 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("select o_orderkey as id, l_linenumber as pos, l_partkey as part, l_suppkey as supplier from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 10 = 0")
-def json_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+def json_zip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    li = _some(table(spark, sf_dir, "lineitem"), "l_orderkey % 10 = 0", whole)
     arrays = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("a")).select("l_orderkey", *[F.col("a")[c].alias(n) for c, n in (("l_linenumber", "pos"), ("l_partkey", "part"), ("l_suppkey", "supplier"))])
     arrays = table(spark, sf_dir, "orders").select("o_orderkey").join(arrays, F.col("o_orderkey") == F.col("l_orderkey"))
     return arrays.select(F.col("o_orderkey").alias("id"), F.explode(F.arrays_zip("pos", "part", "supplier")).alias("z")).select("id", "z.*")
@@ -144,16 +149,16 @@ RELEASE_SQL = "rel as (select event_id, ts as event_time, value as actual from e
 @add(f"""with {RELEASE_SQL}, {TARGETS_SQL}, p as (select tg.id, tg.ts, r.event_time as prev_e from tg asof left join rel r on tg.ts >= r.event_time), x as (select tg.id, r.event_time as next_e from tg asof left join rel r on tg.ts < r.event_time)
 select p.id, round((epoch_us(p.ts) - epoch_us(prev_e)) / 60000000.0, 6) as mins_since, round((epoch_us(next_e) - epoch_us(p.ts)) / 60000000.0, 6) as mins_to,
   coalesce(epoch_us(p.ts) - epoch_us(prev_e) <= 7200000000, false) or coalesce(epoch_us(next_e) - epoch_us(p.ts) <= 7200000000, false) as blackout from p join x on p.id = x.id""")
-def event_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_timing(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     rel = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("event_time"))
-    return M.event_timing(_targets(spark, sf_dir), rel).select("id", "mins_since", "mins_to", "blackout")
+    return M.event_timing(_targets(spark, sf_dir, whole), rel).select("id", "mins_since", "mins_to", "blackout")
 
 
 @add(f"""with {RELEASE_SQL}, {TARGETS_SQL}, c as (select *, actual - lag(actual) over (order by event_time, event_id) as change from rel), d as (select *, avg(change) over (order by event_time, event_id rows between 2 preceding and current row) as tendency from c)
 select tg.id, round(d.change, 6) as change, round(d.tendency, 6) as tendency from tg asof left join d on tg.ts >= d.event_time""")
-def event_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_change(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     rel = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("actual"))
-    return M.event_change(_targets(spark, sf_dir), rel).select("id", "change", "tendency")
+    return M.event_change(_targets(spark, sf_dir, whole), rel).select("id", "change", "tendency")
 
 
 @add("""with s as (select l_returnflag as series_id, l_shipdate + interval 86399 second as observed_at, avg(l_extendedprice) as value from lineitem group by 1, 2),
@@ -161,10 +166,10 @@ z as (select *, value - lag(value, 1) over w as chg_1, value - lag(value, 5) ove
   from s window w as (partition by series_id order by observed_at), f as (partition by series_id order by observed_at rows between 59 preceding and current row)),
 o as (select o_orderkey as id, o_orderdate as ts, f.series_id from orders, (values ('A'), ('N'), ('R')) f(series_id) where o_orderkey % 20 = 0)
 select o.id, o.series_id, round(z.value, 6) as value, round(z.chg_1, 6) as chg_1, round(z.chg_5, 6) as chg_5, round(z.z, 6) as z from o asof left join z on o.series_id = z.series_id and o.ts >= z.observed_at""")
-def market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_state(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").alias("d")).agg(F.avg("l_extendedprice").alias("value"))
     s = li.withColumn("observed_at", F.col("d").cast("timestamp") + F.expr("interval 86399 seconds")).drop("d")
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("series_id"))
+    o = _some(table(spark, sf_dir, "orders"), "o_orderkey % 20 = 0", whole).select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("series_id"))
     return M.market_state(o, s, (1, 5)).select("id", "series_id", "value", "chg_1", "chg_5", "z")
 
 
@@ -214,8 +219,8 @@ def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("select event_id::varchar as symbol, try_cast(case when event_id % 4 = 0 then 'x' else '1.5' end as double) as close, 1 as schema_version from events where event_id < 100")
-def coerce_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 100").select(F.col("ts").alias("ts_event"), F.col("ts").alias("ts_ingest"), F.col("event_id").alias("symbol"), F.when(F.col("event_id") % 4 == 0, "x").otherwise("1.5").alias("close"))
+def coerce_schema(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    e = _some(table(spark, sf_dir, "events"), "event_id < 100", whole).select(F.col("ts").alias("ts_event"), F.col("ts").alias("ts_ingest"), F.col("event_id").alias("symbol"), F.when(F.col("event_id") % 4 == 0, "x").otherwise("1.5").alias("close"))
     return coerce(e, "bars_1m").select("symbol", "close", "schema_version")
 
 

@@ -1,0 +1,42 @@
+"""Queries over whole tables whose namesakes, and their SQL, cover a subset of ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import asof as A
+from . import news_queries as N
+from .domain import Catalogue
+from .research_queries import LABELS_SQL, _labels, _positions
+
+catalogue = Catalogue()
+SUBSETS = {
+    **dict.fromkeys((N.half_open_news, N.gkg_tone, N.news_coverage, N.news_events_used, N.event_timing, N.event_change), " where event_id % 5 = 0"),
+    N.json_zip: " where o_orderkey % 10 = 0",
+    N.market_state: " where o_orderkey % 20 = 0",
+    N.coerce_schema: " where event_id < 100",
+}
+
+
+def _register(query, subset: str) -> None:
+    sql = N.catalogue.sql[query.__name__]
+    if subset not in sql:
+        raise ValueError(f"{query.__name__} has no such filter")
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir, whole=True)
+
+    whole.__name__ = f"{query.__name__}_whole"
+    catalogue.add(sql.replace(subset, ""))(whole)
+
+
+for _query, _subset in SUBSETS.items():
+    _register(_query, _subset)
+
+
+@catalogue.add(f"{LABELS_SQL} select lab.symbol, lab.pos0::bigint as pos0, round(pb.close, 6) as f_close, round(pb.sigma, 6) as f_sigma from lab asof left join pb on lab.symbol = pb.symbol and lab.t0 >= pb.ts")
+def labels_with_features_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label row with the features as of its start."""
+    lab = _labels(spark, sf_dir).select("symbol", "pos0", "t0")
+    j = A.asof_join(lab, _positions(spark, sf_dir).select("symbol", "ts", "close", "sigma"), on="t0", right_on="ts", by=["symbol"], take=["close", "sigma"], prefix="f_", bucket_us=7 * A.DAY_US)
+    return j.selectExpr("symbol", "cast(pos0 as long) as pos0", "f_close", "f_sigma")

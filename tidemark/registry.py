@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import market_queries, model_queries, news_queries, research_queries
+from .plans import market_queries, model_queries, news_queries, research_queries, whole_queries
 
-CATALOGUES = (market_queries.catalogue, research_queries.catalogue, news_queries.catalogue, model_queries.catalogue)
+CATALOGUES = (market_queries.catalogue, research_queries.catalogue, news_queries.catalogue, model_queries.catalogue, whole_queries.catalogue)
 QUERIES = {k: f for c in CATALOGUES for k, f in c.queries.items()}
 ORACLE_SQL = {k: s for c in CATALOGUES for k, s in c.sql.items()}
 FLAGSHIP = QUERIES["bollinger_zscore"]
