@@ -489,6 +489,17 @@ def test_leaks(spark, docs):
     assert Items([], [], 0.8, 8).matches(pa.array(["a b c"])) == []
 
 
+def test_short_items_are_found_word_for_word(spark):
+    from tidemark.llm.leaks import drop_leaks, find_leaks
+
+    bench = spark.createDataFrame([(1, "Who wrote it?"), (2, "yes"), (3, " ?"), (4, None), (5, "who wrote it"), (6, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    texts = ["Tell me: who WROTE\nit, and who wrote it again.", "who it wrote", "Oh yes", "yesterday", "who wrote", "", None, "so one two three four five six seven eight nine ten"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [tuple(r) for r in find_leaks(docs, bench).collect()]
+    expect(found, [(0, 1, 2, 5, 3, 0), (0, 5, 2, 5, 3, 0), (2, 2, 1, 2, 1, 0), (7, 6, 1, 11, 10, 0)])
+    expect([(r["doc_id"],) for r in drop_leaks(docs, bench).collect()], [(1,), (3,), (4,), (5,), (6,)])
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------------------------------
 
 

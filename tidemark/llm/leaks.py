@@ -6,7 +6,7 @@ Sampling some of the written positions gives an LSH key; ``REPEATS`` walks and s
 
 Windows go by item size: an item of n words is indexed by all its windows of W words, W being 8 for 16 words or more and 4 below, and the
 corpus is read at windows of W words every W / 4 words, so each leaked passage holds several and one hit is enough. Hits are settled
-by Myers' bit-parallel edit distance between the whole item and the words around the hit.
+by Myers' bit-parallel edit distance between the whole item and the words around the hit. Short items are found word for word only.
 """
 
 from __future__ import annotations
@@ -74,6 +74,14 @@ def window_keys(words: np.ndarray, start: np.ndarray, width: int, repeat: int) -
     return out
 
 
+def run_keys(words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words at ``start``."""
+    key = np.zeros(len(start), np.uint64)
+    for j in range(n):
+        key = mix64(key ^ words[start + j]) + np.uint64(j + 1)
+    return key
+
+
 def edit_distance(peq: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
     """Least edit distance of a pattern of n words to any run of ``text``, and where that run ends (Myers 1999, over words)."""
     full, high = (1 << n) - 1, 1 << (n - 1)
@@ -92,13 +100,13 @@ def edit_distance(peq: dict[int, int], n: int, text: list[int]) -> tuple[int, in
 
 
 class Items:
-    """An index of benchmark items: LSH keys of all their windows."""
+    """An index of benchmark items: LSH keys of all their windows; of items under ``min_words`` words a hash of all words in order."""
 
     def __init__(self, ids: list[int], texts_: list[str], similarity: float, min_words: int):
         words, at = word_hashes(pa.array(texts_, pa.string()))
         self.ids, self.words, self.items, self.similarity = [], [], [], similarity
         for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            if b - a >= min_words:
+            if b > a:
                 self.ids.append(ids[i])
                 self.words.append(words[a:b])
                 peq: dict[int, int] = {}
@@ -106,8 +114,14 @@ class Items:
                     peq[w] = peq.get(w, 0) | 1 << k
                 self.items.append(peq)
         self.index = {}
-        for width in sorted({window_of(len(w)) for w in self.words}):
-            own = [(k, o) for k, w in enumerate(self.words) if window_of(len(w)) == width for o in range(len(w) - width + 1)]
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(w) for w in self.words if len(w) < min_words}):
+            item = np.array([k for k, w in enumerate(self.words) if len(w) == n])
+            keys = run_keys(np.concatenate([self.words[k] for k in item]), np.arange(len(item)) * n, n)
+            order = np.argsort(keys)
+            self.short[n] = keys[order], item[order]
+        for width in sorted({window_of(len(w)) for w in self.words if len(w) >= min_words}):
+            own = [(k, o) for k, w in enumerate(self.words) if len(w) >= min_words and window_of(len(w)) == width for o in range(len(w) - width + 1)]
             item, offset = np.array([k for k, _ in own]), np.array([o for _, o in own])
             base = np.cumsum([0, *map(len, self.words)])
             start = base[item] + offset
@@ -121,6 +135,24 @@ class Items:
                 tables.append((keys[order], item[order], offset[order], bitmap))
             self.index[width] = tables
 
+    def verbatim(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """``matches`` of the short items: the first place of each in each text."""
+        found = []
+        for n, (keys, item) in self.short.items():
+            runs = np.maximum(0, np.diff(at) - n + 1)
+            doc = np.repeat(np.arange(len(runs)), runs)
+            start = at[doc] + np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+            key = run_keys(words, start, n)
+            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            seen = set()
+            for i in np.flatnonzero(hi > lo).tolist():
+                for k in item[lo[i] : hi[i]].tolist():
+                    if (doc[i], k) not in seen and (self.words[k] == words[start[i] : start[i] + n]).all():
+                        seen.add((doc[i], k))
+                        first = int(start[i] - at[doc[i]])
+                        found.append((int(doc[i]), k, first, first + n, 0))
+        return found
+
     def matches(self, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, end word, edit distance) of every item found in each text, the best place of each."""
         words, at = word_hashes(column)
@@ -138,10 +170,10 @@ class Items:
                 many = hi - lo
                 which = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
                 rows.append(np.stack([np.repeat(doc[hit], many), item[which], np.repeat(start[hit], many) - offset[which]]))
+        found = self.verbatim(words, at)
         if not rows:
-            return []
+            return found
         hits = np.unique(np.concatenate(rows, axis=1), axis=1)  # (row, item, place where the item would start), sorted
-        found = []
         i, total = 0, hits.shape[1]
         doc_, item_, place_ = (x.tolist() for x in hits)
         while i < total:
@@ -183,8 +215,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, m
     """``doc_id, item_id, first_word, end_word, item_words, distance``: every item found in every row of ``docs(doc_id, text)``.
 
     An item of n words is found where some run of the document's words lies within (1 - similarity) * n word edits of it. Words are runs
-    of letters and digits in lower case, so punctuation, case and line breaks don't matter. Items under ``min_words`` words cannot be told
-    from chance and match nothing; null texts are empty; repeated rows and items are reported each; whole texts are read. The benchmark
+    of letters and digits in lower case, so punctuation, case and line breaks don't matter. Items under ``min_words`` words are found
+    where all their words stand in order, without edits; items without words match nothing; null texts are empty; repeated rows and items are reported each; whole texts are read. The benchmark
     is indexed in blocks of ``block_chars`` characters, one pass over the corpus a block. Other columns are ignored.
     """
     spark = docs.sparkSession
