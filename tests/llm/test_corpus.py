@@ -533,12 +533,12 @@ def kneser_ney(train, n=5):
                 q = (max(c - d(c), 0) if c else 0) / sum(follow) + sum(map(d, follow)) / sum(follow) * q
         return q
 
-    return lambda t: -sum(np.log2(p((bytes(n - 1) + t)[i : i + n])) for i in range(len(t))) / len(t)
+    return lambda t: [-np.log2(p((bytes(n - 1) + t)[i : i + n])) for i in range(len(t))]
 
 
 def test_perplexity(spark, docs, data):
     from tidemark.llm.common import mix64
-    from tidemark.llm.perplexity import Judge, quality_report
+    from tidemark.llm.perplexity import PASSAGE, keep_good, quality_report
 
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40)] + [(2, 0, 0), (94, 0, 1), (95, None, None)], "doc_id long, quality int, toxic int")
     small = docs.where("doc_id < 94 or doc_id is null")
@@ -554,19 +554,52 @@ def test_perplexity(spark, docs, data):
         if m not in models:
             own = [x[1].encode() for x in data if x[0] in trusted and fold(x[0]) == m[0] and (x[2] or "") == m[1] and x[1]]
             models[m] = kneser_ney(own) if own else None
-        wanted.append((d, lang, 2 ** models[m](t.encode()) if t and models[m] else None))
-    got = [(r["doc_id"], r["lang"], r["perplexity"]) for r in found]
+        bits = models[m](t.encode()) if t and models[m] else None
+        worst = bits and max(sum(bits[i : i + PASSAGE]) for i in range(max(1, len(bits) - PASSAGE + 1))) / PASSAGE
+        wanted.append((d, lang, 2 ** np.mean(bits) if bits else None, 2**worst if bits else None))
+    got = [(r["doc_id"], r["lang"], r["perplexity"], r["worst"]) for r in found]
     for a, b in zip(sorted(got, key=key), sorted(wanted, key=key)):
-        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-6 * b[2]), (a, b)
-    assert all(r["keep"] == (r["threshold"] is None or r["perplexity"] is None or r["perplexity"] <= r["threshold"]) for r in found)
-    again = quality_report(small, labels, quantile=0.9, broadcast_rows=0).collect()
-    close = lambda rs: sorted(((r["doc_id"], r["lang"], r["keep"], round(r["perplexity"] or 0, 6)) for r in rs), key=key)
-    assert close(found) == close(again)
-    for j in (Judge(small, labels, 0.9), Judge(small, labels, 0.9, broadcast_rows=0)):
-        kept = j.keep(small)
-        assert kept.columns == small.columns and kept.count() == sum(r["keep"] for r in found)
+        assert a[:2] == b[:2] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-5 * y) for x, y in zip(a[2:], b[2:])), (a, b)
+    assert all(r["keep"] == (r["threshold"] is None or r["perplexity"] is None or (r["perplexity"] <= r["threshold"] and r["worst"] <= r["worst_threshold"])) for r in found)
+    assert not all(r["keep"] for r in found)
+    kept = keep_good(small, labels, 0.9)
+    assert kept.columns == small.columns and sets(kept.select("doc_id")) == sorted(((r["doc_id"],) for r in found if r["keep"]), key=key)
     assert quality_report(small, labels.limit(0)).where("keep").count() == small.count()
     assert quality_report(small.limit(0), labels).collect() == []
+    assert keep_good(small.limit(0), labels).collect() == []
+
+
+def test_long_texts_are_read_in_slices(spark, monkeypatch):
+    """Texts over several slices and blocks of n-grams get the bits they get whole."""
+    from tidemark.llm import perplexity
+    from tidemark.llm.common import utf8_parts
+
+    rng = np.random.default_rng(3)
+    texts = ["", *("".join(rng.choice(list("abcdé \n"), n)) for n in (1, 3, 50, 700)), ""]
+    data, offsets = utf8_parts(pa.array(texts))
+    whole = perplexity.ngram_keys(data, offsets, 0, len(data))
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(perplexity, "SLICE", size)
+        parts = [perplexity.ngram_keys(data, offsets, lo, hi) for lo, hi in perplexity.slices(len(data))]
+        for k in range(3):
+            assert (np.concatenate([p[k] for p in parts]) == whole[k]).all()
+    for i, t in enumerate(texts):
+        raw = bytes(4) + t.encode()
+        assert [int.from_bytes(raw[j : j + 5], "big") for j in range(len(raw) - 4)] == whole[0][whole[1] == i].tolist()
+    g = np.unique(rng.integers(0, 1 << 40, 1000, dtype=np.uint64))
+    assert (perplexity.unpack(perplexity.pack(g), len(g)) == g).all()
+
+
+def test_shards_do_not_change_scores(spark, docs, monkeypatch):
+    from tidemark.llm import perplexity
+
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    small = docs.where("doc_id < 94")
+    close = lambda df: sorted(((r["doc_id"], r["keep"], round(r["perplexity"] or 0, 4), round(r["worst"] or 0, 3)) for r in df.collect()), key=key)
+    one = close(perplexity.quality_report(small, labels, 0.9))
+    monkeypatch.setattr(perplexity, "SHARD_GRAMS", 100)
+    monkeypatch.setattr(perplexity, "MAX_BROADCAST_IDS", 0)
+    assert close(perplexity.quality_report(small, labels, 0.9)) == one
 
 
 def test_length_bands_judge_long_documents_by_long_ones(spark):
@@ -578,12 +611,11 @@ def test_length_bands_judge_long_documents_by_long_ones(spark):
     kind = F.expr("case when quality = 0 then 'junk' when toxic = 1 then 'toxic' else 'clean' end")
     r = quality_report(docs, labels).join(labels, "doc_id").groupBy(kind.alias("kind")).agg(F.avg((~F.col("keep")).cast("int")).alias("gone"))
     gone = {x["kind"]: x["gone"] for x in r.collect()}
-    assert gone["junk"] >= 0.92 and gone["toxic"] >= 0.2 and gone["clean"] <= 0.015
+    assert gone["junk"] >= 0.92 and gone["toxic"] >= 0.6 and gone["clean"] <= 0.02  # a few per cent of the labels are wrong
 
 
-@pytest.mark.parametrize("broadcast_rows", [4_000_000, 0])
-def test_rare_languages_are_judged(spark, broadcast_rows):
-    from tidemark.llm.perplexity import Judge
+def test_rare_languages_are_judged(spark):
+    from tidemark.llm.perplexity import keep_good, quality_report
 
     rng = np.random.default_rng(4)
     vocab = ["".join(rng.choice(list("aeinrst"), 5)) for _ in range(60)]
@@ -593,9 +625,8 @@ def test_rare_languages_are_judged(spark, broadcast_rows):
     rows += [(400 + i, noise(), lang) for i, lang in enumerate(["de", "xx", None] * 4)] + [(500, prose(), "xx"), (501, prose(), "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i < 304], "doc_id long, quality int, toxic int")
-    j = Judge(docs, labels, broadcast_rows=broadcast_rows)
-    kept = {r["doc_id"] for r in j.keep(docs).collect()}
-    report = j.report(docs).collect()
+    kept = {r["doc_id"] for r in keep_good(docs, labels).collect()}
+    report = quality_report(docs, labels).collect()
     assert kept == {r["doc_id"] for r in report if r["keep"]}
     assert all(r["threshold"] is not None and r["perplexity"] is not None for r in report)
     assert not kept & set(range(400, 412)) and {500, 501} <= kept

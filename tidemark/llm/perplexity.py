@@ -4,61 +4,83 @@
   is scored by the model of the fold it does not belong to, so trusted documents are held out from their own scores and the
   thresholds fit unseen text.
 * Counts of the highest order are sums; a lower order counts the distinct n-grams that continue to the left. Discounts come from counts
-  of counts of each order and model. Counts meet the totals of their contexts in joins sharded by (model, context).
+  of counts of each order and model.
 * A document of a language without a model in the other fold is scored by that fold's model of all languages.
-* A document's perplexity is that of its bytes. Those above the quantile of trusted documents of their language and length band (powers of
-  two of bytes) are rejected. A group of few trusted documents is filled up by those of the band in all languages, and these by all.
-
-Tables of at most ``MAX_BROADCAST_ROWS`` rows go to the workers whole; larger ones meet the documents' n-grams in joins sharded by
-(model, n-gram), with the same scores.
+* A document has two perplexities: that of all its bytes, and that of its least likely passage of ``PASSAGE`` bytes (about a word), which
+  a few foreign words in usual prose raise. It is rejected if one of them is above the quantile of trusted documents of its language
+  and length band (powers of two of bytes); a group of few trusted documents takes the quantile of its language, then of the band in all
+  languages, then of all.
+
+Counts and questions meet in joins sharded by (model, context). The shard of an n-gram is a hash of its model and of the two bytes before
+its last one, so all orders from 3 up of an n-gram and their contexts lie in one shard; orders 1 and 2 (65,536 n-grams a model at most)
+are fitted a model a task and go to each shard. Documents are packed into blocks of bounded size. A block asks each shard once for each
+distinct n-gram of its texts, and the answers come back to the block. Nothing but thresholds and model names reaches the driver, and
+nothing is broadcast but the ids of trusted documents, up to ``MAX_BROADCAST_IDS``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, byte_slices, mix64, partitions, utf8_parts
 
 ORDER = 5
-MAX_BROADCAST_ROWS = 4_000_000
+PASSAGE = 6
 MAX_BROADCAST_IDS = 2_000_000
-MAX_BROADCAST_MODELS = 10_000
-GRAIN = 1000
 LENGTH_BANDS = 32
+GRAIN = 1000  # thresholds are in thousandths of a bit
 SLICE = 1 << 20  # bytes of text worked on at once: about 90 bytes of arrays each
+BLOCK = 12 << 20  # bytes of text of a block; a longer text is a block of its own
+SHARD_GRAMS = 100_000
 
 
-def ngram_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of a string column: its n-gram of ``ORDER`` bytes as an integer (zeros before the text), and its row."""
-    data, offsets = utf8_parts(column)
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    at = np.arange(len(data)) + (row + 1) * (ORDER - 1)
-    padded = np.zeros(len(data) + n * (ORDER - 1) + 1, np.uint64)
-    padded[at] = data
-    key = np.zeros(len(data), np.uint64)
+def ngram_keys(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the bytes from ``lo`` to ``hi`` of joined texts: the n-gram of ``ORDER`` bytes that ends there (zeros before a text), its text, its place there."""
+    first, last = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
+    row = np.repeat(np.arange(first, last), np.diff(np.clip(offsets[first : last + 1], lo, hi)))
+    into = np.arange(lo, hi) - offsets[row]
+    key = np.zeros(hi - lo, np.uint64)
     for back in range(ORDER - 1, -1, -1):
-        key = (key << np.uint64(8)) | padded[at - back]
-    return key, row
+        own = data[max(lo - back, 0) : max(hi - back, 0)]
+        own = np.concatenate([np.zeros(hi - lo - len(own), np.uint8), own]) if len(own) < hi - lo else own
+        key = (key << np.uint64(8)) | np.where(into >= back, own, 0).astype(np.uint64)
+    return key, row, into
+
+
+def slices(size: int) -> Iterator[tuple[int, int]]:
+    return ((lo, min(lo + SLICE, size)) for lo in range(0, size, SLICE))
+
+
+def lower(grams: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` bytes of each n-gram."""
+    return grams & np.uint64((1 << (8 * order)) - 1)
+
 
+def shard_of(grams: np.ndarray, model: str, shards: int) -> np.ndarray:
+    return (((grams >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(2654435761) + np.uint64(zlib.crc32(model.encode()))) % np.uint64(shards)
 
-def model_of(ids: pa.Array, langs: pa.Array, own: bool) -> np.ndarray:
+
+def shard_column(shards: int) -> Column:
+    """``shard_of`` of the columns g and m."""
+    return F.pmod(F.shiftrightunsigned("g", 8).bitwiseAND(0xFFFF) * F.lit(2654435761) + F.crc32(F.col("m").cast("binary")), F.lit(shards)).cast("int")
+
+
+def model_of(ids: pa.Array, langs: pa.Array, own: bool) -> list[str]:
     """'fold|language' of each row: the model that it trains (own fold) or that scores it (the other fold). Null languages are ''."""
     number = np.asarray(ids.cast(pa.int64()).fill_null(0)).view(np.uint64)
     fold = (mix64(number) & np.uint64(1)).astype(np.int64)
-    if not own:
-        fold = 1 - fold
-    return np.char.add(np.char.add(fold.astype(str), "|"), np.array([x or "" for x in langs.to_pylist()], dtype=str)) if len(fold) else np.zeros(0, str)
+    return [f"{f}|{x or ''}" for f, x in zip((fold if own else 1 - fold).tolist(), langs.to_pylist(), strict=True)]
 
 
-def settled(models: np.ndarray, known: frozenset[str]) -> np.ndarray:
+def settled(models: list[str], known: frozenset[str]) -> list[str]:
     """The models that score: 'fold', the model of all languages, where 'fold|language' was not trained."""
-    return np.array([m if m in known else m.split("|", 1)[0] for m in models.tolist()], dtype=str)
+    return [m if m in known else m.split("|", 1)[0] for m in models]
 
 
 def length_bands(n_bytes: np.ndarray) -> np.ndarray:
@@ -66,280 +88,409 @@ def length_bands(n_bytes: np.ndarray) -> np.ndarray:
 
 
 def length_band(n_bytes: str) -> Column:
-    """``length_bands`` of a positive long column: the length of its binary digits."""
-    return F.least(F.length(F.bin(n_bytes)), F.lit(LENGTH_BANDS - 1))
+    """``length_bands`` of a long column: the length of its binary digits."""
+    return F.when(F.col(n_bytes) > 0, F.least(F.length(F.bin(n_bytes)), F.lit(LENGTH_BANDS - 1))).otherwise(0)
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of rows alike in ``by``, across batches."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = np.stack([np.asarray(batch.column(c).dictionary_encode("encode").indices) for c in by])
+        cuts = np.flatnonzero(np.append(True, (codes[:, 1:] != codes[:, :-1]).any(axis=0)))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
+            here = tuple(batch.column(c)[a].as_py() for c in by)
+            if held and here != now:
+                yield now, held
+                held = []
+            now = here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, held
+
+
+def pack(grams: np.ndarray) -> bytes:
+    """Ascending n-grams, as compressed differences."""
+    return pa.compress(np.ascontiguousarray(np.diff(grams, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(packed, n * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+# --- counts ----------------------------------------------------------------------------------------------------------------------------------
+
 
+class Distinct:
+    """Distinct n-grams and their counts by model, of slices of text."""
 
-def filled(own: np.ndarray, parent: np.ndarray, least: float) -> np.ndarray:
-    """Histogram ``own``, brought up to ``least`` documents by shares of ``parent``."""
-    lack = least - own.sum()
-    return own if lack <= 0 or not parent.any() else own + parent * (lack / parent.sum())
+    def __init__(self):
+        self.held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def add(self, column: pa.Array, models: list[str]) -> None:
+        data, offsets = utf8_parts(column)
+        names, which = np.unique(np.array(models, dtype=object), return_inverse=True) if models else ((), np.zeros(0, np.int64))
+        for lo, hi in slices(len(data)):
+            key, row, _ = ngram_keys(data, offsets, lo, hi)
+            of = which[row]
+            for i in np.unique(of).tolist():
+                found = np.unique(key[of == i] if len(names) > 1 else key, return_counts=True)
+                self.held.setdefault(names[i], []).append(found)
+                self.size += len(found[0])
+
+    def pop(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        for m, parts in self.held.items():
+            g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            yield m, g, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        self.held, self.size = {}, 0
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    grams = Distinct()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for m, (g, c) in held.items():
+        for m, g, c in grams.pop():
             yield pa.RecordBatch.from_arrays([pa.array([m]).take(pa.array(np.zeros(len(g), np.int32))), pa.array(g.view(np.int64)), pa.array(c)], ["m", "g", "c"])
-        held.clear()
 
     for batch in batches:
         models = model_of(batch.column("doc_id"), batch.column("lang"), own=True)
-        for lo, hi in byte_slices(batch, "text", SLICE):
-            key, row = ngram_keys(batch.column("text").slice(lo, hi - lo))
-            names, which = np.unique(models[lo:hi], return_inverse=True)
-            for i, m in enumerate(names.tolist()):
-                g, c = np.unique(key[which[row] == i], return_counts=True)
-                if m in held:
-                    g, at = np.unique(np.append(held[m][0], g), return_inverse=True)
-                    c = np.bincount(at, np.append(held[m][1], c)).astype(np.int64)
-                held[m] = g, c
-            if sum(len(g) for g, _ in held.values()) > 2_000_000:
+        for lo, hi in byte_slices(batch, "text", BLOCK):
+            grams.add(batch.column("text").slice(lo, hi - lo), models[lo:hi])
+            if grams.size > 4_000_000:
                 yield from flush()
     yield from flush()
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` labelled quality 1 and toxic 0 (of several labels, the worst counts)."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select("doc_id")
-    small = good.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(good) if small else good.hint("shuffle_hash"), "doc_id", "left_semi")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """``doc_id`` of documents labelled quality 1 and toxic 0 (of several labels, the worst counts)."""
+    worst = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    return worst.where("q = 1 and t = 0 and doc_id is not null").select("doc_id")
 
 
 def _needed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def train(trusted: DataFrame, docs: DataFrame, work: Workspace) -> tuple[DataFrame, frozenset[str]]:
-    """``m, n, part, key, value``: for each order n, the discounted share of every n-gram (part 0) and the weight left to lower orders of
-    every context (part 1); and the names of the models. The models of all languages are trained only where one of ``docs`` needs them."""
-    grams = work.table(_needed(trusted).mapInArrow(_count, "m string, g long, c long").groupBy("m", "g").agg(F.sum("c").alias("c")), f"counts-{ORDER}")
-    known = {r["m"] for r in grams.select("m").distinct().collect()}  # two rows a language
-    langs = {r["lang"] or "" for r in docs.select("lang").distinct().collect()}
-    if any(f"{fold}|{lang}" not in known for fold in (0, 1) for lang in langs):
-        pooled = grams.groupBy(F.substring_index("m", "|", 1).alias("m"), "g").agg(F.sum("c").alias("c"))
-        known |= {m.split("|", 1)[0] for m in known}
-        grams = work.table(grams.unionByName(pooled), f"counts-{ORDER}-pooled")
-    models = len(known)
-    tables = []
-    for n in range(ORDER, 0, -1):
-        of = [F.sum(F.when(F.col("c") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.expr("n1 / (n1 + 2 * n2)")
-        formula = [1 - 2 * y * F.expr("n2 / n1"), 2 - 3 * y * F.expr("n3 / n2"), 3 - 4 * y * F.expr("n4 / n3")]
-        full = F.expr("n1 > 0 and n2 > 0 and n3 > 0")
-        discounts = grams.groupBy("m").agg(*of).select("m", *[F.when(full, F.greatest(F.lit(0.1), F.least(F.lit(float(i)), f))).otherwise(F.lit(i / 2)).alias(f"d{i}") for i, f in enumerate(formula, 1)])
-        if models <= MAX_BROADCAST_MODELS:  # a row a model: without it one model's n-grams would meet in one task
-            discounts = F.broadcast(discounts)
-        own = grams.join(discounts, "m").select("m", "g", "c", F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end").alias("d"), F.shiftrightunsigned("g", 8).alias("h"))
-        contexts = own.groupBy("m", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        shares = own.join(contexts, ["m", "h"]).select("m", F.lit(n).alias("n"), F.lit(0).alias("part"), F.col("g").alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("value"))
-        weights = contexts.select("m", F.lit(n).alias("n"), F.lit(1).alias("part"), F.col("h").alias("key"), (F.col("left") / F.col("total")).alias("value"))
-        tables += [shares, weights]
-        if n > 1:
-            grams = work.table(grams.groupBy("m", F.col("g").bitwiseAND((1 << (8 * (n - 1))) - 1).alias("g")).agg(F.count("*").alias("c")), f"counts-{n - 1}")
-    model = tables[0]
-    for t in tables[1:]:
-        model = model.unionByName(t)
-    return work.table(model, "model"), frozenset(known)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (m, n, part, key) as one row of packed arrays a run."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        m = np.asarray(batch.column("m").dictionary_encode().indices)
-        n, part, key, value = (np.asarray(batch.column(c)) for c in ("n", "part", "key", "value"))
-        cut = np.flatnonzero(np.append(True, (np.diff(m) != 0) | (np.diff(n) != 0) | (np.diff(part) != 0)))
-        to = np.append(cut[1:], len(m))
-        at = pa.array(cut)
+COUNTS = "s int, m string, n long, grams binary, counts binary, of_counts array<long>, pairs array<int>, before array<long>"
+
+
+def _shard_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a shard of a model: its n-grams and counts packed, how many n-grams of orders 5, 4 and 3 have count 1 to 4, and for pairs of bytes (order 2) the number of distinct bytes before them."""
+    for (s, m), parts in runs(batches, ("s", "m")):
+        g, c = (np.concatenate([np.asarray(p.column(x)) for p in parts]) for x in ("g", "c"))
+        own, count, of = g.view(np.uint64), c, []
+        for order in range(ORDER, 2, -1):
+            of += [int((count == i).sum()) for i in (1, 2, 3, 4)]
+            own, count = np.unique(lower(own, order - 1), return_counts=True)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("m").take(at), batch.column("n").take(at), batch.column("part").take(at), batch.column("key").take(at), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, to, strict=True)], pa.binary()) for x in (key, value))],
-            ["m", "n", "part", "first", "keys", "values"],
+            [pa.array([s], pa.int32()), pa.array([m]), pa.array([len(g)], pa.int64()), pa.array([pack(g.view(np.uint64))], pa.binary()), pa.array([pa.compress(c.astype(np.int64).tobytes(), codec="zstd", asbytes=True)], pa.binary()), pa.array([of], pa.list_(pa.int64())),
+             pa.array([own.astype(np.int32)], pa.list_(pa.int32())), pa.array([count.astype(np.int64)], pa.list_(pa.int64()))],
+            ["s", "m", "n", "grams", "counts", "of_counts", "pairs", "before"],
         )
 
 
-class Model:
-    """The tables of all models as sorted arrays, from the packed runs of ``_pack``."""
-
-    def __init__(self, blobs: list):
-        parts: dict[tuple[str, int, int], list] = {}
-        for r in blobs:
-            parts.setdefault((r["m"], r["n"], r["part"]), []).append((r["first"], r["keys"], r["values"]))
-        self.tables: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for k, chunks in parts.items():
-            chunks.sort(key=lambda c: c[0])
-            self.tables[k] = np.frombuffer(b"".join(c[1] for c in chunks), np.uint64), np.frombuffer(b"".join(c[2] for c in chunks), np.float64)
-
-    def _look(self, m: str, n: int, part: int, keys: np.ndarray, missing: float) -> np.ndarray:
-        table, value = self.tables[m, n, part]
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, value[at], missing)
-
-    def bits(self, m: str, keys: np.ndarray) -> np.ndarray:
-        """-log2 p of the last byte of each n-gram."""
-        p = np.full(len(keys), 1 / 256)
-        for n in range(1, ORDER + 1):
-            own = keys & np.uint64((1 << (8 * n)) - 1)
-            p = self._look(m, n, 0, own, 0.0) + self._look(m, n, 1, own >> np.uint64(8), 1.0) * p
+# --- the model -------------------------------------------------------------------------------------------------------------------------------
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2 and 3 or more (Chen and Goodman 1998); 0.5, 1 and 1.5 where a count of counts is zero."""
+    if not (n1 and n2 and n3):
+        return np.array([0.0, 0.5, 1.0, 1.5])
+    y = n1 / (n1 + 2 * n2)
+    return np.array([0.0, *(max(0.1, min(float(i), i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
+
+
+def _order(grams: np.ndarray, counts: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one order's n-grams: their discounted shares, their contexts, and the weight each context leaves to lower orders."""
+    off = d[np.minimum(counts, 3)]
+    contexts, at = np.unique(grams >> np.uint64(8), return_inverse=True)
+    total = np.bincount(at, counts)
+    return (counts - off) / total[at], contexts, np.bincount(at, off) / total
+
+
+def _look(table: np.ndarray, value: np.ndarray, keys: np.ndarray, missing: float | np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.broadcast_to(missing, keys.shape)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, value[at], missing)
+
+
+FITTED = "m string, discounts binary, pairs binary, shares binary, left binary, single binary"
+
+
+def _fit_low(pairs: pa.Table, of_counts: pa.Table) -> pa.Table:
+    """One model's orders 1 and 2, from at most 65,536 pairs, and its discounts of orders 5, 4 and 3."""
+    order = np.argsort(np.asarray(pairs.column("pair")))
+    two, c2 = np.asarray(pairs.column("pair"))[order].astype(np.uint64), np.asarray(pairs.column("before"))[order]
+    one, c1 = np.unique(lower(two, 1), return_counts=True)
+    d1, d2 = (discounts(*(float((c == i).sum()) for i in (1, 2, 3, 4))) for c in (c1, c2))
+    share, _, left = _order(one, c1, d1)
+    single = np.full(256, left[0] / 256)
+    single[one.astype(np.int64)] += share
+    share, contexts, weight = _order(two, c2, d2)
+    left = np.ones(256)
+    left[contexts.astype(np.int64)] = weight
+    high = np.concatenate([discounts(*(float(of_counts.column(f"n{order}{i}")[0].as_py()) for i in (1, 2, 3, 4))) for order in range(ORDER, 2, -1)])
+    return pa.table([[of_counts.column("m")[0].as_py()], *([x.tobytes()] for x in (high, two, share, left, single))], schema=pa.schema([("m", pa.string()), *((x, pa.binary()) for x in ("discounts", "pairs", "shares", "left", "single"))]))
+
+
+class Shard:
+    """What one shard of one model knows: the probabilities of its n-grams of all orders."""
+
+    def __init__(self, low: dict, counted: dict | None):
+        f8 = lambda x: np.frombuffer(low[x], np.float64)
+        self.pairs, self.shares, self.left, self.single = np.frombuffer(low["pairs"], np.uint64), f8("shares"), f8("left"), f8("single")
+        self.tables = []
+        if counted is not None:
+            g = unpack(counted["grams"], counted["n"])
+            c = np.frombuffer(pa.decompress(counted["counts"], counted["n"] * 8, codec="zstd", asbytes=True), np.int64)
+            for order, d in zip(range(ORDER, 2, -1), f8("discounts").reshape(-1, 4), strict=True):
+                self.tables.append((order, g, *_order(g, c, d)))
+                g, c = np.unique(lower(g, order - 1), return_counts=True)
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """-log2 of the probability of the last byte of each n-gram after the others."""
+        p = self.left[((grams >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)] * self.single[lower(grams, 1).astype(np.int64)]
+        p = p + _look(self.pairs, self.shares, lower(grams, 2), 0.0)
+        for order, g, share, contexts, left in reversed(self.tables):
+            own = lower(grams, order)
+            p = _look(g, share, own, 0.0) + _look(contexts, left, own >> np.uint64(8), 1.0) * p
         return -np.log2(p)
 
-    def mean_bits(self, column: pa.Array, models: np.ndarray) -> np.ndarray:
-        """Bits a byte of each text; NaN for empty texts and without any model."""
-        key, row = ngram_keys(column)
-        total, size = np.full(len(column), np.nan), np.bincount(row, minlength=len(column))
-        names, which = np.unique(models, return_inverse=True)
-        for i, m in enumerate(names.tolist()):
-            mine = which[row] == i
-            if (m, ORDER, 0) not in self.tables:
-                m = m.split("|", 1)[0]
-            if (m, ORDER, 0) not in self.tables:
-                continue
-            both = np.sort((key[mine] << np.uint64(24)) | row[mine].astype(np.uint64))
-            k, doc = both >> np.uint64(24), (both & np.uint64((1 << 24) - 1)).astype(np.int64)
-            new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
-            cost = self.bits(m, k[new])[np.cumsum(new) - 1] if len(k) else np.zeros(0)
-            here = which == i
-            total[here] = np.bincount(doc, cost, minlength=len(column))[here]
-        return np.where(size > 0, total / np.maximum(size, 1), np.nan)
-
-
-def sharded_scores(docs: DataFrame, model: DataFrame, known: frozenset[str], work: Workspace) -> DataFrame:
-    """``row long, bits``: bits a byte of ``docs(row, doc_id, lang, text)`` by joins sharded by (model, n-gram), for tables too large to broadcast."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Model:
+    """Trained tables under the shared folder: ``counts`` a row a shard and model, ``low`` a row a model; the number of shards and the models' names."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, work: Workspace):
+        self.work, spark = work, docs.sparkSession
+        good = trusted_ids(labels)
+        small = good.count() <= MAX_BROADCAST_IDS
+        self.good = F.broadcast(good) if small else good.hint("shuffle_hash")
+        grams = work.table(_needed(docs).join(self.good, "doc_id", "left_semi").mapInArrow(_count, "m string, g long, c long").groupBy("m", "g").agg(F.sum("c").alias("c")), "ngrams")
+        known = {r["m"] for r in grams.select("m").distinct().collect()}  # two rows a language
+        langs = {r["lang"] or "" for r in _needed(docs).select("lang").distinct().collect()}
+        if any(f"{fold}|{lang}" not in known for fold in (0, 1) for lang in langs):  # the models of all languages are needed
+            pooled = grams.groupBy(F.substring_index("m", "|", 1).alias("m"), "g").agg(F.sum("c").alias("c"))
+            known |= {m.split("|", 1)[0] for m in known}
+            grams = work.table(grams.unionByName(pooled), "ngrams-pooled")
+        self.known = frozenset(known)
+        self.shards = 1 + grams.count() // SHARD_GRAMS
+        dealt = grams.withColumn("s", shard_column(self.shards)).repartition(partitions(spark), "s", "m").sortWithinPartitions("s", "m", "g").select("s", "m", "g", "c")
+        self.counts = work.table(dealt.mapInArrow(_shard_counts, COUNTS), "counts")
+        pairs = self.counts.select("m", F.explode(F.arrays_zip("pairs", "before")).alias("p")).groupBy("m", F.col("p.pairs").alias("pair")).agg(F.sum("p.before").alias("before"))
+        sums = [F.sum(F.col("of_counts")[4 * (ORDER - order) + i - 1]).alias(f"n{order}{i}") for order in range(ORDER, 2, -1) for i in (1, 2, 3, 4)]
+        fitted = pairs.groupBy("m").cogroup(self.counts.groupBy("m").agg(*sums).groupBy("m")).applyInArrow(_fit_low, FITTED)
+        self.low = work.table(fitted, "low")
+
+
+# --- scores ----------------------------------------------------------------------------------------------------------------------------------
+
+PACKED = "block long, blob binary, m string, s int, n long, grams binary"
+
+
+def _pack_blocks(known: frozenset[str], shards: int) -> Callable:
+    """Blocks of rows as they are (Arrow, compressed), and the distinct n-grams that each block asks a shard of a model for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, held, size, grams = TaskContext.get().partitionId() << 32, [], 0, Distinct()
+        names = ["block", "blob", "m", "s", "n", "grams"]
+        types = [pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for piece in held:
+                    out.write_batch(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, sink.getvalue().to_pybytes(), None, None, None, None), types, strict=True)], names)
+            for m, g, _ in grams.pop():
+                shard = shard_of(g, m, shards)
+                order = np.argsort(shard, kind="stable")
+                g, shard = g[order], shard[order]
+                cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+                to = np.append(cut[1:], len(g))
+                n = len(cut)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * n, types[0]), pa.nulls(n, types[1]), pa.array([m] * n, types[2]), pa.array(shard[cut].astype(np.int32)), pa.array(to - cut, types[4]), pa.array([pack(g[a:b]) for a, b in zip(cut, to, strict=True)], types[5])], names
+                )
+
         for batch in batches:
-            models = settled(model_of(batch.column("doc_id"), batch.column("lang"), own=False), known)
-            ids = np.asarray(batch.column("row"))
-            for lo, hi in byte_slices(batch, "text", SLICE):
-                key, row = ngram_keys(batch.column("text").slice(lo, hi - lo))
-                pair, count = np.unique((key << np.uint64(24)) | row.astype(np.uint64), return_counts=True)
-                doc = lo + (pair & np.uint64((1 << 24) - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(models[doc].tolist(), pa.string()), pa.array((pair >> np.uint64(24)).view(np.int64)), pa.array(count)], ["row", "m", "g", "c"])
-
-    grams = work.table(docs.mapInArrow(explode, "row long, m string, g long, c long"), "document-ngrams")
-    asked = grams.select("m", "g").distinct().join(model.select("m").distinct(), "m", "left_semi").withColumn("p", F.lit(1 / 256))
-    for n in range(1, ORDER + 1):
-        own = F.col("g").bitwiseAND((1 << (8 * n)) - 1)
-        share = model.where((F.col("n") == n) & (F.col("part") == 0)).select("m", F.col("key").alias("own"), F.col("value").alias("share"))
-        left = model.where((F.col("n") == n) & (F.col("part") == 1)).select("m", F.col("key").alias("context"), F.col("value").alias("left"))
-        asked = asked.withColumn("own", own).withColumn("context", F.shiftrightunsigned(own, 8)).join(share, ["m", "own"], "left").join(left, ["m", "context"], "left")
-        asked = asked.select("m", "g", (F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("p")).alias("p"))
-    scored = grams.join(asked, ["m", "g"])
-    return scored.groupBy("row").agg((F.sum(-F.log2("p") * F.col("c")) / F.sum("c")).alias("bits"))
+            text = batch.column("text").cast(pa.string()).fill_null("")
+            models = settled(model_of(batch.column("doc_id"), batch.column("lang").cast(pa.string()), own=False), known)
+            for lo, hi in byte_slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", BLOCK):
+                own = text.slice(lo, hi - lo)
+                held.append(batch.slice(lo, hi - lo))
+                grams.add(own, models[lo:hi])
+                size += int(utf8_parts(own)[1][-1]) + 64 * (hi - lo)
+                if size >= BLOCK // 2:
+                    yield from flush()
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of the n-grams that blocks ask for; rows come sorted by (shard, model, kind): the counted shard, the low orders, then the questions."""
+    now, low, counted, shard = None, None, None, None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if (r["s"], r["m"]) != now:
+                now, low, counted, shard = (r["s"], r["m"]), None, None, None
+            if r["kind"] == 0:
+                counted = r
+            elif r["kind"] == 1:
+                low = r
+            elif low is not None:
+                shard = shard or Shard(low, counted)
+                found = shard.bits(unpack(r["grams"], r["n"])).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["m"]]), pa.array([r["n"]], pa.int64()), pa.array([r["grams"]], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["block", "m", "n", "grams", "bits"])
+
+
+SCORED = "block long, blob binary, doc_id array<long>, lang array<string>, n_bytes array<long>, bits array<double>, worst array<double>"
+
+
+def _score(known: frozenset[str], keep: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows sorted by (block, m), nulls first: the block's documents, then its answers
+        for (block,), parts in runs(batches, ("block",)):
+            rows = [r for p in parts for r in p.to_pylist()]
+            blob = rows[0]["blob"]
+            answers: dict[str, list[dict]] = {}
+            for r in rows[1:]:
+                answers.setdefault(r["m"], []).append(r)
+            table = pa.ipc.open_stream(blob).read_all().combine_chunks()
+            column = lambda x: pa.concat_arrays([c.cast(pa.string()) if x != "doc_id" else c.cast(pa.int64()) for c in table.column(x).chunks])  # noqa: E731, B023
+            ids, langs, text = column("doc_id"), column("lang"), column("text").fill_null("")
+            data, offsets = utf8_parts(text)
+            size = np.diff(offsets)
+            names, which = np.unique(np.array(settled(model_of(ids, langs, own=False), known), dtype=object), return_inverse=True)
+            tables = []
+            for m in names.tolist():
+                own = answers.pop(m, [])
+                g = np.concatenate([unpack(r["grams"], r["n"]) for r in own]) if own else np.zeros(0, np.uint64)
+                v = np.concatenate([np.frombuffer(r["bits"], np.float32) for r in own]) if own else np.zeros(0, np.float32)
+                order = np.argsort(g)
+                tables.append((g[order], v[order]))
+            cost = np.full(len(data), np.nan, np.float32)
+            total, worst = np.zeros(len(size)), np.zeros(len(size))
+            for lo, hi in slices(len(data)):
+                key, row, into = ngram_keys(data, offsets, lo, hi)
+                of = which[row]
+                for i in np.unique(of).tolist():
+                    g, v = tables[i]
+                    if len(g):
+                        asked, at = np.unique(key[of == i], return_inverse=True)
+                        cost[lo:hi][of == i] = _look(g, v, asked, np.float32(np.nan))[at]
+                total += np.bincount(row, cost[lo:hi], minlength=len(size))
+                passage = np.zeros(hi - lo)
+                for back in range(PASSAGE):
+                    here = into >= back
+                    passage[here] += cost[np.arange(lo, hi)[here] - back]
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                worst[row[first]] = np.maximum(worst[row[first]], np.maximum.reduceat(passage, first))
+            bits, worst = (np.where(size > 0, x, np.nan) for x in (total / np.maximum(size, 1), worst / PASSAGE))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), x) for x in (ids, langs, pa.array(size), pa.array(bits, from_pandas=True), pa.array(worst, from_pandas=True))]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob if keep else None], pa.binary()), *lists], ["block", "blob", "doc_id", "lang", "n_bytes", "bits", "worst"])
+
+    return run
+
+
+def scored_blocks(docs: DataFrame, model: Model, keep: bool) -> DataFrame:
+    """``SCORED``: a row a block of documents with its scores; with ``keep`` also the rows themselves."""
+    work, n = model.work, partitions(docs.sparkSession)
+    packed = work.table(docs.mapInArrow(_pack_blocks(model.known, model.shards), PACKED), "blocks")
+    none = lambda *names: [F.lit(None).cast(t).alias(x) for x, t in names]
+    low = ("discounts", "pairs", "shares", "left", "single")
+    counted = model.counts.select("s", "m", F.lit(0).alias("kind"), *none(("block", "long")), "n", "grams", "counts", *none(*((x, "binary") for x in low)))
+    fitted = model.low.select(F.explode(F.sequence(F.lit(0), F.lit(model.shards - 1))).alias("s"), "m", F.lit(1).alias("kind"), *none(("block", "long"), ("n", "long"), ("grams", "binary"), ("counts", "binary")), *low)
+    asked = packed.where("m is not null").select("s", "m", F.lit(2).alias("kind"), "block", "n", "grams", *none(("counts", "binary"), *((x, "binary") for x in low)))
+    met = counted.unionByName(fitted).unionByName(asked).repartition(n, "s", "m").sortWithinPartitions("s", "m", "kind")
+    answers = met.mapInArrow(_answer, "block long, m string, n long, grams binary, bits binary").select("block", *none(("blob", "binary")), "m", "n", "grams", "bits")
+    blocks = packed.where("m is null").select("block", "blob", *none(("m", "string"), ("n", "long"), ("grams", "binary"), ("bits", "binary")))
+    return work.table(blocks.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "m").mapInArrow(_score(model.known, keep), SCORED), "scored")
 
 
 class Judge:
-    """A trained model with its thresholds."""
-
-    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = 0.99, min_trusted: int = 20, broadcast_rows: int = MAX_BROADCAST_ROWS):
-        self.spark = docs.sparkSession
-        self.work = Workspace(self.spark, "perplexity")
-        trusted = trusted_documents(_needed(docs), labels)
-        self.table, self.known = train(trusted, _needed(docs), self.work)
-        self.whole = self.table.count() <= broadcast_rows
-        self.model = self.spark.sparkContext.broadcast(Model(self._packed().collect())) if self.whole else None
-        scores = self.work.table(self._scores(trusted), "trusted-scores")
-        self._fit(scores, quantile, max(min_trusted, 1 / (1 - quantile) if quantile < 1 else 0))
-
-    def _fit(self, scores: DataFrame, quantile: float, least: float) -> None:
-        """``limits``: bits by language and length band, and ``limit``: by length band for other languages. None without scores."""
-        group = Window.partitionBy("lang", "band")
-        cells = scores.where("bits is not null").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), length_band("n_bytes").alias("band"), F.floor(F.col("bits") * GRAIN).alias("cell")).count()
-        cells = self.work.table(cells, "trusted-cells")
-        ranked = cells.withColumn("upto", F.sum("count").over(group.orderBy("cell"))).withColumn("all", F.sum("count").over(group))
-        enough = ranked.where((F.col("upto") >= F.col("all") * quantile) & (F.col("all") >= least)).groupBy("lang", "band").agg(F.min("cell").alias("cell")).collect()  # a row a group
-        few = ranked.where(F.col("all") < least).select("lang", "band", "cell", "count").collect()  # fewer than ``least`` rows a group
-        pooled = cells.groupBy("band", "cell").agg(F.sum("count").alias("count")).collect()  # bounded by bands and cells
-        self.limits: dict[str, list[float]] = {}
-        self.limit: list[float] | None = None
-        if not pooled:
+    """The scores of all rows of ``docs`` and the thresholds of trusted ones."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = 0.99, min_trusted: int = 100, keep: bool = False):
+        self.work = Workspace(docs.sparkSession, "perplexity")
+        self.schema = docs.schema
+        model = Model(docs, labels, self.work)
+        self.scored = scored_blocks(docs if keep else _needed(docs), model, keep)
+        rows = self.scored.select(F.explode(F.arrays_zip("doc_id", "lang", "n_bytes", "bits", "worst")).alias("r")).select("r.*")
+        self.rows = rows
+        cell = lambda x: F.floor(F.col(x) * GRAIN).alias(x)
+        trusted = rows.where("bits is not null").join(model.good, "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("lang"), length_band("n_bytes").alias("band"), cell("bits"), cell("worst"))
+        at = [F.expr(f"percentile_disc({quantile}) within group (order by {x})").alias(x) for x in ("bits", "worst")]  # a value a thousandth of a bit is held at most
+        found: list[dict] = []
+        for by in (("lang", "band"), ("lang",), ("band",), ()):  # one row a group: languages x bands at most
+            found.append({tuple(r[x] for x in by): r for r in trusted.groupBy(*by).agg(F.count("*").alias("n"), *at).collect()})
+        self.limits: dict[str, list[tuple[float, float]]] = {}
+        everything = found[3].get(())
+        if everything is None or not everything["n"]:
+            self.other = [(np.inf, np.inf)] * LENGTH_BANDS
             return
-        size = max(r["cell"] for r in pooled) + 1
-        by_band = np.zeros((LENGTH_BANDS, size))
-        for r in pooled:
-            by_band[r["band"], r["cell"]] += r["count"]
-        everything = by_band.sum(axis=0)
-        parents = [filled(h, everything, least) for h in by_band]
-        at = lambda h: (int(np.searchsorted(np.cumsum(h), h.sum() * quantile - 1e-9)) + 1) / GRAIN
-        self.limit = [at(h) for h in parents]
-        own: dict[tuple[str, int], np.ndarray] = {}
-        for r in few:
-            own.setdefault((r["lang"], r["band"]), np.zeros(size))[r["cell"]] += r["count"]
-        for (lang, band), h in own.items():
-            self.limits.setdefault(lang, list(self.limit))[band] = at(filled(h, parents[band], least))
-        for r in enough:
-            self.limits.setdefault(r["lang"], list(self.limit))[r["band"]] = (r["cell"] + 1) / GRAIN
-
-    def _limit(self) -> Column:
-        """The limit of a row with ``lang`` and ``n_bytes``."""
-        if self.limit is None:
-            return F.lit(None).cast("double")
-        by_lang = F.create_map(*[x for lang, v in self.limits.items() for x in (F.lit(lang), F.lit(v))])
-        return F.element_at(F.coalesce(F.try_element_at(by_lang, F.coalesce("lang", F.lit(""))), F.lit(self.limit)), length_band("n_bytes") + 1)
-
-    def _packed(self) -> DataFrame:
-        """The model's tables in a few packed rows, sorted and packed by the executors: the driver only joins bytes."""
-        order = ["m", "n", "part", "key"]
-        dealt = self.table.repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order).select(*order, "value")
-        return dealt.mapInArrow(_pack, "m string, n int, part int, first long, keys binary, values binary")
-
-    def _scores(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, lang, n_bytes, bits`` of ``docs(doc_id, lang, text)``."""
-        if not self.whole:
-            numbered = self.work.table(docs.withColumn("row", F.monotonically_increasing_id()), f"numbered-{id(docs)}")
-            found = sharded_scores(numbered, self.table, self.known, self.work)
-            return numbered.join(found, "row", "left").select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), "bits")
-        model = self.model
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi in byte_slices(batch, "text", SLICE):
-                    part = batch.slice(lo, hi - lo)
-                    bits = model.value.mean_bits(part.column("text"), model_of(part.column("doc_id"), part.column("lang"), own=False))
-                    size = np.diff(utf8_parts(part.column("text"))[1])
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(size), pa.array(bits, from_pandas=True)], ["doc_id", "lang", "n_bytes", "bits"])
-
-        return docs.mapInArrow(run, "doc_id long, lang string, n_bytes long, bits double")
-
-    def report(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, lang, n_bytes, perplexity, threshold, keep``: a row for each row of ``docs``."""
-        limit = self._limit()
-        keep = F.coalesce(F.col("bits") <= limit, F.lit(True))
-        return self._scores(_needed(docs)).select("doc_id", "lang", "n_bytes", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), keep.alias("keep"))
-
-    def keep(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs``, all columns, that are not rejected."""
-        if not self.whole:
-            numbered = self.work.table(docs.withColumn("_judged_row", F.monotonically_increasing_id()), "numbered-all")
-            needed = _needed(numbered).columns
-            rows = numbered.select(F.col("_judged_row").alias("row"), *needed).withColumn("text", F.coalesce("text", F.lit("")))
-            sized = rows.select("row", "lang", F.octet_length("text").cast("long").alias("n_bytes"))
-            bad = sized.join(sharded_scores(rows, self.table, self.known, self.work), "row").where(F.col("bits") > self._limit()).select(F.col("row").alias("_judged_row"))
-            return numbered.join(bad, "_judged_row", "left_anti").drop("_judged_row")
-        model, limits, other = self.model, self.limits, self.limit or [np.inf] * LENGTH_BANDS
+        def limit(lang: str | None, band: int) -> tuple[float, float]:
+            choice = [found[0].get((lang, band)), found[1].get((lang,)), found[2].get((band,))]
+            r = next((r for r in choice if r is not None and r["n"] >= min_trusted), everything)
+            return (r["bits"] + 1) / GRAIN, (r["worst"] + 1) / GRAIN
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                text = batch.column("text").cast(pa.string()).fill_null("")
-                ids, langs = batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string())
-                named = pa.RecordBatch.from_arrays([text], ["text"])
-                for lo, hi in byte_slices(named, "text", SLICE):
-                    lang = langs.slice(lo, hi - lo)
-                    bits = model.value.mean_bits(text.slice(lo, hi - lo), model_of(ids.slice(lo, hi - lo), lang, own=False))
-                    bands = length_bands(np.diff(utf8_parts(text.slice(lo, hi - lo))[1]))
-                    limit = np.array([limits.get(x or "", other)[b] for x, b in zip(lang.to_pylist(), bands.tolist(), strict=True)])
-                    yield batch.slice(lo, hi - lo).filter(pa.array(~(bits > limit)))
+        self.other = [limit(None, band) for band in range(LENGTH_BANDS)]
+        self.limits = {lang: [limit(lang, band) for band in range(LENGTH_BANDS)] for (lang,) in found[1]}
 
-        return docs.mapInArrow(run, docs.schema)
+    def _limit(self, which: int) -> Column:
+        """The limit of a row with ``lang`` and ``n_bytes``: 0 of all bytes, 1 of the least likely passage."""
+        other = F.lit([float(x[which]) for x in self.other])
+        by_lang = F.create_map(*[x for lang, v in self.limits.items() for x in (F.lit(lang), F.lit([float(y[which]) for y in v]))]) if self.limits else None
+        own = other if by_lang is None else F.coalesce(F.try_element_at(by_lang, F.coalesce("lang", F.lit(""))), other)
+        return F.element_at(own, length_band("n_bytes") + 1)
 
+    def report(self) -> DataFrame:
+        """``doc_id, lang, n_bytes, perplexity, threshold, worst, worst_threshold, keep``: a row for each row of the documents."""
+        power = lambda x: F.pow(F.lit(2.0), x)
+        keep = F.coalesce((F.col("bits") <= self._limit(0)) & (F.col("worst") <= self._limit(1)), F.lit(True))
+        return self.rows.select("doc_id", "lang", "n_bytes", power("bits").alias("perplexity"), power(self._limit(0)).alias("threshold"), power("worst").alias("worst"), power(self._limit(1)).alias("worst_threshold"), keep.alias("keep"))
 
-def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, min_trusted: int = 20, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``doc_id, lang, n_bytes, perplexity, threshold, keep`` for every row of ``docs(doc_id, lang, text)``.
+    def keep(self) -> DataFrame:
+        """The rows of the documents, all columns, that are not rejected (for a judge made with ``keep``)."""
+        limits, other = self.limits, self.other
 
-    Null texts are empty; empty texts have no perplexity and are kept. Every other row is judged, unless the trusted documents are all in one
-    fold, so that none has a held-out score. Fewer than ``min_trusted`` trusted documents of a language and length (or than the quantile
-    needs) are filled up by those of other languages. A null language counts as the language ''. Repeated rows get equal scores. Other columns are ignored.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    bits, worst = (np.array([np.nan if x is None else x for x in r[name]]) for name in ("bits", "worst"))
+                    bands = length_bands(np.array(r["n_bytes"], np.int64))
+                    limit = np.array([limits.get(x or "", other)[b] for x, b in zip(r["lang"], bands.tolist(), strict=True)]).reshape(-1, 2)
+                    good = ~((bits > limit[:, 0]) | (worst > limit[:, 1]))
+                    at = 0
+                    for piece in pa.ipc.open_stream(r["blob"]):
+                        yield piece.filter(pa.array(good[at : at + piece.num_rows]))
+                        at += piece.num_rows
+
+        return self.scored.select("blob", "lang", "n_bytes", "bits", "worst").mapInArrow(run, self.schema)
+
+
+def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, min_trusted: int = 100) -> DataFrame:
+    """``doc_id, lang, n_bytes, perplexity, threshold, worst, worst_threshold, keep`` for every row of ``docs(doc_id, lang, text)``.
+
+    Null texts are empty; empty texts have no perplexity and are kept; a text under ``PASSAGE`` bytes is one passage, its missing bytes costing
+    nothing. Every other row is judged, unless the trusted documents are all in one fold, so that none has a held-out score, or there are none.
+    Fewer than ``min_trusted`` trusted documents of a language and length take the threshold of their language, then of the length, then of all.
+    Null languages count as the language '', null doc_ids as 0; repeated rows get equal scores; of several labels of a document the worst
+    counts; a very long text is read in slices; an empty table gives no rows. Other columns are ignored.
     """
-    return Judge(docs, labels, quantile, min_trusted, broadcast_rows).report(docs)
+    return Judge(docs, labels, quantile, min_trusted).report()
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, min_trusted: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, that ``quality_report`` keeps; its cases hold here too. Rows are carried whole, so none is joined back."""
+    return Judge(docs, labels, quantile, min_trusted, keep=True).keep()
