@@ -98,6 +98,12 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int):
         lo = hi
 
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The little-endian 8-byte word at every position of an array of bytes (zeros beyond the end)."""
+    raw = data.tobytes() + bytes(8)
+    return np.ndarray((len(data),), "<u8", raw, strides=(1,))
+
+
 _MULT = 0x9E3779B97F4A7C15 | 1
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -7,7 +7,7 @@ Comparing every suffix of a corpus with every shard is out of reach, so shards g
 2. Snippets meet by anchor hash. Those equal byte for byte (by digest) are repeated as a whole and done; within a batch of documents
    they are merged before anything is shuffled, so a passage copied a million times is at most a row a batch.
 3. Unlike snippets of one anchor go, with their bytes, to shards. A shard sorts its suffixes by Larsson-Sadakane refinement in numpy and
-   finds common prefixes with Kasai's bound; neighbours sharing ``length`` bytes are repeated windows.
+   finds common prefixes with Kasai's bound; windows with no common prefix under ``length`` bytes between them in the array are repeated.
 4. An anchor with more than ``hot_rows`` unlike snippets is dealt over several shards. Their sorted windows are then merged: digests are
    range-partitioned and each run is searched for the others' windows by binary search.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_slices, mix64, partitions, texts, utf8_parts
+from .common import Workspace, byte_slices, mix64, partitions, texts, utf8_parts, words_at
 
 GRAM = 32
 SEGMENT = 1 << 22
@@ -32,12 +32,6 @@ MAX_BROADCAST_DOCS = 500_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The little-endian 8-byte word at every position (zeros beyond the end)."""
-    raw = data.tobytes() + bytes(8)
-    return np.ndarray((len(data),), "<u8", raw, strides=(1,))
-
-
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values, from running minima of blocks forward and backward."""
     n = len(v) - width + 1
@@ -237,17 +231,13 @@ def repeated_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.n
     array = SuffixArray(data, length)
     whole = np.zeros(len(data), bool)
     whole[at] = True
-    # only whole windows count: neighbours among them, in the order of their first bytes
-    order = array.sa[whole[array.sa]]
-    shared = array.common_prefixes()
+    # only whole windows count: two neighbours among them are equal if no common prefix between them in the array is shorter than a window
+    here = np.flatnonzero(whole[array.sa])
+    order = array.sa[here]
+    apart = np.cumsum(array.common_prefixes()[array.sa] < length)
+    prior = apart[here[1:]] == apart[here[:-1]]
     equal = np.zeros(len(data), bool)  # to the window before it
-    prior = array.rank[order[1:]] == array.rank[order[:-1]]
     equal[order[1:]] = prior
-    check = order[1:][prior]
-    near = np.zeros(len(data), bool)
-    near[array.sa[1:]] = whole[array.sa[:-1]]
-    if (shared[check[near[check]]] < length).any():
-        raise AssertionError("suffix order and common prefixes disagree")
     twice = equal.copy()
     twice[order[:-1]] |= prior
     return piece, offset, twice[at], ~equal[at]

@@ -3,8 +3,9 @@
 File format (a folder any Hadoop file system can hold, written and read by Spark only):
 
 * ``blocks/`` (Parquet), one row a block of consecutive documents: ``part, block`` (order), ``base`` (ids of the part before
-  this block), ``n_docs``, ``n_ids``, ``doc_ids array<long>``, ``bounds`` (Elias-Fano coded ends of its documents), ``width`` (2 or 4)
-  and ``ids`` (little-endian unsigned integers of that width, 2 where the vocabulary fits).
+  this block), ``n_docs``, ``n_ids``, ``n_null`` (documents without an id, which come first), ``first_doc`` and ``doc_ids`` (the other
+  ids less the first, Elias-Fano coded), ``bounds`` (Elias-Fano coded ends of its documents), ``width`` (2 or 4) and ``ids``
+  (little-endian unsigned integers of that width, 2 where the vocabulary fits).
 * ``manifest/`` (Parquet), one row a part: ``part, first_id`` (ids of all parts before it), ``n_ids, n_docs``.
 
 Parts, blocks in a part and documents in a block ascend by doc_id, so ``first_id + base + boundary`` is a document's global start.
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_slices, partitions, span_hashes, texts, utf8_parts
+from .common import Workspace, byte_slices, partitions, span_hashes, texts, utf8_parts, words_at
 
 BLOCK_IDS = 1 << 20
-BLOCKS = "part int, block int, base long, n_docs int, n_ids long, doc_ids array<bigint>, bounds binary, width int, ids binary"
+BLOCKS = "part int, block int, base long, n_docs int, n_ids long, n_null int, first_doc long, doc_ids binary, bounds binary, width int, ids binary"
 DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -87,28 +89,26 @@ class EliasFano:
         x[over] |= self.low[word[over] + 1] << (np.uint64(64) - shift[over])
         return x & np.uint64((1 << self.low_bits) - 1)
 
-    def select(self, i: int) -> int:
-        """The i-th value (from 0): binary search of the directory, then a scan of at most 512 bits."""
-        if not 0 <= i < self.n:
+    def select(self, i):
+        """The i-th value (from 0), or those of an array of places: binary search of the directory, then at most 8 words of 64 bits each."""
+        at = np.atleast_1d(np.asarray(i, np.int64))
+        if len(at) and (at.min() < 0 or at.max() >= self.n):
             raise IndexError(i)
-        group = int(np.searchsorted(self._before, i, "right")) - 1
-        left, word = i - int(self._before[group]), group * self.WORDS
-        while left >= int(self._in_word[word]):
-            left -= int(self._in_word[word])
-            word += 1
-        x = int(self.high[word])
-        for _ in range(left):
-            x &= x - 1
-        one = word * 64 + (x & -x).bit_length() - 1
-        return ((one - i) << self.low_bits) | int(self._low_parts(np.array([i]))[0])
-
-    def values(self) -> np.ndarray:
-        """All values, decoded at once."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        bits = np.flatnonzero(np.unpackbits(self.high.astype("<u8").view(np.uint8), bitorder="little"))[: self.n]
-        i = np.arange(self.n)
-        return (((bits - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low_parts(i)).astype(np.int64)
+        group = np.searchsorted(self._before, at, "right") - 1
+        left, word = at - self._before[group], group * self.WORDS
+        for _ in range(self.WORDS - 1):
+            on = left >= self._in_word[np.minimum(word, len(self._in_word) - 1)]
+            left = left - np.where(on, self._in_word[np.minimum(word, len(self._in_word) - 1)], 0)
+            word = word + on
+        x, bit = self.high[word].astype(np.uint64), np.zeros(len(at), np.uint64)
+        for half in (32, 16, 8, 4, 2, 1):  # the place of the one inside its word, by halves
+            ones = np.bitwise_count((x >> bit) & np.uint64((1 << half) - 1)).astype(np.int64)
+            on = left >= ones
+            left = left - np.where(on, ones, 0)
+            bit = bit + np.where(on, np.uint64(half), np.uint64(0))
+        high = (word.astype(np.uint64) << np.uint64(6)) + bit - at.astype(np.uint64)
+        found = (high << np.uint64(self.low_bits)) | self._low_parts(at)
+        return found if np.ndim(i) else int(found[0])
 
     def owner(self, position: int) -> int:
         """The document holding this id position: how many ends are at or before it."""
@@ -125,7 +125,8 @@ class Encoder:
     Byte-level BPE with the usual word pattern works on each pre-token alone. Text is cut (in numpy, on UTF-8) only where the
     pattern must end a pre-token whatever surrounds it: an ASCII letter before an ASCII non-letter, a sure non-space before a
     space or newline, and after a lone newline. The library encodes every distinct piece once and a bounded memo repeats it;
-    pieces over ``LONG`` bytes are never memoised. For other tokenizers each whole text goes to the library.
+    pieces over ``LONG`` bytes are never memoised, and a memo is used only for the very bytes it was made from. Whole texts go to
+    the library if they hold one of its added tokens (which it finds before it cuts), or with a tokenizer of another kind.
     """
 
     LONG, MEMO = 64, 2_000_000
@@ -135,8 +136,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings inside a text are text
         spec = json.loads(self.tokenizer.to_str())
+        self.added = sorted({t["content"] for t in spec.get("added_tokens") or () if t["content"]})
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["model"].get("dropout")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -148,6 +149,7 @@ class Encoder:
     def _reset(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.starts, self.lengths = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.texts, self.text_starts, self.text_sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _library(self, pieces: list[str]) -> list[list[int]]:
         return [x.ids for i in range(0, len(pieces), 512) for x in self.tokenizer.encode_batch_fast(pieces[i : i + 512], add_special_tokens=False)]
@@ -204,24 +206,45 @@ class Encoder:
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column, concatenated, and the number of ids of each text."""
-        if not self.by_piece:
-            each = self._library(column.to_pylist())
-            return np.array([i for x in each for i in x], self.dtype), np.array([len(x) for x in each], np.int64)
+        whole = np.full(len(column), not self.by_piece)
+        for token in self.added:
+            whole |= np.asarray(pc.match_substring(column, token))
+        if not whole.any():
+            return self._by_piece(column)
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        each = dict(zip(np.flatnonzero(whole).tolist(), self._library(column.filter(pa.array(whole)).to_pylist()), strict=True))
+        ids, n = self._by_piece(column.filter(pa.array(~whole))) if not whole.all() else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        size = np.zeros(len(column), np.int64)
+        size[~whole] = n
+        cuts, parts, at = np.append(0, np.cumsum(n)), [], 0
+        for i in range(len(column)):
+            if whole[i]:
+                size[i] = len(each[i])
+                parts.append(np.array(each[i], self.dtype))
+            else:
+                parts.append(ids[cuts[at] : cuts[at + 1]])
+                at += 1
+        return np.concatenate(parts), size
+
+    def _by_piece(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         b, offsets = utf8_parts(column)
         start = self.cuts(b, offsets)
         end = np.append(start[1:], len(b))
         key = span_hashes(b, start, end)
-        long = end - start > self.LONG
+        apart = end - start > self.LONG
         if len(self.keys) > self.MEMO:
             self._reset()
-        codes, distinct = pd.factorize(key[~long])
-        slot = self._slots(distinct, b, start[~long], end[~long], codes)
+        codes, distinct = pd.factorize(key[~apart])
+        slot = self._slots(distinct, b, start[~apart], end[~apart], codes)
         of = np.zeros(len(start), np.int64)
-        of[~long] = slot[codes] if len(codes) else 0
+        of[~apart] = slot[codes] if len(codes) else 0
+        same = np.flatnonzero(~apart)
+        apart[same[~self._alike(b, start[same], end[same], of[same])]] = True  # another piece with its hash: encoded by itself
         flat, starts, lengths = self.flat, self.starts, self.lengths
-        if long.any():
-            more, sizes = self._pieces(b, start[long], end[long])
-            of[long] = len(starts) + np.arange(len(sizes))
+        if apart.any():
+            more, sizes = self._pieces(b, start[apart], end[apart])
+            of[apart] = len(starts) + np.arange(len(sizes))
             starts, lengths, flat = np.append(starts, len(flat) + np.cumsum(sizes) - sizes), np.append(lengths, sizes), np.append(flat, more)
         n = lengths[of].astype(np.int64)
         ends = np.cumsum(n)
@@ -230,6 +253,22 @@ class Encoder:
         upto = np.append(0, ends)[np.searchsorted(start, offsets)]
         return ids, np.diff(upto)
 
+    def _alike(self, b: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether each piece has the very bytes its slot was made from, compared 8 at a time."""
+        size, other = end - start, self.text_starts[slot]
+        good = size == self.text_sizes[slot]
+        at = np.flatnonzero(good)
+        mine, theirs = words_at(b), words_at(self.texts)
+        for k in range(0, self.LONG, 8):
+            at = at[size[at] > k]
+            if not len(at):
+                break
+            unlike = mine[start[at] + k] ^ theirs[other[at] + k]
+            left = np.minimum(size[at] - k, 8).astype(np.uint64)
+            bad = (unlike << (np.uint64(64) - np.uint64(8) * left)) != 0
+            good[at[bad]] = False
+        return good
+
     def _slots(self, distinct: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -246,6 +285,10 @@ class Encoder:
             slot[new] = len(self.starts) + np.arange(len(new))
             self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
             self.lengths, self.flat = np.append(self.lengths, sizes.astype(np.int32)), np.append(self.flat, more)
+            lo, size = start[first[new]], end[first[new]] - start[first[new]]
+            place = np.cumsum(size) - size
+            self.text_starts, self.text_sizes = np.append(self.text_starts, len(self.texts) + place), np.append(self.text_sizes, size)
+            self.texts = np.append(self.texts, b[np.repeat(lo - place, size) + np.arange(int(size.sum()))])
             self.keys, self.slots = np.insert(self.keys, at[new], distinct[new]), np.insert(self.slots, at[new], slot[new])
         return slot
 
@@ -256,7 +299,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _encode_part(tokenizer: str, end_id: int, block_ids: int):
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("bounds", pa.binary()), ("width", pa.int32()), ("ids", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("n_null", pa.int32()), ("first_doc", pa.int64()), ("doc_ids", pa.binary()), ("bounds", pa.binary()), ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -269,7 +312,10 @@ def _encode_part(tokenizer: str, end_id: int, block_ids: int):
             nonlocal block, base, held
             ids, lengths = np.concatenate(held_ids), np.concatenate(held_lengths)
             docs = pa.concat_arrays(held_docs)
-            row = [[part], [block], [base], [len(lengths)], [len(ids)], [docs.to_pylist()], [EliasFano.encode(np.cumsum(lengths)).to_bytes()], [enc.width], [ids.tobytes()]]
+            known = np.asarray(docs.drop_null())
+            first = int(known[0]) if len(known) else 0
+            named = EliasFano.encode(known.view(np.uint64) - np.uint64(first & (1 << 64) - 1)).to_bytes()
+            row = [[part], [block], [base], [len(lengths)], [len(ids)], [docs.null_count], [first], [named], [EliasFano.encode(np.cumsum(lengths)).to_bytes()], [enc.width], [ids.tobytes()]]
             block, base, held = block + 1, base + len(ids), 0
             for x in (held_ids, held_lengths, held_docs):
                 x.clear()
@@ -325,11 +371,21 @@ def _blocks(spark: SparkSession, path: str, column: str) -> DataFrame:
     return blocks.join(F.broadcast(manifest), "part").select(*column.split(","), (F.col("first_id") + F.col("base")).alias("first"))
 
 
+READ = "n_docs,n_null,first_doc,doc_ids,bounds,width,ids"
+CHUNK = 4096
+
+
 def _documents(batch: pa.RecordBatch):
+    """(doc_ids, their starts, ids, where each document's begin and end) of up to ``CHUNK`` documents at a time, by select on the two structures."""
     for row in batch.to_pylist():
         ids = np.frombuffer(row["ids"], f"<u{row['width']}")
-        ends = EliasFano.from_bytes(row["bounds"]).values()
-        yield row["doc_ids"], row["first"], ids, np.append(0, ends)
+        bounds, named, nulls = EliasFano.from_bytes(row["bounds"]), EliasFano.from_bytes(row["doc_ids"]), row["n_null"]
+        for lo in range(0, row["n_docs"], CHUNK):
+            hi = min(lo + CHUNK, row["n_docs"])
+            at = np.append(bounds.select(lo - 1) if lo else 0, bounds.select(np.arange(lo, hi)).astype(np.int64))
+            number = (named.select(np.arange(max(lo, nulls), max(hi, nulls)) - nulls) + np.uint64(row["first_doc"] & (1 << 64) - 1)).view(np.int64)
+            docs = pa.concat_arrays([pa.nulls(min(hi, max(lo, nulls)) - lo, pa.int64()), pa.array(number)])
+            yield docs, row["first"] + at[:-1], ids, at
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -337,10 +393,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for docs, first, ids, at in _documents(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first + at[:-1], pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int64)))], ["doc_id", "start", "ids"])
+            for docs, start, ids, at in _documents(batch):
+                own = ids[at[0] : at[-1]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([docs, pa.array(start, pa.int64()), pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(own))], ["doc_id", "start", "ids"])
 
-    return _blocks(spark, path, "doc_ids,bounds,width,ids").mapInArrow(run, "doc_id long, start long, ids array<bigint>")
+    return _blocks(spark, path, READ).mapInArrow(run, "doc_id long, start long, ids array<bigint>")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -348,12 +405,12 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for docs, first, ids, at in _documents(batch):
-                wide = ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for docs, start, ids, at in _documents(batch):
+                wide = ids[at[0] : at[-1]].astype("<u4")
+                crc = [zlib.crc32(wide[a:b]) for a, b in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([docs, pa.array(start, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _blocks(spark, path, "doc_ids,bounds,width,ids").mapInArrow(run, DIGESTS)
+    return _blocks(spark, path, READ).mapInArrow(run, DIGESTS)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
