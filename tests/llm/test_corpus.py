@@ -618,6 +618,8 @@ def test_shards_do_not_change_scores(spark, docs, monkeypatch):
     monkeypatch.setattr(perplexity, "SHARD_GRAMS", 100)
     monkeypatch.setattr(perplexity, "MAX_BROADCAST_IDS", 0)
     assert close(perplexity.quality_report(small, labels, 0.9)) == one
+    twice = small.unionByName(small)  # blocks alike
+    assert close(perplexity.quality_report(twice, labels, 0.9))[::2] == [r for r in close(perplexity.quality_report(twice, labels, 0.9))][1::2]
 
 
 def test_length_bands_judge_long_documents_by_long_ones(spark):

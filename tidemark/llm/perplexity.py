@@ -13,8 +13,8 @@
 
 Counts and questions meet in joins sharded by (model, context). The shard of an n-gram is a hash of its model and of the two bytes before
 its last one, so all orders from 3 up of an n-gram and their contexts lie in one shard; orders 1 and 2 (65,536 n-grams a model at most)
-are fitted a model a task and go to each shard. Documents are packed into blocks of bounded size. A block asks each shard once for each
-distinct n-gram of its texts, and the answers come back to the block. Nothing but thresholds and model names reaches the driver, and
+are fitted a model a task and go to each shard. Documents form blocks of bounded size. A block asks each shard once for each
+distinct n-gram of its texts; its rows, packed, and the answers meet by the block's hash. Nothing but thresholds and model names reaches the driver, and
 nothing is broadcast but the ids of trusted documents, up to ``MAX_BROADCAST_IDS``.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ MAX_BROADCAST_IDS = 2_000_000
 LENGTH_BANDS = 32
 GRAIN = 1000  # thresholds are in thousandths of a bit
 SLICE = 1 << 20  # bytes of text worked on at once: about 90 bytes of arrays each
-BLOCK = 12 << 20  # bytes of text of a block; a longer text is a block of its own
+BLOCK = 24 << 20  # bytes of text of a block; a longer text is a block of its own
 SHARD_GRAMS = 100_000
 
 
@@ -289,49 +290,66 @@ class Model:
 
 # --- scores ----------------------------------------------------------------------------------------------------------------------------------
 
-PACKED = "block long, blob binary, m string, s int, n long, grams binary"
+ASKED = "s int, m string, block long, n long, grams binary"
 
 
-def _pack_blocks(known: frozenset[str], shards: int) -> Callable:
-    """Blocks of rows as they are (Arrow, compressed), and the distinct n-grams that each block asks a shard of a model for."""
+def _blocks(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> Iterator[tuple[int, list[tuple[pa.RecordBatch, pa.Array, list[str]]]]]:
+    """Blocks of consecutive rows, up to about ``BLOCK`` bytes of text: a hash of what is scored, and slices of rows with their texts and models.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    The hash names a block, so two reads of the same rows in the same order name it alike wherever they run.
+    """
+    held, size, name = [], 0, xxhash.xxh64()
+    for batch in batches:
+        text = batch.column("text").cast(pa.string()).fill_null("")
+        ids = batch.column("doc_id").cast(pa.int64()).fill_null(0)
+        models = settled(model_of(ids, batch.column("lang").cast(pa.string()), own=False), known)
+        for lo, hi in byte_slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", BLOCK):
+            own = text.slice(lo, hi - lo)
+            data, offsets = utf8_parts(own)
+            if held and size + len(data) > BLOCK:
+                yield name.intdigest() - (1 << 63), held
+                held, size, name = [], 0, xxhash.xxh64()
+            held.append((batch.slice(lo, hi - lo), own, models[lo:hi]))
+            size += len(data) + 64 * (hi - lo)
+            for part in (data, offsets, np.asarray(ids)[lo:hi], "\0".join(models[lo:hi]).encode()):
+                name.update(np.ascontiguousarray(part) if not isinstance(part, bytes) else part)
+    if held:
+        yield name.intdigest() - (1 << 63), held
 
-        block, held, size, grams = TaskContext.get().partitionId() << 32, [], 0, Distinct()
-        names = ["block", "blob", "m", "s", "n", "grams"]
-        types = [pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for piece in held:
-                    out.write_batch(piece)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, sink.getvalue().to_pybytes(), None, None, None, None), types, strict=True)], names)
+def _ask(known: frozenset[str], shards: int) -> Callable:
+    """The distinct n-grams that each block asks a shard of a model for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _blocks(batches, known):
+            grams = Distinct()
+            for _, text, models in held:
+                grams.add(text, models)
             for m, g, _ in grams.pop():
+                if m not in known:
+                    continue
                 shard = shard_of(g, m, shards)
                 order = np.argsort(shard, kind="stable")
                 g, shard = g[order], shard[order]
                 cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
                 to = np.append(cut[1:], len(g))
-                n = len(cut)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, types[0]), pa.nulls(n, types[1]), pa.array([m] * n, types[2]), pa.array(shard[cut].astype(np.int32)), pa.array(to - cut, types[4]), pa.array([pack(g[a:b]) for a, b in zip(cut, to, strict=True)], types[5])], names
+                    [pa.array(shard[cut].astype(np.int32)), pa.array([m] * len(cut)), pa.array([block] * len(cut), pa.int64()), pa.array(to - cut, pa.int64()), pa.array([pack(g[a:b]) for a, b in zip(cut, to, strict=True)], pa.binary())], ["s", "m", "block", "n", "grams"]
                 )
 
-        for batch in batches:
-            text = batch.column("text").cast(pa.string()).fill_null("")
-            models = settled(model_of(batch.column("doc_id"), batch.column("lang").cast(pa.string()), own=False), known)
-            for lo, hi in byte_slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", BLOCK):
-                own = text.slice(lo, hi - lo)
-                held.append(batch.slice(lo, hi - lo))
-                grams.add(own, models[lo:hi])
-                size += int(utf8_parts(own)[1][-1]) + 64 * (hi - lo)
-                if size >= BLOCK // 2:
-                    yield from flush()
-                    block, held, size = block + 1, [], 0
-        if held:
-            yield from flush()
+    return run
+
+
+def _pack_rows(known: frozenset[str]) -> Callable:
+    """The rows of each block as they are, in Arrow's stream format, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _blocks(batches, known):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0][0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                for piece, _, _ in held:
+                    out.write_batch(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "blob"])
 
     return run
 
@@ -357,64 +375,69 @@ SCORED = "block long, blob binary, doc_id array<long>, lang array<string>, n_byt
 
 
 def _score(known: frozenset[str], keep: bool) -> Callable:
+    def score(blob: bytes, answers: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        table = pa.ipc.open_stream(blob).read_all()
+        column = lambda x, t: pa.concat_arrays([c.cast(t) for c in table.column(x).chunks])
+        ids, langs, text = column("doc_id", pa.int64()), column("lang", pa.string()), column("text", pa.string()).fill_null("")
+        del table
+        data, offsets = utf8_parts(text)
+        size = np.diff(offsets)
+        names, which = np.unique(np.array(settled(model_of(ids, langs, own=False), known), dtype=object), return_inverse=True)
+        total, worst = np.zeros(len(size)), np.zeros(len(size))
+        before = np.zeros(PASSAGE - 1)
+        for lo, hi in slices(len(data)):
+            key, row, into = ngram_keys(data, offsets, lo, hi)
+            of, cost = which[row], np.full(hi - lo, np.nan)
+            for i in np.unique(of).tolist():
+                if names[i] in known:
+                    here = of == i
+                    asked, at = np.unique(key[here], return_inverse=True)
+                    found = _look(*answers.get(names[i], (np.zeros(0, np.uint64), np.zeros(0))), asked, np.nan)
+                    if np.isnan(found).any():
+                        raise RuntimeError("the documents were not read in one order twice: an n-gram has no answer")
+                    cost[here] = found[at]
+            total += np.bincount(row, cost, minlength=len(size))
+            tail = np.concatenate([before, cost])
+            passage = np.zeros(hi - lo)
+            for back in range(PASSAGE):
+                passage += np.where(into >= back, tail[PASSAGE - 1 - back : len(tail) - back], 0)
+            before = tail[len(tail) - PASSAGE + 1 :]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            worst[row[first]] = np.maximum(worst[row[first]], np.maximum.reduceat(passage, first))
+        bits, worst = (np.where(size > 0, x, np.nan) for x in (total / np.maximum(size, 1), worst / PASSAGE))
+        return [ids, langs, pa.array(size), pa.array(bits, from_pandas=True), pa.array(worst, from_pandas=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows sorted by (block, m), nulls first: the block's documents, then its answers
+        # rows sorted by (block, m), nulls first: the block's rows (twice if two blocks are alike), then its answers
         for (block,), parts in runs(batches, ("block",)):
             rows = [r for p in parts for r in p.to_pylist()]
-            blob = rows[0]["blob"]
-            answers: dict[str, list[dict]] = {}
-            for r in rows[1:]:
-                answers.setdefault(r["m"], []).append(r)
-            table = pa.ipc.open_stream(blob).read_all().combine_chunks()
-            column = lambda x: pa.concat_arrays([c.cast(pa.string()) if x != "doc_id" else c.cast(pa.int64()) for c in table.column(x).chunks])  # noqa: E731, B023
-            ids, langs, text = column("doc_id"), column("lang"), column("text").fill_null("")
-            data, offsets = utf8_parts(text)
-            size = np.diff(offsets)
-            names, which = np.unique(np.array(settled(model_of(ids, langs, own=False), known), dtype=object), return_inverse=True)
-            tables = []
-            for m in names.tolist():
-                own = answers.pop(m, [])
-                g = np.concatenate([unpack(r["grams"], r["n"]) for r in own]) if own else np.zeros(0, np.uint64)
-                v = np.concatenate([np.frombuffer(r["bits"], np.float32) for r in own]) if own else np.zeros(0, np.float32)
-                order = np.argsort(g)
-                tables.append((g[order], v[order]))
-            cost = np.full(len(data), np.nan, np.float32)
-            total, worst = np.zeros(len(size)), np.zeros(len(size))
-            for lo, hi in slices(len(data)):
-                key, row, into = ngram_keys(data, offsets, lo, hi)
-                of = which[row]
-                for i in np.unique(of).tolist():
-                    g, v = tables[i]
-                    if len(g):
-                        asked, at = np.unique(key[of == i], return_inverse=True)
-                        cost[lo:hi][of == i] = _look(g, v, asked, np.float32(np.nan))[at]
-                total += np.bincount(row, cost[lo:hi], minlength=len(size))
-                passage = np.zeros(hi - lo)
-                for back in range(PASSAGE):
-                    here = into >= back
-                    passage[here] += cost[np.arange(lo, hi)[here] - back]
-                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                worst[row[first]] = np.maximum(worst[row[first]], np.maximum.reduceat(passage, first))
-            bits, worst = (np.where(size > 0, x, np.nan) for x in (total / np.maximum(size, 1), worst / PASSAGE))
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), x) for x in (ids, langs, pa.array(size), pa.array(bits, from_pandas=True), pa.array(worst, from_pandas=True))]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob if keep else None], pa.binary()), *lists], ["block", "blob", "doc_id", "lang", "n_bytes", "bits", "worst"])
+            blobs = [r["blob"] for r in rows if r["blob"] is not None]
+            answers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            for m in {r["m"] for r in rows[len(blobs) :]}:
+                own = [r for r in rows[len(blobs) :] if r["m"] == m]
+                g, at = np.unique(np.concatenate([unpack(r["grams"], r["n"]) for r in own]), return_index=True)
+                answers[m] = g, np.concatenate([np.frombuffer(r["bits"], np.float32) for r in own])[at].astype(np.float64)
+            del rows, parts
+            for blob in blobs:
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in score(blob, answers)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob if keep else None], pa.binary()), *lists], ["block", "blob", "doc_id", "lang", "n_bytes", "bits", "worst"])
 
     return run
 
 
 def scored_blocks(docs: DataFrame, model: Model, keep: bool) -> DataFrame:
-    """``SCORED``: a row a block of documents with its scores; with ``keep`` also the rows themselves."""
+    """``SCORED``: a row a block of documents with its scores; with ``keep`` also the rows themselves. Reads ``docs`` twice."""
     work, n = model.work, partitions(docs.sparkSession)
-    packed = work.table(docs.mapInArrow(_pack_blocks(model.known, model.shards), PACKED), "blocks")
+    packed = work.table(docs.mapInArrow(_ask(model.known, model.shards), ASKED), "asked")
     none = lambda *names: [F.lit(None).cast(t).alias(x) for x, t in names]
     low = ("discounts", "pairs", "shares", "left", "single")
     counted = model.counts.select("s", "m", F.lit(0).alias("kind"), *none(("block", "long")), "n", "grams", "counts", *none(*((x, "binary") for x in low)))
     fitted = model.low.select(F.explode(F.sequence(F.lit(0), F.lit(model.shards - 1))).alias("s"), "m", F.lit(1).alias("kind"), *none(("block", "long"), ("n", "long"), ("grams", "binary"), ("counts", "binary")), *low)
-    asked = packed.where("m is not null").select("s", "m", F.lit(2).alias("kind"), "block", "n", "grams", *none(("counts", "binary"), *((x, "binary") for x in low)))
+    asked = packed.select("s", "m", F.lit(2).alias("kind"), "block", "n", "grams", *none(("counts", "binary"), *((x, "binary") for x in low)))
     met = counted.unionByName(fitted).unionByName(asked).repartition(n, "s", "m").sortWithinPartitions("s", "m", "kind")
     answers = met.mapInArrow(_answer, "block long, m string, n long, grams binary, bits binary").select("block", *none(("blob", "binary")), "m", "n", "grams", "bits")
-    blocks = packed.where("m is null").select("block", "blob", *none(("m", "string"), ("n", "long"), ("grams", "binary"), ("bits", "binary")))
-    return work.table(blocks.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "m").mapInArrow(_score(model.known, keep), SCORED), "scored")
+    rows = docs.mapInArrow(_pack_rows(model.known), "block long, blob binary").select("block", "blob", *none(("m", "string"), ("n", "long"), ("grams", "binary"), ("bits", "binary")))
+    return work.table(rows.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "m").mapInArrow(_score(model.known, keep), SCORED), "scored")
 
 
 class Judge:
