@@ -7,7 +7,7 @@
 4. Documents meet their own confirmed digests and lose those lines.
 
 False positives of the filters cost a shuffled digest, never a line. Twice-filters beyond ``max_filter_bytes`` in all are not
-broadcast: every long line is then shuffled for exact confirmation, with the same result.
+broadcast: the hashes then travel with their doc_ids to the filters' shards, and those suspected go back to their documents.
 """
 
 from __future__ import annotations
@@ -89,6 +89,10 @@ def fold(words: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
     return words, bits
 
 
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+
+
 def _pack(shards: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -96,7 +100,7 @@ def _pack(shards: int, min_chars: int):
         def flush() -> pa.RecordBatch:
             h = np.concatenate(held)
             held.clear()
-            shard = (h >> np.uint64(40)) % np.uint64(shards)
+            shard = shard_of(h, shards)
             order = np.argsort(shard, kind="stable")
             h, shard = h[order], shard[order]
             cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -143,6 +147,50 @@ def _twice(bits_a_line: int):
     return run
 
 
+def _pack_with_ids(shards: int, min_chars: int):
+    """The hashes of each slice of documents with their doc_ids, a row a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in byte_slices(batch, "text", 1 << 22):
+                lines = Lines(batch.column("text").slice(lo, hi - lo))
+                at = lines.long(min_chars)
+                h = lines.hashes(at)
+                shard = shard_of(h, shards)
+                order = np.argsort(shard, kind="stable")
+                shard = shard[order]
+                cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
+                ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(lines.doc[at][order]))
+                edges = pa.array(np.append(cut, len(shard)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.ListArray.from_arrays(edges, ids), pa.ListArray.from_arrays(edges, pa.array(h[order].view(np.int64)))], ["shard", "ids", "hashes"])
+
+    return run
+
+
+def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (shard, kind): the hashes that their shard's filter, which comes first, suspects."""
+    now, words, bits = None, None, 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            shard = batch.column("shard")[i].as_py()
+            if batch.column("kind")[i].as_py() == 0:
+                now, bits, words = shard, batch.column("bits")[i].as_py(), np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
+            elif now == shard:
+                h = np.asarray(batch.column("hashes")[i].values)
+                at = np.flatnonzero(_has(words, h.view(np.uint64), bits))
+                yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values.take(pa.array(at)), pa.array(h[at])], ["doc_id", "h"])
+
+
+def suspected_hashes(docs: DataFrame, twice: DataFrame, min_chars: int) -> DataFrame:
+    """``of long, asked array<long>``: the suspected line hashes of each document, by a shuffle of 16 bytes a line."""
+    shards = partitions(docs.sparkSession)
+    lines = texts(docs).mapInArrow(_pack_with_ids(shards, min_chars), "shard int, ids array<long>, hashes array<long>")
+    rows = lines.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("bits"), F.lit(None).cast("binary").alias("words"), "ids", "hashes")
+    filters = twice.select("shard", F.lit(0).alias("kind"), "bits", "words", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("hashes"))
+    met = filters.unionByName(rows).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    return met.mapInArrow(_test, "doc_id long, h long").groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("h").alias("asked"))
+
+
 def twice_filters(docs: DataFrame, work: Workspace, min_chars: int, bits_a_line: int = 12) -> DataFrame:
     """``shard int, bits int, words binary``: a Bloom filter a shard of the hashes of lines found in more than one document."""
     shards = partitions(docs.sparkSession)
@@ -156,17 +204,20 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max
     """``doc_id, text, n_lines, n_dropped``: documents without the lines that recur.
 
     A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z in lower case. Keys of ``min_chars`` code points or more in
-    ``min_docs`` rows or more lose all their lines except in the largest doc_id holding them. Null or empty texts are one empty line;
-    repeated rows each count as a document and share their fate; a null doc_id is the least. Other columns are ignored.
+    ``min_docs`` documents (distinct doc_ids) or more lose all their lines except in the largest doc_id holding them. Null or empty texts
+    are one empty line; rows of one doc_id, repeated or not, are one document when keys are counted and keep a row each; null doc_ids are
+    one document, the least; a very long text is one slice of work; an empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
     shards = partitions(spark)
     twice = twice_filters(docs, work, min_chars)
     size = twice.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
-    filters = None
+    asked, filters = texts(docs).withColumn("asked", F.lit(None).cast("array<long>")), None
     if size <= max_filter_bytes:
         filters = spark.sparkContext.broadcast({r["shard"]: (r["bits"], bytes(r["words"])) for r in twice.collect()})
+    else:
+        asked = texts(docs).join(suspected_hashes(docs, twice, min_chars), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "asked")
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = {k: (bits, np.frombuffer(w, np.uint64)) for k, (bits, w) in filters.value.items()} if filters is not None else None
@@ -174,24 +225,31 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max
             for lo, hi in byte_slices(batch, "text", 1 << 22):
                 lines = Lines(batch.column("text").slice(lo, hi - lo))
                 at = lines.long(min_chars)
+                h = lines.hashes(at)
+                found = np.zeros(len(at), bool)
                 if words is not None:
-                    h = lines.hashes(at)
-                    shard = ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+                    shard = shard_of(h, shards)
                     order = np.argsort(shard, kind="stable")
                     edges = np.searchsorted(shard[order], np.arange(shards + 1))
-                    found = np.zeros(len(at), bool)
                     for k, (bits, w) in words.items():
                         own = order[edges[k] : edges[k + 1]]
                         found[own] = _has(w, h[own], bits)
-                    at = at[found]
+                else:
+                    edges = np.searchsorted(lines.doc[at], np.arange(hi - lo + 1))
+                    for i in range(hi - lo):
+                        wanted = np.asarray(batch.column("asked")[lo + i].values).view(np.uint64)
+                        found[edges[i] : edges[i + 1]] = np.isin(h[edges[i] : edges[i + 1]], wanted)
+                at = at[found]
                 rows = {(d, x): None for d, x in zip(lines.doc[at].tolist(), lines.digests(at), strict=True)}
                 ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array([d for d, _ in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([x for _, x in rows], pa.binary())], ["doc_id", "key"])
 
-    found = work.table(texts(docs).mapInArrow(suspects, "doc_id long, key binary"), "suspects")
+    found = work.table(asked.mapInArrow(suspects, "doc_id long, key binary").distinct(), "suspects")
+    if filters is not None:
+        filters.destroy()
     confirmed = work.table(found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep"), "confirmed")
     drops = found.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    drops = drops.select(F.col("doc_id").alias("drop_id"), "key").groupBy("drop_id").agg(F.collect_set("key").alias("drops"))
+    drops = drops.select(F.col("doc_id").alias("drop_id"), "key").groupBy("drop_id").agg(F.collect_list("key").alias("drops"))
     told = texts(docs).join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "drops")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,13 +101,13 @@ from marked group by doc_id
 """,
     "op5_unit_dedup": r"""
 with units as (
-  select doc_id, coalesce(text, '') as text, unnest(string_split_regex(coalesce(text, ''), '[\n.!?]')) as u,
-    generate_subscripts(string_split_regex(coalesce(text, ''), '[\n.!?]'), 1) as i from documents
+  select doc_id, coalesce(text, '') as text, unnest(string_split(coalesce(text, ''), chr(10))) as u,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
 ), placed as (
   select *, coalesce(sum(length(u) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start,
     translate(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from units
 ), counted as (
-  select *, (case when k = '' then 0 else length(k) - length(replace(k, ' ', '')) + 1 end) >= 5 as long_enough from placed
+  select *, (case when k = '' then 0 else length(k) - length(replace(k, ' ', '')) + 1 end) >= 15 as long_enough from placed
 ), ranked as (
   select *, case when long_enough then row_number() over (partition by k order by doc_id, start) else 1 end as r from counted
 )

@@ -1,4 +1,4 @@
-"""Substring deduplication by hashing normalised units: lines, paragraphs or sentences.
+"""Substring deduplication by hashing normalised units: lines (the default), paragraphs or sentences.
 
 1. Each batch of documents is cut into units, and each unit long enough gives a 128-bit digest of its normalised text. Within the
    batch only the earliest occurrence of a digest travels on; the others are removals already (so a hot digest is at most a row a batch).
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, byte_slices, texts, utf8_parts
@@ -99,18 +99,19 @@ def occurrences(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
     return texts(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, start int, end int, h1 long, h2 long, again boolean")
 
 
-def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 5) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 15) -> DataFrame:
     """``doc_id, text, n_units, removed array<struct<start, end>>, kept``: documents without units that an earlier document holds.
 
-    Of all units of one normal form and ``min_words`` words or more, the one with the smallest (doc_id, text hash, start) stays and the
+    Shorter units (headings, licence and boilerplate lines) are left alone. Of all units of one normal form and ``min_words`` words or more, the one with the smallest (doc_id, text hash, start) stays and the
     others go, together with the character that ends them; ``removed`` holds their ranges in code points of the original text. Null
     texts are empty and lose nothing; null doc_ids rank last; rows alike in doc_id and text are one document and share its result;
-    very long texts are cut like any other. Other columns are ignored.
+    very long texts are cut like any other; an empty table gives no rows. Other columns are ignored.
     """
     work = Workspace(docs.sparkSession, "units")
     found = work.table(occurrences(docs, unit, min_words), "occurrences")
-    ranked = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "th", "start")
-    losers = found.where("not again").withColumn("rank", F.rank().over(ranked)).where("rank > 1")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "start")
+    earliest = found.where("not again").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")  # combined before the shuffle
+    losers = found.where("not again").withColumn("place", place).join(earliest, ["h1", "h2"]).where("place <> first")
     removed = losers.select("doc_id", "th", "start", "end").unionByName(found.where("again").select("doc_id", "th", "start", "end"))
     spans = removed.groupBy(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     docs = texts(docs).withColumn("th", F.xxhash64("text"))
