@@ -1,6 +1,8 @@
 """Corpus operators against brute force on a table of hard cases, and on empty tables."""
 
+import functools
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -313,6 +315,19 @@ def test_hilbert_neighbours(spark):
         assert np.allclose([s for _, s in found[q]], [s for _, s in w], atol=1e-12)
     hit = [len({r["vec_id"] for r in g} & {i for i, _ in wanted[q]}) for q, g in _by(nearest(df).collect()).items()]
     assert sum(hit) / (5 * len(wanted)) >= 0.9
+    # short vectors are compared with their own; scaled copies are ranked by the formula itself, whatever the batches
+    short = [(2000 + 25 * i, [float(x) for x in np.random.default_rng(i).normal(size=3)], 0) for i in range(8)]
+    scaled = [(3000 + i, [x * (1 + i / 7) for x in rows[5][1]], 0) for i in range(60)]
+    more = rows + [(i, [float(np.float32(x)) for x in v], r) for i, v, r in short + scaled]
+    both = [sets(nearest(spark.createDataFrame(more, "vec_id long, embedding array<float>, rank int").repartition(p), window=10_000)) for p in (1, 6)]
+    assert both[0] == both[1]
+    by_id = {i: np.array(v, float) for i, v, _ in more if i is not None and v and None not in v}
+    fixed = lambda x, y: functools.reduce(lambda s, p: s + p[0] * p[1], zip(x.tolist(), y.tolist()), 0.0)  # noqa: E731  (sum() compensates)
+    for q, rank, i, score in both[0]:
+        x, y = by_id[q], by_id[i]
+        assert len(x) == len(y) and score == fixed(x, y) / (math.sqrt(fixed(x, x)) * math.sqrt(fixed(y, y)))
+        if q in (2000, 2050, 2100, 2150):
+            assert 2000 <= i < 2200
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, rank int")
     assert len(nearest(few).collect()) == 2
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
