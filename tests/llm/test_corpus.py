@@ -226,8 +226,24 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def test_near_dedup_stage_keeps_one_of_each_similar_group(spark, docs, data):
+def test_row_blocks_do_not_depend_on_batches():
+    from tidemark.llm.common import row_blocks
+
+    rng = np.random.default_rng(6)
+    texts = [None if i % 9 == 0 else "é" * int(n) for i, n in enumerate(rng.integers(0, 400, 300))]
+    whole = pa.record_batch({"doc_id": pa.array(range(300)), "text": pa.array(texts), "more": pa.array(range(300))})
+    cut = lambda n: [whole.slice(i, n) for i in range(0, 300, n)]
+    found = [[(name, [x for rows, _ in held for x in rows.column("doc_id").to_pylist()]) for name, held in row_blocks(iter(cut(n)), 5000)] for n in (1, 7, 64, 300)]
+    assert found[0] == found[1] == found[2] == found[3] and [x for _, ids in found[0] for x in ids] == list(range(300))
+    assert len({name for name, _ in found[0]}) == len(found[0]) > 10
+
+
+@pytest.mark.parametrize("bucket", [2048, 3])
+def test_near_dedup_stage_keeps_one_of_each_similar_group(spark, docs, data, monkeypatch, bucket):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tidemark.llm import similar
+
+    monkeypatch.setattr(similar, "BUCKET", bucket)
     rng = np.random.default_rng(11)
     rows = [(d, t) for d, t, *_ in data]
     for g in range(25):  # copies with a few words changed, around the similarity of 0.8

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +21,12 @@ _OWN_ROOT: dict[str, str] = {}
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "root" not in _OWN_ROOT:
         _OWN_ROOT["root"] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return _OWN_ROOT["root"]
@@ -37,7 +42,9 @@ class Workspace:
         self.spark = spark
         ship(spark)
         self.path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        if not _LEFT:
+            atexit.register(lambda: [_delete(s, p) for s, p in _LEFT])
+        _LEFT.append((spark, self.path))
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -45,12 +52,18 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session may be gone at interpreter exit; leftovers are harmless
-            pass
+        _delete(self.spark, f"{self.path}/{name}".rstrip("/"))
+
+
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone at interpreter exit; leftovers are harmless
+        pass
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +111,73 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int):
         lo = hi
 
 
+class _Named:
+    """A name for a run of rows that does not depend on how they were cut into batches."""
+
+    def __init__(self, columns: int):
+        self.parts = [xxhash.xxh64() for _ in range(2 * columns)]
+
+    def add(self, columns: list[pa.Array]) -> None:
+        for i, column in enumerate(columns):
+            data, offsets = utf8_parts(column)
+            self.parts[2 * i].update(np.ascontiguousarray(data))
+            self.parts[2 * i + 1].update(np.diff(offsets))
+
+    def name(self) -> int:
+        return xxhash.xxh64_intdigest(b"".join(p.digest() for p in self.parts)) - (1 << 63)
+
+
+def row_blocks(batches: Iterator[pa.RecordBatch], limit: int, by: tuple[str, ...] = ("doc_id",)) -> Iterator[tuple[int, list[tuple[pa.RecordBatch, pa.Array]]]]:
+    """Blocks of consecutive rows, as many as ``limit`` bytes of text hold (and 64 a row): a name, and slices of rows with their texts (nulls empty).
+
+    The name is a hash of the texts and the columns ``by``, and neither it nor the blocks depend on batches, so two reads of the same rows in
+    the same order give the same blocks wherever they run; blocks alike have one name. A longer text is a block of its own.
+    """
+    held, size, name = [], 0, _Named(1 + len(by))
+    for batch in batches:
+        text = batch.column("text").cast(pa.string()).fill_null("")
+        others = [batch.column(c).cast(pa.string()).fill_null("") for c in by]
+        upto = utf8_parts(text)[1] + 64 * np.arange(batch.num_rows + 1)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(upto, upto[lo] + limit - size, "right")) - 1
+            if hi <= lo and held:
+                yield name.name(), held
+                held, size, name = [], 0, _Named(1 + len(by))
+                continue
+            hi = max(hi, lo + 1)
+            held.append((batch.slice(lo, hi - lo), text.slice(lo, hi - lo)))
+            name.add([held[-1][1], *(o.slice(lo, hi - lo) for o in others)])
+            size += int(upto[hi] - upto[lo])
+            lo = hi
+    if held:
+        yield name.name(), held
+
+
+def packed_rows(docs: DataFrame, limit: int, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``block long, blob binary``: the rows of each of ``row_blocks`` as they are, all columns, in Arrow's stream format, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in row_blocks(batches, limit, by):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0][0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                for piece, _ in held:
+                    out.write_batch(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "blob"])
+        trim()
+
+    return docs.mapInArrow(run, "block long, blob binary")
+
+
+def trim() -> None:
+    """Gives freed memory of this worker back to the system: it lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words_at(data: np.ndarray) -> np.ndarray:
     """The little-endian 8-byte word at every position of an array of bytes (zeros beyond the end)."""
     raw = data.tobytes() + bytes(8)

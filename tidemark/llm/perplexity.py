@@ -25,19 +25,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_slices, mix64, partitions, utf8_parts
+from .common import Workspace, byte_slices, mix64, packed_rows, partitions, row_blocks, trim, utf8_parts
 
 ORDER = 5
 PASSAGE = 6
 MAX_BROADCAST_IDS = 2_000_000
 LENGTH_BANDS = 32
 GRAIN = 1000  # thresholds are in thousandths of a bit
-SLICE = 1 << 20  # bytes of text worked on at once: about 90 bytes of arrays each
-BLOCK = 24 << 20  # bytes of text of a block; a longer text is a block of its own
+SLICE = 1 << 18  # bytes of text worked on at once: about 90 bytes of arrays each
+BLOCK = 16 << 20  # bytes of text of a block; a longer text is a block of its own
 SHARD_GRAMS = 100_000
 
 
@@ -126,11 +125,13 @@ def unpack(packed: bytes, n: int) -> np.ndarray:
 
 
 class Distinct:
-    """Distinct n-grams and their counts by model, of slices of text."""
+    """Distinct n-grams by model of slices of text, and if wanted their counts."""
 
-    def __init__(self):
-        self.held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.size = 0
+    MERGE = 1_500_000
+
+    def __init__(self, counts: bool = True):
+        self.held: dict[str, list[tuple[np.ndarray, np.ndarray | None]]] = {}
+        self.counts, self.size = counts, 0
 
     def add(self, column: pa.Array, models: list[str]) -> None:
         data, offsets = utf8_parts(column)
@@ -139,14 +140,25 @@ class Distinct:
             key, row, _ = ngram_keys(data, offsets, lo, hi)
             of = which[row]
             for i in np.unique(of).tolist():
-                found = np.unique(key[of == i] if len(names) > 1 else key, return_counts=True)
-                self.held.setdefault(names[i], []).append(found)
-                self.size += len(found[0])
+                own = key[of == i] if len(names) > 1 else key
+                self.held.setdefault(names[i], []).append(np.unique(own, return_counts=True) if self.counts else (np.unique(own), None))
+                self.size += len(self.held[names[i]][-1][0])
+            if self.size > self.MERGE:
+                self._merge()
 
-    def pop(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    def _merge(self) -> None:
         for m, parts in self.held.items():
-            g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            yield m, g, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+            if len(parts) > 1 and self.counts:
+                g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                self.held[m] = [(g, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64))]
+            elif len(parts) > 1:
+                self.held[m] = [(np.unique(np.concatenate([p[0] for p in parts])), None)]
+        self.size = sum(len(parts[0][0]) for parts in self.held.values())
+
+    def pop(self) -> Iterator[tuple[str, np.ndarray, np.ndarray | None]]:
+        self._merge()
+        for m, ((g, c),) in self.held.items():
+            yield m, g, c
         self.held, self.size = {}, 0
 
 
@@ -161,9 +173,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = model_of(batch.column("doc_id"), batch.column("lang"), own=True)
         for lo, hi in byte_slices(batch, "text", BLOCK):
             grams.add(batch.column("text").slice(lo, hi - lo), models[lo:hi])
-            if grams.size > 4_000_000:
+            if grams.size > Distinct.MERGE:
                 yield from flush()
     yield from flush()
+    trim()
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -290,41 +303,18 @@ class Model:
 
 # --- scores ----------------------------------------------------------------------------------------------------------------------------------
 
+SCORED_BY = ("doc_id", "lang")
 ASKED = "s int, m string, block long, n long, grams binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> Iterator[tuple[int, list[tuple[pa.RecordBatch, pa.Array, list[str]]]]]:
-    """Blocks of consecutive rows, up to about ``BLOCK`` bytes of text: a hash of what is scored, and slices of rows with their texts and models.
-
-    The hash names a block, so two reads of the same rows in the same order name it alike wherever they run.
-    """
-    held, size, name = [], 0, xxhash.xxh64()
-    for batch in batches:
-        text = batch.column("text").cast(pa.string()).fill_null("")
-        ids = batch.column("doc_id").cast(pa.int64()).fill_null(0)
-        models = settled(model_of(ids, batch.column("lang").cast(pa.string()), own=False), known)
-        for lo, hi in byte_slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", BLOCK):
-            own = text.slice(lo, hi - lo)
-            data, offsets = utf8_parts(own)
-            if held and size + len(data) > BLOCK:
-                yield name.intdigest() - (1 << 63), held
-                held, size, name = [], 0, xxhash.xxh64()
-            held.append((batch.slice(lo, hi - lo), own, models[lo:hi]))
-            size += len(data) + 64 * (hi - lo)
-            for part in (data, offsets, np.asarray(ids)[lo:hi], "\0".join(models[lo:hi]).encode()):
-                name.update(np.ascontiguousarray(part) if not isinstance(part, bytes) else part)
-    if held:
-        yield name.intdigest() - (1 << 63), held
-
-
 def _ask(known: frozenset[str], shards: int) -> Callable:
     """The distinct n-grams that each block asks a shard of a model for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, held in _blocks(batches, known):
-            grams = Distinct()
-            for _, text, models in held:
-                grams.add(text, models)
+        for block, held in row_blocks(batches, BLOCK, SCORED_BY):
+            grams = Distinct(counts=False)
+            for rows, text in held:
+                grams.add(text, settled(model_of(rows.column("doc_id"), rows.column("lang").cast(pa.string()), own=False), known))
             for m, g, _ in grams.pop():
                 if m not in known:
                     continue
@@ -336,20 +326,7 @@ def _ask(known: frozenset[str], shards: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard[cut].astype(np.int32)), pa.array([m] * len(cut)), pa.array([block] * len(cut), pa.int64()), pa.array(to - cut, pa.int64()), pa.array([pack(g[a:b]) for a, b in zip(cut, to, strict=True)], pa.binary())], ["s", "m", "block", "n", "grams"]
                 )
-
-    return run
-
-
-def _pack_rows(known: frozenset[str]) -> Callable:
-    """The rows of each block as they are, in Arrow's stream format, compressed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, held in _blocks(batches, known):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0][0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
-                for piece, _, _ in held:
-                    out.write_batch(piece)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "blob"])
+        trim()
 
     return run
 
@@ -392,7 +369,7 @@ def _score(known: frozenset[str], keep: bool) -> Callable:
                 if names[i] in known:
                     here = of == i
                     asked, at = np.unique(key[here], return_inverse=True)
-                    found = _look(*answers.get(names[i], (np.zeros(0, np.uint64), np.zeros(0))), asked, np.nan)
+                    found = _look(*answers.get(names[i], (np.zeros(0, np.uint64), np.zeros(0, np.float32))), asked, np.nan)
                     if np.isnan(found).any():
                         raise RuntimeError("the documents were not read in one order twice: an n-gram has no answer")
                     cost[here] = found[at]
@@ -416,11 +393,13 @@ def _score(known: frozenset[str], keep: bool) -> Callable:
             for m in {r["m"] for r in rows[len(blobs) :]}:
                 own = [r for r in rows[len(blobs) :] if r["m"] == m]
                 g, at = np.unique(np.concatenate([unpack(r["grams"], r["n"]) for r in own]), return_index=True)
-                answers[m] = g, np.concatenate([np.frombuffer(r["bits"], np.float32) for r in own])[at].astype(np.float64)
+                answers[m] = g, np.concatenate([np.frombuffer(r["bits"], np.float32) for r in own])[at]
             del rows, parts
             for blob in blobs:
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in score(blob, answers)]
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob if keep else None], pa.binary()), *lists], ["block", "blob", "doc_id", "lang", "n_bytes", "bits", "worst"])
+            del answers, blobs
+        trim()
 
     return run
 
@@ -436,7 +415,7 @@ def scored_blocks(docs: DataFrame, model: Model, keep: bool) -> DataFrame:
     asked = packed.select("s", "m", F.lit(2).alias("kind"), "block", "n", "grams", *none(("counts", "binary"), *((x, "binary") for x in low)))
     met = counted.unionByName(fitted).unionByName(asked).repartition(n, "s", "m").sortWithinPartitions("s", "m", "kind")
     answers = met.mapInArrow(_answer, "block long, m string, n long, grams binary, bits binary").select("block", *none(("blob", "binary")), "m", "n", "grams", "bits")
-    rows = docs.mapInArrow(_pack_rows(model.known), "block long, blob binary").select("block", "blob", *none(("m", "string"), ("n", "long"), ("grams", "binary"), ("bits", "binary")))
+    rows = packed_rows(docs, BLOCK, SCORED_BY).select("block", "blob", *none(("m", "string"), ("n", "long"), ("grams", "binary"), ("bits", "binary")))
     return work.table(rows.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "m").mapInArrow(_score(model.known, keep), SCORED), "scored")
 
 
