@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from ..plans.shipping import ship
 
 _OWN_ROOT: dict[str, str] = {}
+ARROW_BYTES = 8 << 20
 
 
 def work_root(spark: SparkSession) -> str:
@@ -32,6 +34,18 @@ def work_root(spark: SparkSession) -> str:
     return _OWN_ROOT["root"]
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Rows go to Python workers at most ``ARROW_BYTES`` at a time (the default of 64 MB is held several times over on both sides)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 class Workspace:
     """Written tables of one operator call, under the shared folder. They cut lineage: a lost executor costs a re-read, no recomputation.
 
@@ -48,7 +62,8 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(path, partitionBy=partition_by)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").option("compression", codec).parquet(path, partitionBy=partition_by)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

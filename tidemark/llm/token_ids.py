@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_slices, partitions, span_hashes, texts, utf8_parts, words_at
+from .common import Workspace, byte_slices, partitions, small_batches, span_hashes, texts, trim, utf8_parts, words_at
 
 BLOCK_IDS = 1 << 20
 BLOCKS = "part int, block int, base long, n_docs int, n_ids long, n_null int, first_doc long, doc_ids binary, bounds binary, width int, ids binary"
@@ -342,6 +342,7 @@ def _encode_part(tokenizer: str, end_id: int, block_ids: int):
                     at = to
         if held:
             yield flush()
+        trim()
 
     return run
 
@@ -356,7 +357,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, n_
     n = n_parts or partitions(spark)
     ordered = texts(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(_encode_part(tokenizer, end_id, block_ids), BLOCKS).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
+    with small_batches(spark):
+        ordered.mapInArrow(_encode_part(tokenizer, end_id, block_ids), BLOCKS).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs"))
     # one row a part, at most n of them: small enough for a single running sum
