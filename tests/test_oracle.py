@@ -50,10 +50,7 @@ def test_query_matches_sql(spark, con, name):
     assert not bad, bad[:3]
 
 
-SLOW = {"price_features", "grid_search", "signal_metrics", "path_summary"}
-
-
-@pytest.mark.parametrize("name", [n for n in names(False) if n not in SLOW])
+@pytest.mark.parametrize("name", names(False))
 def test_query_runs(spark, name):
     from tidemark import registry
 

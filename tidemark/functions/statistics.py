@@ -9,7 +9,7 @@ from statistics import NormalDist
 import numpy as np
 
 _N = NormalDist()
-EULER = 0.5772156649015329
+EULER = float(np.euler_gamma)
 
 
 def psr(sr: float, benchmark: float, n: int, skew: float = 0.0, kurt: float = 3.0) -> float:
@@ -59,6 +59,23 @@ def pbo(performance: np.ndarray, parts: int = 10) -> dict:
     return {"pbo": float(np.mean(np.array(logits) <= 0)), "n_splits": len(logits), "logits": logits}
 
 
+def pbo_from_sums(cells: dict, names: list, parts: int) -> tuple[float, int]:
+    """``pbo`` from (part, configuration) -> (count, sum, sum of squares); also the number of splits."""
+
+    def sharpe(chosen: tuple[int, ...]) -> np.ndarray:
+        n, s, q = np.array([[cells.get((i, c), (0, 0.0, 0.0)) for c in names] for i in chosen], float).sum(axis=0).T
+        mean = s / np.maximum(n, 1)
+        var = (q - n * mean * mean) / np.maximum(n - 1, 1)
+        return np.where(var > 1e-18, mean / np.sqrt(np.maximum(var, 1e-300)), 0.0)
+
+    logits = []
+    for chosen in itertools.combinations(range(parts), parts // 2):
+        best = int(np.argmax(sharpe(chosen)))
+        w = average_ranks(sharpe(tuple(i for i in range(parts) if i not in chosen)))[best] / (len(names) + 1)
+        logits.append(math.log(w / (1 - w)))
+    return float(np.mean(np.array(logits) <= 0)), len(logits)
+
+
 def student_t_sf(t: float, df: float) -> float:
     """Upper tail of Student's t by the incomplete beta function's continued fraction."""
     x = df / (df + t * t)

@@ -7,15 +7,20 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import positions
+
 
 def numbered(labels: DataFrame, key: str = "id") -> DataFrame:
-    """``row``: place from 0 by (t0, key). Labels are compact; still one ordering of them all is inherent to contiguous folds."""
-    return labels.withColumn("row", F.row_number().over(Window.orderBy("t0", key)) - 1)
+    """``row``: place from 0 by (t0, key). Counted by day first, so no task orders more than a day."""
+    return positions(labels, [], ["t0", key], F.to_date("t0")).withColumn("row", F.col("pos").cast("int")).drop("pos")
 
 
 def folds(df: DataFrame, n: int) -> DataFrame:
-    """``fold``: n contiguous near-equal parts, the first (rows mod n) one longer."""
-    return df.withColumn("fold", F.ntile(n).over(Window.orderBy("row")) - 1)
+    """``fold``: n contiguous near-equal parts of rows numbered from 0, the first (rows mod n) one longer, in closed form."""
+    size, longer = divmod(df.count(), n)
+    head = longer * (size + 1)
+    fold = F.when(F.col("row") < head, F.floor(F.col("row") / (size + 1))).otherwise(longer + F.floor((F.col("row") - head) / max(size, 1)))
+    return df.withColumn("fold", fold.cast("int"))
 
 
 def purge(rows: DataFrame, tests: DataFrame, embargo: int) -> DataFrame:

@@ -1,19 +1,28 @@
-"""Price, volume and technical features as window expressions over bars (symbol, ts, open, high, low, close, volume)."""
+"""Price, volume and technical features as window expressions over bars (symbol, ts, open, high, low, close, volume).
+
+Functions take the columns to partition by, and ``cut`` runs any of them over (symbol, block of rows) instead of a symbol's whole history.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import pos_ln, sdiv, trade_date
 from .recurrences import Ewm, ewm, span, wilder
-from .windows import guarded, rmean, rows, rstd
+from .windows import blocked, guarded, rmean, rows, rstd
 
 K = ["symbol"]
 
 
+def cut(df: DataFrame, halo: int, compute: Callable[[DataFrame, list[str]], DataFrame], keys: list[str] = K) -> DataFrame:
+    """``compute(df, keys)``, whose windows reach ``halo`` rows back, in blocks of bounded size (``windows.blocked``)."""
+    return blocked(df, keys, ["ts"], halo, compute, F.to_date("ts"))
+
+
 def base(df: DataFrame, keys: list[str] = K) -> DataFrame:
     """Log close, true range, one-bar return."""
     w = Window.partitionBy(*keys).orderBy("ts")
@@ -130,66 +139,71 @@ def vortex(df: DataFrame, n: int = 14, keys: list[str] = K) -> DataFrame:
     return df.withColumns({"vortex_pos": sdiv(guarded(F.sum, "_p", frame, n), t), "vortex_neg": sdiv(guarded(F.sum, "_m", frame, n), t)}).drop("_p", "_m", "_t")
 
 
-def ema_macd(df: DataFrame, spans: tuple[int, ...] = (12, 26), slope: int = 5, keys: list[str] = K) -> DataFrame:
-    """Slopes and z-scored distances of exponential means of the log close; MACD 12/26/9."""
-    specs = [Ewm(f"_e{n}", "logc", span(n), n) for n in spans] + [Ewm("_f", "logc", span(12), 12), Ewm("_s", "logc", span(26), 26)]
-    df = ewm(df, keys, "ts", specs).withColumn("macd", F.col("_f") - F.col("_s"))
-    df = ewm(df, keys, "ts", [Ewm("macd_signal", "macd", span(9), 9)]).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-    w = Window.partitionBy(*keys).orderBy("ts")
-    for n in spans:
-        df = df.withColumns({f"ema_slope_{n}": F.col(f"_e{n}") - F.lag(f"_e{n}", slope).over(w), "_d": F.col("logc") - F.col(f"_e{n}")})
-        df = df.withColumn(f"ema_dist_z_{n}", sdiv("_d", rstd("_d", rows(keys, "ts", n), n)))
-    return df.drop("_d", "_f", "_s", *[f"_e{n}" for n in spans])
+FAMILIES = ("macd", "rsi", "atr", "adx", "trix")
 
 
-def rsi(df: DataFrame, n: int = 14, keys: list[str] = K) -> DataFrame:
-    """Wilder's RSI: 100 where there is gain and no loss, null where neither."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    d = F.col("close") - F.lag("close").over(w)
-    df = df.withColumns({"_g": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "_l": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))})
-    df = ewm(df, keys, "ts", [Ewm("_ag", "_g", wilder(n), n), Ewm("_al", "_l", wilder(n), n)])
-    return df.withColumn(f"rsi_{n}", 100 * sdiv("_ag", F.col("_ag") + F.col("_al"))).drop("_g", "_l", "_ag", "_al")
+def smoothed(df: DataFrame, families: tuple[str, ...] = FAMILIES, keys: list[str] = K) -> DataFrame:
+    """Indicators made of exponential means, of bars with ``base`` columns: MACD 12/26/9 with slopes and z-scored distances of both means of the
+    log close, Wilder's RSI, ATR and ADX of 14, TRIX of 15.
 
+    All first-order means go in one pass, the means of their results in a second, the third mean of TRIX in a last: each pass reads its input
+    twice, so passes are what to save. RSI is 100 where there is gain and no loss, null where neither.
+    """
+    has = lambda f: f in families
+    n, m = 14, wilder(14)
 
-def atr(df: DataFrame, n: int = 14, keys: list[str] = K) -> DataFrame:
-    return ewm(df, keys, "ts", [Ewm("_atr", "true_range", wilder(n), n)]).withColumn(f"atr_pct_{n}", sdiv("_atr", "close")).drop("_atr")
+    def moves(d: DataFrame, k: list[str]) -> DataFrame:
+        w = Window.partitionBy(*k).orderBy("ts")
+        c, up, dn = F.col("close") - F.lag("close").over(w), F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
+        out = {"_g": F.when(c.isNotNull(), F.greatest(c, F.lit(0.0))), "_l": F.when(c.isNotNull(), F.greatest(-c, F.lit(0.0)))} if has("rsi") else {}
+        return d.withColumns(out | ({"_pdm": F.when((up > dn) & (up > 0), up).otherwise(0.0), "_mdm": F.when((dn > up) & (dn > 0), dn).otherwise(0.0)} if has("adx") else {}))
 
+    if has("rsi") or has("adx"):
+        df = cut(df, 1, moves, keys)
+    first = [Ewm("_e12", "logc", span(12), 12), Ewm("_e26", "logc", span(26), 26)] * has("macd") + [Ewm("_ag", "_g", m, n), Ewm("_al", "_l", m, n)] * has("rsi") + [Ewm("_tr", "true_range", m, n)] * (has("atr") or has("adx"))
+    first += [Ewm("_p", "_pdm", m, n), Ewm("_m", "_mdm", m, n)] * has("adx") + [Ewm("_t1", "logc", span(15), 15)] * has("trix")
+    df = ewm(df, keys, "ts", first)
+    out = {"macd": F.col("_e12") - F.col("_e26")} if has("macd") else {}
+    out |= {"rsi_14": 100 * sdiv("_ag", F.col("_ag") + F.col("_al"))} if has("rsi") else {}
+    out |= {"atr_pct_14": sdiv("_tr", "close")} if has("atr") else {}
+    if has("adx"):
+        plus, minus = 100 * sdiv("_p", "_tr"), 100 * sdiv("_m", "_tr")
+        out |= {"plus_di": plus, "minus_di": minus, "_dx": 100 * sdiv(F.abs(plus - minus), plus + minus)}
+    df = df.withColumns(out) if out else df
+    second = [Ewm("macd_signal", "macd", span(9), 9)] * has("macd") + [Ewm("adx_14", "_dx", m, n)] * has("adx") + [Ewm("_t2", "_t1", span(15), 15)] * has("trix")
+    df = ewm(df, keys, "ts", second) if second else df
+    df = ewm(df, keys, "ts", [Ewm("_t3", "_t2", span(15), 15)]) if has("trix") else df
+
+    def tail(d: DataFrame, k: list[str]) -> DataFrame:
+        w = Window.partitionBy(*k).orderBy("ts")
+        if has("trix"):
+            d = d.withColumn("trix_15", F.col("_t3") - F.lag("_t3").over(w))
+        if has("macd"):
+            d = d.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+            for s in (12, 26):
+                d = d.withColumns({f"ema_slope_{s}": F.col(f"_e{s}") - F.lag(f"_e{s}", 5).over(w), "_d": F.col("logc") - F.col(f"_e{s}")})
+                d = d.withColumn(f"ema_dist_z_{s}", sdiv("_d", rstd("_d", rows(k, "ts", s), s)))
+        return d
+
+    df = cut(df, 26, tail, keys) if has("macd") or has("trix") else df
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
 
-def adx(df: DataFrame, n: int = 14, keys: list[str] = K) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("ts")
-    up, dn = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    df = df.withColumns({"_pdm": F.when((up > dn) & (up > 0), up).otherwise(0.0), "_mdm": F.when((dn > up) & (dn > 0), dn).otherwise(0.0)})
-    df = ewm(df, keys, "ts", [Ewm("_tr", "true_range", wilder(n), n), Ewm("_p", "_pdm", wilder(n), n), Ewm("_m", "_mdm", wilder(n), n)])
-    df = df.withColumns({"plus_di": 100 * sdiv("_p", "_tr"), "minus_di": 100 * sdiv("_m", "_tr")})
-    df = df.withColumn("_dx", 100 * sdiv(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
-    return ewm(df, keys, "ts", [Ewm(f"adx_{n}", "_dx", wilder(n), n)]).drop("_pdm", "_mdm", "_tr", "_p", "_m", "_dx")
-
-
-def trix(df: DataFrame, n: int = 15, keys: list[str] = K) -> DataFrame:
-    df = ewm(df, keys, "ts", [Ewm("_t1", "logc", span(n), n)])
-    df = ewm(df, keys, "ts", [Ewm("_t2", "_t1", span(n), n)])
-    df = ewm(df, keys, "ts", [Ewm("_t3", "_t2", span(n), n)])
-    w = Window.partitionBy(*keys).orderBy("ts")
-    return df.withColumn(f"trix_{n}", F.col("_t3") - F.lag("_t3").over(w)).drop("_t1", "_t2", "_t3")
 
+def ema_macd(df: DataFrame, keys: list[str] = K) -> DataFrame:
+    return smoothed(df, ("macd",), keys)
 
-def smoothed(df: DataFrame, keys: list[str] = K) -> DataFrame:
-    """MACD, slopes and distances, RSI, ATR, ADX and TRIX of bars with ``base`` columns, in three passes: all first-order means in one, the
-    means of their results in a second, the third mean of TRIX in a last. Each pass reads its input twice, so passes are what to save."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    d, up, dn = F.col("close") - F.lag("close").over(w), F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    df = df.withColumns({
-        "_g": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "_l": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))),
-        "_pdm": F.when((up > dn) & (up > 0), up).otherwise(0.0), "_mdm": F.when((dn > up) & (dn > 0), dn).otherwise(0.0),
-    })
-    first = [Ewm("_e12", "logc", span(12), 12), Ewm("_e26", "logc", span(26), 26), Ewm("_t1", "logc", span(15), 15), Ewm("_tr", "true_range", wilder(14), 14), *(Ewm(o, s, wilder(14), 14) for o, s in (("_ag", "_g"), ("_al", "_l"), ("_p", "_pdm"), ("_m", "_mdm")))]
-    df = ewm(df, keys, "ts", first)
-    plus, minus = 100 * sdiv("_p", "_tr"), 100 * sdiv("_m", "_tr")
-    df = df.withColumns({"macd": F.col("_e12") - F.col("_e26"), "rsi_14": 100 * sdiv("_ag", F.col("_ag") + F.col("_al")), "atr_pct_14": sdiv("_tr", "close"), "plus_di": plus, "minus_di": minus, "_dx": 100 * sdiv(F.abs(plus - minus), plus + minus)})
-    df = ewm(df, keys, "ts", [Ewm("macd_signal", "macd", span(9), 9), Ewm("adx_14", "_dx", wilder(14), 14), Ewm("_t2", "_t1", span(15), 15)])
-    df = ewm(df, keys, "ts", [Ewm("_t3", "_t2", span(15), 15)])
-    df = df.withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"), "trix_15": F.col("_t3") - F.lag("_t3").over(w)})
-    for n in (12, 26):
-        df = df.withColumns({f"ema_slope_{n}": F.col(f"_e{n}") - F.lag(f"_e{n}", 5).over(w), "_d": F.col("logc") - F.col(f"_e{n}")})
-        df = df.withColumn(f"ema_dist_z_{n}", sdiv("_d", rstd("_d", rows(keys, "ts", n), n)))
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+def rsi(df: DataFrame, keys: list[str] = K) -> DataFrame:
+    return smoothed(df, ("rsi",), keys)
+
+
+def atr(df: DataFrame, keys: list[str] = K) -> DataFrame:
+    return smoothed(df, ("atr",), keys)
+
+
+def adx(df: DataFrame, keys: list[str] = K) -> DataFrame:
+    return smoothed(df, ("adx",), keys)
+
+
+def trix(df: DataFrame, keys: list[str] = K) -> DataFrame:
+    return smoothed(df, ("trix",), keys)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import us
+from .asof import asof_join
+
 
 def grid_events(df: DataFrame, step: int, start: int, pos: str = "pos") -> DataFrame:
     """Every ``step``-th row from position ``start`` on."""
@@ -43,24 +46,33 @@ def triple_barrier(bars: DataFrame, events: DataFrame, horizon: int, up: float =
     return out
 
 
-def session_barrier(bars: DataFrame, events: DataFrame, minutes: int = 30, up: float = 1.5, keys: tuple[str, ...] = ("symbol", "session_date")) -> DataFrame:
-    """Barriers with a wall-clock vertical: the first bar at or after t0 + minutes, capped by the last bar of the session block.
+def session_barrier(bars: DataFrame, events: DataFrame, minutes: int = 30, up: float = 1.5, down: float = 1.5, sign_timeouts: bool = False, keys: tuple[str, ...] = ("symbol", "session_date"), close_at: str | None = None) -> DataFrame:
+    """Barriers inside a session block with a wall-clock vertical: the first bar at or after t0 + minutes, or the block's last bar where none is.
 
-    Events in the last ``minutes`` of a session are left out. Cells are ``minutes`` long; a path touches two, and the bar that closes it.
+    ``bars(keys, ts, close)``; ``events(keys, ts, close, sigma)``; ``close_at`` names a column of events with the session's close (by default the
+    block's last bar): events in the last ``minutes`` before it are left out. Ties of one bar go to the upper barrier; timeouts are 0 or the sign
+    of their return. Bars before the vertical meet events in cells ``minutes`` long (a path touches two); the vertical bar comes by an as-of join.
     """
-    k = list(keys)
-    width = minutes * 60
-    b = bars.select(*k, F.col("ts").alias("p_ts"), F.col("close").alias("p_close"))
-    last = b.groupBy(*k).agg(F.max("p_ts").alias("close_ts"))
-    e = events.select(*k, "ts", "close", "sigma").join(last, k).where((F.col("sigma") > 0) & (F.unix_timestamp("close_ts") - F.unix_timestamp("ts") >= width))
-    nxt = e.join(b, k).where(F.unix_timestamp("p_ts") >= F.unix_timestamp("ts") + width).groupBy(*k, "ts").agg(F.min("p_ts").alias("v_ts"))
-    e = e.join(nxt, [*k, "ts"])
-    path = e.join(b, k).where((F.col("p_ts") > F.col("ts")) & (F.col("p_ts") <= F.col("v_ts"))).withColumn("r", F.ln(F.col("p_close") / F.col("close")))
-    side = F.when(F.col("r") >= up * F.col("sigma"), 1).when(F.col("r") <= -up * F.col("sigma"), -1)
-    at = F.struct("p_ts", "r", side.alias("side"))
-    g = path.groupBy(*k, "ts", "sigma").agg(F.min(F.when(side.isNotNull(), at)).alias("touch"), F.max(at).alias("last"), F.count("*").alias("n"))
-    end = F.coalesce("touch", "last")
-    return g.select(*k, F.col("ts").alias("t0"), end["p_ts"].alias("t1"), end["r"].alias("ret"), F.coalesce(F.col("touch.side"), F.lit(0)).alias("label"), F.when(F.col("touch").isNull(), "vertical").when(F.col("touch.side") == 1, "upper").otherwise("lower").alias("barrier"))
+    k, width = list(keys), minutes * 60_000_000
+    place = F.row_number().over(Window.partitionBy(*k).orderBy("ts"))
+    b = bars.select(*k, "ts", "close").withColumn("_p", place)
+    last = b.groupBy(*k).agg(F.max(F.struct("ts", "close", "_p")).alias("_last"))
+    e = events.select(*k, "ts", "close", "sigma", *([F.col(close_at).alias("_close_at")] if close_at else [])).where("sigma > 0").join(last, k)
+    e = e.join(b.select(*k, "ts", F.col("_p").alias("_e")), [*k, "ts"])
+    e = e.where(us("ts") + width <= us("_close_at" if close_at else "_last.ts")).withColumn("_due", F.timestamp_micros(us("ts") + width))
+    e = asof_join(e, b.select(*k, "ts", F.struct("ts", "close", "_p").alias("bar")), on="_due", right_on="ts", by=k, take=["bar"], forward=True, prefix="_v_")
+    e = e.withColumns({"_end": F.coalesce("_v_bar", "_last"), "_capped": F.col("_v_bar").isNull()}).where("_end._p > _e")
+    cells = e.withColumn("_c", F.explode(F.array(F.floor(us("ts") / width), F.floor(us("ts") / width) + 1)))
+    bar = b.select(*k, F.struct("ts", "close", "_p").alias("_bar"), F.floor(us("ts") / width).alias("_c"))
+    path = cells.join(bar, [*k, "_c"]).where("_bar._p > _e and _bar._p < _end._p").drop("_c").unionByName(e.withColumn("_bar", F.col("_end")))
+    r = F.ln(F.col("_bar.close") / F.col("close"))
+    side = F.when(r >= up * F.col("sigma"), 1).when(r <= -down * F.col("sigma"), -1)
+    path = path.withColumn("_at", F.struct(F.col("_bar._p").alias("p"), F.col("_bar.ts").alias("ts"), r.alias("r"), side.alias("side")))
+    g = path.groupBy(*k, "ts", "sigma", "_e", "_capped").agg(F.min(F.when(F.col("_at.side").isNotNull(), F.col("_at"))).alias("touch"), F.max("_at").alias("last"))
+    end, none = F.coalesce("touch", "last"), F.col("touch").isNull()
+    timeout = F.signum("last.r").cast("int") if sign_timeouts else F.lit(0)
+    barrier = F.when(none & F.col("_capped"), "close").when(none, "vertical").when(F.col("touch.side") == 1, "upper").otherwise("lower")
+    return g.select(*k, F.col("ts").alias("t0"), end["ts"].alias("t1"), end["r"].alias("ret"), F.coalesce("touch.side", timeout).alias("label"), barrier.alias("barrier"), "sigma", (end["p"] - F.col("_e")).alias("n_bars"), (none & F.col("_capped")).alias("resolved_at_close"))
 
 
 def uniqueness(labels: DataFrame, keys: tuple[str, ...] = ("symbol",), decay_oldest: float = 1.0) -> DataFrame:

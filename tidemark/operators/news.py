@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import content_hash, page_title, theme_match, us
-from .asof import window_aggregate
+from ..functions.exprs import content_hash, page_title, sdiv, theme_match, us
+from .asof import window_totals
 
 ARTICLES = "struct<articles:array<struct<url:string,title:string,seendate:string,domain:string,language:string,sourcecountry:string>>>"
 FILINGS = "struct<name:string,filings:struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,acceptanceDateTime:array<string>,primaryDocument:array<string>>>>"
@@ -67,25 +67,57 @@ def select_unscored(raw: DataFrame, scored: DataFrame, model: str) -> DataFrame:
     return raw.where(~F.coalesce(F.col("degraded"), F.lit(False))).join(done, "content_hash", "left_anti")
 
 
-def sentiment_features(events: DataFrame, targets: DataFrame, minutes: list[int], event_time: str = "observed_at", target_time: str = "ts", target_key: str = "id", lag_minutes: int = 0) -> DataFrame:
-    """Per target and window (t - w, t]: count, has_any, mean, sum, mean positive, max abs score, latest age in minutes; degraded events counted apart.
+def normalise_scored(df: DataFrame) -> DataFrame:
+    """Scored events ready for windows: timestamps as such, ``degraded`` false by default. A missing score or time column is an error."""
+    needed = ("content_hash", "observed_at", "scored_at", "sentiment_score", "positive_score", "negative_score", "neutral_score", "model_name")
+    if missing := [c for c in needed if c not in df.columns]:
+        raise ValueError(f"scored events need {', '.join(missing)}")
+    times = {c: F.col(c).cast("timestamp") for c in ("published_at", "observed_at", "scored_at") if c in df.columns}
+    degraded = F.coalesce(F.col("degraded").cast("boolean"), F.lit(False)) if "degraded" in df.columns else F.lit(False)
+    return df.withColumns(times | {"degraded": degraded})
 
-    ``events(observed_at, sentiment_score, positive_score, degraded)``; the count is 0 and the scores null where the window is empty.
+
+def dedupe_scored(df: DataFrame) -> DataFrame:
+    """One row a content hash: the latest scored."""
+    return dedupe(df, "content_hash", F.desc_nulls_last("scored_at"), F.asc("model_name"))
+
+
+def sentiment_features(events: DataFrame, targets: DataFrame, minutes: list[int], event_time: str = "observed_at", target_time: str = "ts", lag_minutes: int = 0, by: list[str] | None = None) -> DataFrame:
+    """Per target and window (t - w, t]: count, has_any, mean, sum, mean positive, negative and neutral, max abs score, deviation, latest age in
+    minutes; degraded events counted apart.
+
+    ``events(observed_at, sentiment_score, positive_score, negative_score, neutral_score, degraded)``; the count is 0 and the scores null where
+    the window is empty. ``by`` columns (a source, a topic) must be equal in events and targets.
     """
-    out = targets
-    shift = F.expr(f"interval {lag_minutes} minutes")
-    for m in minutes:
-        good = ~F.coalesce(F.col("degraded"), F.lit(False))
-        s = F.when(good, F.col("sentiment_score"))
-        aggs = {
-            f"n_{m}": F.count(s), f"mean_{m}": F.avg(s), f"sum_{m}": F.sum(s), f"pos_{m}": F.avg(F.when(good, F.col("positive_score"))), f"max_abs_{m}": F.max(F.abs(s)),
-            f"std_{m}": F.stddev_pop(s), f"latest_{m}": F.max(F.when(good, us(event_time))), f"n_degraded_{m}": F.count(F.when(~good, 1)),
-        }
-        shifted = out.withColumn("_at", F.col(target_time).cast("timestamp") - shift)
-        out = window_aggregate(events, shifted, m * 60_000_000, aggs, event_time, "_at", target_key)
-        out = out.withColumns({f"n_{m}": F.coalesce(f"n_{m}", F.lit(0)), f"n_degraded_{m}": F.coalesce(f"n_degraded_{m}", F.lit(0)), f"age_{m}": (us("_at") - F.col(f"latest_{m}")) / 60_000_000.0})
-        out = out.withColumn(f"any_{m}", (F.col(f"n_{m}") > 0).cast("int")).drop(f"latest_{m}", "_at")
-    return out
+    good = ~F.coalesce(F.col("degraded"), F.lit(False))
+    s = F.when(good, F.col("sentiment_score"))
+    present = [c for c in ("positive", "negative", "neutral") if f"{c}_score" in events.columns]
+    sums = {"good": good.cast("int"), "sum": s, "square": s * s} | {c: F.when(good, F.col(f"{c}_score")) for c in present}
+    at = targets.withColumn("_when", F.col(target_time).cast("timestamp") - F.expr(f"interval {lag_minutes} minutes"))
+    w = window_totals(events, at, [m * 60_000_000 for m in minutes], sums, {"max_abs": F.abs(s), "latest": F.when(good, us(event_time))}, event_time, "_when", by)
+    found = {}
+    for i, m in enumerate(minutes):
+        n = F.coalesce(F.col(f"good_{i}"), F.lit(0.0)).cast("long")
+        some = lambda c: F.when(n > 0, c)  # noqa: E731, B023
+        mean = sdiv(f"sum_{i}", n)
+        var = sdiv(f"square_{i}", n) - mean * mean
+        found |= {f"n_{m}": n, f"any_{m}": (n > 0).cast("int"), f"mean_{m}": mean, f"sum_{m}": some(F.col(f"sum_{i}")), f"std_{m}": some(F.when(var > 1e-12, F.sqrt(var)).otherwise(0.0)), f"max_abs_{m}": F.col(f"max_abs_{i}")}
+        found |= {f"{c[:3]}_{m}": sdiv(f"{c}_{i}", n) for c in present}
+        found |= {f"age_{m}": (us("_when") - F.col(f"latest_{i}")) / 60_000_000.0, f"n_degraded_{m}": F.col(f"n_{i}") - n}
+    return w.select(*targets.columns, *[c.alias(k) for k, c in found.items()])
+
+
+def sentiment_by_group(events: DataFrame, targets: DataFrame, minutes: list[int], column: str, values: list[str], event_time: str = "observed_at", target_time: str = "ts", target_key: str = "id") -> DataFrame:
+    """Per target, window and configured value of ``column`` (a source or topic): ``<column>_<value>_n_<w>`` and ``..._mean_<w>``."""
+    wide = targets.select(target_key, target_time).withColumn(column, F.explode(F.array(*map(F.lit, values))))
+    long = sentiment_features(events.where(F.col(column).isin(*values)), wide, minutes, event_time, target_time, by=[column])
+    cells = [F.max(F.when(F.col(column) == v, F.col(f"{f}_{m}"))).alias(f"{column}_{v}_{f}_{m}") for v in values for m in minutes for f in ("n", "mean")]
+    return targets.join(long.groupBy(target_key).agg(*cells), target_key)
+
+
+def attach_sentiment(labels: DataFrame, events: DataFrame, minutes: list[int], time: str = "t0") -> DataFrame:
+    """Labels with the window features at their start; nothing later than it is read, and every label stays."""
+    return sentiment_features(dedupe_scored(normalise_scored(events)), labels, minutes, target_time=time)
 
 
 def coverage(features: DataFrame, minutes: list[int]) -> DataFrame:

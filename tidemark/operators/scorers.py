@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import NEGATIVE, POSITIVE
+from ..functions.exprs import NEGATIVE, POSITIVE, STRIPPED
 from ..plans.shipping import ship
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
@@ -25,7 +25,7 @@ def lexicon(positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NE
     def score(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts.fillna(""):
-            words = ["".join(c for c in w if c.isalnum()) for w in text.lower().split()]
+            words = [w.strip(STRIPPED) for w in text.lower().split()]
             p, n = sum(w in positive for w in words), sum(w in negative for w in words)
             total = p + n + 1.0
             rows.append((p / total, n / total, 1 / total, (p - n) / total))
@@ -37,6 +37,40 @@ def lexicon(positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NE
 register("lexicon", lexicon)
 
 
+class WeightsMissing(RuntimeError):
+    """A transformer scorer without its library or its weights on disk; nothing is ever downloaded."""
+
+
+def transformer(path: str, batch: int = 64, device: str | None = None) -> Scorer:
+    """A local three-way text classifier (labels positive, negative, neutral) of the ``transformers`` library, loaded once a task."""
+    try:
+        import torch
+        from transformers import AutoModelForSequenceClassification, AutoTokenizer
+    except ImportError as e:
+        raise WeightsMissing(f"{path}: {e}") from e
+    try:
+        tokens = AutoTokenizer.from_pretrained(path, local_files_only=True)
+        model = AutoModelForSequenceClassification.from_pretrained(path, local_files_only=True).eval()
+    except OSError as e:
+        raise WeightsMissing(f"{path}: {e}") from e
+    if device:
+        model.to(device)
+    at = {name.lower(): int(i) for i, name in model.config.id2label.items()}
+
+    def score(texts: pd.Series) -> pd.DataFrame:
+        parts = []
+        values = texts.fillna("").tolist()
+        for lo in range(0, len(values), batch):
+            with torch.no_grad():
+                x = tokens(values[lo : lo + batch], return_tensors="pt", truncation=True, padding=True).to(model.device)
+                parts.append(torch.softmax(model(**x).logits, dim=-1).cpu().numpy())
+        p = {k: [float(r[at[k]]) for part in parts for r in part] for k in ("positive", "negative", "neutral")}
+        out = pd.DataFrame({"positive_score": p["positive"], "negative_score": p["negative"], "neutral_score": p["neutral"]})
+        return out.assign(sentiment_score=out.positive_score - out.negative_score)
+
+    return score
+
+
 def score(df: DataFrame, text: str, model: str) -> DataFrame:
     """``df`` with a ``score`` struct by the named scorer."""
     ship(df.sparkSession)

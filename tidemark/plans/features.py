@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import time_features
 from ..operators import indicators as I
+from ..operators.windows import positions
 
 
 @dataclass(frozen=True)
@@ -48,22 +49,27 @@ def feature_names(c: FeatureConfig) -> list[str]:
 def compute_features(bars: DataFrame, c: FeatureConfig, degraded_dates: tuple[str, ...] = ()) -> DataFrame:
     """All price, volume, technical and time features of bars, with the degraded flag and the version.
 
-    Windows share one partitioning by symbol, so Catalyst shuffles the bars once for all of them; exponential means add their block passes.
+    All windows of finite reach share one partitioning by (symbol, block), so the bars are shuffled once for them; the time-of-day mean is by
+    (symbol, time of day), the session price by (symbol, day); exponential means add their block passes.
     """
     missing = [x for x in ("symbol", "ts", "open", "high", "low", "close", "volume") if x not in bars.columns]
     if missing:
         raise ValueError(f"bars need {', '.join(missing)}")
-    df = I.smoothed(I.base(bars))
-    df = I.roc(I.returns(df, c.returns), c.roc)
-    df = I.bollinger(df)
-    for n in c.zscores:
-        df = I.zscore(df, "close", n, f"zscore_{n}")
-    df = I.range_vols(I.realised_vol(df, c.vols), c.ranges)
-    df = I.vol_regime(df, f"rv_{c.vols[min(1, len(c.vols) - 1)]}", *c.regime)
-    df = I.time_of_day_volume(I.relative_volume(df, c.rvols), F.date_format("ts", "HH:mm"))
-    df = I.vwap_distance(I.signed_volume(I.zscore(df, "volume", c.volume_z, f"vol_z_{c.volume_z}"), c.obv))
-    df = I.vortex(I.mfi(I.cci(I.stochastic(df))))
+    df = I.smoothed(I.cut(bars, 1, I.base))
+
+    def framed(df: DataFrame, k: list[str]) -> DataFrame:
+        df = I.bollinger(I.roc(I.returns(df, c.returns, k), c.roc, k), keys=k)
+        for n in c.zscores:
+            df = I.zscore(df, "close", n, f"zscore_{n}", k)
+        df = I.range_vols(I.realised_vol(df, c.vols, k), c.ranges, k)
+        df = I.relative_volume(I.vol_regime(df, f"rv_{c.vols[min(1, len(c.vols) - 1)]}", *c.regime, k), c.rvols, k)
+        df = I.signed_volume(I.zscore(df, "volume", c.volume_z, f"vol_z_{c.volume_z}", k), c.obv, k)
+        return I.vortex(I.mfi(I.cci(I.stochastic(df, keys=k), keys=k), keys=k), keys=k)
+
+    reach = max(*c.returns, *c.roc, *c.zscores, c.ranges, *c.rvols, c.volume_z, c.obv, max(c.vols) + c.regime[0], 40) + 1
+    df = I.vwap_distance(I.time_of_day_volume(I.cut(df, reach, framed), F.date_format("ts", "HH:mm")))
     df = df.withColumns(time_features("ts"))
-    first = F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1 < c.warmup
+    df = positions(df, ["symbol"], ["ts"], F.to_date("ts"))
+    first = F.col("pos") < c.warmup
     bad = F.date_format("ts", "yyyy-MM-dd").isin(*degraded_dates) if degraded_dates else F.lit(False)
     return df.select("symbol", "ts", *feature_names(c), (first | bad).alias("degraded"), F.lit(c.version).alias("feature_version"))

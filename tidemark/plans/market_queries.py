@@ -139,44 +139,44 @@ def cross_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = I.base(bars(spark, sf_dir))
     j = A.asof_join(b.where("symbol = 'click'"), b.where("symbol = 'view'"), take=["ret_1", "close"], prefix="o_", bucket_us=7 * A.DAY_US)
     j = j.withColumn("ratio", X.sdiv("close", "o_close"))
-    j = I.correlation(I.zscore(j, "ratio", 30, "ratio_z"), "ret_1", "o_ret_1", 24, "ret_corr")
+    j = I.cut(j, 30, lambda d, k: I.correlation(I.zscore(d, "ratio", 30, "ratio_z", keys=k), "ret_1", "o_ret_1", 24, "ret_corr", keys=k))
     return j.select("ts", (F.col("ret_1") - F.col("o_ret_1")).alias("ret_spread"), "ratio_z", "ret_corr")
 
 
 @add(Q + " select symbol, ts, " + ", ".join(f"round(ln(close) - lag(ln(close), {h}) over s, 6) as ret_{h}" for h in (1, 5, 15)) + ", round(close / lag(close, 15) over s - 1, 6) as roc_15 from bars window s as (partition by symbol order by ts)")
 def returns_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.roc(I.returns(bars(spark, sf_dir), (1, 5, 15)), (15,)).select("symbol", "ts", "ret_1", "ret_5", "ret_15", "roc_15")
+    return I.cut(bars(spark, sf_dir), 15, lambda d, k: I.roc(I.returns(d, (1, 5, 15), k), (15,), k)).select("symbol", "ts", "ret_1", "ret_5", "ret_15", "roc_15")
 
 
 @add(Q + f", m as (select *, {g('avg', 'close', 20)} as m, {g('stddev_pop', 'close', 20)} as s, {g('avg', 'close', 30)} as zm, {g('stddev_samp', 'close', 30)} as zs from bars) select symbol, ts, round((close - (m - 2 * s)) / nullif(4 * s, 0), 6) as bb_pctb_20, round((close - zm) / nullif(zs, 0), 6) as zscore_30 from m")
 def bollinger_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.zscore(I.bollinger(bars(spark, sf_dir)), "close", 30, "zscore_30").select("symbol", "ts", "bb_pctb_20", "zscore_30")
+    return I.cut(bars(spark, sf_dir), 30, lambda d, k: I.zscore(I.bollinger(d, keys=k), "close", 30, "zscore_30", keys=k)).select("symbol", "ts", "bb_pctb_20", "zscore_30")
 
 
 @add(QB + f" select symbol, ts, round({g('stddev_samp', 'ret_1', 15)}, 6) as rv_15, round({g('stddev_samp', 'ret_1', 60)}, 6) as rv_60 from base")
 def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.realised_vol(I.base(bars(spark, sf_dir)), (15, 60)).select("symbol", "ts", "rv_15", "rv_60")
+    return I.cut(bars(spark, sf_dir), 61, lambda d, k: I.realised_vol(I.base(d, k), (15, 60), k)).select("symbol", "ts", "rv_15", "rv_60")
 
 
 @add(Q + f" select symbol, ts, round(volume / nullif({g('avg', 'volume', 30)}, 0), 6) as rvol_30, round((volume - {g('avg', 'volume', 60)}) / nullif({g('stddev_samp', 'volume', 60)}, 0), 6) as vol_z_60 from bars")
 def rvol_vol_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.zscore(I.relative_volume(bars(spark, sf_dir), (30,)), "volume", 60, "vol_z_60").select("symbol", "ts", "rvol_30", "vol_z_60")
+    return I.cut(bars(spark, sf_dir), 60, lambda d, k: I.zscore(I.relative_volume(d, (30,), k), "volume", 60, "vol_z_60", keys=k)).select("symbol", "ts", "rvol_30", "vol_z_60")
 
 
 @add(QB + f", sv as (select *, coalesce(sign(ret_1), 0) * volume as sv from base) select symbol, ts, round({g('sum', 'sv', 60)} / nullif({g('sum', 'volume', 60)}, 0), 6) as obv_norm_60 from sv")
 def obv_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.signed_volume(I.base(bars(spark, sf_dir))).select("symbol", "ts", "obv_norm_60")
+    return I.cut(bars(spark, sf_dir), 61, lambda d, k: I.signed_volume(I.base(d, k), keys=k)).select("symbol", "ts", "obv_norm_60")
 
 
 @add(Q + f""", v as (select *, power(ln(high / low), 2) as hl, 0.5 * power(ln(high / low), 2) - (2 * ln(2) - 1) * power(ln(close / open), 2) as gk from bars)
 select symbol, ts, round(sqrt({g('avg', 'hl', 30)} / (4 * ln(2))), 6) as parkinson_30, round(sqrt(greatest({g('avg', 'gk', 30)}, 0)), 6) as gk_30 from v""")
 def parkinson_gk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.range_vols(bars(spark, sf_dir)).select("symbol", "ts", "parkinson_30", "gk_30")
+    return I.cut(bars(spark, sf_dir), 30, lambda d, k: I.range_vols(d, keys=k)).select("symbol", "ts", "parkinson_30", "gk_30")
 
 
 @add(QB + f", v as (select *, {g('stddev_samp', 'ret_1', 15)} as rv_15 from base) select symbol, ts, round(rv_15 / nullif(case when count(rv_15) over ({frame(120)}) >= 30 then quantile_cont(rv_15, 0.5) over ({frame(120)}) end, 0), 6) as vol_regime from v")
 def vol_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.vol_regime(I.realised_vol(I.base(bars(spark, sf_dir)), (15,)), "rv_15", 120, 30).select("symbol", "ts", "vol_regime")
+    return I.cut(bars(spark, sf_dir), 136, lambda d, k: I.vol_regime(I.realised_vol(I.base(d, k), (15,), k), "rv_15", 120, 30, k)).select("symbol", "ts", "vol_regime")
 
 
 @add(Q + " select symbol, ts, round(volume / nullif(avg(volume) over (partition by symbol, hour(ts) order by ts rows between 20 preceding and 1 preceding), 0), 6) as rvol_tod from bars")
@@ -193,34 +193,34 @@ def vwap_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(Q + f""", k as (select symbol, ts, 100 * (close - {g('min', 'low', 14)}) / nullif({g('max', 'high', 14)} - {g('min', 'low', 14)}, 0) as k from bars)
 select symbol, ts, round(k, 6) as stoch_k, round({g('avg', 'k', 3)}, 6) as stoch_d from k""")
 def stoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.stochastic(bars(spark, sf_dir)).select("symbol", "ts", "stoch_k", "stoch_d")
+    return I.cut(bars(spark, sf_dir), 17, lambda d, k: I.stochastic(d, keys=k)).select("symbol", "ts", "stoch_k", "stoch_d")
 
 
 @add(Q + f""", a as (select *, (high + low + close) / 3 as tp from bars), m as (select *, {g('avg', 'tp', 20)} as sma from a), d as (select *, abs(tp - sma) as dev from m)
 select symbol, ts, round((tp - sma) / nullif(0.015 * {g('avg', 'dev', 20)}, 0), 6) as cci from d""")
 def cci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.cci(bars(spark, sf_dir)).select("symbol", "ts", "cci")
+    return I.cut(bars(spark, sf_dir), 40, lambda d, k: I.cci(d, keys=k)).select("symbol", "ts", "cci")
 
 
 @add(Q + f""", a as (select *, (high + low + close) / 3 as tp from bars), d as (select *, tp - lag(tp) over (partition by symbol order by ts) as d from a),
 f as (select *, case when d is not null then case when d > 0 then tp * volume else 0 end end as up, case when d is not null then case when d < 0 then tp * volume else 0 end end as dn from d)
 select symbol, ts, round(100 * {g('sum', 'up', 14)} / nullif({g('sum', 'up', 14)} + {g('sum', 'dn', 14)}, 0), 6) as mfi from f""")
 def mfi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.mfi(bars(spark, sf_dir)).select("symbol", "ts", "mfi")
+    return I.cut(bars(spark, sf_dir), 15, lambda d, k: I.mfi(d, keys=k)).select("symbol", "ts", "mfi")
 
 
 @add(QB + f""", v as (select *, abs(high - lag(low) over s) as p, abs(low - lag(high) over s) as m, case when prev_close is not null then true_range end as t from base window s as (partition by symbol order by ts))
 select symbol, ts, round({g('sum', 'p', 14)} / nullif({g('sum', 't', 14)}, 0), 6) as vortex_pos, round({g('sum', 'm', 14)} / nullif({g('sum', 't', 14)}, 0), 6) as vortex_neg from v""")
 def vortex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.vortex(I.base(bars(spark, sf_dir))).select("symbol", "ts", "vortex_pos", "vortex_neg")
+    return I.cut(bars(spark, sf_dir), 16, lambda d, k: I.vortex(I.base(d, k), keys=k)).select("symbol", "ts", "vortex_pos", "vortex_neg")
 
 
 @add(QR + ", " + recursion("e", "base", {"f": ("logc", 2 / 13), "s": ("logc", 2 / 27)}) + """, m as (select b.symbol, b.ts, b.rn, b.logc, case when b.rn >= 12 then e.f end as f, case when b.rn >= 26 then e.s end as s from base b join e on b.symbol = e.symbol and b.rn = e.rn),
 m2 as (select *, f - s as macd from m), """ + recursion("sig", "m2", {"sg": ("macd", 2 / 10)}, 26) + """, a as (select m2.*, case when m2.rn >= 34 then sig.sg end as macd_signal from m2 left join sig on m2.symbol = sig.symbol and m2.rn = sig.rn)
-select symbol, ts, round(macd, 6) as macd, round(macd_signal, 6) as macd_signal, round(macd - macd_signal, 6) as macd_hist, round(f - lag(f, 5) over w, 6) as ema_slope_12,
-  round((logc - f) / nullif(""" + g("stddev_samp", "(logc - f)", 12) + """, 0), 6) as ema_dist_z_12 from a window w as (partition by symbol order by ts)""")
+select symbol, ts, round(macd, 6) as macd, round(macd_signal, 6) as macd_signal, round(macd - macd_signal, 6) as macd_hist, round(f - lag(f, 5) over w, 6) as ema_slope_12, round(s - lag(s, 5) over w, 6) as ema_slope_26,
+  round((logc - f) / nullif(""" + g("stddev_samp", "(logc - f)", 12) + """, 0), 6) as ema_dist_z_12, round((logc - s) / nullif(""" + g("stddev_samp", "(logc - s)", 26) + """, 0), 6) as ema_dist_z_26 from a window w as (partition by symbol order by ts)""")
 def ema_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.ema_macd(I.base(bars(spark, sf_dir))).select("symbol", "ts", "macd", "macd_signal", "macd_hist", "ema_slope_12", "ema_dist_z_12")
+    return I.ema_macd(I.base(bars(spark, sf_dir))).select("symbol", "ts", "macd", "macd_signal", "macd_hist", "ema_slope_12", "ema_dist_z_12", "ema_slope_26", "ema_dist_z_26")
 
 
 @add(QR + ", d as (select *, greatest(close - prev_close, 0) as gain, greatest(prev_close - close, 0) as loss from base), " + recursion("e", "d", {"ag": ("gain", 1 / 14), "al": ("loss", 1 / 14)}, 2) + " select d.symbol, d.ts, round(case when d.rn >= 15 then 100 * ag / nullif(ag + al, 0) end, 6) as rsi_14 from d left join e on d.symbol = e.symbol and d.rn = e.rn")

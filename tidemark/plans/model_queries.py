@@ -11,27 +11,39 @@ from ..operators import labels as L
 from ..operators import modeling as M
 from ..operators import scorers as SC
 from ..operators import volatility as V
-from .domain import TICKS_SQL, Catalogue, bars, table, ticks
+from .domain import BARS_SQL, TICKS_SQL, Catalogue, bars, table, ticks
 from .features import FeatureConfig, compute_features
-from .news_queries import NEGATIVE, POSITIVE
-from .research_queries import HAR_SQL, LABELS_SQL, POS_SQL, _har, _labels, _positions
+from .market_queries import LOCAL
+from .market_queries import catalogue as market
+from .news_queries import _folder, HEADLINE_SQL, NEG, POS, WORDS_SQL, _headlines
+from .research_queries import HAR_SQL, LABELS_SQL, _har, _labels, _positions
 
 catalogue = Catalogue()
 add = catalogue.add
 
-SMALL = FeatureConfig(vols=(15, 60, 120), rvols=(30, 120), volume_z=120, regime=(240, 60), warmup=200)
+SMALL = FeatureConfig(returns=(1, 5, 15), roc=(15,), zscores=(30,), vols=(15,), rvols=(30,), volume_z=60, regime=(120, 30), warmup=60)
+FAMILIES = {
+    "returns_roc": "ret_1, ret_5, ret_15, roc_15", "ema_macd": "macd, macd_signal, macd_hist, ema_slope_12, ema_dist_z_12, ema_slope_26, ema_dist_z_26", "adx": "adx_14", "rsi": "rsi_14", "bollinger_zscore": "bb_pctb_20, zscore_30", "realized_vol": "rv_15",
+    "atr": "atr_pct_14", "parkinson_gk": "parkinson_30, gk_30", "vol_regime": "vol_regime", "rvol_vol_z": "rvol_30, vol_z_60", "rvol_tod": "rvol_tod", "obv_norm": "obv_norm_60", "vwap_dist": "vwap_dist", "stoch": "stoch_k, stoch_d", "cci": "cci", "mfi": "mfi",
+    "vortex": "vortex_pos, vortex_neg", "trix": "trix_15", "degraded_flag": "degraded",
+}
+TIMES_SQL = f"""select symbol, ts, round(sin(m * (2 * 3.141592653589793 / 1440)), 6) as mod_sin, round(cos(m * (2 * 3.141592653589793 / 1440)), 6) as mod_cos, round(sin(d * (2 * 3.141592653589793 / 7)), 6) as dow_sin, round(cos(d * (2 * 3.141592653589793 / 7)), 6) as dow_cos,
+  (m - 570)::int as mins_since_open, (960 - m)::int as mins_to_close, 'v1' as feature_version from (select symbol, ts, (hour(l) * 60 + minute(l))::bigint as m, (isodow(l) - 1)::bigint as d from (select symbol, ts, {LOCAL} as l from bars))"""
+FEATURES_SQL = f"with {BARS_SQL}, times as ({TIMES_SQL}) select symbol, ts, {', '.join(FAMILIES.values())}, mod_sin, mod_cos, dow_sin, dow_cos, mins_since_open, mins_to_close, feature_version from times " + " ".join(f"join ({market.sql[k]}) using (symbol, ts)" for k in FAMILIES)
 
 
-@add()
+@add(FEATURES_SQL)
 def price_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compute_features(bars(spark, sf_dir), SMALL, ("2024-01-05",))
+    """The composition of all families, against the join of their own SQL."""
+    return compute_features(bars(spark, sf_dir), SMALL, ("2024-01-05", "2024-01-12"))
 
 
-@add(f"with {POS_SQL}, lab as (select symbol, pos, ts from pb where pos % 50 = 0), fb as (select symbol, ts, close, sigma from pb where pos % 7 = 0) select lab.symbol, lab.pos::int as pos, round(fb.close, 6) as f_close, round(fb.sigma, 6) as f_sigma from lab asof left join fb on lab.symbol = fb.symbol and lab.ts >= fb.ts")
+@add(f"{LABELS_SQL} select lab.symbol, lab.pos0::bigint as pos0, round(pb.close, 6) as f_close, round(pb.sigma, 6) as f_sigma from lab asof left join pb on lab.symbol = pb.symbol and lab.t0 >= pb.ts")
 def labels_with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _positions(spark, sf_dir)
-    j = A.asof_join(b.where("pos % 50 = 0").select("symbol", "pos", "ts"), b.where("pos % 7 = 0").select("symbol", "ts", "close", "sigma"), by=["symbol"], take=["close", "sigma"], prefix="f_", bucket_us=7 * A.DAY_US)
-    return j.select("symbol", "pos", "f_close", "f_sigma")
+    """Every label row with the features as of its start."""
+    lab = _labels(spark, sf_dir).select("symbol", "pos0", "t0")
+    j = A.asof_join(lab, _positions(spark, sf_dir).select("symbol", "ts", "close", "sigma"), on="t0", right_on="ts", by=["symbol"], take=["close", "sigma"], prefix="f_", bucket_us=7 * A.DAY_US)
+    return j.selectExpr("symbol", "cast(pos0 as long) as pos0", "f_close", "f_sigma")
 
 
 STEPS_SQL = f"""with {HAR_SQL}, ok as (select *, row_number() over (partition by symbol order by day) - 1 as p, count(*) over (partition by symbol) as n from har where fwd_1 is not null and har_1 is not null),
@@ -55,6 +67,13 @@ def forecast_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.verdict(f.withColumn("gain", F.col("rw") - F.col("har")), {"beats_rw": ("gain", ">", 0.0), "enough": ("n", ">=", 10), "level": ("har", "<", 2.0)}, ["symbol"])
 
 
+def _settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A written table: what follows reads it several times."""
+    path = _folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with three features at t0, weights and targets."""
     lab = L.direction(L.uniqueness(_labels(spark, sf_dir))).drop("sigma")
@@ -63,7 +82,8 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = b.select("symbol", F.col("pos").alias("pos0"), F.ln(F.col("close") / F.lag("close", 5).over(w)).alias("mom"), "sigma", F.ln(F.col("close") / F.lag("close", 1).over(w)).alias("last"))
     m = lab.join(f, ["symbol", "pos0"]).dropna(subset=["mom", "sigma", "last"])
     m = m.withColumn("id", F.concat_ws(":", "symbol", F.col("pos0").cast("string")))
-    return CV.numbered(m, "id").select("row", "id", "t0", "t1", "ret", F.col("mom"), F.col("last"), "sigma", F.col("direction").cast("double").alias("y"), F.col("weight").alias("w"))
+    m = _settled(spark, m.withColumn("y", F.col("direction").cast("double")), "matrix")
+    return CV.numbered(m, "id").select("row", "id", "t0", "t1", "ret", F.col("mom"), F.col("last"), "sigma", "y", F.col("weight").alias("w"))
 
 
 def _preds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -88,17 +108,6 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.accuracy(fits, ["estimator"])
 
 
-@add()
-def signal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, p = _preds(spark, sf_dir)
-    return M.signal_returns(p.join(m.select("row", "ret"), "row"), ["estimator"])
-
-
-@add()
-def path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.summary(M.accuracy(_preds(spark, sf_dir)[1], ["estimator", "split"]), ["estimator"], "accuracy")
-
-
 @add(f"""{LABELS_SQL}, d as (select symbol, (ret > 0)::int as y, 1.0 / (1 + abs(n_bars - 24) / 24.0) as p from lab) select symbol, round((avg(case when y = 1 then (p >= 0.5)::int end) + avg(case when y = 0 then (p < 0.5)::int end)) / 2, 6) as balanced_accuracy, round(avg((p >= 0.5)::int), 6) as action_rate,
 round(avg(case when p >= 0.5 then y end), 6) as hit_acted, round(avg(y), 6) as hit_always from d group by symbol""")
 def meta_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +128,13 @@ def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.same_rows(li.where("l_quantity > 10"), li.where("l_discount > 0.02"), ["l_orderkey", "l_linenumber"])
 
 
-@add()
+@add("""with h as (select ('0x' || substr(sha256(o_orderkey::varchar || chr(31) || o_custkey::varchar || chr(31) || o_orderpriority), 1, 15))::bigint as h from orders) select count(*)::bigint as n, sum(h::hugeint)::varchar as hash_sum from h""")
 def frame_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+    return M.fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"])
 
 
-@add()
+@add(f"""with h as (select n_nationkey, {HEADLINE_SQL} as text from nation), c as (select n_nationkey, len(list_filter({WORDS_SQL}, lambda w: list_contains({POS}, w))) as p, len(list_filter({WORDS_SQL}, lambda w: list_contains({NEG}, w))) as g from h)
+select n_nationkey, round(p / (p + g + 1.0), 6) as positive_score, round(g / (p + g + 1.0), 6) as negative_score, round(1.0 / (p + g + 1.0), 6) as neutral_score, round((p - g) / (p + g + 1.0), 6) as sentiment_score from c""")
 def scorer_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    SC.register("registered", lambda: SC.lexicon(POSITIVE, NEGATIVE))
-    return SC.score(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "registered").select("doc_id", "score.*")
+    SC.register("registered", SC.lexicon)
+    return SC.score(_headlines(spark, sf_dir), "text", "registered").select("n_nationkey", "score.*")

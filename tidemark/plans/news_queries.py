@@ -19,25 +19,44 @@ from .domain import BARS_SQL, TICKS_SQL, Catalogue, bars, table, ticks
 catalogue = Catalogue()
 add = catalogue.add
 
-POS = "[" + ", ".join(f"'{w}'" for w in ("the", "of", "and", "le", "de")) + "]"
-NEG = "[" + ", ".join(f"'{w}'" for w in ("idiot", "moron", "worthless", "pathetic", "clown")) + "]"
-POSITIVE, NEGATIVE = ("the", "of", "and", "le", "de"), ("idiot", "moron", "worthless", "pathetic", "clown")
-WORDS_SQL = r"list_transform(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))"
+POS, NEG = ("[" + ", ".join(f"'{w}'" for w in words) + "]" for words in (X.POSITIVE, X.NEGATIVE))
+STRIP = X.STRIPPED.replace("'", "''")
+WORDS_SQL = rf"list_transform(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: trim(w, '{STRIP}'))"
+# what the supplied prose holds: the default lists never occur in it, so news are scored by these where scores must differ
+COMMON, RUDE = ("the", "of", "and", "le", "de"), ("idiot", "moron", "worthless", "pathetic", "clown")
+COMMON_SQL, RUDE_SQL = ("[" + ", ".join(f"'{w}'" for w in words) + "]" for words in (COMMON, RUDE))
 NEWS_SQL = f"""nw as (select doc_id, source, timestamp '2024-01-01' + to_minutes((doc_id * 7 % 20000)::int) as observed_at, doc_id % 10 = 0 as degraded,
-  len(list_filter({WORDS_SQL}, lambda w: list_contains({POS}, w))) as p, len(list_filter({WORDS_SQL}, lambda w: list_contains({NEG}, w))) as g from documents),
-news as (select *, p / (p + g + 1.0) as positive_score, (p - g) / (p + g + 1.0) as sentiment_score from nw)"""
+  len(list_filter({WORDS_SQL}, lambda w: list_contains({COMMON_SQL}, w))) as p, len(list_filter({WORDS_SQL}, lambda w: list_contains({RUDE_SQL}, w))) as g from documents),
+news as (select *, p / (p + g + 1.0) as positive_score, g / (p + g + 1.0) as negative_score, 1.0 / (p + g + 1.0) as neutral_score, (p - g) / (p + g + 1.0) as sentiment_score from nw)"""
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as scored events: observed a few minutes apart, every tenth degraded."""
     d = table(spark, sf_dir, "documents")
-    p, n = X.lexicon_counts("text", POSITIVE, NEGATIVE)
+    p, n = X.lexicon_counts("text", COMMON, RUDE)
     d = d.select("doc_id", "source", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=(F.col("doc_id") * 7 % 20000).cast("int"))).alias("observed_at"), (F.col("doc_id") % 10 == 0).alias("degraded"), p.alias("p"), n.alias("g"))
     return d.withColumns(X.lexicon_scores(F.col("p"), F.col("g")))
 
 
-@add(f"with {NEWS_SQL} select doc_id, p::int as p, g::int as g, round(positive_score, 6) as positive_score, round(g / (p + g + 1.0), 6) as negative_score, round(1.0 / (p + g + 1.0), 6) as neutral_score, round(sentiment_score, 6) as sentiment_score from news")
+HEADLINE_SQL = "'Stocks ' || case n_nationkey % 4 when 0 then '(rally)' when 1 then 'slump,' when 2 then 'FALLS' else 'hold' end || ' after ' || lower(n_name) || case when n_regionkey % 2 = 0 then ' beats; record growth!' else ' cuts; fears' end"
+
+
+@add(f"""with h as (select n_nationkey, {HEADLINE_SQL} as text from nation), c as (select n_nationkey, len(list_filter({WORDS_SQL}, lambda w: list_contains({POS}, w))) as p, len(list_filter({WORDS_SQL}, lambda w: list_contains({NEG}, w))) as g from h)
+select n_nationkey, p::int as p, g::int as g, round(p / (p + g + 1.0), 6) as positive_score, round(g / (p + g + 1.0), 6) as negative_score, round(1.0 / (p + g + 1.0), 6) as neutral_score, round((p - g) / (p + g + 1.0), 6) as sentiment_score from c""")
 def lexicon_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default word lists on a headline a nation."""
+    return _headlines(spark, sf_dir).select("n_nationkey", *[c.alias(n) for n, c in zip(("p", "g"), X.lexicon_counts("text"), strict=True)]).withColumns(X.lexicon_scores(F.col("p"), F.col("g")))
+
+
+def _headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    move = F.when(F.col("n_nationkey") % 4 == 0, "(rally)").when(F.col("n_nationkey") % 4 == 1, "slump,").when(F.col("n_nationkey") % 4 == 2, "FALLS").otherwise("hold")
+    end = F.when(F.col("n_regionkey") % 2 == 0, " beats; record growth!").otherwise(" cuts; fears")
+    return n.select("n_nationkey", F.concat(F.lit("Stocks "), move, F.lit(" after "), F.lower("n_name"), end).alias("text"))
+
+
+@add(f"with {NEWS_SQL} select doc_id, p::int as p, g::int as g, round(positive_score, 6) as positive_score, round(negative_score, 6) as negative_score, round(neutral_score, 6) as neutral_score, round(sentiment_score, 6) as sentiment_score from news")
+def lexicon_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news(spark, sf_dir).select("doc_id", "p", "g", "positive_score", "negative_score", "neutral_score", "sentiment_score")
 
 
@@ -46,16 +65,11 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.lower("source"), "doc_id", F.lit(""), "text", "lang").alias("content_hash"))
 
 
-def _some(df: DataFrame, subset: str, whole: bool) -> DataFrame:
-    """The rows that a registered SQL covers, or all of them (``whole_queries``)."""
-    return df if whole else df.where(subset)
-
-
-TARGETS_SQL = "tg as (select event_id as id, ts from events where event_id % 5 = 0)"
+TARGETS_SQL = "tg as (select event_id as id, ts from events)"
 
 
-def _targets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _some(table(spark, sf_dir, "events"), "event_id % 5 = 0", whole).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def _window_sql(m: int, lag: int = 0) -> str:
@@ -67,24 +81,24 @@ def _window_sql(m: int, lag: int = 0) -> str:
 
 @add(f"""with {NEWS_SQL}, {TARGETS_SQL}, {_window_sql(60)}, {_window_sql(1440)} select tg.id, w60.n::bigint as n_60, (w60.n > 0)::int as any_60, round(w60.mean, 6) as mean_60, round(w60.mx, 6) as max_abs_60, round((epoch_us(tg.ts) - w60.latest) / 60000000.0, 6) as age_60, w60.nd::bigint as n_degraded_60,
   w1440.n::bigint as n_1440, round(w1440.total, 6) as sum_1440, round(w1440.pos, 6) as pos_1440 from tg join w60 on tg.id = w60.id join w1440 on tg.id = w1440.id""")
-def half_open_news(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    f = N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir, whole), [60, 1440])
+def half_open_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir), [60, 1440])
     return f.select("id", "n_60", "any_60", "mean_60", "max_abs_60", "age_60", "n_degraded_60", "n_1440", "sum_1440", "pos_1440")
 
 
 @add(f"with {NEWS_SQL}, {TARGETS_SQL}, {_window_sql(1440, 15)} select tg.id, w1440.n::bigint as n_1440, round(w1440.mean, 6) as mean_1440, round(w1440.sd, 6) as std_1440 from tg join w1440 on tg.id = w1440.id")
-def gkg_tone(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir, whole), [1440], lag_minutes=15).select("id", "n_1440", "mean_1440", "std_1440")
+def gkg_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir), [1440], lag_minutes=15).select("id", "n_1440", "mean_1440", "std_1440")
 
 
 @add(f"with {NEWS_SQL}, {TARGETS_SQL}, {_window_sql(60)}, {_window_sql(240)} select (select count(*) from tg)::bigint as rows, (select sum((n > 0)::int) from w60)::bigint as any_60, (select sum((n > 0)::int) from w240)::bigint as any_240")
-def news_coverage(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return N.coverage(N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir, whole), [60, 240]), [60, 240])
+def news_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.coverage(N.sentiment_features(news(spark, sf_dir), _targets(spark, sf_dir), [60, 240]), [60, 240])
 
 
 @add(f"with {NEWS_SQL}, {TARGETS_SQL} select doc_id from news where exists (select 1 from tg where observed_at <= tg.ts and observed_at > tg.ts - interval 15 minute)")
-def news_events_used(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return N.events_used(news(spark, sf_dir), _targets(spark, sf_dir, whole), 15 * 60_000_000, "observed_at", "ts").select("doc_id")
+def news_events_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.events_used(news(spark, sf_dir), _targets(spark, sf_dir), 15 * 60_000_000, "observed_at", "ts").select("doc_id")
 
 
 @add(f"with {NEWS_SQL} select doc_id from news where observed_at <= timestamp '2024-01-08' and not degraded")
@@ -110,7 +124,7 @@ def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.page_title("html").alias("title"))
 
 
-@add("select page_id, starts_with(split_part(url, '/', 3), 'www') or split_part(url, '/', 4) like 'a%' as hit, regexp_replace(lower(trim(url)), '[^0-9a-z]+', '_', 'g') as slug from pages")
+@add("select page_id, starts_with(split_part(url, '/', 3), 'www') or split_part(url, '/', 4) like 'a%' as hit, trim(regexp_replace(lower(trim(url)), '[^0-9a-z]+', '_', 'g'), '_') as slug from pages")
 def theme_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, first = F.split_part("url", F.lit("/"), F.lit(3)), F.split_part("url", F.lit("/"), F.lit(4))
     hit = X.theme_match(F.concat_ws(";", F.concat(F.lit("h:"), host), F.concat(F.lit("p:"), first)), ("h:www", "p:a"))
@@ -122,21 +136,25 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).where("k is not null")
 
 
-@add("select o_orderkey as id, l_linenumber as pos, l_partkey as part, l_suppkey as supplier from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 10 = 0")
-def json_zip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    li = _some(table(spark, sf_dir, "lineitem"), "l_orderkey % 10 = 0", whole)
+@add("select o_orderkey as id, l_linenumber as pos, l_partkey as part, l_suppkey as supplier from orders join lineitem on o_orderkey = l_orderkey")
+def json_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
     arrays = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("a")).select("l_orderkey", *[F.col("a")[c].alias(n) for c, n in (("l_linenumber", "pos"), ("l_partkey", "part"), ("l_suppkey", "supplier"))])
     arrays = table(spark, sf_dir, "orders").select("o_orderkey").join(arrays, F.col("o_orderkey") == F.col("l_orderkey"))
     return arrays.select(F.col("o_orderkey").alias("id"), F.explode(F.arrays_zip("pos", "part", "supplier")).alias("z")).select("id", "z.*")
 
 
-@add()
+TITLE_SQL = "replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+@add(f"""with p as (select page_id, url, case when page_id % 5 <> 0 then {TITLE_SQL} end as title from pages) select 'articles' as source, url as source_id, title, timestamp '2024-01-02 03:04:05' as published_at, timestamp '2024-01-02 03:04:05' as observed_at, 'macro' as query_topic, 'en' as language,
+  title is null or trim(title) = '' as degraded, sha256('articles' || chr(31) || url || chr(31) || coalesce(title, '') || chr(31) || chr(31) || '2024-01-02T03:04:05') as content_hash from p""")
 def parse_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.to_json(F.struct(F.array(F.struct(F.col("url"), F.when(F.col("page_id") % 5 != 0, X.page_title("html")).alias("title"), F.lit("20240102T030405Z").alias("seendate"), F.lit("en").alias("language"))).alias("articles")))
     return N.parse_article_list(table(spark, sf_dir, "pages").select(item.alias("payload")), "payload", "macro")
 
 
-@add()
+@add(f"""select 'id-' || page_id as source_id, timestamp '2024-01-02 03:04:05' as published_at, split_part(url, '/', 3) as domain, url as source_url, 'ECON_STOCK;TAX' as themes, 1.5::double as tone, 2.5::double as pos, 1.0::double as neg, {TITLE_SQL} as title, false as malformed from pages where page_id % 2 = 0""")
 def parse_knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = [F.lit("")] * 9
     line = F.concat_ws("\t", F.concat(F.lit("id-"), "page_id"), F.lit("20240102030405"), F.lit("1"), F.split_part("url", F.lit("/"), F.lit(3)), "url", F.lit(""), F.lit(""), F.when(F.col("page_id") % 2 == 0, "ECON_STOCK;TAX").otherwise("SPORT"), *blank[:7], F.lit("1.5,2.5,1.0,3.5"), *blank, F.lit(""), F.concat(F.lit("<PAGE_TITLE>"), X.page_title("html"), F.lit("</PAGE_TITLE>")))
@@ -149,27 +167,27 @@ RELEASE_SQL = "rel as (select event_id, ts as event_time, value as actual from e
 @add(f"""with {RELEASE_SQL}, {TARGETS_SQL}, p as (select tg.id, tg.ts, r.event_time as prev_e from tg asof left join rel r on tg.ts >= r.event_time), x as (select tg.id, r.event_time as next_e from tg asof left join rel r on tg.ts < r.event_time)
 select p.id, round((epoch_us(p.ts) - epoch_us(prev_e)) / 60000000.0, 6) as mins_since, round((epoch_us(next_e) - epoch_us(p.ts)) / 60000000.0, 6) as mins_to,
   coalesce(epoch_us(p.ts) - epoch_us(prev_e) <= 7200000000, false) or coalesce(epoch_us(next_e) - epoch_us(p.ts) <= 7200000000, false) as blackout from p join x on p.id = x.id""")
-def event_timing(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def event_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("event_time"))
-    return M.event_timing(_targets(spark, sf_dir, whole), rel).select("id", "mins_since", "mins_to", "blackout")
+    return M.event_timing(_targets(spark, sf_dir), rel).select("id", "mins_since", "mins_to", "blackout")
 
 
 @add(f"""with {RELEASE_SQL}, {TARGETS_SQL}, c as (select *, actual - lag(actual) over (order by event_time, event_id) as change from rel), d as (select *, avg(change) over (order by event_time, event_id rows between 2 preceding and current row) as tendency from c)
 select tg.id, round(d.change, 6) as change, round(d.tendency, 6) as tendency from tg asof left join d on tg.ts >= d.event_time""")
-def event_change(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def event_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("actual"))
-    return M.event_change(_targets(spark, sf_dir, whole), rel).select("id", "change", "tendency")
+    return M.event_change(_targets(spark, sf_dir), rel).select("id", "change", "tendency")
 
 
 @add("""with s as (select l_returnflag as series_id, l_shipdate + interval 86399 second as observed_at, avg(l_extendedprice) as value from lineitem group by 1, 2),
 z as (select *, value - lag(value, 1) over w as chg_1, value - lag(value, 5) over w as chg_5, case when count(value) over f >= 60 then case when stddev_pop(value) over f = 0 then 0 else (value - avg(value) over f) / stddev_pop(value) over f end end as z
   from s window w as (partition by series_id order by observed_at), f as (partition by series_id order by observed_at rows between 59 preceding and current row)),
-o as (select o_orderkey as id, o_orderdate as ts, f.series_id from orders, (values ('A'), ('N'), ('R')) f(series_id) where o_orderkey % 20 = 0)
+o as (select o_orderkey as id, o_orderdate as ts, f.series_id from orders, (values ('A'), ('N'), ('R')) f(series_id))
 select o.id, o.series_id, round(z.value, 6) as value, round(z.chg_1, 6) as chg_1, round(z.chg_5, 6) as chg_5, round(z.z, 6) as z from o asof left join z on o.series_id = z.series_id and o.ts >= z.observed_at""")
-def market_state(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").alias("d")).agg(F.avg("l_extendedprice").alias("value"))
     s = li.withColumn("observed_at", F.col("d").cast("timestamp") + F.expr("interval 86399 seconds")).drop("d")
-    o = _some(table(spark, sf_dir, "orders"), "o_orderkey % 20 = 0", whole).select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("series_id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("series_id"))
     return M.market_state(o, s, (1, 5)).select("id", "series_id", "value", "chg_1", "chg_5", "z")
 
 
@@ -196,7 +214,11 @@ def decode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")  # a local session, as in tests
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -218,9 +240,9 @@ def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("close").alias("closes"))
 
 
-@add("select event_id::varchar as symbol, try_cast(case when event_id % 4 = 0 then 'x' else '1.5' end as double) as close, 1 as schema_version from events where event_id < 100")
-def coerce_schema(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    e = _some(table(spark, sf_dir, "events"), "event_id < 100", whole).select(F.col("ts").alias("ts_event"), F.col("ts").alias("ts_ingest"), F.col("event_id").alias("symbol"), F.when(F.col("event_id") % 4 == 0, "x").otherwise("1.5").alias("close"))
+@add("select event_id::varchar as symbol, try_cast(case when event_id % 4 = 0 then 'x' else '1.5' end as double) as close, 1 as schema_version from events")
+def coerce_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("ts").alias("ts_event"), F.col("ts").alias("ts_ingest"), F.col("event_id").alias("symbol"), F.when(F.col("event_id") % 4 == 0, "x").otherwise("1.5").alias("close"))
     return coerce(e, "bars_1m").select("symbol", "close", "schema_version")
 
 
@@ -235,7 +257,7 @@ def _stream_source(spark: SparkSession, sf_dir: str, name: str, end: bool) -> tu
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, t = _stream_source(spark, sf_dir, "ticks", end=True)
     out = _folder(spark, "stream-bars")
-    J.run_to_table(J.bars_stream(J.read_events(spark, folder, t.schema)), out, f"{out}-checkpoint", ["symbol", "ts"])
+    J.run_to_table(J.bars_stream(J.read_events(spark, folder, t.schema)), out, f"{out}-checkpoint", ["symbol", "ts"], "ts")
     return spark.read.parquet(out).where("symbol <> '~end'")
 
 
@@ -249,5 +271,5 @@ from s join f on s.symbol = f.symbol and s.instrument = f.instrument and s.day =
 def stream_dollar_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, t = _stream_source(spark, sf_dir, "ticks", end=False)
     out = _folder(spark, "stream-dollar-bars")
-    J.run_to_table(J.dollar_bars_stream(J.read_events(spark, folder, t.schema), 100_000.0), out, f"{out}-checkpoint", ["symbol", "instrument", "day", "bar_id"])
+    J.run_to_table(J.dollar_bars_stream(J.read_events(spark, folder, t.schema), 100_000.0), out, f"{out}-checkpoint", ["symbol", "instrument", "day", "bar_id"], "ts_close")
     return spark.read.parquet(out)

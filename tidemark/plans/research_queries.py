@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,17 +24,17 @@ add = catalogue.add
 
 # --- contracts: shipped quantity a day; a contract is a quarter of ship dates, sold from 60 days before to its end ------------------------
 
-CONTRACTS_SQL = """li as (select l_shipdate::date as date, l_quantity, l_extendedprice / l_quantity as unit from lineitem where l_shipdate < timestamp '1997-01-01'),
-q as (select date, l_quantity, unit, k, (date_trunc('quarter', date + (k * 91)::int) + interval 3 month - interval 1 day)::date as expiry from li, (values (0), (1)) x(k)),
+CONTRACTS_SQL = """li as (select l_shipdate::date as date, l_quantity, l_extendedprice / l_quantity as unit from lineitem),
+q as (select date, l_quantity, unit, k, (date_trunc('quarter', date) + to_months((3 + 3 * k)::int) - interval 1 day)::date as expiry from li, (values (0), (1)) x(k)),
 cb as (select date, 'C' || strftime(expiry, '%Y%m') as contract_id, expiry, sum(l_quantity * (case when k = 0 then 1.0 else 1.0 + (dayofyear(date) % 91) / 30.0 - 1.5 end)) as volume,
   avg(unit) * (1 + 0.01 * k) as close from q group by date, expiry, k)"""
 
 
 def contract_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of two overlapping quarterly contracts."""
-    li = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1997-01-01'").select(F.to_date("l_shipdate").alias("date"), "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
+    li = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
     q = li.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-    expiry = F.last_day(F.add_months(F.date_trunc("quarter", F.date_add("date", F.col("k") * 91)), 2))
+    expiry = F.last_day(F.add_months(F.date_trunc("quarter", "date"), 2 + 3 * F.col("k")))
     q = q.withColumn("expiry", F.to_date(expiry))
     w = F.when(F.col("k") == 0, 1.0).otherwise(1.0 + (F.dayofyear("date") % 91) / 30.0 - 1.5)
     g = q.groupBy("date", "expiry", "k").agg(F.sum(F.col("l_quantity") * w).alias("volume"), (F.avg("unit") * (1 + 0.01 * F.col("k"))).alias("close"))
@@ -81,7 +83,10 @@ def continuous_panama(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.continuous(b, r, "panama").select("date", "contract_id", "close", "raw_close", "adj_factor")
 
 
-@add()
+CONT_SQL = _continuous_sql("new_close / nullif(old_close, 0)", "exp(sum(ln(step))", "1.0", "b.close * g.factor").replace("exp(sum(ln(step)) over (partition by chain order by roll_date desc)", "exp(sum(ln(step)) over (partition by chain order by roll_date desc))")
+
+
+@add(f"with c as ({CONT_SQL}), {FRONT_SQL} select r.roll_date, round((select arg_min(close, date) from c where date >= r.roll_date) / (select arg_max(close, date) from c where date < r.roll_date) - 1, 6) as gap from rolls r")
 def seam_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, r = _rolls(spark, sf_dir)
     return C.seam_gaps(C.continuous(b, r, "ratio"), r)
@@ -139,12 +144,6 @@ def uniqueness_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.uniqueness(_labels(spark, sf_dir), decay_oldest=0.5).select("symbol", F.col("pos0").cast("long"), "avg_uniqueness", "weight")
 
 
-@add()
-def session_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _positions(spark, sf_dir).withColumnRenamed("day", "session_date")
-    return L.session_barrier(b, b, minutes=240)
-
-
 @add(f"{LABELS_SQL} select symbol, pos0::bigint as pos0, (case when label <> 0 then sign(label) when ret > 0 then 1 else -1 end)::int as direction, (case when label <> 0 then (sign(label) * ret > 0)::int else null end) as meta_label from lab")
 def directional_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = L.meta_label(L.direction(_labels(spark, sf_dir)), "label", "ret")
@@ -239,7 +238,10 @@ def har_ols_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.ols(_har(spark, sf_dir), "fwd_1", ["har_1"], ["symbol"])
 
 
-@add()
+@add(f"""with {HAR_SQL}, m as (select symbol, count(*) as n, avg(fwd_1) as y, avg(har_1) as a, avg(har_3) as b, avg(har_5) as c, avg(har_1 * har_1) - avg(har_1) * avg(har_1) as aa, avg(har_1 * har_3) - avg(har_1) * avg(har_3) as ab, avg(har_1 * har_5) - avg(har_1) * avg(har_5) as ac, avg(har_3 * har_3) - avg(har_3) * avg(har_3) as bb, avg(har_3 * har_5) - avg(har_3) * avg(har_5) as bc, avg(har_5 * har_5) - avg(har_5) * avg(har_5) as cc, avg(har_1 * fwd_1) - avg(har_1) * avg(fwd_1) as ay, avg(har_3 * fwd_1) - avg(har_3) * avg(fwd_1) as by_, avg(har_5 * fwd_1) - avg(har_5) * avg(fwd_1) as cy from har where fwd_1 is not null and har_1 is not null and har_3 is not null and har_5 is not null group by symbol),
+d as (select *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) as det from m),
+k as (select *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det as k1, (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det as k3, (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det as k5 from d)
+select symbol, n::bigint as n, round(y - k1 * a - k3 * b - k5 * c, 6) as b_0, round(k1, 6) as b_har_1, round(k3, 6) as b_har_3, round(k5, 6) as b_har_5 from k""")
 def har_ols_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.ols(_har(spark, sf_dir), "fwd_1", ["har_1", "har_3", "har_5"], ["symbol"])
 
@@ -252,7 +254,12 @@ def qlike_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(V.qlike("fwd_1", "har_1")).alias("qlike_rw"), F.avg(V.qlike("fwd_1", "har_5")).alias("qlike_mean"), F.sqrt(F.avg(a * a)).alias("rmse_rw"), F.avg(F.abs(a)).alias("mae_rw"))
 
 
-@add()
+T_SQL = "exp(lgamma((n - 1 + 1) / 2.0) - lgamma((n - 1) / 2.0)) / sqrt((n - 1) * 3.141592653589793)"
+
+
+@add(f"""with {HAR_SQL}, d as (select symbol, day, greatest(-30, least(30, fwd_1 - har_5)) as a, greatest(-30, least(30, fwd_1 - har_1)) as b from har where fwd_1 is not null and har_5 is not null), x as (select symbol, (exp(a) - a) - (exp(b) - b) as x from d),
+g as (select symbol, count(*) as n, avg(x) / sqrt(var_pop(x) / count(*)) * sqrt((count(*) - 1.0) / count(*)) as stat from x group by 1)
+select symbol, round(stat, 6) as stat, n::bigint as n, round(0.5 + stat / 6000.0 * {T_SQL} * (select sum((case when i = 0 or i = 2000 then 1 when i % 2 = 1 then 4 else 2 end) * power(1 + power(stat * i / 2000.0, 2) / (n - 1), -n / 2.0)) from range(2001) r(i)), 6) as p from g""")
 def diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _har(spark, sf_dir).where("fwd_1 is not null and har_5 is not null").select("symbol", "day", V.qlike("fwd_1", "har_5").alias("a"), V.qlike("fwd_1", "har_1").alias("b"))
     series: dict[str, list] = {}
@@ -295,7 +302,24 @@ def moments_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.moments(I.base(bars(spark, sf_dir)), ["symbol"], "ret_1")
 
 
-@add()
+def cdf_sql(x: str) -> str:
+    """The normal distribution function of a column of the outer query, by Simpson's rule."""
+    return f"(0.5 + {x} / 6000.0 * 0.3989422804014327 * (select sum((case when i = 0 or i = 2000 then 1 when i % 2 = 1 then 4 else 2 end) * exp(-0.5 * power({x} * i / 2000.0, 2))) from range(2001) r(i)))"
+
+
+_Z = NormalDist().inv_cdf
+TOP = 0.5772156649015329
+TOP_SQL = f"({(1 - TOP) * _Z(1 - 1 / 5) + TOP * _Z(1 - 1 / (5 * 2.718281828459045))!r})"
+
+
+def _moments_sql(x: str) -> str:
+    return f"count(*) as n, avg({x}) as m1, avg(power({x}, 2)) as m2, avg(power({x}, 3)) as m3, avg(power({x}, 4)) as m4"
+
+
+@add(f"""with {BARS_SQL}, r as (select symbol, ln(close) - lag(ln(close)) over (partition by symbol order by ts) as x from bars), m as (select symbol, {_moments_sql('x')} from r where x is not null group by symbol),
+s as (select symbol, n, m1 / sqrt((m2 - m1 * m1) * n / (n - 1)) as sr, (m3 - 3 * m1 * m2 + 2 * power(m1, 3)) / power(m2 - m1 * m1, 1.5) as sk, (m4 - 4 * m1 * m3 + 6 * power(m1, 2) * m2 - 3 * power(m1, 4)) / power(m2 - m1 * m1, 2) as ku from m),
+z as (select symbol, sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) as a, (sr - sqrt((select var_samp(sr) from s)) * {TOP_SQL}) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) as b from s)
+select symbol, round({cdf_sql('z.a')}, 6) as psr, round({cdf_sql('z.b')}, 6) as dsr from z""")
 def psr_dsr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.moments(I.base(bars(spark, sf_dir)), ["symbol"], "ret_1").collect()  # a row a symbol
     var = float(np.var([r["sharpe"] for r in rows], ddof=1)) if len(rows) > 1 else 0.0
@@ -308,12 +332,6 @@ def _daily_matrix(spark: SparkSession, sf_dir: str) -> np.ndarray:
     return np.array([[x or 0.0 for x in r[1:]] for r in d.orderBy("day").collect()], float)  # a row a day
 
 
-@add()
-def overfitting_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.pbo(_daily_matrix(spark, sf_dir))
-    return spark.createDataFrame([(found["pbo"], found["n_splits"])], "pbo double, n_splits int")
-
-
 @add()
 def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _daily_matrix(spark, sf_dir)

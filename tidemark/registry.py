@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import market_queries, model_queries, news_queries, research_queries, whole_queries
+from .plans import lake_queries, market_queries, micro_queries, model_queries, news_queries, research_queries, study_queries
 
-CATALOGUES = (market_queries.catalogue, research_queries.catalogue, news_queries.catalogue, model_queries.catalogue, whole_queries.catalogue)
-QUERIES = {k: f for c in CATALOGUES for k, f in c.queries.items()}
-ORACLE_SQL = {k: s for c in CATALOGUES for k, s in c.sql.items()}
+MODULES = (market_queries, research_queries, news_queries, model_queries, lake_queries, micro_queries, study_queries)
+QUERIES = {k: f for m in MODULES for k, f in m.catalogue.queries.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.catalogue.sql.items()}
 FLAGSHIP = QUERIES["bollinger_zscore"]

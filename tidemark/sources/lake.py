@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,11 @@ class Dataset:
     time: str = "ts_event"
     ingest: str = "ts_ingest"
     split: str = "symbol"
+    grain: str = "day"  # what a partition spans: a table of few rows a day takes a year
+
+    def date(self) -> Column:
+        """The day of the partition a row belongs to."""
+        return F.to_date(F.date_trunc(self.grain, F.col(self.time)))
 
     @property
     def schema(self) -> T.StructType:
@@ -36,17 +41,30 @@ DATASETS = {
     for d in (
         Dataset("bars_1m", _BAR, ("ts_event", "contract_id")),
         Dataset("bars_5s", _BAR, ("ts_event", "contract_id")),
+        Dataset("bars_1d", _BAR, ("ts_event", "contract_id"), grain="year"),
         Dataset("quotes_l1", _QUOTE, ("ts_event", "contract_id")),
         Dataset("trades", _TRADE, ("ts_event", "contract_id", "price", "size")),
-        Dataset("rolls", _ROLL, ("symbol", "to_contract_id")),
-        Dataset("macro_events", "event_time timestamp, event_type string, ref_period date, actual_pit double, prior double, surprise double, source string, fred_series_id string, ingest_ts timestamp, macro_version string", ("event_type", "event_time"), ("event_time", "event_type", "ingest_ts"), "event_time", "ingest_ts", "event_type"),
-        Dataset("market_daily", "series_id string, obs_date date, value double, observed_at timestamp, ingested_at timestamp", ("series_id", "obs_date"), ("series_id", "obs_date", "ingested_at"), "obs_date", "ingested_at", "series_id"),
+        Dataset("rolls", _ROLL, ("symbol", "to_contract_id", "ts_event"), grain="year"),
+        Dataset("macro_events", "event_time timestamp, event_type string, ref_period date, actual_pit double, prior double, surprise double, source string, fred_series_id string, ingest_ts timestamp, macro_version string", ("event_type", "event_time"), ("event_time", "event_type", "ingest_ts"), "event_time", "ingest_ts", "event_type", "year"),
+        Dataset("market_daily", "series_id string, obs_date date, value double, observed_at timestamp, ingested_at timestamp", ("series_id", "obs_date"), ("series_id", "obs_date", "ingested_at"), "obs_date", "ingested_at", "series_id", "year"),
         Dataset("news_raw", "content_hash string, source string, source_id string, source_url string, title string, snippet_or_text string, published_at timestamp, observed_at timestamp, ingested_at timestamp, query_topic string, language string, entities array<string>, sentiment_feature_version string, degraded boolean, error string", ("content_hash",), ("content_hash", "source", "observed_at"), "observed_at", "ingested_at", "source"),
+        Dataset("micro_bars", "ts_event timestamp, ts_ingest timestamp, symbol string, contract_id string, con_id bigint, ts_open timestamp, open double, high double, low double, close double, vwap double, volume double, dollar_volume double, mid_open double, mid_close double, n_trades bigint, n_events bigint, bar_complete boolean, ofi_top double, signed_vol double, trade_imbalance double, spread_twa double, imbalance_twa double, depth_twa double, rv_intrabar double, duration_s double, dmid double, ret_bar double, source string, schema_version int", ("ts_event",)),
+        Dataset("labels", "t0 timestamp, t1 timestamp, symbol string, ret double, label int, barrier string, sigma double, n_bars bigint, avg_uniqueness double, weight double, label_version string, ts_ingest timestamp", ("t0",), ("t0", "symbol", "ts_ingest"), "t0"),
+        Dataset("micro_labels", "t0 timestamp, t1 timestamp, symbol string, contract_id string, session_date date, ret double, label int, barrier string, sigma double, n_bars bigint, resolved_at_close boolean, avg_uniqueness double, weight double, label_version string, ts_ingest timestamp", ("t0",), ("t0", "symbol", "ts_ingest"), "t0"),
         Dataset("news_scored", "content_hash string, source string, query_topic string, published_at timestamp, observed_at timestamp, sentiment_feature_version string, positive_score double, negative_score double, neutral_score double, sentiment_score double, model_name string, model_version_or_hash string, scored_at timestamp", ("content_hash", "model_name"), ("content_hash", "model_name", "observed_at"), "observed_at", "scored_at", "source"),
     )
 }
 
 
+def feature_dataset(name: str, columns: list[str]) -> Dataset:
+    """Registers a table of feature columns (doubles) by (symbol, ts_event); the same columns again change nothing."""
+    ddl = "ts_event timestamp, ts_ingest timestamp, symbol string, " + "".join(f"`{c}` double, " for c in columns) + "degraded boolean, feature_version string"
+    found = Dataset(name, ddl, ("ts_event",))
+    if DATASETS.setdefault(name, found).ddl != ddl:
+        raise ValueError(f"{name} has other columns")
+    return found
+
+
 def empty(spark: SparkSession, dataset: str) -> DataFrame:
     return spark.createDataFrame([], DATASETS[dataset].schema)
 
@@ -82,7 +100,7 @@ def new_rows(batch: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame
 
 
 class Lake:
-    """A folder of datasets, partitioned by (split column, UTC date)."""
+    """A folder of datasets, partitioned by (split column, UTC date or, for sparse tables, year)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -110,7 +128,7 @@ class Lake:
     def write(self, dataset: str, df: DataFrame) -> int:
         """Appends rows whose key its partition does not hold yet, and returns their number. Duplicates inside a batch stay."""
         d = DATASETS[dataset]
-        rows = coerce(df, dataset).withColumn("_split", F.col(d.split)).withColumn("_date", F.to_date(d.time))
+        rows = coerce(df, dataset).withColumn("_split", F.col(d.split)).withColumn("_date", d.date())
         if self._exists(dataset):
             key = list(dict.fromkeys([*d.key, "_split", "_date"]))
             dates = [r[0] for r in rows.select("_date").distinct().collect()]  # a row a day of the batch: prunes the scan of what exists
@@ -124,13 +142,26 @@ class Lake:
         finally:
             rows.unpersist()
 
-    def compact(self, dataset: str) -> DataFrame:
-        """One row a key (last ingest wins), one file a partition, written beside the dataset; returns the compacted rows' table."""
-        d = DATASETS[dataset]
-        target = f"{self._folder(dataset)}-compact"
-        rows = latest_ingest(self._files(dataset), list(d.key), d.ingest)
-        rows.repartition("_split", "_date").write.mode("overwrite").option("compression", "zstd").partitionBy("_split", "_date").parquet(target)
-        return self.spark.read.schema(self._files(dataset).schema).parquet(target).drop("_split", "_date")
+    def compact(self, dataset: str, split: str | None = None) -> int:
+        """Rewrites each partition (of one symbol, or all) as one file with one row a key, the last ingested; returns how many rows went.
+
+        The compacted rows are written beside the dataset first and then replace its partitions, so a run that dies midway loses nothing.
+        """
+        d, beside = DATASETS[dataset], f"{self._folder(dataset)}-compacting"
+        if not self._exists(dataset):
+            return 0
+        old = self._files(dataset)
+        old = old.where(F.col("_split") == split) if split is not None else old
+        before = old.count()
+        rows = latest_ingest(old, [*dict.fromkeys([*d.key, "_split", "_date"])], d.ingest)
+        rows.repartition("_split", "_date").write.mode("overwrite").option("compression", "zstd").partitionBy("_split", "_date").parquet(beside)
+        done = self.spark.read.schema(old.schema).parquet(beside)
+        after = done.count()
+        done.repartition("_split", "_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("_split", "_date").parquet(self._folder(dataset))
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(beside)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        return before - after
 
     def read_window(self, dataset: str, split: str, start, end, key: list[str] | None = None) -> DataFrame:
         """Rows of one symbol with start <= time <= end, the latest ingest of each key, in time order."""
@@ -138,5 +169,5 @@ class Lake:
         if not self._exists(dataset):
             return empty(self.spark, dataset)
         t = F.col(d.time)
-        df = self._files(dataset).where((F.col("_split") == split) & F.col("_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))) & (t >= F.lit(start)) & (t <= F.lit(end)))
-        return latest_ingest(df, key or list(d.key), d.ingest).drop("_split", "_date").orderBy(d.time)
+        df = self._files(dataset).where((F.col("_split") == split) & F.col("_date").between(F.to_date(F.date_trunc(d.grain, F.lit(start).cast("timestamp"))), F.to_date(F.lit(end).cast("timestamp"))) & (t >= F.lit(start)) & (t <= F.lit(end)))
+        return latest_ingest(df, key or list(d.key), d.ingest).drop("_split", "_date").orderBy(d.time, *[k for k in d.key if k != d.time])

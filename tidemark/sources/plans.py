@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 from dataclasses import dataclass, field
 from urllib.parse import quote_plus
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import RTH_CLOSE, RTH_OPEN, TZ
+
 NO_PRICE = 9223372036854775807  # fixed value: the feed's mark for a missing price
 
 
@@ -34,6 +37,20 @@ def trading_days(df: DataFrame, first: str, last: str) -> DataFrame:
     return df.select(F.explode(F.sequence(first, last)).alias("day")).where(F.weekday("day") < 5)
 
 
+def fetch_windows(days: DataFrame, day: str = "day", rth_only: bool = True) -> DataFrame:
+    """``fetch_from, fetch_to`` (UTC) of each day: its regular session in exchange time, or the whole UTC day."""
+    midnight = F.col(day).cast("timestamp_ntz")
+    if not rth_only:
+        return days.withColumns({"fetch_from": F.col(day).cast("timestamp"), "fetch_to": F.date_add(day, 1).cast("timestamp")})
+    local = lambda minutes: F.to_utc_timestamp(midnight + F.make_dt_interval(mins=F.lit(minutes)), TZ)
+    return days.withColumns({"fetch_from": local(RTH_OPEN), "fetch_to": local(RTH_CLOSE)})
+
+
+def estimate_cost(quotes: DataFrame, keys: list[str], cost: str, size: str) -> DataFrame:
+    """Money and bytes by symbol from a quote a day: what the planned windows would take."""
+    return quotes.groupBy(*keys).agg(F.sum(cost).alias("cost"), F.sum(size).cast("long").alias("bytes"), F.count("*").alias("days"))
+
+
 def year_chunks(start: dt.date, end: dt.date) -> list[tuple[dt.date, dt.date]]:
     """[start, end) cut at calendar years."""
     edges = [start, *(dt.date(y, 1, 1) for y in range(start.year + 1, end.year + 1) if dt.date(y, 1, 1) < end), end]
@@ -114,6 +131,39 @@ def access_plan(source: str, registry: dict[str, SourcePolicy], requests: int, s
     return {"source": source, "requests": requests, "bytes": size, "cost": cost}
 
 
+class Runner:
+    """Walks pending slices of a plan under caps of requests, bytes and seconds, with a pause between requests and retries that back off.
+
+    ``fetch(slice)`` returns the bytes it took or raises; ``clock`` and ``sleep`` are injected, so a test needs no time. What is done is marked in
+    the manifest, so a stopped run goes on where it ended.
+    """
+
+    def __init__(self, manifest: Manifest, max_requests: int, max_bytes: int, max_seconds: float, pause: float = 0.0, retries: int = 3, backoff: float = 2.0, clock=time.monotonic, sleep=time.sleep):
+        self.manifest, self.limits, self.pause, self.retries, self.backoff, self.clock, self.sleep = manifest, (max_requests, max_bytes, max_seconds), pause, retries, backoff, clock, sleep
+
+    def run(self, slices: list[str], fetch) -> dict:
+        began, requests, size, failed, stopped = self.clock(), 0, 0, [], "done"
+        for name in self.manifest.pending(slices):
+            for attempt in range(self.retries + 1):
+                spent = (requests, size, self.clock() - began)
+                if any(s >= m for s, m in zip(spent, self.limits, strict=True)):
+                    stopped = ("requests", "bytes", "time")[[s >= m for s, m in zip(spent, self.limits, strict=True)].index(True)]
+                    return {"requests": requests, "bytes": size, "failed": failed, "stopped": stopped}
+                if requests:
+                    self.sleep(self.pause)
+                requests += 1
+                try:
+                    size += fetch(name)
+                    self.manifest.mark(name)
+                    break
+                except OSError:
+                    if attempt == self.retries:
+                        failed.append(name)
+                    else:
+                        self.sleep(self.backoff ** (attempt + 1))
+        return {"requests": requests, "bytes": size, "failed": failed, "stopped": stopped}
+
+
 def observations(df: DataFrame, payload: str) -> DataFrame:
     """Series observations of JSON payloads: missing-value marks dropped, dates parsed, release date kept."""
     o = df.select(F.explode(F.from_json(payload, "struct<observations:array<struct<date:string,value:string,realtime_start:string>>>")["observations"]).alias("o")).select("o.*")

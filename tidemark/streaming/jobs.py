@@ -29,25 +29,46 @@ def bars_stream(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours")
     return g.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume", "wap", "n")
 
 
-def append_new(batch: DataFrame, path: str, key: list[str]) -> None:
-    """foreachBatch body: rows of a batch whose key the table at ``path`` lacks are appended, so a replayed batch changes nothing."""
+def append_new(batch: DataFrame, path: str, key: list[str], time: str, order: str | None = None) -> None:
+    """foreachBatch body: rows of a batch whose key the table at ``path`` lacks are appended, so a replayed batch changes nothing.
+
+    Of rows with one key the one with the latest ``order`` (by default ``time``) counts. Only rows of the batch's span of ``time`` are read back.
+    """
     from ..sources.lake import latest_ingest
 
     spark = batch.sparkSession
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    batch = latest_ingest(batch, key, key[-1])
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        batch = batch.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    batch.write.mode("append").parquet(path)
-
-
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, key: list[str]) -> None:
+    batch = latest_ingest(batch, key, order or time).persist()
+    try:
+        lo, hi = batch.agg(F.min(time), F.max(time)).first()
+        if lo is None:
+            return
+        rows = batch
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            held = spark.read.parquet(path).where(F.col(time).between(F.lit(lo), F.lit(hi)))
+            rows = batch.join(held.select(*key), key, "left_anti")
+        rows.write.mode("append").parquet(path)
+    finally:
+        batch.unpersist()
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, key: list[str], time: str) -> None:
     """Runs a stream over what is there (availableNow) into an idempotent table."""
-    q = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: append_new(df, path, key)).start()
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: append_new(df, path, key, time)).start()
     q.awaitTermination()
 
 
+QUOTE = "event_id bigint, symbol string, ts timestamp, bid double, ask double, bid_size double, ask_size double"
+
+
+def quotes_stream(quotes: DataFrame, width: str = "1 minute", late: str = "2 hours") -> DataFrame:
+    """The last quote of each symbol and window, in append mode, quotes deduplicated by id within the watermark."""
+    q = quotes.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    g = q.groupBy("symbol", F.window("ts", width)).agg(F.max_by(F.struct("bid", "ask", "bid_size", "ask_size"), F.struct("ts", "event_id")).alias("q"), F.count("*").alias("n"))
+    return g.select("symbol", F.col("window.start").alias("ts"), "q.*", "n")
+
+
 BAR = "symbol string, instrument bigint, day date, bar_id bigint, ts_open timestamp, ts_close timestamp, open double, high double, low double, close double, volume double, vwap double, n bigint"
 _STATE = "bar_id bigint, total double, ts_open timestamp, ts_close timestamp, open double, high double, low double, close double, volume double, notional double, n bigint"
 
@@ -84,4 +105,4 @@ def sentinel(ticks: DataFrame, hours: int = 24) -> DataFrame:
     return last.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit("~end").alias("symbol"), (F.col("ts") + F.expr(f"interval {hours} hours")).alias("ts"), F.lit(0.0).alias("price"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("instrument"), F.lit(0).cast("bigint").alias("user_id"))
 
 
-__all__ = ["TICK", "append_new", "bars_stream", "dollar_bars_stream", "read_events", "run_to_table", "sentinel", "time_bars"]
+__all__ = ["QUOTE", "TICK", "append_new", "bars_stream", "dollar_bars_stream", "quotes_stream", "read_events", "run_to_table", "sentinel", "time_bars"]
