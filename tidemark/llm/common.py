@@ -20,6 +20,7 @@ from ..plans.shipping import ship
 
 _OWN_ROOT: dict[str, str] = {}
 ARROW_BYTES = 8 << 20
+SLICE = 1 << 19  # bytes of text worked on at once: 50 to 90 bytes of arrays each, and 32 of powers kept (``span_hashes``)
 
 
 def work_root(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_slices, mix64, span_hashes, texts, utf8_parts
+from .common import SLICE, Workspace, byte_slices, mix64, span_hashes, texts, trim, utf8_parts
 
 REPEATS, SAMPLES = 5, 7
 PAD = np.uint64(0x5851F42D4C957F2D)
@@ -233,11 +233,12 @@ def _report(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
-            for lo, hi in byte_slices(batch, "text", 1 << 21):
+            for lo, hi in byte_slices(batch, "text", SLICE):
                 got = items.matches(batch.column("text").slice(lo, hi - lo))
                 ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array([g[0] for g in got], pa.int64()))
                 rest = [[items.ids[g[1]] for g in got], [g[2] for g in got], [g[3] for g in got], [len(items.words[g[1]]) for g in got], [g[4] for g in got]]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(rest[0], pa.int64()), *(pa.array(x, pa.int32()) for x in rest[1:])], ["doc_id", "item_id", "first_word", "end_word", "item_words", "distance"])
+        trim()
 
     return run
 
@@ -256,9 +257,10 @@ def _filter(shared) -> Callable:
         items = shared.value
         for batch in batches:
             text = batch.column("text").cast(pa.string()).fill_null("")
-            for lo, hi in byte_slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", 1 << 21):
+            for lo, hi in byte_slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", SLICE):
                 clean = np.ones(hi - lo, bool)
                 clean[[g[0] for g in items.matches(text.slice(lo, hi - lo))]] = False
                 yield batch.slice(lo, hi - lo).filter(pa.array(clean))
+        trim()
 
     return run

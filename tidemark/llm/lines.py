@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_slices, mix64, partitions, span_hashes, texts, utf8_parts
+from .common import SLICE, Workspace, byte_slices, mix64, partitions, span_hashes, texts, utf8_parts
 
 PROBES = 4
 _SPACE = np.zeros(256, bool)
@@ -108,7 +108,7 @@ def _pack(shards: int, min_chars: int):
             return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.array(to - cut, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(cut, to, strict=True)], pa.binary())], ["shard", "n", "hashes"])
 
         for batch in batches:
-            for lo, hi in byte_slices(batch, "text", 1 << 22):
+            for lo, hi in byte_slices(batch, "text", SLICE):
                 lines = Lines(batch.column("text").slice(lo, hi - lo))
                 at = lines.long(min_chars)
                 pair = np.unique(np.rec.fromarrays([lines.hashes(at), lines.doc[at]]))
@@ -152,7 +152,7 @@ def _pack_with_ids(shards: int, min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in byte_slices(batch, "text", 1 << 22):
+            for lo, hi in byte_slices(batch, "text", SLICE):
                 lines = Lines(batch.column("text").slice(lo, hi - lo))
                 at = lines.long(min_chars)
                 h = lines.hashes(at)
@@ -222,7 +222,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = {k: (bits, np.frombuffer(w, np.uint64)) for k, (bits, w) in filters.value.items()} if filters is not None else None
         for batch in batches:
-            for lo, hi in byte_slices(batch, "text", 1 << 22):
+            for lo, hi in byte_slices(batch, "text", SLICE):
                 lines = Lines(batch.column("text").slice(lo, hi - lo))
                 at = lines.long(min_chars)
                 h = lines.hashes(at)
@@ -254,7 +254,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in byte_slices(batch, "text", 1 << 22):
+            for lo, hi in byte_slices(batch, "text", SLICE):
                 column, drops = batch.column("text").slice(lo, hi - lo), batch.column("drops").slice(lo, hi - lo)
                 lines = Lines(column)
                 n = np.bincount(lines.doc, minlength=hi - lo)

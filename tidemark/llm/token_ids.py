@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_slices, partitions, small_batches, span_hashes, texts, trim, utf8_parts, words_at
+from .common import SLICE, Workspace, byte_slices, partitions, small_batches, span_hashes, texts, trim, utf8_parts, words_at
 
 BLOCK_IDS = 1 << 20
 BLOCKS = "part int, block int, base long, n_docs int, n_ids long, n_null int, first_doc long, doc_ids binary, bounds binary, width int, ids binary"
@@ -322,7 +322,7 @@ def _encode_part(tokenizer: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for lo, hi in byte_slices(batch, "text", 1 << 21):
+            for lo, hi in byte_slices(batch, "text", SLICE):
                 ids, n = enc(batch.column("text").slice(lo, hi - lo))
                 ids = np.insert(ids, np.cumsum(n), end_id).astype(enc.dtype)
                 ends = np.cumsum(n + 1)
