@@ -42,10 +42,10 @@ def append_new(batch: DataFrame, path: str, key: list[str], time: str, order: st
     batch = latest_ingest(batch, key, order or time).persist()
     try:
         lo, hi = batch.agg(F.min(time), F.max(time)).first()
-        if lo is None:
+        rows, there = batch, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        if there and lo is None:
             return
-        rows = batch
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        if there:
             held = spark.read.parquet(path).where(F.col(time).between(F.lit(lo), F.lit(hi)))
             rows = batch.join(held.select(*key), key, "left_anti")
         rows.write.mode("append").parquet(path)
