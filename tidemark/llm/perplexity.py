@@ -307,11 +307,11 @@ SCORED_BY = ("doc_id", "lang")
 ASKED = "s int, m string, block long, n long, grams binary"
 
 
-def _ask(known: frozenset[str], shards: int) -> Callable:
+def _ask(known: frozenset[str], shards: int, limit: int) -> Callable:
     """The distinct n-grams that each block asks a shard of a model for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, held in row_blocks(batches, BLOCK, SCORED_BY):
+        for block, held in row_blocks(batches, limit, SCORED_BY):
             grams = Distinct(counts=False)
             for rows, text in held:
                 grams.add(text, settled(model_of(rows.column("doc_id"), rows.column("lang").cast(pa.string()), own=False), known))
@@ -407,7 +407,8 @@ def _score(known: frozenset[str], keep: bool) -> Callable:
 def scored_blocks(docs: DataFrame, model: Model, keep: bool) -> DataFrame:
     """``SCORED``: a row a block of documents with its scores; with ``keep`` also the rows themselves. Reads ``docs`` twice."""
     work, n = model.work, partitions(docs.sparkSession)
-    packed = work.table(docs.mapInArrow(_ask(model.known, model.shards), ASKED), "asked")
+    limit = BLOCK // 2 if keep else BLOCK  # blocks with all columns are kept, and read again
+    packed = work.table(docs.mapInArrow(_ask(model.known, model.shards, limit), ASKED), "asked")
     none = lambda *names: [F.lit(None).cast(t).alias(x) for x, t in names]
     low = ("discounts", "pairs", "shares", "left", "single")
     counted = model.counts.select("s", "m", F.lit(0).alias("kind"), *none(("block", "long")), "n", "grams", "counts", *none(*((x, "binary") for x in low)))
@@ -415,7 +416,7 @@ def scored_blocks(docs: DataFrame, model: Model, keep: bool) -> DataFrame:
     asked = packed.select("s", "m", F.lit(2).alias("kind"), "block", "n", "grams", *none(("counts", "binary"), *((x, "binary") for x in low)))
     met = counted.unionByName(fitted).unionByName(asked).repartition(n, "s", "m").sortWithinPartitions("s", "m", "kind")
     answers = met.mapInArrow(_answer, "block long, m string, n long, grams binary, bits binary").select("block", *none(("blob", "binary")), "m", "n", "grams", "bits")
-    rows = packed_rows(docs, BLOCK, SCORED_BY).select("block", "blob", *none(("m", "string"), ("n", "long"), ("grams", "binary"), ("bits", "binary")))
+    rows = packed_rows(docs, limit, SCORED_BY).select("block", "blob", *none(("m", "string"), ("n", "long"), ("grams", "binary"), ("bits", "binary")))
     return work.table(rows.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "m").mapInArrow(_score(model.known, keep), SCORED), "scored")
 
 
