@@ -240,3 +240,32 @@ def test_whole_queries_leave_no_row_out(spark):
     at = [r["m"] for r in spark.read.parquet(f"{path}/events.parquet").selectExpr("unix_micros(cast(ts as timestamp)) / 6e7 - unix_micros(timestamp '2024-01-01') / 6e7 as m").collect()]
     used = {d for d, m in news.items() if any(0 <= x - m < 15 for x in at)}
     assert {r["doc_id"] for r in registry.QUERIES["news_events_used"](spark, path).collect()} == used
+
+
+def against_sql(spark, path, name, tables):
+    """Sorted rows of a registered query over small tables written to ``path`` (name to DataFrame), and those of its SQL; NaN by name."""
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark import registry
+
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{t}.parquet")
+        con.sql(f"create view {t} as select * from read_parquet('{path}/{t}.parquet/*.parquet')")
+    found, wanted = registry.QUERIES[name](spark, str(path)), con.sql(registry.ORACLE_SQL[name])
+    at = [list(wanted.columns).index(c) for c in found.columns]
+    plain = lambda v: "nan" if isinstance(v, float) and math.isnan(v) else v.replace(tzinfo=None) if isinstance(v, dt.datetime) else v
+    return [sorted((tuple(plain(v) for v in r) for r in rows), key=repr) for rows in (found.collect(), [[r[i] for i in at] for r in wanted.fetchall()])]
+
+
+def trades(spark, rows):
+    """``events`` of (event_type, ts, value)."""
+    return spark.createDataFrame([(i, ts, i % 7, kind, float(v), '{"k": 1}') for i, (kind, ts, v) in enumerate(rows)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+
+
+def test_calibration_without_variation(spark, tmp_path):
+    days = [dt.datetime(2024, 1, d, h) for d in (2, 3, 4) for h in range(24)]  # as many returns each day
+    fewer = [t for t in days if t.day < 4 or t.hour < 12]
+    rows = [(k, t, (t.day * 7 + t.hour * 5) % 11) for k, ts in (("even", days), ("other", fewer), ("short", days[:24])) for t in ts]
+    found, wanted = against_sql(spark, tmp_path, "calibration", {"events": trades(spark, rows)})
+    assert found == wanted and len(found) == 3
+    assert sum("nan" in r for r in found) == 2

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import sdiv, us
+from ..functions.exprs import corr, sdiv, us
 
 
 def findings(bars: DataFrame, key: list[str], ts: str = "ts", series: str = "contract_id", step_us: int = 60_000_000, ingest: str | None = "ts_ingest", session: str | None = None, arrival: str | None = None) -> DataFrame:
@@ -115,7 +115,7 @@ def micro_health(bars: DataFrame, key: str, session: str, features: list[str]) -
     bad = sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).cast("long") for c in features)
     g = bars.groupBy(key).agg(
         (F.count_distinct("con_id") - 1).alias("rolls"), (100 * F.avg((~F.col("bar_complete")).cast("double"))).alias("pct_incomplete"), F.percentile("duration_s", 0.5).alias("median_duration_s"),
-        F.corr("ofi_top", "dmid").alias("ofi_dmid_corr"), F.sum(bad).alias("bad_values"),
+        corr("ofi_top", "dmid").alias("ofi_dmid_corr"), F.sum(bad).alias("bad_values"),
     )
     return session_health(bars, session, key).join(g, key)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import statistics as S
-from ..functions.exprs import clean, local, pos_ln, sdiv
+from ..functions.exprs import clean, corr, local, pos_ln, sdiv
 from ..plans.shipping import ship
 from . import labels as L
 from . import modeling as M
@@ -270,7 +270,7 @@ def economic_gates(panel: DataFrame, arms: list[str], treat: str, keys: list[str
     net = lambda a, s: held_return(f"mvm_{a}", ret, side_cost, s)
     g = panel.groupBy(*keys).agg(
         *[target_error(f"vt_{a}", ret).alias(f"vte_{a}") for a in arms], *[fee_bps(net(treat, s), net(a, s), gamma).alias(f"fee_{a}_{n}") for a in rest for s, n in ((1.0, "plain"), (stress, "stressed"))],
-        fee_bps(net(treat, 0.0), net(static, 0.0), gamma).alias("fee_gross"), F.avg(f"mvm_{treat}").alias("w_treat"), F.avg(f"mvm_{static}").alias("w_static"), *[F.coalesce(F.corr(F.col(f"mvm_{treat}") - F.col(f"mvm_{a}"), F.col(ret)), F.lit(0.0)).alias(f"corr_{a}") for a in rest],
+        fee_bps(net(treat, 0.0), net(static, 0.0), gamma).alias("fee_gross"), F.avg(f"mvm_{treat}").alias("w_treat"), F.avg(f"mvm_{static}").alias("w_static"), *[F.coalesce(corr(F.col(f"mvm_{treat}") - F.col(f"mvm_{a}"), ret), F.lit(0.0)).alias(f"corr_{a}") for a in rest],
     )
     r = panel.where(F.col(regime).isNotNull()).groupBy(*keys, regime).agg(fee_bps(net(treat, 1.0), net(static, 1.0), gamma).alias("fee")).groupBy(*keys).agg(F.min(F.coalesce("fee", F.lit(float("-inf")))).alias("worst"), F.count("*").alias("regimes"))
     better = lambda a: F.avg(utility(net(treat, 1.0), gamma)) > F.avg(utility(net(a, 1.0), gamma))

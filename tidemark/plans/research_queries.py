@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..functions import statistics as S
 from ..operators import continuous as C
 from ..operators import cv as CV
@@ -341,7 +342,9 @@ def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(f"with {RV_SQL} select symbol, round(corr(rv, n_returns), 6) as corr, round(regr_slope(rv, n_returns) * 1000000, 6) as slope_ppm from rvd group by symbol")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rv(spark, sf_dir).groupBy("symbol").agg(F.corr("rv", "n_returns").alias("corr"), (F.regr_slope("rv", "n_returns") * 1_000_000).alias("slope_ppm"))
+    """Where no day of a symbol has another number of returns both are NaN, as in the SQL."""
+    undefined = lambda c: F.coalesce(c, F.lit(float("nan")))
+    return _rv(spark, sf_dir).groupBy("symbol").agg(undefined(X.corr("rv", "n_returns")).alias("corr"), undefined(X.slope("rv", "n_returns") * 1_000_000).alias("slope_ppm"))
 
 
 # --- quality --------------------------------------------------------------------------------------------------------------------------------
