@@ -269,3 +269,10 @@ def test_calibration_without_variation(spark, tmp_path):
     found, wanted = against_sql(spark, tmp_path, "calibration", {"events": trades(spark, rows)})
     assert found == wanted and len(found) == 3
     assert sum("nan" in r for r in found) == 2
+
+
+def test_event_timing_rounds_as_sql(spark, tmp_path):
+    rows = [("error", dt.datetime(2024, 1, 2, 0, 0), 1.0), ("error", dt.datetime(2024, 1, 2, 2, 0), 1.0)]
+    rows += [("view", dt.datetime(2024, 1, 2, 0, 0) + dt.timedelta(microseconds=30 + 60 * (k * 7919 % 100_000_000)), 1.0) for k in range(2000)]  # half way between two of six digits
+    found, wanted = against_sql(spark, tmp_path, "event_timing", {"events": trades(spark, rows)})
+    assert found == wanted
