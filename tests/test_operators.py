@@ -276,3 +276,15 @@ def test_event_timing_rounds_as_sql(spark, tmp_path):
     rows += [("view", dt.datetime(2024, 1, 2, 0, 0) + dt.timedelta(microseconds=30 + 60 * (k * 7919 % 100_000_000)), 1.0) for k in range(2000)]  # half way between two of six digits
     found, wanted = against_sql(spark, tmp_path, "event_timing", {"events": trades(spark, rows)})
     assert found == wanted
+
+
+def test_gkg_tone_of_equal_scores(spark, tmp_path):
+    """Windows of one event, of equal ones and of ones that differ little."""
+    said = {43: 14, 401: 44, 402: 44, 1201: 1500, 1202: 1501}  # observed seven minutes a doc_id after the start
+    docs = [(d, "s", "the " * n + "x") for d, n in said.items()]
+    documents = spark.createDataFrame([(d, w, "en", s, len(w)) for d, s, w in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    start = dt.datetime(2024, 1, 1)
+    rows = [("view", start + dt.timedelta(minutes=d * 7 % 20000 + 20), 1.0) for d, _, _ in docs] + [("view", start, 1.0)]
+    found, wanted = against_sql(spark, tmp_path, "gkg_tone", {"documents": documents, "events": trades(spark, rows)})
+    assert found == wanted
+    assert sum(r[1] == 1 for r in found) >= 1

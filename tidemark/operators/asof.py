@@ -89,12 +89,12 @@ def window_totals(events: DataFrame, targets: DataFrame, widths_us: list[int], s
     """All columns of ``targets`` and, for the i-th width, of the events in (t - width, t] with equal ``by`` columns: ``n_i``, the ``sums`` and ``maxes`` as
     ``<name>_i``.
 
-    Counts and sums are differences of running totals (exact decimals of 12 places): that up to t, and that before the first event after t - width.
+    Counts and sums are differences of running totals (exact decimals of 18 places, that is sums below 1e20): that up to t, and that before the first event after t - width.
     A maximum is that of a running maximum since the cell of a width began, up to t, and of one to the end of the cell before, from that first event
     on. So it takes one as-of lookup and one more a width, and no event meets a target, however many lie in a window. Nulls are left out; an empty
     window has n 0 and nulls.
     """
-    by, maxes, exact = by or [], maxes or {}, "decimal(38,12)"
+    by, maxes, exact = by or [], maxes or {}, "decimal(38,18)"
     e = events.select(*by, us(event_time).alias("_e"), *[c.cast(exact).alias(f"_s_{k}") for k, c in sums.items()], *[c.alias(f"_m_{k}") for k, c in maxes.items()])
     totals, width = ["_n", *(f"_s_{k}" for k in sums)], list(enumerate(widths_us))
     e = e.groupBy(*by, "_e").agg(F.count("*").cast(exact).alias("_n"), *[F.coalesce(F.sum(f"_s_{k}"), F.lit(0)).cast(exact).alias(f"_s_{k}") for k in sums], *[F.max(f"_m_{k}").alias(f"_m_{k}") for k in maxes])
