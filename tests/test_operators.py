@@ -288,3 +288,20 @@ def test_gkg_tone_of_equal_scores(spark, tmp_path):
     found, wanted = against_sql(spark, tmp_path, "gkg_tone", {"documents": documents, "events": trades(spark, rows)})
     assert found == wanted
     assert sum(r[1] == 1 for r in found) >= 1
+
+
+@pytest.mark.parametrize("name", ["title_extract", "parse_articles", "parse_knowledge_graph"])
+def test_titles_cut_off_in_a_reference(spark, tmp_path, name):
+    titles = ["a &amp", "b &amp; &lt;i&gt;", "c &am", "d &quot", "e &amp;amp", "f &amp;lt; &&amp;", "g h&#39;", "&ampx; &unknown; & ;", ""]
+    titles += ["&quot;i&quot;"] if name != "title_extract" else []  # its SQL resolves &quot; to nothing
+    pages = [(2 * i + 2, f"http://x.example.com/a{i}", f"<html><TITLE lang='en'> {t} </title><title>no</title></html>") for i, t in enumerate(titles)]
+    found, wanted = against_sql(spark, tmp_path, name, {"pages": spark.createDataFrame(pages, "page_id long, url string, html string")})
+    assert found == wanted and len(found) == len(titles)
+
+
+def test_page_title_resolves_all_references(spark):
+    from tidemark.functions.exprs import page_title
+
+    html = "<title>&eacute;&#xe9;&#233; &copy; &amp</title>"
+    for closed, wanted in ((False, "ééé © &"), (True, "ééé © &amp")):
+        assert spark.createDataFrame([(html,)], "html string").select(page_title("html", closed)).first()[0] == wanted
