@@ -279,6 +279,23 @@ def test_near_dedup_stage_keeps_one_of_each_similar_group(spark, docs, data, mon
     expect([((r["doc_id"] is None, r["doc_id"] or 0),) for r in kept.collect()], [(x,) for x in least.values()])
 
 
+@pytest.mark.parametrize("without", ["band_members", "trie_members"])
+def test_near_dedup_stage_links_by_the_trie_and_by_bands(spark, monkeypatch, without):
+    """Long copies with one changed word lie within the trie's bits and share bands: either way alone finds them, and texts apart stay."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tidemark.llm import similar
+
+    members = getattr(similar, without)
+    monkeypatch.setattr(similar, without, lambda *a: members(*a).where("false"))
+    rng, rows = np.random.default_rng(5), []
+    for g in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+        rows += [(10 * g + c, " ".join([*words[: 40 * c], f"new{g}", *words[40 * c + 1 :]]) if c else " ".join(words)) for c in range(4)]
+        rows.append((10 * g + 9, " ".join(words[:300] + [f"z{x}" for x in rng.integers(0, 5000, 300)])))  # half of it: not similar
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(10 * g + c for g in range(12) for c in (0, 9))
+
+
 def test_similar_links_finds_chains():
     from tidemark.llm.similar import similar_links
 

@@ -42,7 +42,11 @@ def fingerprint(text: str, shingle: int) -> int:
         size = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(size + 1) - 1
         hashes = [digest(line[a:b], SEED) for a, b in zip((end - size)[: 1 - shingle].tolist(), end[shingle - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is 1 if set in over half of the 64-bit words."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[lo : lo + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

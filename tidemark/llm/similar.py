@@ -1,11 +1,13 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands propose, exact set comparison decides.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands propose, exact set comparison decides.
 
-A 64-bit SimHash cannot propose these pairs: on sf0.1 the pairs of five-word shingle sets with similarity 0.8 or more differ in 4 to 14 bits,
-and tries that cover 14 of 64 bits visit nearly all pairs. A band of ``ROWS`` minima agrees with probability similarity ** ROWS, so at 0.8
-a pair misses all ``BANDS`` bands with probability 7e-5, and less above.
+1. Equal sets are one class by their digest. Each distinct set has a SimHash fingerprint; operator 2's binary-trie self-join groups those that reach
+   each other over at most ``BUDGET`` differing bits, and the sets of a group are compared exactly. The links give components.
+2. No budget of a trie covers a similarity of 0.8: on sf0.1 such pairs differ in 4 to 14 of 64 bits, and tries that cover 14 visit nearly all
+   pairs. So what the trie leaves apart is proposed by MinHash bands: a band of ``ROWS`` minima agrees with probability similarity ** ROWS, so at
+   0.8 a pair misses all ``BANDS`` bands with probability 7e-5, and less above. Buckets within one component of step 1 are settled and skipped;
+   buckets with the same members meet once.
 
-Equal sets are one class by their digest. Sets that share a band meet and are compared exactly; buckets with the same members meet once. A
-bucket yields links with the same components as all its pairs at the similarity, never the pairs of a group. Buckets of at most ``BUCKET``
+A bucket yields links with the same components as all its pairs at the similarity, never the pairs of a group. Buckets of at most ``BUCKET``
 sets are a task each. In larger ones every set is compared with the bucket's first; only those not linked to it are compared with the whole
 bucket, dealt out in pairs of parts of at most ``BUCKET`` sets, so no task holds more, however many copies a text has.
 """
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, Workspace, byte_slices, mix64, packed_rows, partitions, row_blocks, span_hashes, texts, trim
 from .components import connected_components
+from .simhash import fingerprint_classes, majority
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # as a fraction, so that the comparison is exact
+BUDGET = 6  # differing bits of 64; budget + 2 must divide 64
 BANDS, ROWS = 24, 5
 MAX_BROADCAST_IDS = 500_000
 BUCKET = 2048
@@ -76,7 +80,7 @@ def band_hashes(hashes: np.ndarray, where: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """``block, at, doc_id, th, sk, bands``: place, text hash, digest of the shingle set and band hashes of every row of ``docs(doc_id, text)``."""
+    """``block, at, doc_id, th, sk, fp, bands``: place, text hash, digest, fingerprint and band hashes of the shingle set of every row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in row_blocks(batches, BLOCK):
@@ -86,17 +90,21 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 for lo, hi in byte_slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", SLICE):
                     part = text.slice(lo, hi - lo)
                     hashes, where = shingle_hashes(part, shingle)
-                    digest = [xxhash.xxh64_intdigest(np.unique(hashes[a:b]).tobytes()) for a, b in zip(where[:-1], where[1:], strict=True)]
+                    digest, fp = [], []
+                    for a, b in zip(where[:-1], where[1:], strict=True):
+                        own = np.unique(hashes[a:b])
+                        digest.append(xxhash.xxh64_intdigest(own.tobytes()))
+                        fp.append(majority(own))
                     th = [xxhash.xxh64_intdigest(x.as_py()) for x in part]
                     bands = band_hashes(hashes, where).view(np.int64).ravel()
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(bands))
-                    numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (th, digest)]
+                    numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (th, digest, fp)]
                     place = [pa.array(np.full(hi - lo, block)), pa.array(np.arange(first + lo, first + hi, dtype=np.int32))]
-                    yield pa.RecordBatch.from_arrays([*place, ids.slice(lo, hi - lo), *numbers, lists], ["block", "at", "doc_id", "th", "sk", "bands"])
+                    yield pa.RecordBatch.from_arrays([*place, ids.slice(lo, hi - lo), *numbers, lists], ["block", "at", "doc_id", "th", "sk", "fp", "bands"])
                 first += rows.num_rows
         trim()
 
-    return docs.mapInArrow(run, "block long, at int, doc_id long, th long, sk long, bands array<long>")
+    return docs.mapInArrow(run, "block long, at int, doc_id long, th long, sk long, fp long, bands array<long>")
 
 
 def similar_links(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
@@ -160,29 +168,8 @@ def _near(similarity: tuple[int, int]):
     return run
 
 
-def set_classes(docs: DataFrame, rows: DataFrame, work: Workspace, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """``sk, component``: every distinct shingle set with the smallest digest it reaches over links of at least ``similarity``."""
-    distinct = work.table(rows.groupBy("sk").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("bands").alias("bands")), "distinct-sets")
-    bands = distinct.select("sk", F.posexplode("bands").alias("band", "h"))
-    buckets = bands.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("sk").alias("least"), F.sum(F.xxhash64("sk").cast("decimal(38,0)")).alias("members")).where("n > 1")
-    once = work.table(buckets.groupBy("n", "least", "members").agg(F.min(F.struct("band", "h")).alias("bucket")).select("bucket.band", "bucket.h", "n", F.col("least").alias("first"), F.xxhash64("bucket").alias("bucket")), "buckets")
-    members = work.table(bands.join(once, ["band", "h"]).select("bucket", "n", "first", "sk"), "members")
-    wanted = work.table(distinct.join(members.select("sk").distinct(), "sk", "left_semi").select("sk", F.col("of.doc_id").alias("of_id"), F.col("of.th").alias("of_th")), "wanted")
-    small = wanted.select("sk", "of_id")
-    small = F.broadcast(small) if wanted.count() <= MAX_BROADCAST_IDS else small.hint("shuffle_hash")
-    found = texts(docs).join(small, F.col("doc_id").eqNullSafe(F.col("of_id")))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in byte_slices(batch, "text", SLICE):
-                hashes, where = shingle_hashes(batch.column("text").slice(lo, hi - lo), shingle)
-                own = [np.unique(hashes[a:b]) for a, b in zip(where[:-1], where[1:], strict=True)]
-                digest = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
-                good = np.flatnonzero(digest == np.asarray(batch.column("sk").slice(lo, hi - lo)))  # of rows with one doc_id, the one meant
-                yield pa.RecordBatch.from_arrays([pa.array(digest[good]), pa.array([own[i].tobytes() for i in good], pa.binary())], ["sk", "hashes"])
-        trim()
-
-    tokens = work.table(found.select("sk", "text").mapInArrow(sets, "sk long, hashes binary").dropDuplicates(["sk"]), "sets")
+def _bucket_links(members: DataFrame, tokens: DataFrame, work: Workspace, similarity: tuple[int, int], name: str) -> DataFrame:
+    """``a, b``: links of all buckets of ``members(bucket, n, first, sk)``, whose sets are ``tokens(sk, hashes)``."""
     links = [_links(members.where(F.col("n") <= BUCKET).join(tokens, "sk").select(F.col("bucket").alias("part"), "sk", "hashes"), similarity)]
     large = members.where(F.col("n") > BUCKET)
     if not large.isEmpty():
@@ -192,7 +179,7 @@ def set_classes(docs: DataFrame, rows: DataFrame, work: Workspace, shingle: int,
         firsts = firsts.join(tokens.select(F.col("sk").alias("f"), F.col("hashes").alias("first_hashes")), "f")
         dealt = large.withColumn("slot", slot).join(tokens, "sk")
         led = dealt.join(firsts, (F.col("first") == F.col("f")) & (F.col("slot") == F.col("f_slot"))).select("bucket", "sk", "first", "hashes", "first_hashes")
-        led = work.table(led.mapInArrow(_near(similarity), "bucket long, sk long, first long, near boolean"), "led")
+        led = work.table(led.mapInArrow(_near(similarity), "bucket long, sk long, first long, near boolean"), f"{name}-led")
         links.append(led.where("near and sk <> first").select(F.col("sk").alias("a"), F.col("first").alias("b")))
         apart = led.where("not near").select("bucket", "sk")
         lonely = apart.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET).cast("long").alias("lonely"))
@@ -205,7 +192,53 @@ def set_classes(docs: DataFrame, rows: DataFrame, work: Workspace, shingle: int,
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
-    component = connected_components(every, work)
+    return work.table(every.distinct(), f"{name}-links")
+
+
+def trie_members(distinct: DataFrame, work: Workspace, budget: int, node_cap: int = 100_000) -> DataFrame:
+    """``bucket, n, first, sk``: the sets of ``distinct(sk, fp)`` in groups whose fingerprints reach each other over at most ``budget`` differing bits."""
+    classes = work.table(fingerprint_classes(distinct.select("fp"), work, budget, node_cap), "fingerprint-classes")
+    placed = distinct.select("sk", "fp").join(classes, "fp").select("sk", F.xxhash64(F.lit("trie"), "component").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sk").alias("first")).where("n > 1")
+    return work.table(placed.join(sizes, "bucket").select("bucket", "n", "first", "sk"), "trie-members")
+
+
+def band_members(distinct: DataFrame, work: Workspace) -> DataFrame:
+    """``bucket, n, first, sk``: the sets of ``distinct(sk, bands)`` that share a band; buckets with the same members are one."""
+    bands = distinct.select("sk", F.posexplode("bands").alias("band", "h"))
+    buckets = bands.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("sk").alias("least"), F.sum(F.xxhash64("sk").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    once = work.table(buckets.groupBy("n", "least", "members").agg(F.min(F.struct("band", "h")).alias("bucket")).select("bucket.band", "bucket.h", "n", F.col("least").alias("first"), F.xxhash64("bucket").alias("bucket")), "buckets")
+    return work.table(bands.join(once, ["band", "h"]).select("bucket", "n", "first", "sk"), "band-members")
+
+
+def set_classes(docs: DataFrame, rows: DataFrame, work: Workspace, shingle: int, similarity: tuple[int, int], budget: int = BUDGET) -> DataFrame:
+    """``sk, component``: every distinct shingle set with the smallest digest it reaches over links of at least ``similarity``."""
+    distinct = work.table(rows.groupBy("sk").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "distinct-sets")
+    by_trie, by_band = trie_members(distinct, work, budget), band_members(distinct, work)
+    wanted = work.table(distinct.join(by_trie.select("sk").unionByName(by_band.select("sk")).distinct(), "sk", "left_semi").select("sk", F.col("of.doc_id").alias("of_id"), F.col("of.th").alias("of_th")), "wanted")
+    small = wanted.select("sk", "of_id")
+    small = F.broadcast(small) if wanted.count() <= MAX_BROADCAST_IDS else small.hint("shuffle_hash")
+    found = texts(docs).join(small, F.col("doc_id").eqNullSafe(F.col("of_id")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in byte_slices(batch, "text", SLICE):
+                hashes, where = shingle_hashes(batch.column("text").slice(lo, hi - lo), shingle)
+                own = [np.unique(hashes[a:b]) for a, b in zip(where[:-1], where[1:], strict=True)]
+                digest = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
+                good = np.flatnonzero(digest == np.asarray(batch.column("sk").slice(lo, hi - lo)))  # of rows with one doc_id, the one meant
+                yield pa.RecordBatch.from_arrays([pa.array(digest[good]), pa.array([own[i].tobytes() for i in good], pa.binary())], ["sk", "hashes"])
+        trim()
+
+    tokens = work.table(found.select("sk", "text").mapInArrow(sets, "sk long, hashes binary").dropDuplicates(["sk"]), "sets")
+    links = _bucket_links(by_trie, tokens, work, similarity, "trie")
+    near = work.table(connected_components(links, work), "trie-components").select(F.col("node").alias("sk"), F.col("component").alias("near"))
+    # buckets of one component of the trie's links cannot join anything
+    placed = by_band.join(near, "sk", "left").withColumn("near", F.coalesce("near", "sk"))
+    open_ = placed.groupBy("bucket").agg(F.min("near").alias("a"), F.max("near").alias("b")).where("a < b").select("bucket")
+    left = work.table(by_band.join(open_, "bucket", "left_semi"), "open-members")
+    links = links.unionByName(_bucket_links(left, tokens, work, similarity, "band"))
+    component = connected_components(links, work)
     return distinct.join(component.select(F.col("node").alias("sk"), "component"), "sk", "left").select("sk", F.coalesce("component", "sk").alias("component"))
 
 
