@@ -80,7 +80,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op3_hilbert_neighbours, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op8_decontamination, op9_quality, op10_suffix_dedup)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op3_hilbert_neighbours, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op8_decontamination, op9_quality, op10_suffix_dedup, op13_source_divergence)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""
@@ -158,5 +164,32 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(case when role = 'assistant' then text else '' end, '' order by i), '')) as loss_sha256,
   sum(text_len + case when opens then 12 + role_len + 1 + 11 else 10 end)::bigint as formatted_chars
 from e group by conv_id
+""",
+    "op13_source_divergence": r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), used as (
+  select r, lang, source, term, count(*)::bigint as n from (select r, lang, source, unnest(terms) as term from d) group by all
+), kept as (
+  select lang, term, sum(n)::bigint as n from used group by lang, term having count(*) >= 10
+), counted as (
+  select lang, source, term, sum(n)::bigint as n from used semi join kept using (lang, term) group by all
+), langs as (select lang, count(*)::bigint as v, sum(n)::bigint as total from kept group by lang
+), groups as (
+  select g.lang, g.source, coalesce(l.v, 0) as v, coalesce(l.total, 0) + 2 * coalesce(l.v, 0) as lang_total, coalesce(o.n, 0) + 2 * coalesce(l.v, 0) as total
+  from (select distinct lang, source from d) g left join langs l using (lang) left join (select lang, source, sum(n)::bigint as n from counted group by all) o using (lang, source)
+), p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, (1 + (1000000000 * (coalesce(c.n, 0) + 2)) // g.total)::bigint as p, (1 + (1000000000 * (k.n + 2)) // g.lang_total)::bigint as q
+  from groups g join kept k using (lang) left join counted c using (lang, source, term)
+), pairs as (
+  select a.lang, a.source, b.source as item, coalesce(x.value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join (
+    select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+  ) x on x.lang = a.lang and x.source = a.source and x.item = b.source
+), terms as (select lang, source, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from p where n > 0 and p > q
+)
+select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select * from (select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms) where rank <= 10
 """,
 }
