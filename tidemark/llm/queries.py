@@ -80,13 +80,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import ranked_search
+
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import source_divergence
 
     return source_divergence(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op3_hilbert_neighbours, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op8_decontamination, op9_quality, op10_suffix_dedup, op13_source_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op3_hilbert_neighbours, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op8_decontamination, op9_quality, op10_suffix_dedup, op12_ranked_search, op13_source_divergence)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""
@@ -164,6 +170,28 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(case when role = 'assistant' then text else '' end, '' order by i), '')) as loss_sha256,
   sum(text_len + case when opens then 12 + role_len + 1 + 11 else 10 end)::bigint as formatted_chars
 from e group by conv_id
+""",
+    "op12_ranked_search": r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), sized as (
+  select *, len(terms)::bigint as n from d where len(terms) > 0
+), corpus as (select count(*)::bigint as docs, sum(n)::bigint as total from sized
+), used as (
+  select r, term, count(*)::bigint as tf from (select r, unnest(terms) as term from sized) group by all
+), item as (
+  select item_id, term, count(*)::bigint as k from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+  ) group by all
+), weighed as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from used semi join item using (term) cross join corpus group by term, docs
+), scored as (
+  select i.item_id, s.doc_id, u.r, sum(i.k * w.w * ((1000000000 * u.tf) // (1000 * u.tf + 8 * (25 + (75 * s.n * c.docs) // c.total))))::bigint as score
+  from item i join weighed w using (term) join used u using (term) join sized s on s.r = u.r cross join corpus c group by all
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
 """,
     "op13_source_divergence": r"""
 with d as (
