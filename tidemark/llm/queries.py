@@ -80,6 +80,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recurrent import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ranked import ranked_search
 
@@ -92,7 +98,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op3_hilbert_neighbours, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op8_decontamination, op9_quality, op10_suffix_dedup, op12_ranked_search, op13_source_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_simhash_near_dedup, op3_hilbert_neighbours, op4_line_dedup, op5_unit_dedup, op6_mixing, op7_chat_format, op8_decontamination, op9_quality, op10_suffix_dedup, op11_recurrent_scores, op12_ranked_search, op13_source_divergence)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""
