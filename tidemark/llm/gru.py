@@ -164,7 +164,7 @@ class Network:
             dh = e @ p["classes"].T
             grad["classes"] += h.T @ e
             grad["class_bias"] += e.sum(axis=0)
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.uint16), kind="stable")  # a radix sort
         cut = np.searchsorted(of[order], np.arange(lay.n_head + 1))
         for k in range(lay.n_head):
             a, b = lay.first[k], lay.first[k + 1]
@@ -190,7 +190,7 @@ class Network:
 
 def summed_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and the sums of their rows."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")  # a radix sort
     ids = ids[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     return ids[first], np.add.reduceat(rows[order], first, axis=0)

@@ -17,14 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gru
 from .common import Workspace, partitions, trim, utf8_parts
 from .divergence import pieces
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 HEAD = 4096  # words that the network tells apart
 HEAD_BYTES = 64  # longer words are told by their counts only
 CLASSES = 64  # of the head; and
@@ -68,7 +68,7 @@ class _Block:
         trained = np.bincount(np.concatenate(learnt), minlength=len(self.codes)) if learnt else np.zeros(len(self.codes), np.int64)
         one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
         return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([block % rounds], pa.int32()), one(self.ids, pa.int64()), one([len(p) for p in self.parts], pa.int64()), one(list(self.codes), pa.binary()), one(trained, pa.int64()), pa.array([np.concatenate(self.parts).astype("<u4").tobytes()], pa.binary())],
+            [pa.array([block], pa.int64()), pa.array([block % rounds], pa.int32()), one(self.ids, pa.int64()), one([len(p) for p in self.parts], pa.int64()), one(list(self.codes), pa.binary()), one(trained, pa.int64()), pa.array([pa.compress(np.concatenate(self.parts).astype("<u4").tobytes(), codec="zstd", asbytes=True)], pa.binary())],
             ["block", "round", "doc_ids", "lengths", "words", "trained", "codes"],
         )
 
@@ -121,10 +121,10 @@ def _code(shares):
     def run(key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         words = blocks.column("words")[0].as_py()
         counts = np.zeros(len(words), np.int64)
-        counts[answers.column("i").to_numpy()] = answers.column("c").fill_null(0).to_numpy()
+        counts[answers.column("i").to_numpy()] = answers.column("c").to_numpy()
         ids, tail, base = shares.value.outcomes(words, counts)
-        codes = np.frombuffer(blocks.column("codes")[0].as_py(), "<u4")
         lengths = np.array(blocks.column("lengths")[0].as_py(), np.int64)
+        codes = np.frombuffer(pa.decompress(blocks.column("codes")[0].as_py(), int(lengths.sum()) * 4, codec="zstd", asbytes=True), "<u4")
         first = np.cumsum(lengths) - lengths
         one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
         sums = lambda x: np.add.reduceat(x[codes], first)
@@ -214,8 +214,12 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, head: int = HEAD, blo
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "recurrent")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks = work.table(plain.mapInArrow(_blocks(block_bytes, rounds), BLOCKS), "blocks")
-    asked = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("i", "w")).select("block", "i", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
-    counts = work.table(asked.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    asked = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("i", "w")).select(F.col("block").alias("of"), "i", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
+    # one shuffle: a word's sum goes to each of its rows, a row a block at most, and the word itself stays in the first
+    own = Window.partitionBy("word")
+    summed = asked.select("of", "i", "word", F.sum("n").over(own).alias("c"), F.row_number().over(own.orderBy("of")).alias("nth"))
+    summed = work.table(summed.select("of", "i", F.expr("if(nth = 1, word, null)").alias("word"), "c"), "summed")
+    counts = summed.where("word is not null and c > 0").select("word", "c")
     by_byte = {bytes(r["b"]): (r["c"], r["n"]) for r in counts.groupBy(F.substring("word", -1, 1).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}  # 257 rows at most
     top = counts.where((F.length("word") <= HEAD_BYTES) & (F.length("word") > 0)).orderBy(F.desc("c"), "word").limit(head - 1).collect()  # bounded by head
     own = sorted([*((bytes(r["word"]), r["c"]) for r in top), *((b"", c) for b, (c, _) in by_byte.items() if not b)], key=lambda x: (-x[1], x[0]))
@@ -227,8 +231,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, head: int = HEAD, blo
             tail[b[0] % TAIL] = (old[0] + c - sum(mine), old[1] + n - len(mine))
     shares_ = Shares(own, tail, sum(c for c, _ in by_byte.values()), sum(n for _, n in by_byte.values()))
     shares = spark.sparkContext.broadcast(shares_)
-    answers = asked.select(F.col("block").alias("of"), "i", "word").join(counts, "word", "left").select("of", "i", "c")
-    coded = blocks.drop("trained").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_code(shares), CODED)
+    coded = blocks.drop("trained").groupBy("block").cogroup(summed.select("of", "i", "c").groupBy("of")).applyInArrow(_code(shares), CODED)
     coded = work.table(coded, "coded", partition_by=["round"])
     now = gru.fresh(shares_.layout())
     for k in range(rounds):
