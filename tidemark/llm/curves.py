@@ -172,11 +172,17 @@ def valid_vectors(df: DataFrame) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite)
 
 
+def scaled(x: Column) -> Column:
+    """A non-zero vector times a power of two (by halves, each representable) that brings its largest component near 1, so that no square leaves the range of doubles. Exact."""
+    half = F.pow(F.lit(2.0), -F.floor(F.log2(F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))) / 2).cast("double"))
+    return F.transform(x, lambda v: v.cast("double") * half * half)
+
+
 def cosine(a: str, b: str) -> Column:
     """dot / (norm x norm) of two array columns, each sum from the first component to the last, in double precision."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")))
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
+    return F.try_divide(dot(F.col(a), F.col(b)), F.sqrt(dot(F.col(a), F.col(a))) * F.sqrt(dot(F.col(b), F.col(b))))
 
 
 def nearest(df: DataFrame, every: int = 50, k: int = 5, curves: int = 16, recall: float = 0.96, calibration: int = 256, seed: int = 7, window: int | None = None) -> DataFrame:
@@ -247,7 +253,8 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, curves: int = 16, recall
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1 + MARGIN)
     found = work.table(found.select(F.col("query").alias("q_class"), F.col("id").alias("n_class")), "found")
     vectors = lambda name: reps.select(F.col("id").alias(f"{name}_class"), F.col("embedding").cast(array).alias(f"{name}_vector"))
-    found = found.join(vectors("q"), "q_class").join(vectors("n"), "n_class").select("q_class", "n_class", cosine("q_vector", "n_vector").alias("score"))
+    found = found.join(vectors("q"), "q_class").join(vectors("n"), "n_class").withColumns({f"{x}_vector": scaled(F.col(f"{x}_vector")) for x in "qn"})
+    found = found.select("q_class", "n_class", cosine("q_vector", "n_vector").alias("score"))
     # back from classes to rows: each class brings its k + 1 smallest ids
     with_ids = members.join(reps.select("h1", "h2", F.col("id").alias("n_class")), ["h1", "h2"]).select("n_class", "vec_id")
     out = asked.select(F.col("query").alias("query_id"), F.col("id").alias("q_class")).join(found, "q_class").join(with_ids, "n_class").where("query_id <> vec_id")
