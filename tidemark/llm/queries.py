@@ -43,7 +43,7 @@ def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeated_units(read_table(spark, sf_dir, "documents"))
     removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")
     chars = F.length("text") - F.length("kept")
-    return kept.select("doc_id", "n_units", removed.alias("n_removed"), chars.cast("long").alias("removed_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", removed.alias("n_removed"), chars.cast("long").alias("removed_chars"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,21 +118,29 @@ select doc_id, count(*) as n_lines, sum(case when gone then 1 else 0 end)::bigin
 from marked group by doc_id
 """,
     "op5_unit_dedup": r"""
-with units as (
-  select doc_id, coalesce(text, '') as text, unnest(string_split(coalesce(text, ''), chr(10))) as u,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
+with cut as (
+  select doc_id, coalesce(text, '') as text, string_split(translate(coalesce(text, ''), '.!?', chr(10) || chr(10) || chr(10)), chr(10)) as parts from documents
+), units as (
+  select doc_id, text, unnest(parts) as u, generate_subscripts(parts, 1) as i from cut
 ), placed as (
   select *, coalesce(sum(length(u) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start,
     translate(trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from units
-), counted as (
-  select *, (case when k = '' then 0 else length(k) - length(replace(k, ' ', '')) + 1 end) >= 15 as long_enough from placed
 ), ranked as (
-  select *, case when long_enough then row_number() over (partition by k order by doc_id, start) else 1 end as r from counted
+  select *, length(k) - length(replace(k, ' ', '')) + 1 as words, row_number() over (partition by k order by doc_id, start) > 1 as again from placed where k <> ''
+), islands as (
+  select *, row_number() over (partition by doc_id order by i) - row_number() over (partition by doc_id, again order by i) as island from ranked
+), runs as (
+  select doc_id, min(start) as a, max(start + length(u) + 1) as b from islands where again group by doc_id, island having sum(words) >= 25
+), pieces as (
+  select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from runs
+), gone as (
+  select doc_id, count(*) as n, max(b) as last from runs group by doc_id
+), kept as (
+  select d.doc_id, coalesce(g.n, 0) as n, coalesce(d.text, '') as text,
+    coalesce((select string_agg(substr(coalesce(d.text, ''), p.before + 1, p.a - p.before), '' order by p.a) from pieces p where p.doc_id = d.doc_id), '') || substr(coalesce(d.text, ''), coalesce(g.last, 0) + 1) as kept
+  from documents d left join gone g on g.doc_id = d.doc_id
 )
-select doc_id, sum(case when long_enough then 1 else 0 end)::bigint as n_units, sum(case when r > 1 then 1 else 0 end)::bigint as n_removed,
-  sum(case when r > 1 then length(substr(text, start + 1, length(u) + 1)) else 0 end)::bigint as removed_chars,
-  sha256(coalesce(string_agg(case when r > 1 then '' else substr(text, start + 1, length(u) + 1) end, '' order by i), '')) as kept_sha256
-from ranked group by doc_id
+select doc_id, n::bigint as n_removed, (length(text) - length(kept))::bigint as removed_chars, sha256(kept) as kept_sha256 from kept
 """,
     "op6_mixing": r"""
 with sized as (
