@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import TZ, local, sdiv, us
 from .asof import asof_join, window_totals
+from .windows import positions
+
+BLOCK = 4096  # events that a task orders at once
 
 
 def event_timing(targets: DataFrame, events: DataFrame, time: str = "ts", event_time: str = "event_time", blackout_minutes: int = 120) -> DataFrame:
@@ -19,10 +22,19 @@ def event_timing(targets: DataFrame, events: DataFrame, time: str = "ts", event_
     return out.withColumns({"mins_since": since, "mins_to": to, "blackout": near}).drop("prev_e", "next_e")
 
 
-def event_change(targets: DataFrame, events: DataFrame, time: str = "ts", event_time: str = "event_time", n: int = 3) -> DataFrame:
-    """The latest event's change against the one before it, and the mean of its last n changes."""
-    w = Window.orderBy(event_time, "event_id")
-    e = events.withColumn("change", F.col("actual") - F.lag("actual").over(w)).withColumn("tendency", F.avg("change").over(w.rowsBetween(1 - n, 0)))
+def event_change(targets: DataFrame, events: DataFrame, time: str = "ts", event_time: str = "event_time", n: int = 3, kind: str | None = None) -> DataFrame:
+    """The latest event's change against the one of its ``kind`` before it, and the mean of its last n changes. Without a kind all events are of one.
+
+    Changes are found over blocks of a ``kind`` and month with the last n events before each, so no task orders a whole history.
+    """
+    by = [kind] if kind else []
+    pos = positions(events, by, [event_time, "event_id"], F.to_date(event_time))
+    # an event is written to its own block of places and, if it is among a block's last n, to the next one
+    block = F.floor(F.col("pos") / BLOCK)
+    late = F.col("pos") % BLOCK >= BLOCK - n - 1
+    pos = pos.withColumn("_block", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block)))).withColumn("_own", F.col("_block") == block)
+    w = Window.partitionBy(*by, "_block").orderBy("pos")
+    e = pos.withColumn("change", F.col("actual") - F.lag("actual").over(w)).withColumn("tendency", F.avg("change").over(w.rowsBetween(1 - n, 0))).where("_own")
     return asof_join(targets, e.select(event_time, "change", "tendency"), on=time, right_on=event_time, take=["change", "tendency"], prefix="")
 
 

@@ -18,7 +18,7 @@ Estimator = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarra
 
 
 def logistic(l2: float = 1.0, steps: int = 25) -> Estimator:
-    """Weighted ridge-penalised logistic regression by Newton steps; predicts -1 or 1. Stands in for gradient-boosted trees, which are not built in."""
+    """Weighted ridge-penalised logistic regression by Newton steps; predicts -1 or 1."""
 
     def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, test: np.ndarray) -> np.ndarray:
         m, s = x.mean(axis=0), x.std(axis=0) + 1e-12

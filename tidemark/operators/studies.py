@@ -97,34 +97,8 @@ def qlike_linear(steps: int = 50, ridge: float = 1e-6) -> M.Estimator:
     return fit
 
 
-def boosted_trees(matrix: DataFrame, splits: DataFrame, features: list[str], rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """``split, row, y, w, pred`` and ``split, feature, importance``: gradient-boosted trees of pyspark.ml fitted on each split's training rows.
-
-    The trees are fitted by Spark itself, one split after another (splits are few), so a training set need not fit a task.
-    """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    spark = matrix.sparkSession
-    data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(matrix.withColumn("_y", (F.col("y") > 0).cast("double")))
-    data = data.select("row", "y", "w", "_x", "_y").persist()
-    preds, weights = [], []
-    for split in sorted(r[0] for r in splits.select("split").distinct().collect()):
-        rows = data.join(splits.where(F.col("split") == split).select("row", "role"), "row")
-        train = rows.where("role = 'train'")
-        if train.select("_y").distinct().count() < 2:
-            continue
-        model = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(train)
-        scored = model.transform(rows.where("role = 'test'"))
-        preds.append(scored.select(F.lit(split).alias("split"), "row", "y", "w", (2 * F.col("prediction") - 1).alias("pred")))
-        weights += [(split, f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
-    if not preds:
-        return spark.createDataFrame([], "split int, row int, y double, w double, pred double"), spark.createDataFrame([], "split int, feature string, importance double")
-    return reduce(DataFrame.unionByName, preds), spark.createDataFrame(weights, "split int, feature string, importance double")
-
-
 def permutation_importance(matrix: DataFrame, splits: DataFrame, features: list[str], estimator: M.Estimator, seed: int = 7) -> DataFrame:
-    """``split, feature, drop``: how much held-out accuracy falls when a feature's test values are shuffled. Stands in for Shapley values, whose library is not installed."""
+    """``split, feature, drop``: how much held-out accuracy falls when a feature's test values are shuffled."""
     ship(matrix.sparkSession)
     joined = splits.select("split", "row", "role").join(matrix.select("row", *features, "y", "w"), "row")
 

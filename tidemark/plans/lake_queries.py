@@ -17,8 +17,9 @@ from ..sources import plans as P
 from ..sources.store import Store, parse_fixture, vendor_rows
 from .domain import BARS_SQL, TICKS_SQL, Catalogue, bars, table, ticks
 from .market_queries import BASE_SQL, LOCAL
-from .news_queries import NEWS_SQL, TITLE_SQL, _folder, _lake_rows, news
+from .news_queries import NEWS_SQL, TITLE_SQL, _lake_rows, news
 from .research_queries import CONT_SQL, FRONT_SQL, LABELS_SQL, _labels, _rolls, contract_bars
+from .shipping import shared_folder
 
 catalogue = Catalogue()
 add = catalogue.add
@@ -26,7 +27,7 @@ NY = "'America/New_York'"
 
 
 def _store(spark: SparkSession, name: str) -> Store:
-    return Store(spark, _folder(spark, name))
+    return Store(spark, shared_folder(spark, name))
 
 
 def utc(local: str) -> str:

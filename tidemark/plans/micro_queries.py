@@ -11,8 +11,8 @@ from ..operators import quality as QA
 from ..operators import studies as ST
 from ..sources.store import Store
 from .domain import BARS_SQL, TICKS_SQL, Catalogue, bars, ticks
-from .news_queries import _folder
 from .research_queries import POS_SQL, _positions
+from .shipping import shared_folder
 
 catalogue = Catalogue()
 add = catalogue.add
@@ -63,7 +63,7 @@ def flow_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(f"{BOOK_BARS_SQL} select symbol, day, count(*)::bigint as n, round(sum(close), 6) as closes, round(sum(ofi_top), 6) as ofi from bb where instrument = 1 and day between date '2024-01-05' and date '2024-01-20' group by 1, 2")
 def micro_bars_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-flow bars of one instrument through their lake, written twice, and a window of each symbol read back."""
-    store = Store(spark, _folder(spark, "micro-bars"))
+    store = Store(spark, shared_folder(spark, "micro-bars"))
     b = _bars(spark, sf_dir).where("instrument = 1")
     b = b.withColumns({"ts_event": F.col("ts") + F.expr("interval 0 second"), "ts_ingest": F.col("ts"), "contract_id": F.concat(F.lit("id"), "instrument"), "con_id": F.col("instrument")})
     store.write("micro_bars", b)

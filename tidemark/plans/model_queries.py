@@ -15,8 +15,9 @@ from .domain import BARS_SQL, TICKS_SQL, Catalogue, bars, table, ticks
 from .features import FeatureConfig, compute_features
 from .market_queries import LOCAL
 from .market_queries import catalogue as market
-from .news_queries import _folder, HEADLINE_SQL, NEG, POS, WORDS_SQL, _headlines
+from .news_queries import HEADLINE_SQL, NEG, POS, WORDS_SQL, _headlines
 from .research_queries import HAR_SQL, LABELS_SQL, _har, _labels, _positions
+from .shipping import shared_folder
 
 catalogue = Catalogue()
 add = catalogue.add
@@ -69,7 +70,7 @@ def forecast_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """A written table: what follows reads it several times."""
-    path = _folder(spark, name)
+    path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

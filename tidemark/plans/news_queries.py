@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from ..sources import plans as P
 from ..sources.lake import Lake, coerce
 from ..streaming import jobs as J
 from .domain import BARS_SQL, TICKS_SQL, Catalogue, bars, table, ticks
+from .shipping import shared_folder
 
 catalogue = Catalogue()
 add = catalogue.add
@@ -119,7 +117,7 @@ def select_unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.select_unscored(raw, scored, "1").select(F.col("content_hash").alias("doc_id"))
 
 
-@add(r"select page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&amp;', '&') as title from pages".replace('""', '"'))
+@add(r"select page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&') as title from pages")
 def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.page_title("html", closed=True).alias("title"))
 
@@ -213,15 +211,6 @@ def decode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lake and streams ------------------------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")  # a local session, as in tests
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _lake_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     return b.select(F.col("ts").alias("ts_event"), (F.col("ts") + F.expr("interval 1 minute")).alias("ts_ingest"), "symbol", F.concat("symbol", F.lit("1")).alias("contract_id"), "open", "high", "low", "close", "volume", "wap", F.col("n").alias("n_trades"))
@@ -230,7 +219,7 @@ def _lake_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(f"with {BARS_SQL} select symbol, count(*)::bigint as n, round(sum(close), 6) as closes from bars where ts between timestamp '2024-01-05' and timestamp '2024-01-20' group by symbol")
 def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes twice (the second write adds nothing new), reads a window of each symbol back."""
-    lake, rows = Lake(spark, _folder(spark, "lake")), _lake_rows(spark, sf_dir)
+    lake, rows = Lake(spark, shared_folder(spark, "lake")), _lake_rows(spark, sf_dir)
     lake.write("bars_1m", rows.where("day(ts_event) <= 15"))
     lake.write("bars_1m", rows)
     parts = [lake.read_window("bars_1m", s, "2024-01-05 00:00:00", "2024-01-20 00:00:00") for s in ("click", "error", "purchase", "signup", "view")]
@@ -247,7 +236,7 @@ def coerce_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_source(spark: SparkSession, sf_dir: str, name: str, end: bool) -> tuple[str, DataFrame]:
-    folder, t = _folder(spark, name), ticks(spark, sf_dir)
+    folder, t = shared_folder(spark, name), ticks(spark, sf_dir)
     rows = t.unionByName(J.sentinel(t)) if end else t
     rows.repartitionByRange(1, "ts").sortWithinPartitions("ts").write.parquet(folder)
     return folder, t
@@ -256,7 +245,7 @@ def _stream_source(spark: SparkSession, sf_dir: str, name: str, end: bool) -> tu
 @add(f"with {BARS_SQL} select symbol, ts, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, round(volume, 6) as volume, round(wap, 6) as wap, n::bigint as n from bars")
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, t = _stream_source(spark, sf_dir, "ticks", end=True)
-    out = _folder(spark, "stream-bars")
+    out = shared_folder(spark, "stream-bars")
     J.run_to_table(J.bars_stream(J.read_events(spark, folder, t.schema)), out, f"{out}-checkpoint", ["symbol", "ts"], "ts")
     return spark.read.parquet(out).where("symbol <> '~end'")
 
@@ -270,6 +259,6 @@ select s.symbol, s.instrument, s.day, f.bar_id, min(s.ts) as ts_open, max(s.ts)
 from s join f on s.symbol = f.symbol and s.instrument = f.instrument and s.day = f.day and s.rn = f.rn group by 1, 2, 3, 4 having max(f.closes) = 1""")
 def stream_dollar_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, t = _stream_source(spark, sf_dir, "ticks", end=False)
-    out = _folder(spark, "stream-dollar-bars")
+    out = shared_folder(spark, "stream-dollar-bars")
     J.run_to_table(J.dollar_bars_stream(J.read_events(spark, folder, t.schema), 100_000.0), out, f"{out}-checkpoint", ["symbol", "instrument", "day", "bar_id"], "ts_close")
     return spark.read.parquet(out)

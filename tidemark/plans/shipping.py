@@ -1,12 +1,13 @@
-"""Ships this package to the Python workers of a session, once an application."""
+"""What a session's executors share: this package, and folders for written tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +27,19 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("tidemark", os.path.relpath(full, root)))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only in local mode where the session names none (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """A table as written: its lineage ends there, and a lost executor costs a re-read."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import boosting as B
 from ..operators import cv as CV
 from ..operators import indicators as I
 from ..operators import labels as L
@@ -220,12 +221,43 @@ def qlike_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.groupBy("split").agg(F.count("*").alias("n"), F.avg(V.qlike("y", "pred")).alias("loss"))
 
 
+TREE_FEATURES = ["mom", "last", "sigma"]
+
+
+def _three_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The matrix with its return as class 0 (down), 1 (within a twentieth of a deviation) or 2 (up), and its purged splits with inner validation."""
+    m = _matrix(spark, sf_dir)
+    near = F.col("sigma") / 20
+    m = m.withColumn("y", F.when(F.col("ret") < -near, 0.0).when(F.col("ret") > near, 2.0).otherwise(1.0))
+    return m, B.inner_validation(m, CV.purged_kfold(m.drop("row"), 2))
+
+
 @add()
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out accuracy of gradient-boosted trees under the purged splits; fits have no SQL."""
-    m = _matrix(spark, sf_dir)
-    preds, _ = ST.boosted_trees(m, CV.purged_kfold(m.drop("row"), 2), ["mom", "last", "sigma"], rounds=4, depth=2)
-    return M.accuracy(preds, ["split"])
+    """Held-out accuracy of boosted trees of three classes under purged splits, stopped on a purged tail of each training set; fits have no SQL."""
+    m, splits = _three_classes(spark, sf_dir)
+    loss = B.softmax(3)
+    preds = B.predict(m, splits, TREE_FEATURES, B.fit(m, splits, TREE_FEATURES, loss, B.Settings(rounds=6, depth=2, patience=3)), loss)
+    return preds.groupBy("split").agg(F.count("*").alias("n"), (F.sum(F.when(F.col("pred") == F.col("y"), F.col("w"))) / F.sum("w")).alias("accuracy"))
+
+
+@add()
+def boosted_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean held-out QLIKE of trees boosted on QLIKE itself, walk-forward; fits have no SQL."""
+    d = _har(spark, sf_dir).where("fwd_1 is not null and har_5 is not null")
+    d = d.select(F.concat_ws(":", "symbol", "day").alias("id"), F.col("day").cast("timestamp").alias("t0"), F.date_add("day", 1).cast("timestamp").alias("t1"), "har_1", "har_3", "har_5", F.col("fwd_1").alias("y"), F.lit(1.0).alias("w"))
+    rows, features = CV.numbered(d), ["har_1", "har_3", "har_5"]
+    splits = B.inner_validation(rows, CV.walk_forward(d, 3))
+    preds = B.predict(rows, splits, features, B.fit(rows, splits, features, B.qlike(), B.Settings(rounds=8, depth=2, min_rows=10, patience=4)), B.qlike())
+    return preds.groupBy("split").agg(F.count("*").alias("n"), F.avg(V.qlike("y", "pred")).alias("loss"))
+
+
+@add()
+def tree_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature's share of the absolute contributions to held-out margins, by split and class; fits have no SQL."""
+    m, splits = _three_classes(spark, sf_dir)
+    forests = B.fit(m, splits, TREE_FEATURES, B.softmax(3), B.Settings(rounds=4, depth=2, patience=3))
+    return B.attribution_shares(B.contributions(m, splits, TREE_FEATURES, forests), TREE_FEATURES, ["split", "class"])
 
 
 @add()
