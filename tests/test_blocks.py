@@ -127,3 +127,42 @@ def test_garch_arm_sees_only_the_past(spark):
     two = run(changed)
     assert all(one[t][0] == pytest.approx(two[t][0], abs=1e-12) for t in times[:130])
     assert any(abs(one[t][0] - two[t][0]) > 1e-3 for t in times[130:])
+
+
+@pytest.mark.parametrize("block_rows", [1, 5, 1 << 16])
+def test_uniqueness_at_any_cut(spark, block_rows):
+    from tidemark.operators.labels import uniqueness
+
+    rng = np.random.default_rng(7)
+    spans = {k: sorted((int(a), int(a + rng.integers(0, 30))) for a in rng.choice(200, n, replace=False)) for k, n in (("a", 60), ("b", 3))}
+    rows = [(k, a, b) for k, v in spans.items() for a, b in v]
+    got = {(r["symbol"], r["pos0"]): r for r in uniqueness(spark.createDataFrame(rows, "symbol string, pos0 long, pos1 long"), decay_oldest=0.5, block_rows=block_rows).collect()}
+    assert len(got) == 63
+    for k, v in spans.items():
+        c = np.zeros(300)
+        for a, b in v:
+            c[a : b + 1] += 1
+        u = np.array([np.mean(1 / c[a : b + 1]) for a, b in v])
+        w = u * (0.5 + 0.5 * np.cumsum(u) / u.sum())
+        for (a, _), x, y in zip(v, u, w / w.mean()):
+            assert got[k, a]["avg_uniqueness"] == pytest.approx(x) and got[k, a]["weight"] == pytest.approx(y)
+
+
+def test_purging_joins_no_rows(spark):
+    from tidemark.operators import cv
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i * 10, i * 10 + int(rng.integers(0, 80)) * (20 if i % 37 == 0 else 1)) for i in range(400)]
+    tests = [(s, i) for s in range(3) for i in range(400) if i // 40 in (s, s + 4)]
+    out = cv.purge(spark.createDataFrame(rows, "row int, t0 long, t1 long"), spark.createDataFrame(tests, "split int, row int"), 7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Join" not in plan and "Cartesian" not in plan
+    wanted = set()
+    for s in range(3):
+        own = [i for t, i in tests if t == s]
+        for i, t0, t1 in rows:
+            overlap = any(t0 <= rows[j][2] and t1 >= rows[j][1] for j in own)
+            late = any(0 < i - j <= 7 and j + 1 not in own for j in own)
+            if i not in own and not overlap and not late:
+                wanted.add((s, i))
+    assert {(r["split"], r["row"]) for r in out.collect()} == wanted

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .windows import positions
@@ -26,15 +26,23 @@ def folds(df: DataFrame, n: int) -> DataFrame:
 def purge(rows: DataFrame, tests: DataFrame, embargo: int) -> DataFrame:
     """``split, row`` of training rows: not tested, not overlapping any tested span (ends included), not in the ``embargo`` rows after a test run.
 
-    ``rows(row, t0, t1)``; ``tests(split, row)``. Each split's test rows are cut into contiguous runs first; there are at most k runs a split, so
-    the interval predicate runs against a broadcast table of (splits x runs) rows. Rows are in order of t0, so a row overlaps some span of a
-    contiguous run exactly if it overlaps the run's hull.
+    ``rows(row, t0, t1)`` in order of t0; ``tests(split, row)``. Each split's test rows are cut into contiguous runs; a row overlaps some span of a run exactly
+    if it overlaps the run's hull. Of the runs (few a split, none depends on the number of rows) each row meets those of all splits at once, as
+    constants: a row from a run on is out while it starts within the hull or the embargo, one before it if it ends within. No row is joined.
     """
     t = tests.join(rows, "row").withColumn("_run", F.col("row") - F.row_number().over(Window.partitionBy("split").orderBy("row")))
-    runs = t.groupBy("split", "_run").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("t0").alias("lo"), F.max("t1").alias("hi"))
-    hit = rows.join(F.broadcast(runs), ((F.col("t0") <= F.col("hi")) & (F.col("t1") >= F.col("lo"))) | ((F.col("row") > F.col("b")) & (F.col("row") <= F.col("b") + embargo)) | F.col("row").between(F.col("a"), F.col("b"))).select("split", "row").distinct()
-    every = rows.select("row").join(F.broadcast(tests.select("split").distinct()))
-    return every.join(hit, ["split", "row"], "left_anti")
+    runs = t.groupBy("split", "_run").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("t0").alias("lo"), F.max("t1").alias("hi")).collect()
+    if not runs:
+        return rows.select(F.lit(None).cast("int").alias("split"), "row").where("false")
+    kind = rows.schema["t0"].dataType
+    by_split = {s: [r for r in runs if r["split"] == s] for s in sorted({r["split"] for r in runs})}
+
+    def out(r: Row) -> Column:
+        lo, hi = F.lit(r["lo"]).cast(kind), F.lit(r["hi"]).cast(kind)
+        return F.when(F.col("row") < r["a"], F.col("t1") >= lo).otherwise((F.col("row") <= r["b"] + embargo) | (F.col("t0") <= hi))
+
+    kept = [F.when(~F.greatest(*[F.coalesce(out(r), F.lit(False)) for r in v], F.lit(False)), F.lit(s).cast("int")) for s, v in by_split.items()]
+    return rows.select("row", F.explode(F.filter(F.array(*kept), lambda s: s.isNotNull())).alias("split")).select("split", "row")
 
 
 def purged_kfold(labels: DataFrame, n: int = 6, embargo_pct: float = 0.01, key: str = "id") -> DataFrame:

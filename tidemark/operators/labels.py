@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import us
+from ..plans.shipping import shared_folder, written
 from .asof import asof_join
+from .windows import running_sum
 
 
 def grid_events(df: DataFrame, step: int, start: int, pos: str = "pos") -> DataFrame:
@@ -75,24 +77,32 @@ def session_barrier(bars: DataFrame, events: DataFrame, minutes: int = 30, up: f
     return g.select(*k, F.col("ts").alias("t0"), end["ts"].alias("t1"), end["r"].alias("ret"), F.coalesce("touch.side", timeout).alias("label"), barrier.alias("barrier"), "sigma", (end["p"] - F.col("_e")).alias("n_bars"), (none & F.col("_capped")).alias("resolved_at_close"))
 
 
-def uniqueness(labels: DataFrame, keys: tuple[str, ...] = ("symbol",), decay_oldest: float = 1.0) -> DataFrame:
+def uniqueness(labels: DataFrame, keys: tuple[str, ...] = ("symbol",), decay_oldest: float = 1.0, block_rows: int = 1 << 16) -> DataFrame:
     """Adds ``avg_uniqueness`` (mean of 1 / concurrency over the span) and ``weight`` (with time decay, mean one by key).
 
     Concurrency is a running sum of +1 at starts and -1 after ends; its reciprocal's running sum gives each span's mean by two lookups,
-    so no label meets the bars of its span.
+    so no label meets the bars of its span. Running sums go over blocks of ``block_rows`` positions, and over the blocks: no task orders a key's whole history.
     """
-    k = list(keys)
+    k, folder = list(keys), shared_folder(labels.sparkSession, "uniqueness")
+    block = lambda x: F.floor(F.col(x) / block_rows)
+    # written where several sums follow: each reads the table instead of all that came before
+    labels = written(labels, folder, "labels")
     marks = labels.select(*k, F.col("pos0").alias("p"), F.lit(1).alias("d")).unionByName(labels.select(*k, (F.col("pos1") + 1).alias("p"), F.lit(-1).alias("d"))).groupBy(*k, "p").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*k).orderBy("p")
-    runs = marks.withColumns({"c": F.sum("d").over(w), "next": F.lead("p").over(w)})
-    area = F.when(F.col("c") > 0, (F.coalesce(F.col("next"), F.col("p")) - F.col("p")) / F.col("c")).otherwise(0.0)
-    runs = runs.withColumn("upto", F.coalesce(F.sum(area).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    at = runs.select(*k, "p", "upto")
-    j = labels.join(at.select(*k, F.col("p").alias("pos0"), F.col("upto").alias("_a")), [*k, "pos0"]).withColumn("_e", F.col("pos1") + 1).join(at.select(*k, F.col("p").alias("_e"), F.col("upto").alias("_b")), [*k, "_e"])
-    j = j.withColumn("avg_uniqueness", (F.col("_b") - F.col("_a")) / (F.col("_e") - F.col("pos0"))).drop("_a", "_b", "_e")
-    order, total = Window.partitionBy(*k).orderBy("pos0"), Window.partitionBy(*k)
-    j = j.withColumn("_u", F.sum("avg_uniqueness").over(order)).withColumn("_w", F.col("avg_uniqueness") * (F.lit(decay_oldest) + (1 - decay_oldest) * F.col("_u") / F.sum("avg_uniqueness").over(total)))
-    return j.withColumn("weight", F.col("_w") / F.avg("_w").over(total)).drop("_u", "_w")
+    runs = written(running_sum(written(marks, folder, "marks"), k, "p", "d", "c", block("p")).withColumn("_b", block("p")), folder, "runs")
+    after = Window.partitionBy(*k).orderBy("_b")  # a row a block
+    follow = runs.groupBy(*k, "_b").agg(F.min("p").alias("_first")).select(*k, "_b", F.lead("_first").over(after).alias("_follow"))
+    runs = runs.withColumn("_next", F.lead("p").over(Window.partitionBy(*k, "_b").orderBy("p"))).join(follow, [*k, "_b"])
+    area = F.when(F.col("c") > 0, (F.coalesce("_next", "_follow", "p") - F.col("p")) / F.col("c")).otherwise(0.0)
+    areas = written(runs.select(*k, "p", area.alias("_area")), folder, "areas")
+    at = running_sum(areas, k, "p", "_area", "_through", block("p"))
+    at = written(at.select(*k, "p", (F.col("_through") - F.col("_area")).alias("upto")), folder, "upto")
+    j = labels.join(at.select(*k, F.col("p").alias("pos0"), F.col("upto").alias("_a")), [*k, "pos0"]).withColumn("_e", F.col("pos1") + 1).join(at.select(*k, F.col("p").alias("_e"), F.col("upto").alias("_z")), [*k, "_e"])
+    j = written(j.withColumn("avg_uniqueness", (F.col("_z") - F.col("_a")) / (F.col("_e") - F.col("pos0"))).drop("_a", "_z", "_e"), folder, "averages")
+    total = j.groupBy(*k).agg(F.sum("avg_uniqueness").alias("_t"))
+    j = running_sum(j, k, "pos0", "avg_uniqueness", "_u", block("pos0")).join(total, k)
+    j = written(j.withColumn("_w", F.col("avg_uniqueness") * (F.lit(decay_oldest) + (1 - decay_oldest) * F.col("_u") / F.col("_t"))).drop("_u", "_t"), folder, "weights")
+    mean = j.groupBy(*k).agg(F.avg("_w").alias("_m"))
+    return j.join(mean, k).withColumn("weight", F.col("_w") / F.col("_m")).drop("_w", "_m")
 
 
 def direction(df: DataFrame, timeouts: str = "sign_return") -> DataFrame:

@@ -57,3 +57,16 @@ def blocked(df: DataFrame, keys: list[str], order: list[str], halo: int, compute
     again = F.when(F.col("pos") % block_rows >= block_rows - halo, F.array(F.col("_block"), F.col("_block") + 1)).otherwise(F.array("_block"))
     spread = placed.withColumn("_own", F.col("_block")).withColumn("_block", F.explode(again))
     return compute(spread, [*keys, "_block"]).where("_own = _block").drop("_own", "_block", "pos")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str, out: str, block: Column) -> DataFrame:
+    """``out``: the sum of a key's values up to each row (rows of equal ``order`` together), by sums of blocks first: no task orders more than a block.
+
+    ``block`` must not fall where ``order`` rises, and be one for rows of equal ``order``.
+    """
+    df = df.withColumns({"_b": block, "_v": col(value)})
+    sums = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    base = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    inner = F.sum("_v").over(Window.partitionBy(*keys, "_b").orderBy(order))
+    return df.withColumn("_in", inner).join(base, [*keys, "_b"]).withColumn(out, F.col("_base") + F.coalesce("_in", F.lit(0))).drop("_b", "_v", "_in", "_base")
