@@ -15,6 +15,7 @@ from ..plans.shipping import ship
 from . import labels as L
 from . import modeling as M
 from . import quality as Q
+from . import resampling as RS
 from . import volatility as V
 from .asof import asof_attach, asof_join
 
@@ -266,17 +267,10 @@ def economic_gates(panel: DataFrame, arms: list[str], treat: str, keys: list[str
 
 
 def bootstrap_significance(panel: DataFrame, treat: str, other: str, keys: list[str], order: str, ret: str = "r_next", gamma: float = 5.0, side_cost: float = 1e-5, alpha: float = 0.05, resamples: int = 2000, block: float = 10.0, seed: int = 7) -> DataFrame:
-    """``keys, p, ok``: stationary-bootstrap test of the treatment's utility gain by key, one task a key (a day is a row)."""
-    ship(panel.sparkSession)
+    """``keys, p, ok``: stationary-bootstrap test of the treatment's utility gain by key."""
     diff = utility(held_return(f"mvm_{treat}", ret, side_cost, 1.0), gamma) - utility(held_return(f"mvm_{other}", ret, side_cost, 1.0), gamma)
-    rows = panel.select(*keys, order, diff.alias("d"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = S.stationary_bootstrap(pdf.sort_values(order).d.to_numpy(float), resamples, block, seed)["p"]
-        return pdf[keys].head(1).assign(p=float(p), ok=bool(p < alpha))
-
-    ddl = ", ".join(f"`{k}` {panel.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(run, f"{ddl}, p double, ok boolean")
+    found = RS.stationary_bootstrap(RS.placed(panel, keys, order, diff), keys, resamples, block, seed)
+    return found.select(*keys, "p", (F.col("p") < alpha).alias("ok"))
 
 
 def guard(df: DataFrame, columns: list[str], expected: str) -> DataFrame:

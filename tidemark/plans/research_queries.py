@@ -16,6 +16,7 @@ from ..operators import indicators as I
 from ..operators import labels as L
 from ..operators import quality as QA
 from ..operators import recurrences as R
+from ..operators import resampling as RS
 from ..operators import volatility as V
 from .domain import BARS_SQL, TICKS_SQL, Catalogue, bars, table, ticks
 from .market_queries import BASE_SQL, frame, recursion
@@ -263,14 +264,7 @@ g as (select symbol, count(*) as n, avg(x) / sqrt(var_pop(x) / count(*)) * sqrt(
 select symbol, round(stat, 6) as stat, n::bigint as n, round(0.5 + stat / 6000.0 * {T_SQL} * (select sum((case when i = 0 or i = 2000 then 1 when i % 2 = 1 then 4 else 2 end) * power(1 + power(stat * i / 2000.0, 2) / (n - 1), -n / 2.0)) from range(2001) r(i)), 6) as p from g""")
 def diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _har(spark, sf_dir).where("fwd_1 is not null and har_5 is not null").select("symbol", "day", V.qlike("fwd_1", "har_5").alias("a"), V.qlike("fwd_1", "har_1").alias("b"))
-    series: dict[str, list] = {}
-    for r in h.orderBy("symbol", "day").collect():  # a row a symbol and day
-        series.setdefault(r["symbol"], []).append((r["a"], r["b"]))
-    rows = []
-    for k, v in series.items():
-        found = S.diebold_mariano(*np.array(v).T)
-        rows.append((k, float(found["stat"]), float(found["p"]), found["n"]))
-    return spark.createDataFrame(rows, "symbol string, stat double, p double, n long")
+    return RS.diebold_mariano(h, ["symbol"], "day", "a", "b")
 
 
 @add("with recursive " + RV_SQL + ", b as (select *, row_number() over (partition by symbol order by day) as rn from rvd), " + recursion("e", "b", {"y": ("rv", 1 - 0.94)}) + " select b.symbol, b.day, round(e.y, 10) as ewma_var from b join e on b.symbol = e.symbol and b.rn = e.rn", digits=10)
@@ -328,16 +322,12 @@ def psr_dsr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "symbol string, psr double, dsr double")
 
 
-def _daily_matrix(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    d = V.day_return(bars(spark, sf_dir).withColumn("day", F.to_date("ts")), "day", ["symbol"]).groupBy("day").pivot("symbol", ["click", "error", "purchase", "signup", "view"]).agg(F.first("day_ret"))
-    return np.array([[x or 0.0 for x in r[1:]] for r in d.orderBy("day").collect()], float)  # a row a day
-
-
 @add()
 def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _daily_matrix(spark, sf_dir)
-    found = S.stationary_bootstrap(m[:, 0] - m[:, 1])
-    return spark.createDataFrame([(found["p"], found["mean"], found["n"])], "p double, mean double, n int")
+    """Whether click's daily return is above error's, by resampled days; random, so without SQL."""
+    d = V.day_return(bars(spark, sf_dir).withColumn("day", F.to_date("ts")), "day", ["symbol"]).groupBy("day").pivot("symbol", ["click", "error"]).agg(F.first("day_ret"))
+    series = RS.placed(d.select(F.lit("click - error").alias("pair"), "day", (F.coalesce("click", F.lit(0.0)) - F.coalesce("error", F.lit(0.0))).alias("d")), ["pair"], "day", "d")
+    return RS.stationary_bootstrap(series, ["pair"]).select("p", "mean", F.col("n").cast("int").alias("n"))
 
 
 @add(f"with {RV_SQL} select symbol, round(corr(rv, n_returns), 6) as corr, round(regr_slope(rv, n_returns) * 1000000, 6) as slope_ppm from rvd group by symbol")
