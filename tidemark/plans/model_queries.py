@@ -10,6 +10,7 @@ from ..operators import cv as CV
 from ..operators import labels as L
 from ..operators import modeling as M
 from ..operators import scorers as SC
+from ..operators import selection as SE
 from ..operators import volatility as V
 from .domain import BARS_SQL, TICKS_SQL, Catalogue, bars, table, ticks
 from .features import FeatureConfig, compute_features
@@ -87,11 +88,14 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CV.numbered(m, "id").select("row", "id", "t0", "t1", "ret", F.col("mom"), F.col("last"), "sigma", "y", F.col("weight").alias("w"))
 
 
+FIT_FEATURES = ["mom", "last", "sigma"]
+
+
 def _preds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     m = _matrix(spark, sf_dir)
     splits = CV.purged_kfold(m.drop("row"), 4)
-    estimators = {"logistic": M.logistic(), "majority": M.majority(), "momentum": M.momentum()}
-    return m, M.fit_splits(m, splits, ["mom", "last", "sigma"], estimators)
+    fitted = SE.predict_logistic(m, splits, FIT_FEATURES, SE.fit_logistic(m, splits, FIT_FEATURES, {"logistic": 1.0}))
+    return m, fitted.unionByName(SE.rule(m, splits, "majority")).unionByName(SE.rule(m, splits, "momentum", F.col("mom")))
 
 
 @add()
@@ -102,11 +106,19 @@ def cv_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add()
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of each configuration of a small grid; the number of rows is the number of trials."""
+    """Accuracy and deflated Sharpe ratio of each configuration of a small grid; the number of rows is the number of trials."""
+    m = _matrix(spark, sf_dir)
+    splits = CV.purged_kfold(m.drop("row"), 4)
+    cells = SE.fit_logistic(m, splits, FIT_FEATURES, {f"l2={c['l2']}": c["l2"] for c in M.grid(l2=[0.1, 1.0, 10.0])})
+    return SE.trials(SE.predict_logistic(m, splits, FIT_FEATURES, cells), m)
+
+
+@add()
+def selected_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a grid, put alone through combinatorial splits, with its six gates; fits have no SQL."""
     m = _matrix(spark, sf_dir)
-    configs = M.grid(l2=[0.1, 1.0, 10.0])
-    fits = M.fit_splits(m, CV.purged_kfold(m.drop("row"), 4), ["mom", "last", "sigma"], {f"l2={c['l2']}": M.logistic(**c) for c in configs})
-    return M.accuracy(fits, ["estimator"])
+    folds, paths = CV.purged_kfold(m.drop("row"), 4), CV.cpcv(m.drop("row"), 4, 2)
+    return SE.search(m, folds, paths, FIT_FEATURES, {f"l2={x}": x for x in (0.1, 1.0, 10.0)})[1]
 
 
 @add(f"""{LABELS_SQL}, d as (select symbol, (ret > 0)::int as y, 1.0 / (1 + abs(n_bars - 24) / 24.0) as p from lab) select symbol, round((avg(case when y = 1 then (p >= 0.5)::int end) + avg(case when y = 0 then (p < 0.5)::int end)) / 2, 6) as balanced_accuracy, round(avg((p >= 0.5)::int), 6) as action_rate,

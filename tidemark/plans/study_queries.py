@@ -14,6 +14,7 @@ from ..operators import modeling as M
 from ..operators import news as N
 from ..operators import quality as QA
 from ..operators import recurrences as R
+from ..operators import selection as SE
 from ..operators import studies as ST
 from ..operators import volatility as V
 from ..operators.asof import asof_attach
@@ -101,6 +102,28 @@ def _qlike_sql(f: str) -> str:
     return f"exp({d}) - {d} - 1"
 
 
+@add()
+def fitted_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean QLIKE by symbol of the regression, of GARCH fitted anew on each fold's past returns, and of trees boosted on QLIKE on each fold's past rows; fits have no SQL."""
+    f = _forecasts(spark, sf_dir).select("symbol", "day", F.col("step").alias("fold"), "fwd_1", "har_1", F.col("forecast").alias("f_har"))
+    span = f.groupBy("symbol").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    days = V.day_return(bars(spark, sf_dir).withColumn("day", F.to_date("ts")), "day", ["symbol"]).join(span, "symbol").join(f.select("symbol", "day", "fold"), ["symbol", "day"], "left")
+    days = days.where("day <= hi and (day < lo or fold is not null)").withColumn("fold", F.coalesce("fold", F.lit(-1)))
+    garch = R.garch_arm(days, ["symbol"], "day", "day_ret").select("symbol", "day", "f_garch")
+    rows = _har(spark, sf_dir).where("fwd_1 is not null and har_5 is not null").join(days.select("symbol", "day", "fold"), ["symbol", "day"])
+    rows = rows.select("symbol", "day", "fold", F.concat_ws(":", "symbol", "day").alias("id"), F.col("day").cast("timestamp").alias("t0"), "har_1", "har_3", "har_5", F.col("fwd_1").alias("y"), F.lit(1.0).alias("w"))
+    rows = CV.numbered(rows)
+    last = rows.agg(F.max("fold").alias("last"))
+    splits = rows.join(F.broadcast(last)).select("row", "fold", F.explode(F.sequence(F.greatest(F.col("fold"), F.lit(0)), "last")).alias("split"))
+    splits = splits.select("split", "row", F.when(F.col("fold") < F.col("split"), "train").otherwise("test").alias("role"))
+    features = ["har_1", "har_3", "har_5"]
+    trees = B.predict(rows, splits, features, B.fit(rows, splits, features, B.qlike(), B.Settings(rounds=6, depth=2, min_rows=5, rate=0.3)), B.qlike())
+    trees = trees.join(rows.select(F.col("row").cast("int").alias("row"), "symbol", "day"), "row").select("symbol", "day", F.col("pred").alias("f_tree"))
+    arms = ["f_har", "f_garch", "f_tree"]
+    loss = ST.losses(f.join(garch, ["symbol", "day"]).join(trees, ["symbol", "day"]), arms, "fwd_1", ["symbol", "day", "fold"])
+    return loss.groupBy("symbol", "arm").agg(F.count("*").alias("n"), F.avg("loss").alias("loss"))
+
+
 @add(f"""{ARMS_SQL}, q as (select *, {_qlike_sql('f_har')} as har, {_qlike_sql('f_rw')} as rw, {_qlike_sql('f_ewma')} as ew, {_qlike_sql('f_garch')} as gc from arms where f_har is not null and f_rw is not null and f_ewma is not null and f_garch is not null),
 mm as (select symbol, avg(har) as har, avg(rw) as rw, avg(ew) as ew, avg(gc) as gc, count(*) as n from q group by 1), rgr as (select symbol, bool_and(ok) as every, count(*) as found from (select symbol, regime, avg(har) <= avg(rw) as ok from q where regime is not null group by 1, 2) group by 1),
 ff as (select symbol, sum(ok::int) as won, count(*) as folds from (select symbol, fold, avg(har) < avg(rw) as ok from q group by 1, 2) group by 1)
@@ -328,6 +351,26 @@ def overfitting_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.overfitting(_daily(spark, sf_dir), 10, "symbol", "day")
 
 
+@add(f"""with {BARS_SQL}, gd as (select symbol, ts::date as day, ln(arg_max(close, ts)) - ln(arg_min(open, ts)) as r from bars group by 1, 2),
+gs as (select symbol, day, r, sign(r)::int as t, sign(lag(r) over (partition by symbol order by day))::int as p from gd), gg as (select *, p * r as g, day(day) % 3 as path from gs where p is not null),
+gm as (select symbol, avg(g) as mean_gross, avg((p <> 0)::int) as action_rate from gg group by 1),
+gp as (select symbol, quantile_cont(sharpe, 0.5) as path_median_sharpe from (select symbol, path, avg(g) / nullif(stddev_samp(g), 0) as sharpe from gg group by 1, 2) group by 1),
+gf as (select symbol, avg(f1) as macro_f1 from (select symbol, c, coalesce(2.0 * sum((t = c and p = c)::int) / nullif(sum((t = c)::int) + sum((p = c)::int), 0), 0) as f1 from gg, (values (-1), (0), (1)) x(c) group by 1, 2) group by 1),
+st as (select gm.*, path_median_sharpe, macro_f1, (select pbo from ({catalogue.sql["overfitting_probability"]})) as pbo from gm join gp using (symbol) join gf using (symbol))
+select symbol, round(mean_gross, 6) as mean_gross, round(action_rate, 6) as action_rate, round(path_median_sharpe, 6) as path_median_sharpe, round(macro_f1, 6) as macro_f1, round(pbo, 6) as pbo, coalesce(pbo < 0.5, false) as gate_pbo, false as gate_dsr,
+  coalesce(mean_gross > 0, false) as gate_gross, coalesce(action_rate >= 0.05, false) as gate_action, coalesce(path_median_sharpe > 0, false) as gate_paths, coalesce(macro_f1 >= 0.34, false) as gate_f1, false as passed from st""")
+def signal_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six gates of yesterday's direction as today's signal, by symbol; one signal is no trial series, so its deflated ratio is missing and fails."""
+    d = V.day_return(bars(spark, sf_dir).withColumn("day", F.to_date("ts")), "day", ["symbol"])
+    w = Window.partitionBy("symbol").orderBy("day")
+    g = d.select("symbol", "day", F.col("day_ret").alias("r"), F.signum("day_ret").cast("int").alias("t"), F.signum(F.lag("day_ret").over(w)).cast("int").alias("p")).where("p is not null").withColumn("g", F.col("p") * F.col("r"))
+    paths = V.moments(g.withColumn("path", F.day("day") % 3), ["symbol", "path"], "g").groupBy("symbol").agg(F.percentile("sharpe", 0.5).alias("path_median_sharpe"))
+    stats = g.groupBy("symbol").agg(F.avg("g").alias("mean_gross"), F.avg((F.col("p") != 0).cast("double")).alias("action_rate"))
+    stats = stats.join(paths, "symbol").join(SE.macro_f1(g, "t", "p", [-1, 0, 1], ["symbol"]), "symbol")
+    stats = stats.join(F.broadcast(ST.overfitting(_daily(spark, sf_dir), 10, "symbol", "day").select("pbo"))).withColumn("dsr", F.lit(None).cast("double"))
+    return SE.judged(stats, SE.micro_gates()).drop("dsr")
+
+
 # --- window news ----------------------------------------------------------------------------------------------------------------------------------------
 
 
