@@ -243,3 +243,37 @@ def test_shares_are_exact():
     total = np.concatenate([rng.integers(1, 10**6, 50), rng.integers(10**14, 9 * 10**15, 50)])
     count = (total * rng.random(100)).astype(np.int64)
     assert shares(count, total).tolist() == [1 + 10**9 * (int(c) + 2) // int(t) for c, t in zip(count, total)]
+
+
+# --- 7 ---------------------------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 64, 1001])
+def test_running_sums_of_an_array(spark, n):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.chat import running
+
+    x = np.random.default_rng(n).integers(0, 99, n).tolist()
+    (r,) = spark.createDataFrame([(x,)], "x array<long>").select(running("x").alias("y"), F.size("x").alias("n")).collect()
+    assert r["y"] == (np.cumsum(x) - x).tolist()
+
+
+def test_a_very_long_conversation(spark):
+    """100,000 turns of one conversation: work grows with the turns, not with their square."""
+    import hashlib
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.chat import conversation_digests
+
+    n = 100_000
+    text = lambda i: f"turn {i} says <|im_end|> and \\ no more, é"
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.format_string(text("%s").replace("turn %s", "turn %d"), "id").alias("text"))
+    began = time.time()
+    (r,) = conversation_digests(turns).collect()
+    took = time.time() - began
+    said = "".join(text(i) for i in range(n) if i % 3)
+    assert r["n_turns"] == n and r["loss_chars"] == len(said) and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert took < 60, took
