@@ -180,7 +180,7 @@ def components(fps, budget=2):
 
 
 def test_simhash(docs, data):
-    from tidemark.llm.simhash import keep_one, near_duplicates
+    from tidemark.llm.simhash import near_duplicates
 
     fps = [simhash(t) for _, t, *_ in data]
     comp = components(set(fps))
@@ -189,10 +189,6 @@ def test_simhash(docs, data):
         if d is not None:
             least[comp[f]] = min(d, least.get(comp[f], d))
     expect(near_duplicates(docs).collect(), [(d, f"{f:016x}", least.get(comp[f])) for (d, *_), f in zip(data, fps)])
-    kept = keep_one(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == len(set(comp.values()))
-    assert sorted(comp[simhash(r["text"])] for r in kept.collect()) == sorted(set(comp.values()))
 
 
 @pytest.mark.parametrize("cap", [100_000, 3])
@@ -831,12 +827,12 @@ def test_empty_tables(spark, nothing, tmp_path):
     import public_tokenizers
     from tidemark.llm.lines import duplicate_lines
     from tidemark.llm.mixing import mix, mix_report
-    from tidemark.llm.simhash import keep_one, near_duplicates
+    from tidemark.llm.simhash import near_duplicates
     from tidemark.llm.suffixes import remove_repeats
     from tidemark.llm.token_ids import encode_documents
     from tidemark.llm.units import repeated_units
 
-    for f in (duplicate_lines, mix, mix_report, keep_one, near_duplicates, remove_repeats, repeated_units):
+    for f in (duplicate_lines, mix, mix_report, near_duplicates, remove_repeats, repeated_units):
         assert f(nothing).collect() == [], f
     assert encode_documents(nothing, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 

@@ -225,16 +225,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, node_cap
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(classes, "fp").groupBy("component").agg(F.min("rep").alias("component_id"))
     table = work.table(classes.join(least, "component").select("fp", "component_id"), "classes")
     return fps.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, node_cap: int = 100_000) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one stays for each near-duplicate group: the one of smallest doc_id (nulls last), then text hash."""
-    work = Workspace(docs.sparkSession, "simhash")
-    fps = work.table(fingerprints(texts(docs).withColumn("th", F.xxhash64("text")), shingle, ("th",)), "fingerprints")
-    classes = fingerprint_classes(fps, work, budget, node_cap)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(classes, "fp").groupBy("component").agg(F.min("first").alias("first"))
-    stay = work.table(first.select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th")), "stay")
-    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay_id")) & (th == F.col("stay_th"))).dropDuplicates(["stay_id", "stay_th"])
-    return kept.select(*[docs[c] for c in docs.columns])
