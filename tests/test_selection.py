@@ -82,3 +82,15 @@ def test_macro_f1(spark):
     df = spark.createDataFrame([("a", t, p) for t, p in ((1, 1), (1, 0), (0, 0), (-1, 1))] + [("b", 1, 1)], "k string, t int, p int")
     got = {r["k"]: r["macro_f1"] for r in SE.macro_f1(df, "t", "p", [-1, 0, 1], ["k"]).collect()}
     assert got["a"] == pytest.approx((0 + 2 / 3 + 1 / 2) / 3) and got["b"] == pytest.approx(1 / 3)
+
+
+def test_a_frozen_frame_is_guarded(spark):
+    from tidemark.operators.studies import guard
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    f = M.fingerprint(df, ["x", "y"]).first()
+    expected = f"{f['n']}:{f['hash_sum']}"
+    assert guard(df.orderBy("y"), ["x", "y"], expected).count() == 2
+    for other in (df.where("x = 1"), df.withColumn("y", F.lit("c"))):
+        with pytest.raises(ValueError):
+            guard(other, ["x", "y"], expected)

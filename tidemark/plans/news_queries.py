@@ -250,6 +250,25 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).where("symbol <> '~end'")
 
 
+@add(f"with {TICKS_SQL} select symbol, user_id, max(event_id) as event_id, arg_max(ts, event_id) as ts, round(arg_max(price, event_id), 6) as price from t group by symbol, user_id")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (symbol, user)'s last tick, kept by a stream of revisions with one number of state a key."""
+    folder, t = _stream_source(spark, sf_dir, "ticks", end=False)
+    out = shared_folder(spark, "stream-latest")
+    J.run_to_revisions(J.latest_stream(J.read_events(spark, folder, t.schema), ["symbol", "user_id"], "ts", "event_id", late="400 days", keep_minutes=400 * 1440), out, f"{out}-checkpoint", "ts")
+    return J.latest_rows(spark, out, ["symbol", "user_id"], "event_id").select("symbol", "user_id", "event_id", "ts", "price")
+
+
+@add(f"with {TICKS_SQL}, q as (select *, date_trunc('hour', ts) as w from t) select symbol, w as ts, round(arg_max(price, (ts, event_id)), 6) as bid, round(arg_max(price + 0.25, (ts, event_id)), 6) as ask, count(*)::bigint as n from q group by symbol, w")
+def stream_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last quote of each symbol and hour."""
+    folder, t = _stream_source(spark, sf_dir, "ticks", end=True)
+    out = shared_folder(spark, "stream-quotes")
+    q = J.read_events(spark, folder, t.schema).withColumns({"bid": F.col("price"), "ask": F.col("price") + 0.25, "bid_size": F.col("size").cast("double"), "ask_size": F.col("size").cast("double")})
+    J.run_to_table(J.quotes_stream(q, "1 hour"), out, f"{out}-checkpoint", ["symbol", "ts"], "ts")
+    return spark.read.parquet(out).where("symbol <> '~end'").select("symbol", "ts", "bid", "ask", "n")
+
+
 @add(f"""with recursive {TICKS_SQL}, s as (select *, price * size as notional, row_number() over (partition by symbol, instrument, ts::date order by ts, event_id) as rn, ts::date as day from t),
 f as (select symbol, instrument, day, rn, 0::bigint as bar_id, case when notional >= 100000 then 1 else 0 end as closes, notional as total from s where rn = 1
   union all select s.symbol, s.instrument, s.day, s.rn, p.bar_id + p.closes, case when (case when p.closes = 1 then 0 else p.total end) + s.notional >= 100000 then 1 else 0 end, (case when p.closes = 1 then 0 else p.total end) + s.notional

@@ -59,6 +59,57 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, key: list[str],
     q.awaitTermination()
 
 
+def latest_stream(rows: DataFrame, key: list[str], time: str, order: str, late: str = "2 hours", keep_minutes: int = 24 * 60) -> DataFrame:
+    """Revisions as they come: a row goes on if its ``order`` (an integer) is above all earlier ones of its key; duplicates and older revisions go.
+
+    State is one number a key, and leaves ``keep_minutes`` of event time after the key's last row, so it is bounded by the keys of that span. Rows later than the
+    watermark are dropped, so a key whose state has left does not come back by an old row as long as ``late`` is within ``keep_minutes``.
+    """
+    ship(rows.sparkSession)
+    names = rows.columns
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, last = None, 0
+        for pdf in frames:
+            top = pdf.loc[[pdf[order].idxmax()]]
+            best = top if best is None or int(top[order].iloc[0]) > int(best[order].iloc[0]) else best
+            last = max(last, int(pdf[time].max().value // 1_000_000))
+        known = state.get[0] if state.exists else None
+        newest = int(best[order].iloc[0])
+        state.update((newest if known is None else max(known, newest),))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_minutes * 60_000)
+        if known is None or newest > known:
+            yield best[names]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.where(F.col(order).isNotNull()).withWatermark(time, late).groupBy(*key).applyInPandasWithState(step, schema, "latest bigint", "append", "EventTimeTimeout")
+
+
+def run_to_revisions(stream: DataFrame, path: str, checkpoint: str, time: str) -> dict:
+    """Runs a stream of revisions over what is there (availableNow): each batch writes its own files of the dates that it touches, and a replay overwrites them.
+
+    Returns the last progress, which has the number of keys in state."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        dated = batch.withColumns({"_date": F.to_date(time), "_batch": F.lit(batch_id)})
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_date", "_batch").parquet(path)
+
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return q.lastProgress or {}
+
+
+def latest_rows(spark: SparkSession, path: str, key: list[str], order: str, dates: list[str] | None = None) -> DataFrame:
+    """The last revision of each key of a table that ``run_to_revisions`` wrote; of some ``dates`` only, if a key's date never changes. Combined before the shuffle."""
+    df = spark.read.parquet(path)
+    df = df.where(F.col("_date").cast("string").isin(dates)) if dates is not None else df
+    names = [c for c in df.columns if c not in ("_date", "_batch")]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*names), order).alias("_row")).select("_row.*")
+
+
 QUOTE = "event_id bigint, symbol string, ts timestamp, bid double, ask double, bid_size double, ask_size double"
 
 
@@ -105,4 +156,4 @@ def sentinel(ticks: DataFrame, hours: int = 24) -> DataFrame:
     return last.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit("~end").alias("symbol"), (F.col("ts") + F.expr(f"interval {hours} hours")).alias("ts"), F.lit(0.0).alias("price"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("instrument"), F.lit(0).cast("bigint").alias("user_id"))
 
 
-__all__ = ["QUOTE", "TICK", "append_new", "bars_stream", "dollar_bars_stream", "quotes_stream", "read_events", "run_to_table", "sentinel", "time_bars"]
+__all__ = ["QUOTE", "TICK", "append_new", "bars_stream", "dollar_bars_stream", "latest_rows", "latest_stream", "quotes_stream", "read_events", "run_to_revisions", "run_to_table", "sentinel", "time_bars"]
