@@ -305,3 +305,33 @@ def test_page_title_resolves_all_references(spark):
     html = "<title>&eacute;&#xe9;&#233; &copy; &amp</title>"
     for closed, wanted in ((False, "ééé © &"), (True, "ééé © &amp")):
         assert spark.createDataFrame([(html,)], "html string").select(page_title("html", closed)).first()[0] == wanted
+
+
+def test_features_of_a_pair(spark):
+    from tidemark.plans.features import FeatureConfig, compute_features, feature_names, pair_names
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for k, symbol in enumerate(("A", "B", "C")):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 120)))
+        rows += [(symbol, minutes(5 * i + k), *(float(x),) * 4, float(rng.integers(1, 9)), 2.0 if symbol == "B" else 1.0) for i, x in enumerate(close)]
+    fields = "symbol string, ts timestamp, open double, high double, low double, close double, volume double, adj_factor double"
+    bars = spark.createDataFrame(rows, fields)
+    c = FeatureConfig(pair=("A", "B"), pair_ratio=20, pair_corr=10)
+    got = compute_features(bars, c).toPandas()
+    assert list(got.columns) == ["symbol", "ts", *feature_names(c), *pair_names(c), "degraded", "feature_version"] and len(got) == 360
+    assert got[got.symbol == "C"][pair_names(c)].isna().all().all()
+    p = pd.DataFrame(rows, columns=["symbol", "ts", "o", "h", "l", "close", "v", "adj"])
+    p["raw"] = p.close / p.adj
+    p["ret"] = np.log(p.close) - np.log(p.groupby("symbol").close.shift(1))
+    a, b = (p[p.symbol == s].reset_index(drop=True) for s in "AB")
+    for own, other, up in ((a, b, False), (b, a, True)):
+        j = pd.merge_asof(own, other[["ts", "ret", "raw"]].rename(columns={"ret": "o_ret", "raw": "o_raw"}), on="ts")
+        ratio = j.raw / j.o_raw if up else j.o_raw / j.raw
+        spread = (j.ret - j.o_ret) if up else (j.o_ret - j.ret)
+        z = (ratio - ratio.rolling(20).mean()) / ratio.rolling(20).std()
+        mine = got[got.symbol == own.symbol[0]].sort_values("ts")
+        for name, wanted in zip(pair_names(c), (spread, z, j.ret.rolling(10).corr(j.o_ret))):
+            assert np.allclose(mine[name].astype(float), wanted, atol=1e-9, equal_nan=True), name
+    with pytest.raises(ValueError):
+        compute_features(bars.withColumn("contract_id", F.lit("A1-A2")), c)

@@ -7,8 +7,9 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import time_features
+from ..functions.exprs import sdiv, time_features
 from ..operators import indicators as I
+from ..operators.asof import DAY_US, asof_join
 from ..operators.windows import positions
 
 
@@ -27,6 +28,9 @@ class FeatureConfig:
     regime: tuple[int, int] = (1380, 60)
     warmup: int = 4140
     version: str = "v1"
+    pair: tuple[str, str] | None = None  # two symbols that see each other; ratios are the second's price over the first's
+    pair_ratio: int = 390
+    pair_corr: int = 60
 
     @classmethod
     def load(cls, values: dict) -> FeatureConfig:
@@ -46,15 +50,39 @@ def feature_names(c: FeatureConfig) -> list[str]:
     ]
 
 
+def pair_names(c: FeatureConfig) -> list[str]:
+    return ["xa_ret_spread", f"xa_ratio_z_{c.pair_ratio}", f"xa_corr_{c.pair_corr}"] if c.pair else []
+
+
+def paired(df: DataFrame, c: FeatureConfig) -> DataFrame:
+    """``symbol, ts`` and ``pair_names`` of the pair's rows: each with the other's return and raw price as of its time (close / adj_factor where there is one).
+
+    The spread of returns is the second symbol's less the first's on either side, the ratio likewise; ``df`` has ``ret_1``, one row a (symbol, ts).
+    """
+    first, second = c.pair
+    raw = sdiv("close", "adj_factor") if "adj_factor" in df.columns else F.col("close").cast("double")
+    slim = df.where(F.col("symbol").isin(first, second)).select("symbol", "ts", "ret_1", raw.alias("_raw"))
+    other = slim.select(F.when(F.col("symbol") == first, second).otherwise(first).alias("symbol"), "ts", F.col("ret_1").alias("ret"), F.col("_raw").alias("raw"))
+    j = asof_join(slim, other, by=["symbol"], take=["ret", "raw"], prefix="_o_", bucket_us=7 * DAY_US)
+    up = F.col("symbol") == second
+    j = j.withColumns({"xa_ret_spread": F.when(up, F.col("ret_1") - F.col("_o_ret")).otherwise(F.col("_o_ret") - F.col("ret_1")), "_ratio": F.when(up, sdiv("_raw", "_o_raw")).otherwise(sdiv("_o_raw", "_raw"))})
+    _, z, corr = pair_names(c)
+    j = I.cut(j, max(c.pair_ratio, c.pair_corr), lambda d, k: I.correlation(I.zscore(d, "_ratio", c.pair_ratio, z, keys=k), "ret_1", "_o_ret", c.pair_corr, corr, keys=k))
+    return j.select("symbol", "ts", *pair_names(c))
+
+
 def compute_features(bars: DataFrame, c: FeatureConfig, degraded_dates: tuple[str, ...] = ()) -> DataFrame:
     """All price, volume, technical and time features of bars, with the degraded flag and the version.
 
     All windows of finite reach share one partitioning by (symbol, block), so the bars are shuffled once for them; the time-of-day mean is by
-    (symbol, time of day), the session price by (symbol, day); exponential means add their block passes.
+    (symbol, time of day), the session price by (symbol, day); exponential means add their block passes. With ``c.pair`` the columns of ``paired`` follow.
+    Bars of spreads (a ``contract_id`` with '-') are an error.
     """
     missing = [x for x in ("symbol", "ts", "open", "high", "low", "close", "volume") if x not in bars.columns]
     if missing:
         raise ValueError(f"bars need {', '.join(missing)}")
+    if "contract_id" in bars.columns and not bars.where(F.contains("contract_id", F.lit("-"))).isEmpty():
+        raise ValueError("bars of spreads must not reach the features")
     df = I.smoothed(I.cut(bars, 1, I.base))
 
     def framed(df: DataFrame, k: list[str]) -> DataFrame:
@@ -68,8 +96,10 @@ def compute_features(bars: DataFrame, c: FeatureConfig, degraded_dates: tuple[st
 
     reach = max(*c.returns, *c.roc, *c.zscores, c.ranges, *c.rvols, c.volume_z, c.obv, max(c.vols) + c.regime[0], 40) + 1
     df = I.vwap_distance(I.time_of_day_volume(I.cut(df, reach, framed), F.date_format("ts", "HH:mm")))
+    if c.pair:  # from the bars, so that the features above are computed once
+        df = df.join(paired(I.cut(bars.where(F.col("symbol").isin(*c.pair)), 1, I.base), c), ["symbol", "ts"], "left")
     df = df.withColumns(time_features("ts"))
     df = positions(df, ["symbol"], ["ts"], F.to_date("ts"))
     first = F.col("pos") < c.warmup
     bad = F.date_format("ts", "yyyy-MM-dd").isin(*degraded_dates) if degraded_dates else F.lit(False)
-    return df.select("symbol", "ts", *feature_names(c), (first | bad).alias("degraded"), F.lit(c.version).alias("feature_version"))
+    return df.select("symbol", "ts", *feature_names(c), *pair_names(c), (first | bad).alias("degraded"), F.lit(c.version).alias("feature_version"))

@@ -13,6 +13,7 @@ from ..operators import recurrences as R
 from ..operators.windows import half_open_us
 from ..sources.lake import latest_ingest, new_rows
 from .domain import BARS_SQL, TICKS_SQL, Catalogue, bars, table, ticks
+from .features import FeatureConfig, pair_names, paired
 
 catalogue = Catalogue()
 add = catalogue.add
@@ -143,6 +144,19 @@ def cross_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("ts", (F.col("ret_1") - F.col("o_ret_1")).alias("ret_spread"), "ratio_z", "ret_corr")
 
 
+@add(QB + """, j as (select x.symbol, x.ts, x.ret_1, x.close, y.ret_1 as o_ret, y.close as o_close from (select *, case when symbol = 'click' then 'view' else 'click' end as peer from base where symbol in ('click', 'view')) x asof left join base y on x.peer = y.symbol and x.ts >= y.ts),
+k as (select *, case when symbol = 'view' then close / nullif(o_close, 0) else o_close / nullif(close, 0) end as ratio from j)
+select symbol, ts, round(case when symbol = 'view' then ret_1 - o_ret else o_ret - ret_1 end, 6) as xa_ret_spread, round((ratio - """ + g("avg", "ratio", 30) + ") / nullif(" + g("stddev_samp", "ratio", 30) + """, 0), 6) as xa_ratio_z_30,
+  round(case when count(ret_1 * o_ret) over w >= 24 then (avg(ret_1 * o_ret) over w - avg(case when o_ret is not null then ret_1 end) over w * avg(case when ret_1 is not null then o_ret end) over w)
+    / nullif(sqrt(greatest(avg(case when o_ret is not null then ret_1 * ret_1 end) over w - power(avg(case when o_ret is not null then ret_1 end) over w, 2), 0)
+      * greatest(avg(case when ret_1 is not null then o_ret * o_ret end) over w - power(avg(case when ret_1 is not null then o_ret end) over w, 2), 0)), 0) end, 6) as xa_corr_24
+from k window w as (""" + frame(24) + ")")
+def paired_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cross-asset block of the feature set, both symbols of a pair."""
+    c = FeatureConfig(pair=("click", "view"), pair_ratio=30, pair_corr=24)
+    return paired(I.base(bars(spark, sf_dir)).where("symbol in ('click', 'view')"), c).select("symbol", "ts", *pair_names(c))
+
+
 @add(Q + " select symbol, ts, " + ", ".join(f"round(ln(close) - lag(ln(close), {h}) over s, 6) as ret_{h}" for h in (1, 5, 15)) + ", round(close / lag(close, 15) over s - 1, 6) as roc_15 from bars window s as (partition by symbol order by ts)")
 def returns_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.cut(bars(spark, sf_dir), 15, lambda d, k: I.roc(I.returns(d, (1, 5, 15), k), (15,), k)).select("symbol", "ts", "ret_1", "ret_5", "ret_15", "roc_15")
