@@ -734,6 +734,14 @@ def test_shards_do_not_change_scores(spark, docs, monkeypatch):
     monkeypatch.setattr(perplexity, "SHARD_GRAMS", 100)
     monkeypatch.setattr(perplexity, "MAX_BROADCAST_IDS", 0)
     assert close(perplexity.quality_report(small, labels, 0.9)) == one
+    for name, value in (("BLOCK", 3000), ("SLICE_GRAMS", 60), ("TASK_GRAMS", 20000)):  # many blocks, whose questions to a shard meet several copies of it
+        monkeypatch.setattr(perplexity, name, value)
+    assert close(perplexity.quality_report(small, labels, 0.9)) == one
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # the copies come by shuffles
+    try:
+        assert close(perplexity.quality_report(small, labels, 0.9)) == one
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     twice = small.unionByName(small)  # blocks alike
     assert close(perplexity.quality_report(twice, labels, 0.9))[::2] == [r for r in close(perplexity.quality_report(twice, labels, 0.9))][1::2]
 

@@ -14,8 +14,10 @@
 Counts and questions meet in joins sharded by (model, context). The shard of an n-gram is a hash of its model and of the two bytes before
 its last one, so all orders from 3 up of an n-gram and their contexts lie in one shard; orders 1 and 2 (65,536 n-grams a model at most)
 are fitted a model a task and go to each shard. Documents form blocks of bounded size. A block asks each shard once for each
-distinct n-gram of its texts; its rows, packed, and the answers meet by the block's hash. Nothing but thresholds and model names reaches the driver, and
-nothing is broadcast but the ids of trusted documents, up to ``MAX_BROADCAST_IDS``.
+distinct n-gram of its texts; its rows, packed, and the answers meet by the block's hash. The questions to one shard of a model grow with the corpus, so they
+are dealt out by block into slices of about ``SLICE_GRAMS`` n-grams, each of which meets a copy of the shard, and tasks grow in number with all questions.
+Nothing but thresholds, model names and a sum reaches the driver, and nothing is broadcast but the ids of trusted documents, up to ``MAX_BROADCAST_IDS``, and
+tables that Spark finds small.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ GRAIN = 1000  # thresholds are in thousandths of a bit
 SLICE = 1 << 18  # bytes of text worked on at once: about 90 bytes of arrays each
 BLOCK = 16 << 20  # bytes of text of a block; a longer text is a block of its own
 SHARD_GRAMS = 100_000
+SLICE_GRAMS = 1 << 22  # n-grams that blocks ask one copy of a shard for
+TASK_GRAMS = 1 << 24  # n-grams asked, over all blocks, a task
 
 
 def ngram_keys(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,12 +336,12 @@ def _ask(known: frozenset[str], shards: int, limit: int) -> Callable:
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of the n-grams that blocks ask for; rows come sorted by (shard, model, kind): the counted shard, the low orders, then the questions."""
+    """Bits of the n-grams that blocks ask for; rows come sorted by (shard, model, slice, kind): the counted shard, the low orders, then the questions."""
     now, low, counted, shard = None, None, None, None
     for batch in batches:
         for r in batch.to_pylist():
-            if (r["s"], r["m"]) != now:
-                now, low, counted, shard = (r["s"], r["m"]), None, None, None
+            if (r["s"], r["m"], r["slice"]) != now:
+                now, low, counted, shard = (r["s"], r["m"], r["slice"]), None, None, None
             if r["kind"] == 0:
                 counted = r
             elif r["kind"] == 1:
@@ -406,15 +410,20 @@ def _score(known: frozenset[str], keep: bool) -> Callable:
 
 def scored_blocks(docs: DataFrame, model: Model, keep: bool) -> DataFrame:
     """``SCORED``: a row a block of documents with its scores; with ``keep`` also the rows themselves. Reads ``docs`` twice."""
-    work, n = model.work, partitions(docs.sparkSession)
+    work = model.work
     limit = BLOCK // 2 if keep else BLOCK  # blocks with all columns are kept, and read again
     packed = work.table(docs.mapInArrow(_ask(model.known, model.shards, limit), ASKED), "asked")
+    # a row a shard and model that is asked: Spark sees the size of the written table and broadcasts it if it is small
+    dealt = work.table(packed.groupBy("s", "m").agg(F.sum("n").alias("asked")).withColumn("slices", F.ceil(F.col("asked") / SLICE_GRAMS).cast("int")), "slices")
+    n = max(partitions(docs.sparkSession), (dealt.agg(F.sum("asked")).first()[0] or 0) // TASK_GRAMS)
     none = lambda *names: [F.lit(None).cast(t).alias(x) for x, t in names]
     low = ("discounts", "pairs", "shares", "left", "single")
-    counted = model.counts.select("s", "m", F.lit(0).alias("kind"), *none(("block", "long")), "n", "grams", "counts", *none(*((x, "binary") for x in low)))
-    fitted = model.low.select(F.explode(F.sequence(F.lit(0), F.lit(model.shards - 1))).alias("s"), "m", F.lit(1).alias("kind"), *none(("block", "long"), ("n", "long"), ("grams", "binary"), ("counts", "binary")), *low)
-    asked = packed.select("s", "m", F.lit(2).alias("kind"), "block", "n", "grams", *none(("counts", "binary"), *((x, "binary") for x in low)))
-    met = counted.unionByName(fitted).unionByName(asked).repartition(n, "s", "m").sortWithinPartitions("s", "m", "kind")
+    copies = dealt.select("s", "m", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    counted = model.counts.join(copies, ["s", "m"]).select("s", "m", "slice", F.lit(0).alias("kind"), *none(("block", "long")), "n", "grams", "counts", *none(*((x, "binary") for x in low)))
+    fitted = copies.join(model.low, "m").select("s", "m", "slice", F.lit(1).alias("kind"), *none(("block", "long"), ("n", "long"), ("grams", "binary"), ("counts", "binary")), *low)
+    slice_ = F.pmod(F.xxhash64("block"), F.col("slices")).cast("int").alias("slice")
+    asked = packed.join(dealt, ["s", "m"]).select("s", "m", slice_, F.lit(2).alias("kind"), "block", "n", "grams", *none(("counts", "binary"), *((x, "binary") for x in low)))
+    met = counted.unionByName(fitted).unionByName(asked).repartition(n, "s", "m", "slice").sortWithinPartitions("s", "m", "slice", "kind")
     answers = met.mapInArrow(_answer, "block long, m string, n long, grams binary, bits binary").select("block", *none(("blob", "binary")), "m", "n", "grams", "bits")
     rows = packed_rows(docs, limit, SCORED_BY).select("block", "blob", *none(("m", "string"), ("n", "long"), ("grams", "binary"), ("bits", "binary")))
     return work.table(rows.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "m").mapInArrow(_score(model.known, keep), SCORED), "scored")
