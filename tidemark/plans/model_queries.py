@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import asof as A
 from ..operators import cv as CV
 from ..operators import labels as L
+from ..operators import meta as ME
 from ..operators import modeling as M
 from ..operators import scorers as SC
 from ..operators import selection as SE
@@ -121,6 +122,67 @@ def selected_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.search(m, folds, paths, FIT_FEATURES, {f"l2={x}": x for x in (0.1, 1.0, 10.0)})[1]
 
 
+META_SQL = f"""{LABELS_SQL}, f as (select symbol, pos as pos0, ln(close / lag(close, 5) over (partition by symbol order by pos)) as mom from pb),
+ms as (select symbol, pos0, ret, sign(mom)::int as side, abs(mom) as abs_mom, ((case when label <> 0 then sign(label) when ret > 0 then 1 else -1 end) = sign(mom))::int as meta, 1.0::double / (1 + n_bars) as w, abs(mom) / (abs(mom) + lab.sigma) as p from lab join f using (symbol, pos0) where sign(mom) <> 0),
+bets as (select *, coalesce(p > 0.5, false) as acted, case when p > 0.5 then side else 0 end * ret as gross from ms)"""
+STATS_SQL = """round(sum(gross * w) / sum(w), 6) as mean_gross, round(sum(side * ret * w) / sum(w), 6) as always_gross, round(avg(acted::int), 6) as action_rate, round(coalesce((avg(case when meta = 1 then acted::int end) + avg(case when meta = 0 then (not acted)::int end)) / 2,
+avg(case when meta = 1 then acted::int end), avg(case when meta = 0 then (not acted)::int end)), 6) as balanced_accuracy, round(avg(case when acted then meta end), 6) as hit_acted, round(avg(meta), 6) as hit_always"""
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels whose five-bar momentum has a sign, timeouts by the sign of their return, with a probability that needs no fit."""
+    w = Window.partitionBy("symbol").orderBy("pos")
+    f = _positions(spark, sf_dir).select("symbol", F.col("pos").alias("pos0"), F.ln(F.col("close") / F.lag("close", 5).over(w)).alias("mom"))
+    d = ME.meta_set(L.direction(_labels(spark, sf_dir)).join(f, ["symbol", "pos0"]), "mom", "direction")
+    return d.withColumns({"w": 1.0 / (1 + F.col("n_bars")), "p": F.col("abs_mom") / (F.col("abs_mom") + F.col("sigma"))})
+
+
+@add(META_SQL + " select symbol, pos0::bigint as pos0, side, meta, round(abs_mom, 6) as abs_mom from ms")
+def meta_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _meta(spark, sf_dir).select("symbol", F.col("pos0").cast("long"), "side", "meta", "abs_mom")
+
+
+@add(META_SQL + f" select symbol, count(*)::bigint as n, round(avg(gross) / stddev_samp(gross), 6) as sharpe, {STATS_SQL} from bets group by symbol")
+def gated_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a gate on the primary side buys, by symbol."""
+    return ME.bet_stats(ME.gated(_meta(spark, sf_dir), "p"), ["symbol"]).drop("skew", "kurt")
+
+
+ARMS_SQL = META_SQL + """, arms as (select symbol, sum(side * ret * w) > 0 as b, sum(gross * w) > 0 and avg(acted::int) >= 0.05 and coalesce(avg(case when acted then meta end) > avg(meta), false) as t from bets group by symbol)"""
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every side taken against gated sides, on the same rows."""
+    d = _settled(spark, _meta(spark, sf_dir), "arms")
+    gates = {"gate_gross": F.col("mean_gross") > 0, "gate_action": F.col("action_rate") >= 0.05}
+
+    def study(matrix: DataFrame, arm: str) -> DataFrame:
+        if arm == "baseline":
+            return SE.judged(ME.bet_stats(ME.gated(matrix.withColumn("p", F.lit(1.0)), "p"), ["symbol"]), gates)
+        return SE.judged(ME.bet_stats(ME.gated(matrix, "p"), ["symbol"]), gates | {"gate_hits": F.coalesce(F.col("hit_acted") > F.col("hit_always"), F.lit(False))})
+
+    return ME.paired_arms(d, d, ["symbol", "pos0", "meta", "ret", "w"], study, ["symbol"])
+
+
+@add(ARMS_SQL + " select symbol, b as baseline_passed, t as treatment_passed, case when not t then 'null' when b then 'not_cleanly_attributable' else 'attributable' end as attribution from arms")
+def arm_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arms(spark, sf_dir)
+
+
+@add(ARMS_SQL + """, c as (select count(*)::bigint as n, count(*) filter (where t)::bigint as candidates from arms) select n, candidates, candidates > 0 and candidates < n as fragile,
+case when candidates = 0 then 'no_significant_edge' when candidates = n then 'edge_candidate' else 'edge_candidate_fragile' end as overall from c""")
+def arm_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ME.decision(_arms(spark, sf_dir))
+
+
+@add()
+def meta_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Momentum as the primary side, a grid of gates under purged folds, the best through combinatorial splits, its six gates; fits have no SQL."""
+    d = CV.numbered(_settled(spark, ME.meta_set(_matrix(spark, sf_dir).drop("row"), "mom", "y"), "meta_set"), "id")
+    folds, paths = CV.purged_kfold(d.drop("row"), 4), CV.cpcv(d.drop("row"), 4, 2)
+    return ME.meta_search(d, folds, paths, [*FIT_FEATURES, "abs_mom"], {f"l2={x}": x for x in (0.1, 1.0, 10.0)})[1]
+
+
 @add(f"""{LABELS_SQL}, d as (select symbol, (ret > 0)::int as y, 1.0 / (1 + abs(n_bars - 24) / 24.0) as p from lab) select symbol, round((avg(case when y = 1 then (p >= 0.5)::int end) + avg(case when y = 0 then (p < 0.5)::int end)) / 2, 6) as balanced_accuracy, round(avg((p >= 0.5)::int), 6) as action_rate,
 round(avg(case when p >= 0.5 then y end), 6) as hit_acted, round(avg(y), 6) as hit_always from d group by symbol""")
 def meta_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
