@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cv
 from tidemark.operators import meta as ME
+from tidemark.operators import modeling as M
 from tidemark.operators import selection as SE
 
 
@@ -67,3 +68,9 @@ def test_arms_must_share_their_rows(spark):
     for b in (a.where("pos = 0"), a.withColumn("ret", F.col("ret") * 2), a.unionByName(a.limit(1))):
         with pytest.raises(ValueError):
             ME.paired_arms(a, b, ["symbol", "pos", "ret"], study, ["symbol"])
+
+
+def test_a_probability_at_the_threshold_is_not_acted_on(spark):
+    df = spark.createDataFrame([("k", 1, 0.5), ("k", 1, 0.6), ("k", 0, 0.5), ("k", 0, 0.7)], "k string, y int, p double")
+    (r,) = M.meta_skill(df, ["k"]).collect()
+    assert (r["balanced_accuracy"], r["action_rate"], r["hit_acted"], r["hit_always"]) == (0.5, 0.5, 0.5, 0.5)

@@ -107,8 +107,8 @@ def signal_returns(preds: DataFrame, by: list[str], ret: str = "ret") -> DataFra
 
 
 def meta_skill(df: DataFrame, by: list[str], y: str = "y", p: str = "p", tau: float = 0.5) -> DataFrame:
-    """Balanced accuracy of p >= tau, share acted on, hit rate when acting and always."""
-    act = F.col(p) >= tau
+    """Balanced accuracy of p > tau, share acted on, hit rate when acting and always."""
+    act = F.col(p) > tau
     return df.groupBy(*by).agg(((F.avg(F.when(F.col(y) == 1, act.cast("double"))) + F.avg(F.when(F.col(y) == 0, (~act).cast("double")))) / 2).alias("balanced_accuracy"), F.avg(act.cast("double")).alias("action_rate"), F.avg(F.when(act, F.col(y).cast("double"))).alias("hit_acted"), F.avg(F.col(y).cast("double")).alias("hit_always"))
 
 

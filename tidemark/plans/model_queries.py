@@ -183,8 +183,8 @@ def meta_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.meta_search(d, folds, paths, [*FIT_FEATURES, "abs_mom"], {f"l2={x}": x for x in (0.1, 1.0, 10.0)})[1]
 
 
-@add(f"""{LABELS_SQL}, d as (select symbol, (ret > 0)::int as y, 1.0 / (1 + abs(n_bars - 24) / 24.0) as p from lab) select symbol, round((avg(case when y = 1 then (p >= 0.5)::int end) + avg(case when y = 0 then (p < 0.5)::int end)) / 2, 6) as balanced_accuracy, round(avg((p >= 0.5)::int), 6) as action_rate,
-round(avg(case when p >= 0.5 then y end), 6) as hit_acted, round(avg(y), 6) as hit_always from d group by symbol""")
+@add(f"""{LABELS_SQL}, d as (select symbol, (ret > 0)::int as y, 1.0 / (1 + abs(n_bars - 24) / 24.0) as p from lab) select symbol, round((avg(case when y = 1 then (p > 0.5)::int end) + avg(case when y = 0 then (p <= 0.5)::int end)) / 2, 6) as balanced_accuracy, round(avg((p > 0.5)::int), 6) as action_rate,
+round(avg(case when p > 0.5 then y end), 6) as hit_acted, round(avg(y), 6) as hit_always from d group by symbol""")
 def meta_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _labels(spark, sf_dir).select("symbol", (F.col("ret") > 0).cast("int").alias("y"), (1.0 / (1 + F.abs(F.col("n_bars") - 24) / 24.0)).alias("p"))
     return M.meta_skill(d, ["symbol"])
