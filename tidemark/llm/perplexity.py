@@ -41,7 +41,7 @@ SLICE = 1 << 18  # bytes of text worked on at once: about 90 bytes of arrays eac
 BLOCK = 16 << 20  # bytes of text of a block; a longer text is a block of its own
 SHARD_GRAMS = 100_000
 SLICE_GRAMS = 1 << 22  # n-grams that blocks ask one copy of a shard for
-TASK_GRAMS = 1 << 24  # n-grams asked, over all blocks, a task
+TASK_GRAMS = 1 << 23  # n-grams asked, over all blocks, a task: about 250 MB of packed rows, questions and answers
 
 
 def ngram_keys(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
