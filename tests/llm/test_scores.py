@@ -168,6 +168,20 @@ def test_ranked_search(spark, docs, data, nothing):  # noqa: F811
     assert op.ranked_search(docs.where("text is null"), frame).count() == 0
 
 
+def test_wide_rows_are_row_groups_of_their_own(spark, docs):  # noqa: F811
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tidemark.llm import ranked as op
+    from tidemark.llm.common import Workspace
+
+    work = Workspace(spark, "wide")
+    shards = op.build_index(docs.coalesce(1), work, shard_docs=5).count()
+    footers = [pq.ParquetFile(f).metadata for f in glob.glob(f"{work.path.removeprefix('file://').removeprefix('file:')}/index/*.parquet")]
+    assert shards > 5 and sum(m.num_row_groups for m in footers) == shards == sum(m.num_rows for m in footers)
+
+
 def test_ranked_search_ties_and_pruning():
     from tidemark.llm import ranked as op
 

@@ -61,10 +61,12 @@ class Workspace:
             atexit.register(lambda: [_delete(s, p) for s, p in _LEFT])
         _LEFT.append((spark, self.path))
 
-    def table(self, df: DataFrame, name: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "zstd", partition_by: list[str] | None = None, wide: bool = False) -> DataFrame:
+        """``wide``: rows of megabytes. Each is then a row group of its own, since writers buffer at least 100 rows and readers load up to 4,096 of a group at once."""
         path = f"{self.path}/{name}"
+        rows = {"parquet.block.row.count.limit": "1"} if wide else {}
         with small_batches(self.spark):
-            df.write.mode("overwrite").option("compression", codec).parquet(path, partitionBy=partition_by)
+            df.write.mode("overwrite").option("compression", codec).options(**rows).parquet(path, partitionBy=partition_by)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
