@@ -54,3 +54,24 @@ def test_state_leaves_with_the_watermark(spark, tmp_path):
         states.append(sum(s["numRowsTotal"] for s in p.get("stateOperators", [])))
     assert J.latest_rows(spark, out, ["k"], "o").count() == 120
     assert max(states) <= 40 and states[-1] <= 40  # two days of keys, never all of them
+
+
+@pytest.mark.parametrize("name", ["stream_bars", "stream_quotes", "stream_latest", "stream_dollar_bars"])
+def test_replay_in_many_lots(spark, monkeypatch, name):
+    """Bounded files in order of time give what one file gives: nothing is late, open bars go on from lot to lot."""
+    import __spark_entry__ as E
+
+    lots, replay = [], J.replay
+
+    def small(rows, folder, order, run, files_a_run):
+        def counted():
+            lots.append(max(f["n"] for f in spark.read.parquet(folder).groupBy("_metadata.file_path").count().withColumnRenamed("count", "n").collect()))
+            run()
+
+        replay(rows, folder, order, counted, rows_a_file=1000, files_a_run=4)
+
+    rows = lambda: sorted(map(str, E.queries()[name](spark, "/root/testdata/sf0.01").collect()))
+    once = rows()
+    monkeypatch.setattr(J, "replay", small)
+    assert rows() == once
+    assert len(lots) >= 3 and max(lots) < 2000
