@@ -213,7 +213,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, head: int = HEAD, blo
     """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "recurrent")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = work.table(plain.mapInArrow(_blocks(block_bytes, rounds), BLOCKS), "blocks")
+    blocks = work.table(plain.mapInArrow(_blocks(block_bytes, rounds), BLOCKS), "blocks", wide=True)
     asked = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("i", "w")).select(F.col("block").alias("of"), "i", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
     # one shuffle: a word's sum goes to each of its rows, a row a block at most, and the word itself stays in the first
     own = Window.partitionBy("word")
@@ -232,7 +232,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, head: int = HEAD, blo
     shares_ = Shares(own, tail, sum(c for c, _ in by_byte.values()), sum(n for _, n in by_byte.values()))
     shares = spark.sparkContext.broadcast(shares_)
     coded = blocks.drop("trained").groupBy("block").cogroup(summed.select("of", "i", "c").groupBy("of")).applyInArrow(_code(shares), CODED)
-    coded = work.table(coded, "coded", partition_by=["round"])
+    coded = work.table(coded, "coded", partition_by=["round"], wide=True)
     now = gru.fresh(shares_.layout())
     for k in range(rounds):
         params = spark.sparkContext.broadcast(now)
