@@ -126,6 +126,54 @@ def test_recurrent_scores_beat_counts(spark):
     assert out["count(doc_id)"] > 150 and out["sum(score)"] > out["sum(base_score)"] * 0.9
 
 
+def test_outputs_hold_few_scores_at_once():
+    """A window's class scores must stay in a core's cache: those of 16,384 rows at once are 6 MB."""
+    import tracemalloc
+
+    from tidemark.llm import gru
+
+    layout, params = small_model(words=600, tail=32, classes=64, width=16)
+    net, rng = gru.Network(layout, params), np.random.default_rng(5)
+    h, told = np.tanh(rng.normal(size=(16384, 16))).astype(np.float32), rng.integers(0, 632, 16384)
+    grad = {k: np.zeros_like(v) for k, v in params.items() if k != "inputs"}
+    tracemalloc.start()
+    logp, dh = net.outputs(h, told, grad)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16384 * layout.classes * 4
+    parts = [net.outputs(h[k : k + 1000], told[k : k + 1000], {k: np.zeros_like(v) for k, v in grad.items()}) for k in range(0, 16384, 1000)]
+    assert np.allclose(logp, np.concatenate([p for p, _ in parts]), atol=1e-4) and np.allclose(dh, np.concatenate([d for _, d in parts]), atol=1e-4)
+
+
+@pytest.mark.parametrize("limit", [1, 150, 1 << 20])
+def test_blocks_hold_every_token(monkeypatch, limit):
+    import pyarrow as pa
+
+    from tidemark.llm import recurrent
+
+    class Task:
+        get, partitionId = classmethod(lambda cls: cls), staticmethod(lambda: 3)
+
+    monkeypatch.setattr(recurrent, "TaskContext", Task)
+    said = ["", " ", "a", " A b\t\x0b\x0c\r\nB ", "\n\n", "\x1c\x85x\xa0Y \u2003Z \x00", "É é ÀA", "w " * 90, "end", "", "x" * 400 + " a", "a\x1fb"]
+    rows = [(k if k % 5 else None, t) for k, t in enumerate(said * 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string())], ["doc_id", "text"]) for part in (rows[:5], rows[5:6], rows[6:])]
+    batches = [b.slice(1) if k == 2 else b for k, b in enumerate(batches)]
+    rows = rows[:6] + rows[7:]
+    found, blocks = [], list(recurrent._blocks(limit, 4)(iter(batches)))
+    assert len(blocks) == (len(rows) if limit == 1 else len(blocks)) and (limit < 1 << 20 or len(blocks) == 1)
+    for r in (b.to_pylist()[0] for b in blocks):
+        codes = np.frombuffer(pa.decompress(r["codes"], sum(r["lengths"]) * 4, codec="zstd", asbytes=True), "<u4")
+        assert r["words"][0] == b"" and len(set(r["words"])) == len(r["words"]) and len(codes) == sum(r["lengths"])
+        own, at = Counter(), 0
+        for i, n in zip(r["doc_ids"], r["lengths"]):
+            found.append((i, [r["words"][k].decode() for k in codes[at : at + n]]))
+            at += n
+            own.update(found[-1][1] if i is None or zlib.crc32(str(i).encode()) % 5 != 1 else [])
+        assert r["trained"] == [own[w.decode()] for w in r["words"]]
+    assert found == [(i, tokens(t)) for i, t in rows]
+
+
 # --- 12 --------------------------------------------------------------------------------------------------------------------------------------
 
 

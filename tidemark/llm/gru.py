@@ -15,6 +15,7 @@ LANES = 512  # sequences side by side
 STEPS = 32  # steps of a window: gradients reach back this far, the state goes on
 SEGMENT = 2048  # longer sequences are trained on in parts of this size, side by side; they are scored whole
 RATE = 0.08
+ROWS = 512  # of outputs worked on at once: 200 KB of the classes' scores
 
 
 class Layout:
@@ -67,7 +68,10 @@ class Feed:
     def __init__(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n: int):
         rows = lanes(lengths, n)
         self.sizes = np.array([int(lengths[r].sum()) for r in rows], np.int64)
-        self.where = [np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in r.tolist()]) for r in rows]
+        order = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        size = lengths[order]
+        self.where = np.arange(int(size.sum())) + np.repeat(starts[order] - (np.cumsum(size) - size), size)  # of all lanes, one after another
+        self.first = np.cumsum(self.sizes) - self.sizes
         self.ids = ids
         self.opens = np.zeros(len(ids) + 1, bool)
         self.opens[starts[lengths > 0]] = True
@@ -78,20 +82,21 @@ class Feed:
         while lo < top:
             n = int(np.searchsorted(-self.sizes, -lo, "left"))  # lanes longer than lo
             t = min(max(steps, 4096 // n), top - lo)
-            place = np.full((t, n), -1, np.int64)
-            for k in range(n):
-                own = self.where[k][lo : lo + t]
-                place[: len(own), k] = own
+            step = np.arange(lo, lo + t)[:, None]
+            if self.sizes[n - 1] >= lo + t:
+                place = self.where[self.first[:n] + step]
+            else:
+                place = np.where(step < self.sizes[:n], self.where[np.minimum(self.first[:n] + step, len(self.where) - 1)], -1)
             yield place, (place >= 0).sum(axis=1)
             lo += t
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= 0.5
-    np.tanh(x, out=x)
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # 1 / inf is the limit
+        np.exp(x, out=x)
     x += 1
-    x *= 0.5
-    return x
+    return np.reciprocal(x, out=x)
 
 
 class Network:
@@ -103,88 +108,122 @@ class Network:
     # --- recurrence
 
     def forward(self, seen: list[np.ndarray], opens: list[np.ndarray], h: np.ndarray, keep: list | None = None) -> list[np.ndarray]:
-        """States after each step; ``seen[t]`` the inputs of the lanes active at t (a prefix of those at t - 1); a state is zero where ``opens``."""
-        w, p, out = self.width, self.p, []
+        """States after each step; ``seen[t]`` the inputs of the lanes active at t (a prefix of those at t - 1); a state is zero where ``opens``.
+
+        Within, units are rows and lanes columns, so that every gate is one run of memory.
+        """
+        w, p, out, h = self.width, self.p, [], h.T
+        hidden, bias = np.ascontiguousarray(p["hidden"].T), p["hidden_bias"][:, None]
         for ids, fresh_ in zip(seen, opens, strict=True):
-            h = h[: len(ids)]
+            h = h[:, : len(ids)]
             if fresh_.any():
-                h = np.where(fresh_[:, None], np.float32(0), h)
-            x = p["inputs"][ids]
-            g = h @ p["hidden"]
-            g += p["hidden_bias"]
-            gates = _sigmoid(x[:, : 2 * w] + g[:, : 2 * w])
-            r, z = gates[:, :w], gates[:, w:]
-            c = np.tanh(x[:, 2 * w :] + r * g[:, 2 * w :])
-            new = c + z * (h - c)
+                h = np.where(fresh_, h.dtype.type(0), h)
+            g = hidden @ h
+            g += bias
+            x = np.ascontiguousarray(p["inputs"].take(ids, axis=0).T)
+            gates, c = x[: 2 * w], x[2 * w :]
+            gates += g[: 2 * w]
+            _sigmoid(gates)
+            r, z = gates[:w], gates[w:]
+            c += r * g[2 * w :]
+            np.tanh(c, out=c)
+            new = h - c
+            new *= z
+            new += c
             if keep is not None:
-                keep.append((ids, h, r, z, c, g[:, 2 * w :], fresh_))
+                keep.append((ids, h, r, z, c, g[2 * w :], fresh_))
             h = new
-            out.append(h)
+            out.append(h.T)
         return out
 
     def backward(self, keep: list, dout: list[np.ndarray], grad: dict) -> None:
         w, p = self.width, self.p
-        after = np.zeros((0, w), np.float32)
+        after = np.zeros((w, 0), np.float32)
         inputs, gates = [], []
         for (ids, h, r, z, c, gc, fresh_), d in zip(reversed(keep), reversed(dout), strict=True):
-            d = d.copy()
-            d[: len(after)] += after
-            dz = d * (h - c) * z * (1 - z)
-            dc = d * (1 - z) * (1 - c * c)
-            drc = dc * r
-            dr = dc * gc * r * (1 - r)
-            dx = np.concatenate([dr, dz, dc], axis=1)
-            dg = np.concatenate([dr, dz, drc], axis=1)
-            grad["hidden"] += h.T @ dg
-            grad["hidden_bias"] += dg.sum(axis=0)
-            after = d * z + dg @ p["hidden"].T
+            own = np.empty((4 * w, len(ids)), h.dtype)  # candidate, reset, update, and the candidate's part of the state
+            dc, dr, dz, drc = own[:w], own[w : 2 * w], own[2 * w : 3 * w], own[3 * w :]
+            d = d.T.copy()
+            d[:, : after.shape[1]] += after
+            on = d * z
+            np.subtract(d, on, out=dc)
+            np.subtract(h, c, out=dz)
+            dz *= z
+            dz *= dc
+            slope = c * c
+            np.subtract(1, slope, out=slope)
+            dc *= slope
+            np.multiply(dc, r, out=drc)
+            np.subtract(1, r, out=dr)
+            dr *= drc
+            dr *= gc
+            grad["hidden"] += h @ own[w:].T
+            grad["hidden_bias"] += own[w:].sum(axis=1)
+            after = p["hidden"] @ own[w:]
+            after += on
             if fresh_.any():
-                after[fresh_] = 0
+                after[:, fresh_] = 0
             inputs.append(ids)
-            gates.append(dx)
-        grad["inputs"] = summed_rows(np.concatenate(inputs), np.concatenate(gates))
+            gates.append(np.ascontiguousarray(own[: 3 * w].T))
+        rows, g = summed_rows(np.concatenate(inputs), np.concatenate(gates))
+        grad["inputs"] = rows, np.roll(g, -w, axis=1)
 
     # --- outputs
 
     def outputs(self, h: np.ndarray, told: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln P of each outcome told after state h; with ``grad`` also the gradient on h of the sum of -ln P, and the outputs' own."""
-        lay, p = self.layout, self.p
+        """ln P of each outcome told after state h; with ``grad`` also the gradient on h of the sum of -ln P, and the outputs' own.
+
+        A last unit of one carries the biases. Rows are taken as many at a time as a core's cache holds.
+        """
+        lay, p, w = self.layout, self.p, self.width
         of, n = lay.class_of[told], len(told)
-        each = np.arange(n)
-        e = h @ p["classes"]
-        e += p["class_bias"]
-        own = e[each, of]
-        np.exp(e, out=e)  # states are within (-1, 1) and weights bounded (``Trainer``), so this can't overflow
-        total = e.sum(axis=1)
-        logp = own - np.log(total)
-        dh = None
-        if grad is not None:
-            e *= (1 / total)[:, None]
-            e[each, of] -= 1
-            dh = e @ p["classes"].T
-            grad["classes"] += h.T @ e
-            grad["class_bias"] += e.sum(axis=0)
+        one = np.empty((n, w + 1), h.dtype)
+        one[:, :w], one[:, w] = h, 1
+        classes, back = np.vstack([p["classes"], p["class_bias"]]), np.ascontiguousarray(p["classes"].T)
+        logp, dh = np.empty(n, h.dtype), None if grad is None else np.empty((n, w), h.dtype)
+        ones, each = np.ones(max(lay.classes, int(np.diff(lay.first).max(initial=1))), h.dtype), np.arange(ROWS)
+        for lo in range(0, n, ROWS):
+            x, which = one[lo : lo + ROWS], of[lo : lo + ROWS]
+            e = x @ classes
+            own = e[each[: len(x)], which]
+            np.exp(e, out=e)  # states are within (-1, 1) and weights bounded (``Trainer``), so this can't overflow
+            total = e @ ones[: lay.classes]
+            np.subtract(own, np.log(total), out=logp[lo : lo + ROWS])
+            if grad is not None:
+                e *= (1 / total)[:, None]
+                e[each[: len(x)], which] -= 1
+                np.matmul(e, back, out=dh[lo : lo + ROWS])
+                g = x.T @ e
+                grad["classes"] += g[:w]
+                grad["class_bias"] += g[w]
         order = np.argsort(of.astype(np.uint16), kind="stable")  # a radix sort
         cut = np.searchsorted(of[order], np.arange(lay.n_head + 1))
+        order = order[: cut[-1]]  # by class, without the tail
+        one, place = one[order], told[order] - lay.first[of[order]]
+        logit, total, dwords = np.zeros(len(order), h.dtype), np.ones(len(order), h.dtype), None if grad is None else np.zeros((len(order), w), h.dtype)
+        words = np.column_stack([p["words"], p["word_bias"]])
         for k in range(lay.n_head):
             a, b = lay.first[k], lay.first[k + 1]
-            at = order[cut[k] : cut[k + 1]]
-            if b - a < 2 or not len(at):
+            if b - a < 2:
                 continue
-            weight, own_h, which = p["words"][a:b], h[at], told[at] - a
-            e = own_h @ weight.T
-            e += p["word_bias"][a:b]
-            mine = np.arange(len(at))
-            logit = e[mine, which]
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            logp[at] += logit - np.log(total)
-            if grad is not None:
-                e *= (1 / total)[:, None]
-                e[mine, which] -= 1
-                dh[at] += e @ weight
-                grad["words"][a:b] += e.T @ own_h
-                grad["word_bias"][a:b] += e.sum(axis=0)
+            weight = np.ascontiguousarray(words[a:b].T)
+            for lo in range(cut[k], cut[k + 1], ROWS):
+                hi = min(lo + ROWS, cut[k + 1])
+                x, which, mine = one[lo:hi], place[lo:hi], each[: hi - lo]
+                e = x @ weight
+                logit[lo:hi] = e[mine, which]
+                np.exp(e, out=e)
+                total[lo:hi] = sums = e @ ones[: b - a]
+                if grad is not None:
+                    e *= (1 / sums)[:, None]
+                    e[mine, which] -= 1
+                    np.matmul(e, p["words"][a:b], out=dwords[lo:hi])
+                    g = e.T @ x
+                    grad["words"][a:b] += g[:, :w]
+                    grad["word_bias"][a:b] += g[:, w]
+        logp[order] += logit - np.log(total)
+        if grad is not None:
+            dh[order] += dwords
         return logp, dh
 
 
@@ -193,20 +232,16 @@ def summed_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")  # a radix sort
     ids = ids[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    return ids[first], np.add.reduceat(rows[order], first, axis=0)
+    return ids[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 def _window(net: Network, feed: Feed, place: np.ndarray, active: np.ndarray) -> tuple[list, list, list]:
     """Inputs, starts and outcomes of a window's steps. The input of a step is the token before it, or the start of a document."""
-    seen, opens, told = [], [], []
-    for row, n in zip(place, active.tolist(), strict=True):
-        at = row[:n]
-        start = feed.opens[at]
-        before = feed.ids[np.maximum(at - 1, 0)].astype(np.int64)
-        seen.append(np.where(start, net.start, before))
-        opens.append(start)
-        told.append(feed.ids[at].astype(np.int64))
-    return seen, opens, told
+    at = place[place >= 0]
+    start = feed.opens[at]
+    seen = np.where(start, net.start, feed.ids[np.maximum(at - 1, 0)])
+    cut = np.cumsum(active)[:-1]
+    return np.split(seen, cut), np.split(start, cut), np.split(feed.ids[at].astype(np.int64), cut)
 
 
 class Trainer:

@@ -16,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gru
 from .common import Workspace, partitions, trim, utf8_parts
-from .divergence import pieces
 
 BLOCK_BYTES = 12 << 20
 HEAD = 4096  # words that the network tells apart
@@ -33,7 +33,6 @@ ROUNDS = 4
 CHUNK = 1 << 14  # parameters in a row
 DISCOUNT = 0.5  # taken from each tail word's count for words not seen in training
 FOLDS, HELD_OUT = 5, 1
-WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 BLOCKS = "block long, round int, doc_ids array<long>, lengths array<long>, words array<binary>, trained array<long>, codes binary"
 CODED = "block long, round int, doc_ids array<long>, lengths array<long>, known array<long>, base array<double>, tail array<double>, ids binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -47,28 +46,34 @@ def held_out(doc_ids: list[int | None]) -> np.ndarray:
 class _Block:
     def __init__(self):
         self.ids: list[int | None] = []
-        self.parts: list[np.ndarray] = []
-        self.codes: dict[bytes, int] = {b"": 0}  # no word: the end of a document
+        self.texts: list[pa.Array] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, raw: bytes) -> None:
-        codes, here = self.codes, []
-        for part in pieces(raw.translate(WORD_BYTES), 1 << 20):
-            words = part.split()
-            for w in set(words).difference(codes):
-                codes[w] = len(codes)
-            here.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
-        self.ids.append(doc_id)
-        self.parts.append(np.concatenate([*here, np.zeros(1, np.uint32)]))
-        self.size += len(raw) + 64
+    def add(self, doc_ids: list[int | None], texts: pa.Array, size: int) -> None:
+        self.ids += doc_ids
+        self.texts.append(texts)
+        self.size += size
+
+    def tokens(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words (the first is none: the end of a document), a code a token, tokens of each document."""
+        text = pa.concat_arrays([t.cast(pa.large_string()) for t in self.texts])
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(text))  # empty before a space that begins a text, and after one that ends it
+        ends = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary())
+        real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        codes = (np.cumsum(real) * real).astype(np.uint32)[coded.indices.to_numpy()]
+        full = np.append(0, np.cumsum(codes > 0))[ends]
+        lengths = np.diff(full) + 1
+        out = np.insert(codes[ends[0] : ends[-1]][codes[ends[0] : ends[-1]] > 0], full[1:] - full[0], 0)
+        return pa.concat_arrays([pa.array([b""], pa.large_binary()), words.filter(pa.array(real))]).cast(pa.binary()), out, lengths
 
     def row(self, block: int, rounds: int) -> pa.RecordBatch:
-        out = held_out(self.ids)
-        learnt = [p for p, x in zip(self.parts, out, strict=True) if not x]
-        trained = np.bincount(np.concatenate(learnt), minlength=len(self.codes)) if learnt else np.zeros(len(self.codes), np.int64)
+        words, codes, lengths = self.tokens()
+        trained = np.bincount(codes[np.repeat(~held_out(self.ids), lengths)], minlength=len(words))
         one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
         return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([block % rounds], pa.int32()), one(self.ids, pa.int64()), one([len(p) for p in self.parts], pa.int64()), one(list(self.codes), pa.binary()), one(trained, pa.int64()), pa.array([pa.compress(np.concatenate(self.parts).astype("<u4").tobytes(), codec="zstd", asbytes=True)], pa.binary())],
+            [pa.array([block], pa.int64()), pa.array([block % rounds], pa.int32()), one(self.ids, pa.int64()), one(lengths, pa.int64()), one(words, pa.binary()), one(trained, pa.int64()), pa.array([pa.compress(codes.astype("<u4").tobytes(), codec="zstd", asbytes=True)], pa.binary())],
             ["block", "round", "doc_ids", "lengths", "words", "trained", "codes"],
         )
 
@@ -78,13 +83,17 @@ def _blocks(limit: int, rounds: int):
         part = TaskContext.get().partitionId()
         name, block = part << 32 | part % rounds, _Block()  # first blocks of tasks are spread over the rounds, too
         for batch in batches:
-            data, offsets = utf8_parts(batch.column("text"))
-            raw = data.tobytes()
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                if block.ids and block.size + offsets[i + 1] - offsets[i] > limit:
+            text, doc_ids, lo = batch.column("text"), batch.column("doc_id").to_pylist(), 0
+            upto = utf8_parts(text)[1] + 64 * np.arange(batch.num_rows + 1)
+            while lo < batch.num_rows:
+                hi = int(np.searchsorted(upto, upto[lo] + limit - block.size + 64, "right")) - 1  # the last row's 64 do not count
+                if hi <= lo and block.ids:
                     yield block.row(name, rounds)
                     name, block = name + 1, _Block()
-                block.add(doc_id, raw[offsets[i] : offsets[i + 1]])
+                    continue
+                hi = min(max(hi, lo + 1), batch.num_rows)
+                block.add(doc_ids[lo:hi], text.slice(lo, hi - lo), int(upto[hi] - upto[lo]))
+                lo = hi
         if block.ids:
             yield block.row(name, rounds)
         trim()
@@ -105,10 +114,13 @@ class Shares:
     def layout(self) -> gru.Layout:
         return gru.Layout(self.counts, self.tail_tokens, CLASSES)
 
-    def outcomes(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def outcomes(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word: its outcome, log10 of its share within its tail class (0 for head words), and log10 of its smoothed share of all tokens."""
-        head, n = self.head, len(self.head)
-        ids = np.fromiter((head[w] if w in head else n + (w[-1] % TAIL if w else 0) for w in words), np.int64, len(words))
+        n = len(self.head)
+        data, ends = utf8_parts(words)
+        last = np.append(data, np.uint8(0))[ends[1:] - 1].astype(np.int64) * (np.diff(ends) > 0)  # byte, 0 if there is none
+        ids = pc.index_in(words, value_set=pa.array(list(self.head), words.type)).fill_null(-1).to_numpy().astype(np.int64)
+        ids = np.where(ids < 0, n + last % TAIL, ids)
         kind = np.maximum(ids - n, 0)
         total, distinct = self.tail_tokens[kind], self.tail_words[kind]
         share = np.where(counts > 0, counts - DISCOUNT, DISCOUNT * distinct)
@@ -119,7 +131,7 @@ class Shares:
 
 def _code(shares):
     def run(key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        words = blocks.column("words")[0].as_py()
+        words = blocks.column("words")[0].values
         counts = np.zeros(len(words), np.int64)
         counts[answers.column("i").to_numpy()] = answers.column("c").to_numpy()
         ids, tail, base = shares.value.outcomes(words, counts)
@@ -215,10 +227,10 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, head: int = HEAD, blo
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks = work.table(plain.mapInArrow(_blocks(block_bytes, rounds), BLOCKS), "blocks", wide=True)
     asked = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("i", "w")).select(F.col("block").alias("of"), "i", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
-    # one shuffle: a word's sum goes to each of its rows, a row a block at most, and the word itself stays in the first
+    # one shuffle and one sort: a word's sum goes to each of its rows, a row a block at most, and the word itself stays in the first block's
     own = Window.partitionBy("word")
-    summed = asked.select("of", "i", "word", F.sum("n").over(own).alias("c"), F.row_number().over(own.orderBy("of")).alias("nth"))
-    summed = work.table(summed.select("of", "i", F.expr("if(nth = 1, word, null)").alias("word"), "c"), "summed")
+    summed = asked.select("of", "i", "word", F.sum("n").over(own).alias("c"), F.min("of").over(own).alias("first"))
+    summed = work.table(summed.select("of", "i", F.expr("if(of = first, word, null)").alias("word"), "c"), "summed")
     counts = summed.where("word is not null and c > 0").select("word", "c")
     by_byte = {bytes(r["b"]): (r["c"], r["n"]) for r in counts.groupBy(F.substring("word", -1, 1).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}  # 257 rows at most
     top = counts.where((F.length("word") <= HEAD_BYTES) & (F.length("word") > 0)).orderBy(F.desc("c"), "word").limit(head - 1).collect()  # bounded by head
