@@ -155,6 +155,7 @@ def test_blocks_hold_every_token(monkeypatch, limit):
         get, partitionId = classmethod(lambda cls: cls), staticmethod(lambda: 3)
 
     monkeypatch.setattr(recurrent, "TaskContext", Task)
+    monkeypatch.setattr(recurrent, "PIECE", 100 if limit == 1 else 1 << 22, raising=False)  # texts that come alone, in pieces
     said = ["", " ", "a", " A b\t\x0b\x0c\r\nB ", "\n\n", "\x1c\x85x\xa0Y \u2003Z \x00", "É é ÀA", "w " * 90, "end", "", "x" * 400 + " a", "a\x1fb"]
     rows = [(k if k % 5 else None, t) for k, t in enumerate(said * 2)]
     batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string())], ["doc_id", "text"]) for part in (rows[:5], rows[5:6], rows[6:])]

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .common import Workspace, partitions, trim, utf8_parts
+from .divergence import pieces
 
 BLOCK_BYTES = 12 << 20
+PIECE = 1 << 22  # bytes of a text cut into words at once
 HEAD = 4096  # words that the network tells apart
 HEAD_BYTES = 64  # longer words are told by their counts only
 CLASSES = 64  # of the head; and
@@ -33,6 +35,7 @@ ROUNDS = 4
 CHUNK = 1 << 14  # parameters in a row
 DISCOUNT = 0.5  # taken from each tail word's count for words not seen in training
 FOLDS, HELD_OUT = 5, 1
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 BLOCKS = "block long, round int, doc_ids array<long>, lengths array<long>, words array<binary>, trained array<long>, codes binary"
 CODED = "block long, round int, doc_ids array<long>, lengths array<long>, known array<long>, base array<double>, tail array<double>, ids binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -46,26 +49,37 @@ def held_out(doc_ids: list[int | None]) -> np.ndarray:
 class _Block:
     def __init__(self):
         self.ids: list[int | None] = []
-        self.texts: list[pa.Array] = []
+        self.coded: list[pa.DictionaryArray] = []
+        self.lengths: list[np.ndarray] = []
         self.size = 0
 
     def add(self, doc_ids: list[int | None], texts: pa.Array, size: int) -> None:
+        """A text above ``PIECE`` that comes alone is worked on in pieces."""
+        long = len(doc_ids) == 1 and size > PIECE
+        parts = (pa.array([p], pa.large_binary()).view(pa.large_string()) for p in pieces(utf8_parts(texts)[0].tobytes().translate(WORD_BYTES), PIECE)) if long else [texts]
+        found = [self._words(p) for p in parts]
         self.ids += doc_ids
-        self.texts.append(texts)
+        self.lengths.append(np.sum(found, axis=0) + 1)
         self.size += size
 
+    def _words(self, texts: pa.Array) -> np.ndarray:
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # empty before a space that begins a text, and after one that ends it
+        ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        self.coded.append(parts.flatten().dictionary_encode())
+        real = pc.greater(pc.binary_length(self.coded[-1].dictionary), 0).to_numpy(zero_copy_only=False)
+        return np.diff(np.append(0, np.cumsum(real[self.coded[-1].indices.to_numpy()]))[ends])
+
     def tokens(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct words (the first is none: the end of a document), a code a token, tokens of each document."""
-        text = pa.concat_arrays([t.cast(pa.large_string()) for t in self.texts])
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(text))  # empty before a space that begins a text, and after one that ends it
-        ends = parts.offsets.to_numpy().astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.large_binary())
+        coded = pa.chunked_array([c.cast(pa.dictionary(pa.int32(), pa.large_binary())) for c in self.coded]).unify_dictionaries().chunks
+        self.coded, words, lengths = [], coded[0].dictionary, np.concatenate(self.lengths)
         real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-        codes = (np.cumsum(real) * real).astype(np.uint32)[coded.indices.to_numpy()]
-        full = np.append(0, np.cumsum(codes > 0))[ends]
-        lengths = np.diff(full) + 1
-        out = np.insert(codes[ends[0] : ends[-1]][codes[ends[0] : ends[-1]] > 0], full[1:] - full[0], 0)
+        code = (np.cumsum(real) * real).astype(np.uint32)
+        out = np.zeros(int(lengths.sum()), np.uint32)
+        word = np.ones(len(out), bool)
+        word[np.cumsum(lengths) - 1] = False
+        own = [code[c.indices.to_numpy()] for c in coded]
+        out[word] = np.concatenate([c[c > 0] for c in own])
         return pa.concat_arrays([pa.array([b""], pa.large_binary()), words.filter(pa.array(real))]).cast(pa.binary()), out, lengths
 
     def row(self, block: int, rounds: int) -> pa.RecordBatch:
