@@ -83,44 +83,33 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, key: list[str],
 
 
 def latest_stream(rows: DataFrame, key: list[str], time: str, order: str, late: str = "2 hours", keep_minutes: int = 24 * 60) -> DataFrame:
-    """Revisions as they come: a row goes on if its ``order`` (an integer) is above all earlier ones of its key; duplicates and older revisions go.
+    """Revisions as they come: a row goes on if its ``order`` (an integer) is above all earlier ones of its key and span; duplicates and older revisions go.
 
-    State is one number a key, and leaves ``keep_minutes`` of event time after the key's last row, so it is bounded by the keys of that span. Rows later than the
-    watermark are dropped, so a key whose state has left does not come back by an old row as long as ``late`` is within ``keep_minutes``.
+    A span is ``keep_minutes`` of event time. State is one row a key and span, in Spark's own aggregation: no key is a call of Python. It leaves when the watermark, ``late``
+    and a span behind the end of the last span, has passed the span's end, so it is bounded by the keys of ``late`` and three spans; only rows more than ``late`` behind are
+    ever dropped. A key's last row of a new span goes on whatever earlier spans held: ``latest_rows`` picks among spans. Rows without a time are a span that stays.
+    For ``outputMode("update")``.
     """
-    ship(rows.sparkSession)
-    names = rows.columns
-
-    def step(_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best, last = None, 0
-        for pdf in frames:
-            top = pdf.loc[[pdf[order].idxmax()]]
-            best = top if best is None or int(top[order].iloc[0]) > int(best[order].iloc[0]) else best
-            last = max(last, int(pdf[time].max().value // 1_000_000))
-        known = state.get[0] if state.exists else None
-        newest = int(best[order].iloc[0])
-        state.update((newest if known is None else max(known, newest),))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_minutes * 60_000)
-        if known is None or newest > known:
-            yield best[names]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.where(F.col(order).isNotNull()).withWatermark(time, late).groupBy(*key).applyInPandasWithState(step, schema, "latest bigint", "append", "EventTimeTimeout")
+    ms = F.unix_millis(F.col(time).cast("timestamp"))
+    keep = F.lit(keep_minutes * 60_000)
+    until = F.timestamp_millis(ms - F.pmod(ms, keep) + keep)
+    at = F.current_timestamp()  # a batch's own time, the same when it is replayed
+    spans = rows.where(F.col(order).isNotNull()).withColumns({"_until": until, "_at": at}).withWatermark("_until", f"{late} {keep_minutes} minutes")
+    first = F.struct(F.col(order), -F.unix_micros("_at"))  # of equals the earliest batch's
+    best = spans.groupBy(*key, "_until").agg(F.max_by(F.struct(*rows.columns, "_at"), first).alias("_row"))
+    return best.where(F.col("_row._at") == at).select(*[F.col(f"_row.`{c}`") for c in rows.columns])
 
 
 def run_to_revisions(stream: DataFrame, path: str, checkpoint: str, time: str) -> dict:
     """Runs a stream of revisions over what is there (availableNow): each batch writes its own files of the dates that it touches, and a replay overwrites them.
 
-    Returns the last progress, which has the number of keys in state."""
+    Returns the last progress, which has the number of rows in state."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         dated = batch.withColumns({"_date": F.to_date(time), "_batch": F.lit(batch_id)})
         dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_date", "_batch").parquet(path)
 
-    q = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return q.lastProgress or {}
 
