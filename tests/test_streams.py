@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.streaming import jobs as J
 
@@ -66,6 +67,17 @@ def test_keys_are_not_calls_of_python(spark, tmp_path):
     assert got.count() == 30_000 and got.where("o <> 60000 + bigint(k) or v <> o").count() == 0
 
 
+def test_files_of_a_date_are_few(spark, tmp_path):
+    """Partitions of the state don't write a file a date each."""
+    src, out, check = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))
+    spark.sql("select string(id) as k, timestamp_seconds(1709251200 + id * 60) as ts, id as o, double(id) as v from range(5000)").write.parquet(src)
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "24")
+    J.run_to_revisions(J.latest_stream(J.read_events(session, src, spark.createDataFrame([], SCHEMA).schema), ["k"], "ts", "o", late="9 days"), out, check, "ts")
+    files = spark.read.parquet(out).groupBy("_date").agg(F.countDistinct("_metadata.file_path").alias("files"), F.count("*").alias("n")).collect()
+    assert sum(f["n"] for f in files) == 5000 and max(f["files"] for f in files) <= J.FILES_A_DATE
+
+
 def test_spans_equals_and_rows_without_time(spark, tmp_path):
     """An older revision in a new span replaces nothing, the first of equals stays, and rows without a time count, late ones of open spans too."""
     src, out, check = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))

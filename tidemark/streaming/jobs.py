@@ -100,13 +100,16 @@ def latest_stream(rows: DataFrame, key: list[str], time: str, order: str, late:
     return best.where(F.col("_row._at") == at).select(*[F.col(f"_row.`{c}`") for c in rows.columns])
 
 
+FILES_A_DATE = 8  # of a batch, at most
+
+
 def run_to_revisions(stream: DataFrame, path: str, checkpoint: str, time: str) -> dict:
     """Runs a stream of revisions over what is there (availableNow): each batch writes its own files of the dates that it touches, and a replay overwrites them.
 
-    Returns the last progress, which has the number of rows in state."""
+    Revisions are dealt out by date into ``FILES_A_DATE`` groups first: else every partition of the state writes a file a date. Returns the last progress, which has the number of rows in state."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        dated = batch.withColumns({"_date": F.to_date(time), "_batch": F.lit(batch_id)})
+        dated = batch.withColumns({"_date": F.to_date(time), "_batch": F.lit(batch_id), "_group": F.spark_partition_id() % FILES_A_DATE}).repartition("_date", "_group").drop("_group")
         dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_date", "_batch").parquet(path)
 
     q = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
